@@ -53,8 +53,9 @@ COSTLY = 40
 #: Longs in a parity sketch (a power of two).
 SKETCH = 8
 
-_KEYS = "key long, node long, n int, seg long, probe byte"
-_NODES = "doc_id long, node long, n_shingles long, band int, " + ", ".join(f"miss{i} int, cost{i} long" for i in range(len(LOADS)))
+#: info: 0 indexed only; 1 subset in the home band; 2 + 4 * segment: one-deletion key there.
+_KEYS = "key long, node long, info int"
+_NODES = "doc_id long, digest long, n_shingles long, band int, " + ", ".join(f"miss{i} int, cost{i} long" for i in range(len(LOADS)))
 
 
 def band_of(size: int) -> int:
@@ -124,7 +125,7 @@ def _node_rows(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int)
                 for r in np.flatnonzero((short > 0) & (miss == 0) & (count > 0)).tolist():
                     miss[r] = np.searchsorted(np.cumsum(c[at[r] : at[r + 1]] >= 2), short[r]) + 1
             cols += [pa.array(miss.astype(np.int32)), pa.array(filled.astype(np.int64))]
-        names = ["doc_id", "node", "n_shingles", "band"] + [f"{k}{i}" for i in range(len(LOADS)) for k in ("miss", "cost")]
+        names = ["doc_id", "digest", "n_shingles", "band"] + [f"{k}{i}" for i in range(len(LOADS)) for k in ("miss", "cost")]
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
@@ -182,39 +183,46 @@ def keys_of(hashes: np.ndarray, off: np.ndarray, bands: np.ndarray, plans: dict[
     return np.r_[full, rest], np.r_[row[first], row[cut]], np.r_[seg[first], seg[cut]], level
 
 
+def _owned(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, hashes, offsets) of rows (node, text, digest) whose text has that digest.
+
+    Rows that share a doc_id may bring other texts; only a node's own set is right.
+    """
+    for part, hashes, off in _sets(batches, size):
+        wanted = part.column(2).to_pylist()
+        own = np.array([v is not None and v == w for v, w in zip(_node_ids(hashes, off), wanted, strict=True)], dtype=bool)
+        count = np.diff(off)
+        nodes = part.column(0).to_numpy(zero_copy_only=False)[own]
+        yield nodes, hashes[np.repeat(own, count)], np.r_[0, np.cumsum(count[own])]
+
+
 def _key_rows(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, plans: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    for _, hashes, off in _sets(batches, size):
+    for node, hashes, off in _owned(batches, size):
         count = np.diff(off)
-        node = np.array([i or 0 for i in _node_ids(hashes, off)], dtype=np.int64)
-        home = np.array([band_of(n) if n else 0 for n in count.tolist()], dtype=np.int64)
+        home = np.array([band_of(n) for n in count.tolist()], dtype=np.int64)
         low = np.array([band_low(b) for b in home.tolist()], dtype=np.int64)
         for below in (False, True):
-            rows = count > 0
+            rows = np.ones(len(count), dtype=bool)
             if below:
-                rows &= (home > 0) & (count * num <= (low - 1) * den) & np.isin(home - 1, list(plans))
+                rows = (home > 0) & (count * num <= (low - 1) * den) & np.isin(home - 1, list(plans))
             if not rows.any():
                 continue
             mine = np.repeat(rows, count)
             key, row, seg, level = keys_of(hashes[mine], np.r_[0, np.cumsum(count[rows])], home[rows] - below, plans, num, den)
-            cols = (key.view(np.int64), node[rows][row], count[rows][row].astype(np.int32), seg, (np.zeros_like(level) if below else level + 1).astype(np.int8))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "n", "seg", "probe"])
+            info = np.zeros_like(level) if below else np.where(level == 0, 1, 2 + 4 * seg)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), node[rows][row], info.astype(np.int32))], names=["key", "node", "info"])
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for _, hashes, off in _sets(batches, size):
-        count = np.diff(off)
-        node = np.repeat(np.array([i or 0 for i in _node_ids(hashes, off)], dtype=np.int64), count)
-        cols = (hashes.view(np.int64), node, np.repeat(count, count).astype(np.int32), hashes.view(np.int64), np.ones(len(hashes), np.int8))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "n", "seg", "probe"])
+    for node, hashes, off in _owned(batches, size):
+        cols = (hashes.view(np.int64), np.repeat(node, np.diff(off)), np.ones(len(hashes), np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "info"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for part, hashes, off in _sets(batches, size):
-        # Rows that share a doc_id may bring other texts: only the node's own set is right.
-        ids = part.column(0).to_pylist()
-        own = [i for i, v in enumerate(_node_ids(hashes, off)) if v is not None and v == ids[i]]
-        sets = [hashes[off[i] : off[i + 1]].tobytes() for i in own]
-        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], pa.int64()), pa.array(sets, pa.binary())], names=["node", "hashes"])
+    for node, hashes, off in _owned(batches, size):
+        sets = [hashes[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -259,36 +267,39 @@ class JaccardJoin:
         )
         return materialize(full.mapInArrow(lambda it: _linked(it, num, den), "a long, b long"), f"{name}-links")
 
-    def texts_of(self, wanted: DataFrame, docs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
-        """(node, text) of the wanted nodes."""
-        ids = materialize(reps.join(wanted, "node", "left_semi").select("node", "rep"), f"{name}-ids")
+    def texts_of(self, wanted: DataFrame | None, docs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
+        """(node, text, digest) of the wanted nodes, or of all."""
+        ids = (reps if wanted is None else reps.join(wanted, "node", "left_semi")).select("node", "rep", "digest")
+        ids = materialize(ids, f"{name}-ids")
         side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return docs.join(side, docs["doc_id"] == side["rep"]).select("node", "text")
+        return docs.join(side, docs["doc_id"] == side["rep"]).select("node", "text", "digest")
 
-    def candidates(self, tagged: DataFrame, nodes: DataFrame, plans: dict[int, tuple[int, int]] | None, name: str, costly: int | None) -> tuple[DataFrame, DataFrame]:
+    def candidates(self, tagged: DataFrame, reps: DataFrame, plans: dict[int, tuple[int, int]] | None, name: str, costly: int | None) -> tuple[DataFrame, DataFrame]:
         """(pairs a, b of different components to verify; holders of keys that would cost more than costly).
 
-        tagged: (key, node, n, seg, probe, component).
+        tagged: (key, node, info, n, component).  plans: None if each token is a key of its own.
         """
         num, den = self.num, self.den
         outside = F.count(F.lit(1)).over(Window.partitionBy("key")) - F.count(F.lit(1)).over(Window.partitionBy("key", "component"))
-        others = materialize(tagged.withColumn("outside", outside).filter("outside > 0"), name)
-        units = others.filter("probe > 0").groupBy("node", "seg", "probe").agg(F.sum("outside").alias("cost"))
-        # A deletion unit also needs its segment's subset unit, so it ranks after it.
-        units = units.withColumn("cost", F.max("cost").over(Window.partitionBy("node", "seg").orderBy("probe")))
+        others = tagged.withColumn("outside", outside).filter("outside > 0")
+        # A unit is a subset key, or all deletion keys of a segment.
+        others = others.withColumns({"probe": F.col("info").bitwiseAND(3), "unit": F.when(F.col("info") > 3, F.shiftright("info", 2).cast("long")).otherwise(F.col("key"))})
+        others = materialize(others.drop("info"), name)
+        units = others.filter("probe > 0").groupBy("node", "unit", "probe").agg(F.sum("outside").alias("cost"))
         paid = units.groupBy("node").agg(F.count(F.lit(1)).alias("paid"))
-        need = F.floor(F.col("n_shingles") * (den - num) / F.lit(num)) + 1
+        need = F.floor(F.col("n") * (den - num) / F.lit(num)) + 1
         if plans is None:
-            weight = F.col("n_shingles")
+            weight = F.col("n")
         else:
             # With its deletions every node can reach its need; counting no more than that as free is safe.
             filled = F.coalesce(*[F.when(F.col("band") == b, F.col(f"cost{option}")) for b, (option, _) in plans.items()], F.lit(0))
             weight = F.greatest(filled, need)
-        weights = nodes.select("node", need.alias("need"), weight.alias("weight")).dropDuplicates(["node"])
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("cost", "probe", "seg"))
+        weights = reps.select("node", need.alias("need"), weight.alias("weight"))
+        # A deletion unit also needs its segment's subset unit, so all of those come first.
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("probe", "cost", "unit"))
         units = units.withColumn("rank", rank).join(paid, "node").join(weights, "node").withColumn("free", F.col("weight") - F.col("paid"))
-        chosen = units.filter("rank <= need - free").select("node", "seg", "probe", "cost", "free")
-        probes = others.join(chosen, ["node", "seg", "probe"])
+        chosen = units.filter("rank <= need - free").select("node", "unit", "probe", "cost", "free")
+        probes = others.join(chosen, ["node", "unit", "probe"])
         index = others.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
         near = (F.col("component") != F.col("component_b")) & (F.col("n") <= F.col("n_b")) & (F.col("n") * den >= F.col("n_b") * num)
         if plans is None:
@@ -315,19 +326,22 @@ class JaccardJoin:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         nodes = materialize(docs.mapInArrow(lambda it: _node_rows(it, size, num, den), _NODES), "ngram-nodes")
         plans = choose_plans(nodes)
-        reps = nodes.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-        keys = docs.filter("doc_id is not null").mapInArrow(lambda it: _key_rows(it, size, num, den, plans), _KEYS)
-        # probe: 0 indexed only, 1 subset in the home band, 2 one-deletion key in the home band
+        # A node is named by its least doc_id; should another set share that, by its digest.
+        facts = [F.first(c).alias(c) for c in ("band", *(f"cost{i}" for i in range(len(LOADS))))]
+        reps = nodes.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *facts)
+        turn = F.row_number().over(Window.partitionBy("rep").orderBy("digest"))
+        reps = materialize(reps.withColumn("turn", turn).withColumn("node", F.when(F.col("turn") == 1, F.col("rep")).otherwise(F.col("digest"))).drop("turn"), "ngram-reps")
+        keys = self.texts_of(None, docs, reps, "ngram-all").mapInArrow(lambda it: _key_rows(it, size, num, den, plans), _KEYS)
         by_key = Window.partitionBy("key")
         shared = keys.withColumns({"low": F.min("node").over(by_key), "top": F.max("node").over(by_key)}).filter("low <> top").drop("low", "top")
-        shared = shared.dropDuplicates(["key", "node", "seg", "probe"]).withColumn("holders", F.count(F.lit(1)).over(by_key))
+        shared = shared.dropDuplicates(["key", "node", "info"]).withColumn("holders", F.count(F.lit(1)).over(by_key))
         shared = materialize(shared, "ngram-keys")
         # How common a node's keys are: the text that others of a group were made from ranks first.
-        central = materialize(shared.groupBy("node").agg(F.avg("holders").alias("central")), "ngram-central")
+        central = materialize(shared.groupBy("node").agg(F.avg("holders").alias("central")).join(reps.select("node", "n"), "node"), "ngram-central")
         links = tried = None
-        component = central.select("node", F.col("node").alias("component"))
+        component = central.select("node", "n", F.col("node").alias("component"))
         for step in range(HUB_ROUNDS):
-            ranked = shared.filter("probe < 2").join(central.join(component, "node"), "node")
+            ranked = shared.filter("info < 2").join(central.drop("n").join(component, "node"), "node")
             hub = F.max(F.struct("central", "node", "component")).over(by_key)
             pairs = ranked.withColumn("hub", hub).filter("component <> hub.component").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"))
             pairs = pairs.filter(F.col("common") * 12 >= F.col("n")).select(F.col("node").alias("a"), F.col("hub").alias("b"), "common")
@@ -339,24 +353,25 @@ class JaccardJoin:
             links = found if links is None else links.unionByName(found)
             tried = best if tried is None else tried.unionByName(best)
             known = connected_components(links, f"ngram-hub{step}")
-            component = materialize(central.select("node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), f"ngram-component{step}")
+            component = materialize(central.select("node", "n").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), f"ngram-component{step}")
         tagged = shared.drop("holders").join(component, "node")
-        pairs, hot = self.candidates(tagged, nodes, plans, "ngram-others", COSTLY)
+        pairs, hot = self.candidates(tagged, reps, plans, "ngram-others", COSTLY)
         # Nodes left with costly units, and all holders of those keys, are indexed again with each token
         # as a segment of its own: tokens that nobody else holds then bound the difference from both sides.
         again = materialize(hot.distinct(), "ngram-again")
         if not again.isEmpty():
             tokens = self.texts_of(again, docs, reps, "ngram-again").mapInArrow(lambda it: _token_rows(it, size), _KEYS)
             tagged = tokens.dropDuplicates(["key", "node"]).join(component, "node")
-            more, _ = self.candidates(tagged, nodes, None, "ngram-fine", None)
+            more, _ = self.candidates(tagged, reps, None, "ngram-fine", None)
             pairs = pairs.unionByName(more).distinct()
         more_links = self.verified(pairs, docs, reps, "ngram-rest")
         joined = connected_components(links.unionByName(more_links), "ngram-all")
         rep_of = reps.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = rep_of.groupBy("component").agg(F.min("rep").alias("component_id"))
         rep_of = rep_of.join(least, "component").select("node", "component_id")
+        rep_of = rep_of.join(reps.select("node", "digest"), "node").drop("node")
         return (
-            nodes.select("doc_id", "n_shingles", "node")
-            .join(rep_of, "node", "left")
+            nodes.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+            .join(rep_of, "digest", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         )
