@@ -1,8 +1,66 @@
-"""The corpus pipeline (stages are added below as their operators land)."""
+"""The corpus pipeline: each stage takes the documents that its predecessor kept.
 
-STAGES = []
+Every stage is (spark, docs, sf_dir) -> DataFrame and is written as Parquet and read again as the
+next one's documents.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm import unigram
+from tidewatch.llm.common import materialize
+from tidewatch.llm.line_dedup import LineDedup
+from tidewatch.llm.mixing import Mixture
+from tidewatch.llm.ngram_join import BROADCAST_IDS, JaccardJoin
+from tidewatch.llm.quality_model import QualityModel
+from tidewatch.llm.queries import PIECES
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return QualityModel(docs).keep(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that repeat or nearly repeat an earlier one."""
+    return LineDedup(docs).apply(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one that names it."""
+    classes = JaccardJoin(size=5, num=75, den=100).classes(docs)
+    gone = materialize(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near-copies")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as they are taken."""
+    return Mixture(docs, weights=(3.0, 1.0, 2.0), share=1.5, ceiling=2.0).take(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every document of the mix, with the round trip through decoding."""
+    vocabulary = unigram.Vocabulary.load(PIECES)
+    return unigram.digests(unigram.encode(docs, vocabulary), vocabulary)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece),
+]
+
+#: Expectation-maximisation and the trained scorer are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

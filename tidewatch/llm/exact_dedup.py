@@ -105,5 +105,6 @@ def dedup_files(spark: SparkSession, path: str, state_dir: str | None = None) ->
     """Stream the Parquet files under path through ``ExactDedup`` and return its result."""
     batch = spark.read.parquet(path)
     dedup = ExactDedup(spark, state_dir)
-    dedup.feed(with_locator(spark.readStream.schema(batch.schema).parquet(path)))
+    # As a pattern, the path may be a single file as well as a folder.
+    dedup.feed(with_locator(spark.readStream.schema(batch.schema).parquet(f"{path[:-1]}[{path[-1]}]")))
     return dedup.result(with_locator(batch))

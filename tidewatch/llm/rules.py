@@ -96,24 +96,42 @@ class Texts:
             three = (words[:size] * np.uint64(0x9E3779B97F4A7C15) + words[1 : size + 1]) * np.uint64(0xD6E8FEB86659FD93) + words[2 : size + 2]
             key = mix(three ^ mix(row[:size].astype(np.uint64)))
         at = np.flatnonzero(row[:size] == row[2 : size + 2])
-        order = at[np.argsort(key[at], kind="stable")]
-        same = key[order[1:]] == key[order[:-1]]
-        again = order[np.r_[same, False] | np.r_[False, same]] if len(order) else order
+        ordered = np.sort(key[at])
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        place = np.searchsorted(twice, key[at]) if len(twice) else np.zeros(0, np.int64)
+        again = at[twice[np.minimum(place, len(twice) - 1)] == key[at]] if len(twice) else at[:0]
         mark = np.zeros(len(words), dtype=bool)
         for k in range(3):
             mark[again + k] = True
         return _sums(mark, off)
 
+    @cached_property
+    def n_runs(self) -> np.ndarray:
+        """Words equal to the word before them."""
+        words, off = self._words
+        same = np.zeros(len(words), dtype=bool)
+        same[1:] = words[1:] == words[:-1]
+        first = off[:-1][np.diff(off) > 0]
+        same[first] = False
+        return _sums(same, off)
+
     @cached_property
     def top_word(self) -> np.ndarray:
         """Occurrences of each text's most frequent word."""
         words, off = self._words
         out = np.zeros(len(off) - 1, dtype=np.int64)
-        for r, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-            if b > a:
-                w = np.sort(words[a:b])
-                edge = np.flatnonzero(np.r_[True, w[1:] != w[:-1], True])
-                out[r] = np.diff(edge).max()
+        if not len(words):
+            return out
+        row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        with np.errstate(over="ignore"):
+            key = mix(words ^ mix(row.astype(np.uint64)))
+        # The row rides in the low bits, so that one plain sort groups equal words of a row.
+        if len(off) > 4097:
+            raise ValueError("batches have at most 4096 rows")
+        key = (key & ~np.uint64(0xFFF)) | row.astype(np.uint64)
+        key.sort()
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        np.maximum.at(out, (key[edge[:-1]] & np.uint64(0xFFF)).astype(np.int64), np.diff(edge))
         return out
 
 
@@ -157,7 +175,7 @@ def _narrow(texts: Texts, keep: np.ndarray) -> Texts:
 
 
 def _measured(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
         rows = []
         for rule in rules:
             texts = Texts(batch.column(0))
