@@ -75,10 +75,13 @@ def need_of(size: int, num: int, den: int) -> int:
     return size * (den - num) // num + 1
 
 
-def reach_of(size: int, m: int, num: int, den: int) -> int:
-    """Number of leading segments that a set of this size indexes; never falls with the size."""
-    filled = -math.expm1(-size / m)
-    return min(m, math.ceil(need_of(size, num, den) * (1 + SLACK) / filled) + 2)
+def reach_of(size: int, m: int, load: float, num: int, den: int) -> int:
+    """Number of leading segments that a set of this size indexes; never falls with the size.
+
+    Enough to hold need_of(size) tokens' segments, if hashes fall evenly, with some slack.
+    """
+    more = (1 + SLACK) * size * (den - num) / num / -math.expm1(-size / m)
+    return min(m, math.ceil(more + (1 + SLACK) / -math.expm1(-load / GROWTH)))
 
 
 def node_id(packed: bytes) -> int:
@@ -114,7 +117,7 @@ def _node_rows(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int)
                 miss, filled = np.zeros(len(count)), count
             else:
                 m = np.array([segments_of(b, load) for b in bands.tolist()])
-                reach = np.array([reach_of(n, k, num, den) if n else 0 for n, k in zip(count.tolist(), m.tolist(), strict=True)])
+                reach = np.array([reach_of(n, k, load, num, den) if n else 0 for n, k in zip(count.tolist(), m.tolist(), strict=True)])
                 seg, take = _segments(hashes, row, m, reach)
                 at = np.r_[0, np.cumsum(reach)]
                 c = np.bincount((at[row] + seg)[take], minlength=at[-1])
@@ -158,7 +161,8 @@ def keys_of(hashes: np.ndarray, off: np.ndarray, bands: np.ndarray, plans: dict[
     salt = mix(bands.astype(np.uint64))[row]
     own = np.array([LOADS[o] == 0 for o, _ in chosen], dtype=bool)
     m = np.array([segments_of(b, LOADS[o]) if LOADS[o] else 1 for b, (o, _) in zip(bands.tolist(), chosen, strict=True)], dtype=np.int64)
-    reach = np.array([reach_of(n, k, num, den) if n else 0 for n, k in zip(count.tolist(), m.tolist(), strict=True)], dtype=np.int64)
+    loads = [LOADS[o] or 1.0 for o, _ in chosen]
+    reach = np.array([reach_of(n, k, x, num, den) if n else 0 for n, k, x in zip(count.tolist(), m.tolist(), loads, strict=True)], dtype=np.int64)
     reach[own] = 1
     seg, take = _segments(hashes, row, m, reach)
     # A token that is its own segment is numbered by its place in the sorted set.
@@ -267,6 +271,11 @@ class JaccardJoin:
         )
         return materialize(full.mapInArrow(lambda it: _linked(it, num, den), "a long, b long"), f"{name}-links")
 
+    @staticmethod
+    def beside(rows: DataFrame, by_node: DataFrame) -> DataFrame:
+        """rows joined to a table by node: broadcast up to BROADCAST_IDS rows, shuffled beyond."""
+        return rows.join(F.broadcast(by_node) if by_node.count() <= BROADCAST_IDS else by_node, "node")
+
     def texts_of(self, wanted: DataFrame | None, docs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
         """(node, text, digest) of the wanted nodes, or of all."""
         ids = (reps if wanted is None else reps.join(wanted, "node", "left_semi")).select("node", "rep", "digest")
@@ -280,8 +289,10 @@ class JaccardJoin:
         tagged: (key, node, info, n, component).  plans: None if each token is a key of its own.
         """
         num, den = self.num, self.den
-        outside = F.count(F.lit(1)).over(Window.partitionBy("key")) - F.count(F.lit(1)).over(Window.partitionBy("key", "component"))
-        others = tagged.withColumn("outside", outside).filter("outside > 0")
+        # The partitioning by key serves both windows and the removal of repeated rows.
+        others = tagged.withColumn("outside", F.count(F.lit(1)).over(Window.partitionBy("key")))
+        others = others.withColumn("outside", F.col("outside") - F.count(F.lit(1)).over(Window.partitionBy("key", "component"))).filter("outside > 0")
+        others = others.dropDuplicates(["key", "node", "info"])
         # A unit is a subset key, or all deletion keys of a segment.
         others = others.withColumns({"probe": F.col("info").bitwiseAND(3), "unit": F.when(F.col("info") > 3, F.shiftright("info", 2).cast("long")).otherwise(F.col("key"))})
         others = materialize(others.drop("info"), name)
@@ -340,11 +351,13 @@ class JaccardJoin:
         central = materialize(shared.groupBy("node").agg(F.avg("holders").alias("central")).join(reps.select("node", "n"), "node"), "ngram-central")
         links = tried = None
         component = central.select("node", "n", F.col("node").alias("component"))
+        # A quarter of the keys is enough to find hubs; what they miss is found below.
+        some = shared.filter("info < 2").filter(F.col("key").bitwiseAND(3) == 0).select("key", "node")
         for step in range(HUB_ROUNDS):
-            ranked = shared.filter("info < 2").join(central.drop("n").join(component, "node"), "node")
+            ranked = self.beside(some, central.drop("n").join(component, "node"))
             hub = F.max(F.struct("central", "node", "component")).over(by_key)
             pairs = ranked.withColumn("hub", hub).filter("component <> hub.component").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"))
-            pairs = pairs.filter(F.col("common") * 12 >= F.col("n")).select(F.col("node").alias("a"), F.col("hub").alias("b"), "common")
+            pairs = pairs.filter(F.col("common") * 48 >= F.col("n")).select(F.col("node").alias("a"), F.col("hub").alias("b"), "common")
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             best = pairs.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
@@ -354,14 +367,14 @@ class JaccardJoin:
             tried = best if tried is None else tried.unionByName(best)
             known = connected_components(links, f"ngram-hub{step}")
             component = materialize(central.select("node", "n").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), f"ngram-component{step}")
-        tagged = shared.drop("holders").join(component, "node")
+        tagged = self.beside(shared.drop("holders"), component)
         pairs, hot = self.candidates(tagged, reps, plans, "ngram-others", COSTLY)
         # Nodes left with costly units, and all holders of those keys, are indexed again with each token
         # as a segment of its own: tokens that nobody else holds then bound the difference from both sides.
         again = materialize(hot.distinct(), "ngram-again")
         if not again.isEmpty():
             tokens = self.texts_of(again, docs, reps, "ngram-again").mapInArrow(lambda it: _token_rows(it, size), _KEYS)
-            tagged = tokens.dropDuplicates(["key", "node"]).join(component, "node")
+            tagged = self.beside(tokens, component)
             more, _ = self.candidates(tagged, reps, None, "ngram-fine", None)
             pairs = pairs.unionByName(more).distinct()
         more_links = self.verified(pairs, docs, reps, "ngram-rest")
