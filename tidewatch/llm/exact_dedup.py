@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, new_path
 
+#: Up to so many digests seen twice (a few hundred bytes each) are broadcast to find their texts; beyond, a shuffled join.
+BROADCAST_DIGESTS = 100_000
+
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -79,9 +82,10 @@ class ExactDedup:
 
     def differing(self, rows: DataFrame) -> DataFrame:
         """Rows whose bytes differ from those kept under their digest (a collision; none are expected)."""
-        texts = _digest(rows)
         hits = materialize(self.state().filter("group_size > 1").select("digest", "keep_at"), "dedup-hits")
-        kept = texts.join(hits, "digest").filter(F.col("locator") == F.col("keep_at")).select("digest", F.col("body").alias("kept_body"))
+        side = F.broadcast(hits) if hits.count() <= BROADCAST_DIGESTS else hits
+        texts = materialize(_digest(rows).join(side, "digest"), "dedup-hit-texts")
+        kept = texts.filter(F.col("locator") == F.col("keep_at")).select("digest", F.col("body").alias("kept_body"))
         return texts.join(kept, "digest").filter(F.col("body") != F.col("kept_body")).select("digest", "doc_id", "locator", "body")
 
     def result(self, rows: DataFrame) -> DataFrame:
