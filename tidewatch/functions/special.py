@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 
@@ -83,16 +84,25 @@ def t_quantile(p: float, degrees: float) -> float:
     return (low + high) / 2
 
 
-@pandas_udf("double")
-def normal_sf(z: pd.Series) -> pd.Series:
-    return z.map(normal_tail, na_action="ignore")
+def _normal_sf(z: pd.Series) -> pd.Series:
+    return z.map(normal_tail, na_action="ignore").astype("float64")
 
 
-@pandas_udf("double")
-def chi_square_sf(x: pd.Series, degrees: pd.Series) -> pd.Series:
+def _chi_square_sf(x: pd.Series, degrees: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else chi_square_tail(a, b) for a, b in zip(x, degrees, strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
-def t_sf_two_sided(t: pd.Series, degrees: pd.Series) -> pd.Series:
+def _t_sf(t: pd.Series, degrees: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else t_tail_two_sided(a, b) for a, b in zip(t, degrees, strict=True)], dtype="float64")
+
+
+def normal_sf(z: Column) -> Column:
+    return pandas_udf(_normal_sf, "double")(z)
+
+
+def chi_square_sf(x: Column, degrees: Column) -> Column:
+    return pandas_udf(_chi_square_sf, "double")(x, degrees)
+
+
+def t_sf_two_sided(t: Column, degrees: Column) -> Column:
+    return pandas_udf(_t_sf, "double")(t, degrees)

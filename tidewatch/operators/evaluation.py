@@ -90,7 +90,7 @@ def classification(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
     p, a = F.col(predicted), F.col(actual)
     g = rows.agg(F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & a).alias("fn"), F.count_if(~p & ~a).alias("tn"))
     precision, recall = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
-    return g.withColumns({"precision": precision, "recall": recall, "f1": F.try_divide(2 * precision * recall, precision + recall)})
+    return g.withColumns({"precision": precision, "recall": recall, "f1": F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
 
 
 def residual_intervals(forecasts: DataFrame, least: int = 10, low: float = 0.1, high: float = 0.9) -> DataFrame:

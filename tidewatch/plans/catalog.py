@@ -240,13 +240,13 @@ def _lags(spark, sf):
 
 def _roll_sql(n: int) -> str:
     w = f"(PARTITION BY location_id ORDER BY event_time RANGE BETWEEN INTERVAL {n - 1} HOUR PRECEDING AND CURRENT ROW)"
-    return f"round(CASE WHEN count(value) OVER {w} >= 2 THEN avg(value) OVER {w} END, 7) AS mean_{n}h"
+    return f"round(CASE WHEN count(value) OVER {w} >= 2 THEN avg(value) OVER {w} END + 3e-8, 7) AS mean_{n}h"  # exact halves are moved off the rounding edge
 
 
 @query("rolling_features", f"WITH {HOURLY_SQL} SELECT location_id, CAST(epoch(event_time) AS BIGINT) AS event_s, {_roll_sql(3)}, {_roll_sql(24)}, {_roll_sql(168)} FROM hourly")
 def _rolling(spark, sf):
     x = features.rolling_features(hourly(spark, sf), (3, 24, 168))
-    return x.select("location_id", micros("event_time").alias("event_s"), *[r(f"mean_{n}h").alias(f"mean_{n}h") for n in (3, 24, 168)])
+    return x.select("location_id", micros("event_time").alias("event_s"), *[r(F.col(f"mean_{n}h") + 3e-8).alias(f"mean_{n}h") for n in (3, 24, 168)])
 
 
 @query("calendar_features", f"""WITH {HOURLY_SQL}, l AS (SELECT location_id, event_time, event_time + INTERVAL 330 MINUTE AS t FROM hourly)
@@ -414,8 +414,8 @@ def _mwu_query(spark, sf):
     return _mwu(spark, sf).select("location_id", "hour", "n1", "n2", r("u", 2).alias("u"), r("z", 5).alias("z"), r("effect", 5).alias("effect"))
 
 
-@query("bh_adjusted", f"""WITH {_MWU_SQL}, p AS (SELECT location_id, hour, round(exp(-greatest(z, 0)), 9) AS p FROM mw), k AS (SELECT *, row_number() OVER (ORDER BY p, location_id, hour) AS k, count(*) OVER () AS m FROM p)
-SELECT location_id, hour, p, round(least(1.0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS adjusted_p FROM k""")
+@query("bh_adjusted", f"""WITH {_MWU_SQL}, p AS (SELECT location_id, hour, round(exp(-greatest(z, 0)), 9) AS p FROM mw), q AS (SELECT *, row_number() OVER (ORDER BY p, location_id, hour) AS k, count(*) OVER () AS m FROM p)
+SELECT location_id, hour, p, round(least(1.0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS adjusted_p FROM q""")
 def _bh(spark, sf):
     p = _mwu(spark, sf).select("location_id", "hour", F.round(F.exp(-F.greatest(F.col("z"), F.lit(0.0))), 9).alias("p"))
     return statistics.benjamini_hochberg(p, "p").select("location_id", "hour", "p", r("adjusted_p", 6).alias("adjusted_p"))
@@ -585,14 +585,14 @@ a AS (SELECT d.* FROM d JOIN s USING (location_id, metric, hour) WHERE gap / mad
 
 
 @query("anomaly_explanations", f"""WITH {_ANOMALY_SQL}, rain AS (SELECT event_time, avg(value) / 100 AS mm FROM obs WHERE metric = 'purchase' GROUP BY 1),
-e AS (SELECT a.observation_id, CASE WHEN a.weekday = 4 THEN 0.8 WHEN mm > 0.5 THEN least(0.6, 0.2 + mm / 50) ELSE 0.0 END AS support, CASE WHEN a.weekday = 4 THEN 'recurring_pattern' WHEN mm > 0.5 THEN 'rainfall' ELSE 'unexplained' END AS leading FROM a LEFT JOIN rain USING (event_time))
-SELECT observation_id, leading, round(support, 5) AS support FROM e""")
+e AS (SELECT a.observation_id, CASE WHEN a.weekday = 4 THEN 0.8 WHEN mm > 0.5 THEN least(0.6, 0.2 + mm / 50) ELSE 0.0 END AS support, CASE WHEN a.weekday = 4 THEN 'recurring_pattern' WHEN mm > 0.5 THEN 'rainfall' ELSE 'unexplained' END AS leading_kind FROM a LEFT JOIN rain USING (event_time))
+SELECT observation_id, leading_kind, round(support, 5) AS support FROM e""")
 def _explanations(spark, sf):
     rows = local_obs(spark, sf)
     rain = rows.filter("metric = 'purchase'").groupBy("event_time").agg((F.avg("value") / 100).alias("mm"))
     found = integrity.mad_outliers(rows, ("location_id", "metric", "hour")).join(rain, "event_time", "left")
     told = monitoring.explained(found, F.col("mm"), F.lit("ok"), F.lit(0), F.col("weekday") == 4)
-    return told.select("observation_id", "leading", r("support", 5).alias("support"))
+    return told.select("observation_id", F.col("leading").alias("leading_kind"), r("support", 5).alias("support"))
 
 
 @query("pattern_coverage", f"""WITH {LOCAL_SQL}, p(pattern_id, location_id, weekday, hour) AS (VALUES ('A', 'ZONE-A', 4, NULL), ('B', NULL, NULL, 18), ('C', 'ZONE-C', 5, 9))
@@ -602,8 +602,9 @@ def _coverage(spark, sf):
     return monitoring.covering_patterns(local_obs(spark, sf), p).filter("pattern_id is not null").groupBy("pattern_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("source_attribution", f"""WITH {OBS_SQL}, w AS (SELECT * FROM obs WHERE event_time BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 23:00:00')
-SELECT location_id, source_id, count(*) AS observations, round(count(*) / sum(count(*)) OVER (PARTITION BY location_id), 6) AS share, CAST(epoch(max(event_time)) AS BIGINT) AS newest_s FROM w GROUP BY ALL""")
+@query("source_attribution", f"""WITH {OBS_SQL}, w AS (SELECT * FROM obs WHERE event_time BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 23:00:00'),
+g AS (SELECT location_id, source_id, count(*) AS observations, CAST(epoch(max(event_time)) AS BIGINT) AS newest_s FROM w GROUP BY ALL)
+SELECT location_id, source_id, observations, round(observations / sum(observations) OVER (PARTITION BY location_id), 6) AS share, newest_s FROM g""")
 def _attribution(spark, sf):
     w = observations(spark, sf).filter(F.col("event_time").between(F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-12 23:00:00").cast("timestamp_ntz")))
     g = w.groupBy("location_id", "source_id").agg(F.count(F.lit(1)).alias("observations"), F.max(micros("event_time")).alias("newest_s"))
