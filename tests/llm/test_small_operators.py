@@ -248,7 +248,7 @@ def test_labels_agree_with_held_out_truth(spark, words):
     assert all(got[i] for i, t in truth.items() if t)
     assert got[700] and got[701] and got[702]
     assert model.keep(docs).columns == docs.columns
-    kept = sorted(r.doc_id or -1 for r in model.keep(docs).collect())
+    kept = sorted((r.doc_id if r.doc_id is not None else -1) for r in model.keep(docs).collect())
     assert kept == sorted((i if i is not None else -1) for i, _ in rows if got[i])
     empty = frame(spark, [])
     assert quality_model.QualityModel(empty).score(empty).count() == 0
