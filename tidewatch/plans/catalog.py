@@ -385,7 +385,7 @@ def _ece(spark, sf):
 
 @query("classification_counts", f"""WITH {FORECAST_SQL}, c AS (SELECT count(*) FILTER (predicted > 250 AND actual > 250) AS tp, count(*) FILTER (predicted > 250 AND NOT actual > 250) AS fp,
  count(*) FILTER (NOT predicted > 250 AND actual > 250) AS fn, count(*) FILTER (NOT predicted > 250 AND NOT actual > 250) AS tn FROM fc WHERE predicted IS NOT NULL)
-SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
+SELECT tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""")
 def _classes(spark, sf):
     fc = forecasts(spark, sf).filter("predicted is not null").select((F.col("predicted") > 250).alias("p"), (F.col("actual") > 250).alias("a"))
     return evaluation.classification(fc, "p", "a").select("tp", "fp", "fn", "tn", *[r(c, 6).alias(c) for c in ("precision", "recall", "f1")])
