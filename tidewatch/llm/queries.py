@@ -162,7 +162,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram pieces of every document: counts, digest, and the round trip through decoding."""
     vocabulary = unigram.Vocabulary.load(PIECES)
-    return unigram.digests(unigram.encode(documents(spark, sf_dir), vocabulary), vocabulary)
+    return unigram.digests(documents(spark, sf_dir), vocabulary)
 
 
 @query()

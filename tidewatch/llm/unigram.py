@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _MARK_BYTE = b"\xff"  # stands for the marker inside; never part of UTF-8
 #: Distinct units that a worker remembers at most; then it starts afresh.
-CACHE = 500_000
+CACHE = 150_000
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -220,8 +220,8 @@ class Vocabulary:
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = list({x for part in tokens for x in part})
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
+        for lo in range(0, len(new), 10_000):
+            some = new[lo : lo + 10_000]
             cache.update(zip(some, self.viterbi([self._unit(x) for x in some]), strict=True))
         return [b"".join(map(cache.__getitem__, part)) for part in tokens]
 
@@ -311,7 +311,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decoded(it, shared), "doc_id long, decoded string")
 
 
-def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Counts, digest of the ids and round trip of each row (doc_id, text, ids) of ``encode``."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-    return encoded.select("doc_id", "text", "ids").mapInArrow(lambda it: _digested(it, shared), _DIGEST)
+def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Counts, digest of the ids and round trip of each document: ``encode`` and its reading back in the same tasks.
+
+    Ids stay in the worker that made them, a few hundred documents at a time.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(lambda it: _digested(_encoded(it, shared), shared), _DIGEST)
