@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
