@@ -255,3 +255,11 @@ def test_interaction_needs_eight_in_each_cell(spark):
     assert got.effect == pytest.approx(0.3) and got.testable
     got = patterns.interaction(df.filter("not (a = 1 and b = 1)"), ["location_id"], F.col("a") == 1, F.col("b") == 1).first()
     assert not got.testable
+
+
+def test_level_shifts_reach_every_month(spark):
+    months = [f"{y}-{m:02d}" for y in range(1995, 2001) for m in range(1, 13)]
+    rows = [(z, m, (10.0 if z == "Z0" and m >= "1999-05" else 5.0) + i % 3) for z in ("Z0", "Z1", "Z2", "Z3") for m in months for i in range(6)]
+    got = {r.location_id: r for r in patterns.level_shifts(spark.createDataFrame(rows, "location_id string, month string, value double")).collect()}
+    assert got["Z0"].change_point > "1997-12" and got["Z0"].raw_ratio == pytest.approx(11 / 6)
+    assert got["Z0"].n_before + got["Z0"].n_after == len(months) * 6

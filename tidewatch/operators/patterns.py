@@ -50,18 +50,26 @@ def profiles(rows: DataFrame, bucket: str, least: int = 12) -> DataFrame:
     return g.filter((F.col("buckets") >= 2) & (F.col("trough_median") > 0)).withColumn("ratio", F.col("peak_median") / F.col("trough_median"))
 
 
-def level_shifts(rows: DataFrame, months: list[str], side: int = 2) -> DataFrame:
-    """For each zone the month whose before/after ratio of medians, over the zones' lower quartile, is furthest from 1."""
-    candidates = months[side : len(months) - side + 1]
-    points = F.explode(F.array(*map(F.lit, candidates)))
-    spread = rows.withColumn("change_point", points)
+def level_shifts(rows: DataFrame, months: list[str] | None = None, side: int = 2) -> DataFrame:
+    """For each zone the month whose before/after ratio of medians, over the zones' lower quartile, is furthest from 1.
+
+    Change points are the months of rows (or those given), less side - 1 at the start and side - 1 at the end.
+    Values are counted by zone and month before they meet the change points; medians are weighted by the counts.
+    """
+    counts = rows.groupBy("location_id", "month", "value").agg(F.count(F.lit(1)).alias("_n"))
+    if months is None:
+        known = counts.agg(F.sort_array(F.collect_set("month")).alias("_m"))  # one row
+        candidates = known.select(F.explode(F.slice("_m", side + 1, F.greatest(F.size("_m") - 2 * side + 1, F.lit(0)))).alias("change_point"))
+        spread = counts.crossJoin(F.broadcast(candidates))
+    else:
+        spread = counts.withColumn("change_point", F.explode(F.array(*map(F.lit, months[side : len(months) - side + 1]))))
     after = F.col("month") >= F.col("change_point")
-    g = spread.groupBy("location_id", "change_point").agg(
-        F.median(F.when(after, F.col("value"))).alias("after_median"), F.median(F.when(~after, F.col("value"))).alias("before_median"), F.count_if(~after).alias("n_before"), F.count_if(after).alias("n_after")
-    )
+    median = lambda when: F.percentile(F.when(when, F.col("value")), F.lit(0.5), F.col("_n"))
+    rows_of = lambda when: F.sum(F.when(when, F.col("_n")).otherwise(0))
+    g = spread.groupBy("location_id", "change_point").agg(median(after).alias("after_median"), median(~after).alias("before_median"), rows_of(~after).alias("n_before"), rows_of(after).alias("n_after"))
     g = g.withColumn("raw_ratio", F.try_divide("after_median", "before_median"))
-    peers = g.groupBy("change_point").agg(F.percentile("raw_ratio", F.lit(0.25)).alias("peer_ratio"))
-    g = g.join(peers, "change_point").withColumn("adjusted_ratio", F.try_divide("raw_ratio", "peer_ratio"))
+    peer = F.percentile("raw_ratio", F.lit(0.25)).over(Window.partitionBy("change_point"))
+    g = g.withColumn("adjusted_ratio", F.try_divide("raw_ratio", peer))
     best = Window.partitionBy("location_id").orderBy(F.desc(F.abs(F.col("adjusted_ratio") - 1)), "change_point")
     return g.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k", "after_median", "before_median")
 

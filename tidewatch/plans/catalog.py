@@ -460,8 +460,7 @@ _MONTHS = [f"{y}-{m:02d}" for y in range(1995, 1998) for m in range(1, 13)]
 
 
 def _monthly(spark, sf) -> DataFrame:
-    li = table(spark, sf, "lineitem").select(F.concat(F.lit("Z"), (F.col("l_suppkey") % 4).cast("string")).alias("location_id"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_quantity").cast("double").alias("value"))
-    return li.filter(F.col("month").between(_MONTHS[0], _MONTHS[-1]))
+    return table(spark, sf, "lineitem").select(F.concat(F.lit("Z"), (F.col("l_suppkey") % 4).cast("string")).alias("location_id"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_quantity").cast("double").alias("value"))
 
 
 @query("level_shift_scan", f"""WITH li AS (SELECT 'Z' || (l_suppkey % 4) AS location_id, strftime(l_shipdate, '%Y-%m') AS month, CAST(l_quantity AS DOUBLE) AS value FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') BETWEEN '{_MONTHS[0]}' AND '{_MONTHS[-1]}'),
@@ -471,10 +470,25 @@ p AS (SELECT *, raw_ratio / quantile_cont(raw_ratio, 0.25) OVER (PARTITION BY ch
 k AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY abs(adjusted_ratio - 1) DESC, change_point) AS k FROM p)
 SELECT location_id, change_point, n_before, n_after, round(raw_ratio, 5) AS raw_ratio, round(adjusted_ratio, 5) AS adjusted_ratio FROM k WHERE k = 1""")
 def _shifts(spark, sf):
-    s = patterns.level_shifts(_monthly(spark, sf), _MONTHS)
+    """Of 1995 to 1997 only, as its oracle; level_shift_scan_whole has all months."""
+    return _shift_columns(patterns.level_shifts(_monthly(spark, sf).filter(F.col("month").between(_MONTHS[0], _MONTHS[-1])), _MONTHS))
+
+
+def _shift_columns(s: DataFrame) -> DataFrame:
     return s.select("location_id", "change_point", "n_before", "n_after", r("raw_ratio", 5).alias("raw_ratio"), r("adjusted_ratio", 5).alias("adjusted_ratio"))
 
 
+@query("level_shift_scan_whole", """WITH li AS (SELECT 'Z' || (l_suppkey % 4) AS location_id, strftime(l_shipdate, '%Y-%m') AS month, CAST(l_quantity AS DOUBLE) AS value FROM lineitem),
+m AS (SELECT month AS change_point, row_number() OVER (ORDER BY month) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT month FROM li WHERE month IS NOT NULL)),
+c AS (SELECT change_point FROM m WHERE k BETWEEN 3 AND n - 1),
+g AS (SELECT location_id, change_point, median(value) FILTER (month >= change_point) / median(value) FILTER (month < change_point) AS raw_ratio, count(*) FILTER (month < change_point) AS n_before, count(*) FILTER (month >= change_point) AS n_after FROM li, c GROUP BY ALL),
+p AS (SELECT *, raw_ratio / quantile_cont(raw_ratio, 0.25) OVER (PARTITION BY change_point) AS adjusted_ratio FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY abs(adjusted_ratio - 1) DESC, change_point) AS k FROM p)
+SELECT location_id, change_point, n_before, n_after, round(raw_ratio, 5) AS raw_ratio, round(adjusted_ratio, 5) AS adjusted_ratio FROM k WHERE k = 1""")
+def _shifts_whole(spark, sf):
+    return _shift_columns(patterns.level_shifts(_monthly(spark, sf)))
+
+
 _ISQL = ", ".join(f"count(*) FILTER (a = {a} AND b = {b}) AS n{a}{b}, avg(y) FILTER (a = {a} AND b = {b}) AS m{a}{b}, coalesce(var_samp(y) FILTER (a = {a} AND b = {b}), 0) AS v{a}{b}" for a in (0, 1) for b in (0, 1))
 
 
