@@ -123,6 +123,38 @@ def test_long_conversations_stream_through_a_window():
     assert [(r, t) for r, t, _, _ in template.parse(template(turns))] == turns
 
 
+def test_templates_that_look_back_see_whole_prefixes():
+    turns = [("system", "be brief")] + [("user" if i % 2 == 0 else "assistant", f"t{i};") for i in range(49)]
+    plain = lambda kept: "".join(t for _, t in kept)
+    repeats = lambda ts: "".join(f"[{ts[0][1]}]{i}{t}" if r == "user" else t for i, (r, t) in enumerate(ts))
+    assert "".join(p for _, p, _ in chat.spans(iter(turns), repeats)) == repeats(turns)
+    drops = lambda ts: plain(ts[-20:])
+    kept = [k for _, _, k in chat.spans(iter(turns), drops)]
+    assert kept == [True] * 20 + [False] * 30
+
+    def user_first(ts):
+        assert not ts or ts[0][0] == "system"
+        return plain(ts)
+
+    assert "".join(p for _, p, _ in chat.spans(iter(turns), user_first)) == plain(turns)
+
+
+def test_declared_look_back_streams():
+    class EchoesThird:
+        look_back = 3
+        most = 0
+
+        def __call__(self, turns):
+            self.most = max(self.most, len(turns))
+            return "".join(f"{t}<{turns[i - 3][1] if i >= 3 else ''}>" for i, (_, t) in enumerate(turns))
+
+    turns = [("user", f"t{i}") for i in range(60)]
+    template = EchoesThird()
+    got = "".join(p for _, p, _ in chat.spans(iter(turns), template, window=2))
+    assert template.most == 4 and got == template(turns)
+
+
+
 # unigram
 
 
