@@ -263,3 +263,25 @@ def test_level_shifts_reach_every_month(spark):
     got = {r.location_id: r for r in patterns.level_shifts(spark.createDataFrame(rows, "location_id string, month string, value double")).collect()}
     assert got["Z0"].change_point > "1997-12" and got["Z0"].raw_ratio == pytest.approx(11 / 6)
     assert got["Z0"].n_before + got["Z0"].n_after == len(months) * 6
+
+
+def test_covering_patterns_leaves_none_out(spark):
+    n = 150_000
+    many = spark.range(n).select(F.col("id").cast("string").alias("pattern_id"), F.concat(F.lit("L"), "id").alias("location_id"), F.lit(1).alias("weekday"), F.lit(None).cast("int").alias("hour"))
+    rows = spark.range(0, n, 1500).select(F.concat(F.lit("L"), "id").alias("location_id"), F.lit(1).alias("weekday"), F.lit(7).alias("hour"))
+    assert monitoring.covering_patterns(rows, many).filter("pattern_id is not null").count() == 100
+
+
+def test_covering_patterns_equals_all_pairs(spark):
+    random.seed(5)
+    some = lambda xs: random.choice([None, *xs])
+    rows = [(i, some("AB"), some([0, 1]), some([8, 9])) for i in range(60)]
+    scopes = [(str(k), some("ABC"), some([0, 1]), some([8, 9])) for k in range(12)] + [("all", None, None, None)] * 2
+    for use in (scopes, scopes[:3], []):
+        got = monitoring.covering_patterns(spark.createDataFrame(rows, "id int, location_id string, weekday int, hour int"), spark.createDataFrame(use, "pattern_id string, location_id string, weekday int, hour int"))
+        want = []
+        for row in rows:
+            hit = [p[0] for p in use if all(x is None or x == y for x, y in zip(p[1:], row[1:], strict=True))]
+            want += [(row[0], h) for h in hit or [None]]
+        key = lambda x: (x[0], x[1] or "")
+        assert sorted([(r.id, r.pattern_id) for r in got.collect()], key=key) == sorted(want, key=key)

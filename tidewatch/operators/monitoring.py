@@ -38,10 +38,23 @@ def explained(anomalies: DataFrame, rain: Column, status: Column, neighbours: Co
 
 
 def covering_patterns(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Rows beside the patterns that cover them; null scope fields of a pattern match anything.  Patterns are a small table."""
-    p = F.broadcast(patterns.limit(100_000))
-    match = lambda c: F.col(f"p.{c}").isNull() | (F.col(f"p.{c}") == F.col(f"r.{c}"))
-    return rows.alias("r").join(p.alias("p"), match("location_id") & match("weekday") & match("hour"), "left").select("r.*", "p.pattern_id")
+    """Rows beside the patterns that cover them, or beside null; null scope fields of a pattern match anything.
+
+    Each distinct scope of rows is keyed by all eight shapes (which fields are given), so that it meets the
+    patterns of every shape in one equi-join.
+    """
+    scope = ("location_id", "weekday", "hour")
+    shapes = F.array(*[F.struct(F.lit(m).alias("shape"), *[F.when(F.lit(bool(m >> i & 1)), F.col(c)).alias(c) for i, c in enumerate(scope)]) for m in range(8)])
+    cells = rows.select(*scope).distinct().select(F.struct(*scope).alias("cell"), F.explode(shapes).alias("k"))
+    shape = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(scope)), F.lit(0))
+    p = patterns.select("pattern_id", *scope, shape.alias("shape")).alias("p")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    by_shape = F.col("k.shape") == F.col("p.shape")
+    for c in scope:
+        by_shape &= same(f"k.{c}", f"p.{c}")
+    covered = cells.join(p, by_shape).select("cell", "p.pattern_id").alias("c")
+    in_cell = same("r.location_id", "c.cell.location_id") & same("r.weekday", "c.cell.weekday") & same("r.hour", "c.cell.hour")
+    return rows.alias("r").join(covered, in_cell, "left").select("r.*", "c.pattern_id")
 
 
 def weekly_errors(forecasts: DataFrame, start: str, days: int = 7) -> DataFrame:
