@@ -285,3 +285,41 @@ def test_covering_patterns_equals_all_pairs(spark):
             want += [(row[0], h) for h in hit or [None]]
         key = lambda x: (x[0], x[1] or "")
         assert sorted([(r.id, r.pattern_id) for r in got.collect()], key=key) == sorted(want, key=key)
+
+
+def test_running_totals_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "BUCKET_ROWS", 7)
+    random.seed(11)
+    rows = [(random.choice("xy"), random.randint(0, 90) / 4, random.random() < 0.4) for _ in range(800)] + [(None, 1.0, True), (None, 2.0, False)]
+    df = spark.createDataFrame(rows, "k string, v double, a boolean")
+    got = {r.k: r for r in statistics.ks_statistic(df, ["k"], "a", "v").collect()}
+    for k in ("x", "y", None):
+        one, two = ([v for g, v, a in rows if g == k and a is side] for side in (True, False))
+        want = max(abs(sum(v <= x for v in one) / len(one) - sum(v <= x for v in two) / len(two)) for x in one + two)
+        assert got[k].ks == pytest.approx(want) and (got[k].first_rows, got[k].second_rows) == (len(one), len(two))
+    counts = df.groupBy("k", "v").count()
+    ranked, buckets = statistics.running_totals(counts, ["k"], "v", ["count"])
+    assert buckets.filter("k = 'x'").count() > 5
+    assert ranked.count() == counts.count()
+
+
+def test_bootstrap_draws_ranks_like_whole_samples(spark, monkeypatch):
+    import numpy as np
+
+    for n in (1, 2, 7, 10):
+        got = statistics.median_ranks(n, 40_000, np.random.default_rng(1))
+        full = np.sort(np.random.default_rng(2).integers(1, n + 1, (40_000, n)), axis=1)
+        for k, m in enumerate(((n - 1) // 2, n // 2)):
+            assert np.abs(np.bincount(got[:, k], minlength=n + 1) - np.bincount(full[:, m], minlength=n + 1)).max() < 900
+        assert abs(got.mean(axis=1).std() - full[:, [(n - 1) // 2, n // 2]].mean(axis=1).std()) < 0.05
+    monkeypatch.setattr(statistics, "BUCKET_ROWS", 20)
+    rng = np.random.default_rng(3)
+    a, b = rng.gamma(3, 4, 301).round(1), rng.gamma(3, 3, 400).round(1)
+    rows = [("z", True, float(v)) for v in a] + [("z", False, float(v)) for v in b] + [("one", True, 2.0), (None, True, 6.0), (None, False, 3.0)]
+    df = spark.createDataFrame(rows, "location_id string, treated boolean, value double")
+    found = statistics.bootstrap_median_ratio(df, ["location_id"], "treated")
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    got = {r.location_id: (r.lower, r.upper) for r in found.collect()}
+    ratio = np.median(rng.choice(a, (2000, 301)), axis=1) / np.median(rng.choice(b, (2000, 400)), axis=1)
+    assert got["z"] == pytest.approx(tuple(np.quantile(ratio, (0.025, 0.975))), rel=0.03)
+    assert got["one"] == (None, None) and got[None] == (2.0, 2.0)

@@ -100,16 +100,52 @@ def psi_status(psi_: Column, drifted: float = 0.25, minor: float = 0.1) -> Colum
     return F.when(psi_.isNull(), "insufficient_data").when(psi_ >= drifted, "drifted").when(psi_ >= minor, "minor").otherwise("stable")
 
 
+BUCKET_ROWS, MOST_BUCKETS = 2000, 1024
+
+
+def running_totals(counts: DataFrame, by: list[str], value: str, parts: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Running totals of parts in the order of value within by; counts has one row for each by and value.
+
+    Values are bucketed by range, windows run inside buckets, and the totals of lower buckets are added: no
+    group passes through one task.  Returns counts with _bucket, upto_<part> and all_<part>, and the buckets:
+    by, _bucket, below_<part> and size_<part>.  Two small jobs run at once, for the edges of the buckets.
+    """
+    n = min(MOST_BUCKETS, counts.count() // BUCKET_ROWS + 1)
+    shares = [k / n for k in range(1, n)]
+    edges = (counts.agg(F.percentile_approx(value, shares, 100 * n).alias("e")).first()["e"] or []) if shares else []
+    placed = counts.withColumn("_bucket", _bucket(F.col(value), sorted(set(edges))))
+    sizes = placed.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"size_{c}") for c in parts])
+    lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most MOST_BUCKETS rows
+    every = Window.partitionBy(*by)
+    buckets = sizes.withColumns({f"below_{c}": F.coalesce(F.sum(f"size_{c}").over(lower), F.lit(0)) for c in parts} | {f"all_{c}": F.sum(f"size_{c}").over(every) for c in parts})
+    upto = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = placed.withColumns({f"upto_{c}": F.sum(c).over(upto) for c in parts})
+    joined = inside.alias("i").join(buckets.alias("b"), _same([*by, "_bucket"], "i", "b"))
+    out = joined.select("i.*", *[f"b.{k}_{c}" for k in ("below", "all") for c in parts]).withColumns({f"upto_{c}": F.col(f"upto_{c}") + F.col(f"below_{c}") for c in parts})
+    return out.drop(*[f"below_{c}" for c in parts]), buckets
+
+
+def _bucket(value: Column, edges: list) -> Column:
+    """How many of the sorted edges are at or below value."""
+    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= value)).cast("long") if edges else F.lit(0).cast("long")
+
+
+def _same(names: list[str], a: str, b: str) -> Column:
+    out = F.lit(True)
+    for c in names:
+        out &= F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
 def ks_statistic(rows: DataFrame, by: list[str], first: str, value: str) -> DataFrame:
     """Largest distance between the two empirical distributions (first: boolean column).
 
-    Values are counted before they are ordered, so only distinct values pass through the window.
+    Values are counted before they are ordered, and ordered in buckets.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(first)).alias("a"), F.count_if(~F.col(first)).alias("b"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*by)
-    apart = F.abs(F.try_divide(F.sum("a").over(upto), F.sum("a").over(every)) - F.try_divide(F.sum("b").over(upto), F.sum("b").over(every)))
-    return counts.withColumn("d", apart).groupBy(*by).agg(F.max("d").alias("ks"), F.sum("a").alias("first_rows"), F.sum("b").alias("second_rows"))
+    ranked, _ = running_totals(counts, by, value, ["a", "b"])
+    apart = F.abs(F.try_divide("upto_a", "all_a") - F.try_divide("upto_b", "all_b"))
+    return ranked.withColumn("d", apart).groupBy(*by).agg(F.max("d").alias("ks"), F.sum("a").alias("first_rows"), F.sum("b").alias("second_rows"))
 
 
 def sigma_gate(values: DataFrame, value: str, multiplier: float = 3.0, windows: int = 4, floor: float = 0.0) -> DataFrame:
@@ -118,23 +154,48 @@ def sigma_gate(values: DataFrame, value: str, multiplier: float = 3.0, windows:
 
 
 def bootstrap_median_ratio(rows: DataFrame, by: list[str], treated: str, draws: int = 2000, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """Seeded percentile bootstrap of the ratio of medians, one task for each (small) cell that survived its test."""
-
-    def cell(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        a, b = (np.sort(pdf.loc[pdf[treated] == t, "value"].to_numpy()) for t in (True, False))
-        if not len(a) or not len(b):
-            return pd.DataFrame([(*keys, None, None)], columns=[*by, "lower", "upper"])
-        ratios = []
-        for lo in range(0, draws, 200):  # blocks of draws bound the memory of a cell
-            k = min(200, draws - lo)
-            low = np.median(b[rng.integers(0, len(b), (k, len(b)))], axis=1)
-            top = np.median(a[rng.integers(0, len(a), (k, len(a)))], axis=1)
-            ratios.append(np.divide(top, low, out=np.full(k, np.nan), where=low != 0))
-        found = np.concatenate(ratios)
-        found = found[~np.isnan(found)]
-        ends = np.quantile(found, [(1 - level) / 2, (1 + level) / 2]) if len(found) else (None, None)
-        return pd.DataFrame([(*keys, *ends)], columns=[*by, "lower", "upper"])
-
-    types = dict(rows.dtypes)
-    return rows.select(*by, treated, "value").groupBy(*by).applyInPandas(cell, ", ".join(f"{c} {types[c]}" for c in by) + ", lower double, upper double")
+    """Seeded percentile bootstrap of the ratio of medians; null values are left out.
+
+    The m-th smallest of n draws from n sorted values is the value at rank ceil(n U), U the m-th smallest of n
+    uniform numbers, which has a beta distribution.  So only the ranks of each draw's medians are drawn (the
+    distribution is that of drawing all n values), and looked up in the counted values, bucket by bucket.
+    """
+    known = rows.filter(F.col("value").isNotNull() & F.col(treated).isNotNull())
+    counts = known.groupBy(*by, F.col(treated).alias("_side"), "value").agg(F.count(F.lit(1)).alias("_c"))
+    sides = [*by, "_side"]
+    ranked, buckets = running_totals(counts, sides, "value", ["_c"])
+    ends = F.sort_array(F.collect_list(F.struct((F.col("below__c") + F.col("size__c")).alias("stop"), F.col("_bucket").alias("bucket"))))
+    cells = buckets.groupBy(*sides).agg(ends.alias("_ends"))  # at most MOST_BUCKETS ends a row
+
+    def ranks(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                stops = np.array([e["stop"] for e in row[-1]], dtype=np.int64)
+                places = np.array([e["bucket"] for e in row[-1]], dtype=np.int64)
+                pair = median_ranks(int(stops[-1]), draws, np.random.default_rng([seed, int(row[-2])]))
+                flat = pair.ravel()
+                out = pd.DataFrame({"_draw": np.repeat(np.arange(draws), 2), "_rank": flat, "_bucket": places[np.searchsorted(stops, flat)]})
+                for k, c in enumerate(sides):
+                    out[c] = [None if pd.isna(row[k]) else row[k]] * len(out)
+                yield out[[*sides, "_draw", "_rank", "_bucket"]]
+
+    types = dict(counts.dtypes)
+    wanted = cells.mapInPandas(ranks, ", ".join(f"`{c}` {types[c]}" for c in sides) + ", _draw long, _rank long, _bucket long")
+    needed = wanted.groupBy(*sides, "_bucket", "_rank").agg(F.collect_list("_draw").alias("_draws"))  # a draw twice if both middles are one rank
+    spans = ranked.select(*sides, "_bucket", "value", (F.col("upto__c") - F.col("_c")).alias("_from"), F.col("upto__c").alias("_to"))
+    at = _same([*sides, "_bucket"], "w", "s") & (F.col("w._rank") > F.col("s._from")) & (F.col("w._rank") <= F.col("s._to"))
+    met = needed.alias("w").join(spans.alias("s"), at).select(*[f"w.{c}" for c in sides], "s.value", F.explode("w._draws").alias("_draw"))
+    median = lambda t: F.avg(F.when(F.col("_side") == t, F.col("value")))
+    ratios = met.groupBy(*by, "_draw").agg(median(True).alias("_a"), median(False).alias("_b")).withColumn("_r", F.try_divide("_a", "_b"))
+    return ratios.groupBy(*by).agg(F.percentile("_r", (1 - level) / 2).alias("lower"), F.percentile("_r", (1 + level) / 2).alias("upper"))
+
+
+def median_ranks(n: int, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """The ranks (from 1) of the two middle values of draws samples of n from n, drawn with replacement; for odd n they are one."""
+    m = (n + 1) // 2
+    u = rng.beta(m, n - m + 1, draws)
+    low = np.clip(np.ceil(n * u), 1, n).astype(np.int64)
+    if n % 2:
+        return np.stack([low, low], axis=1)
+    above = u + (1 - u) * (1 - rng.random(draws) ** (1 / (n - m)))  # the least of the n - m uniform numbers above u
+    return np.stack([low, np.clip(np.ceil(n * above), low, n).astype(np.int64)], axis=1)

@@ -668,7 +668,7 @@ def _verdict(spark, sf):
 @query("median_bootstrap_ci")
 def _bootstrap(spark, sf):
     rows = local_obs(spark, sf).filter("value is not null").withColumn("treated", F.col("weekday") >= 5)
-    return statistics.bootstrap_median_ratio(rows, ["location_id"], "treated", draws=400).select("location_id", r("lower").alias("lower"), r("upper").alias("upper"))
+    return statistics.bootstrap_median_ratio(rows, ["location_id"], "treated").select("location_id", r("lower").alias("lower"), r("upper").alias("upper"))
 
 
 @query("isotonic_calibration")
