@@ -323,3 +323,24 @@ def test_bootstrap_draws_ranks_like_whole_samples(spark, monkeypatch):
     ratio = np.median(rng.choice(a, (2000, 301)), axis=1) / np.median(rng.choice(b, (2000, 400)), axis=1)
     assert got["z"] == pytest.approx(tuple(np.quantile(ratio, (0.025, 0.975))), rel=0.03)
     assert got["one"] == (None, None) and got[None] == (2.0, 2.0)
+
+
+def test_explanations_come_from_the_evidence(spark):
+    x = obs(spark, [5.0, 5.0, 5.0, 9.0, 8.0, 7.0, 6.0]).withColumns({"weekday": F.lit(0), "hour": F.hour("event_time")})
+    x = x.withColumns({"source_id": F.when(F.col("hour") == 3, "s3").when(F.col("hour") == 4, "s4").otherwise("s1"), "location_id": F.when(F.col("hour") == 6, "B").otherwise("A")})
+    rain = spark.createDataFrame([(T0 + dt.timedelta(hours=5), 10.0)], "event_time timestamp_ntz, mm double")
+    health = spark.createDataFrame([("s1", "ok"), ("s3", "failed"), ("s4", "warning")], "source_id string, status string")
+    scopes = spark.createDataFrame([("p", "A", None, 4)], "pattern_id string, location_id string, weekday int, hour int")
+    shifts = spark.createDataFrame([("B",)], "location_id string")
+    told = {r.observation_id: [e.kind for e in r.explanations] for r in monitoring.explained_by(x, x, rain, health, scopes, shifts).collect()}
+    assert told["o0001"] == ["sensor_suspect"] and told["o0003"] == ["sensor_suspect"]
+    assert told["o0004"] == ["recurring_pattern", "sensor_suspect"]
+    assert told["o0005"] == ["rainfall"] and told["o0006"] == ["level_shift"]
+
+
+def test_discovered_shifts_need_size_and_an_interval(spark):
+    random.seed(2)
+    months = [f"2024-{m:02d}" for m in range(1, 9)]
+    rows = [(z, m, (14.0 if z == "Z0" and m >= "2024-05" else 10.0) + random.random()) for z in ("Z0", "Z1", "Z2", "Z3") for m in months for _ in range(20)]
+    got = patterns.discovered_shifts(spark.createDataFrame(rows, "location_id string, month string, value double")).collect()
+    assert [r.location_id for r in got] == ["Z0"] and got[0].lower > 1.2

@@ -19,13 +19,15 @@ def repeated_neighbours(obs: DataFrame, by: tuple[str, ...], reach: int = 3) ->
     return obs.withColumn("neighbours", sum(same[1:], same[0]))
 
 
-def explained(anomalies: DataFrame, rain: Column, status: Column, neighbours: Column, patterned: Column) -> DataFrame:
+def explained(anomalies: DataFrame, rain: Column, status: Column, neighbours: Column, patterned: Column, shifted: Column | None = None) -> DataFrame:
     """Candidate explanations, best supported first; none at all is unexplained with support 0."""
+    shifted = F.lit(False) if shifted is None else shifted
     some = lambda kind, support, when: F.when(when, F.struct((-support).alias("neg"), F.lit(kind).alias("kind"), support.alias("support")))
     options = F.array_compact(
         F.array(
             some("rainfall", F.least(F.lit(0.6), 0.2 + rain / 50), rain > 0.5),
             some("recurring_pattern", F.lit(0.8), patterned),
+            some("level_shift", F.lit(0.5), shifted),
             some("sensor_suspect", F.when(status == "failed", 0.7).otherwise(0.4), status.isin("failed", "warning")),
             some("sensor_suspect", F.lit(0.75), neighbours >= 2),
         )
@@ -37,6 +39,20 @@ def explained(anomalies: DataFrame, rain: Column, status: Column, neighbours: Co
     )
 
 
+def explained_by(anomalies: DataFrame, rows: DataFrame, rain: DataFrame, health: DataFrame, patterns: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Anomalies of rows with their explanations, from the evidence itself.
+
+    rain: event_time, mm.  health: source_id, status.  patterns: as for covering_patterns.  shifts: location_id of
+    zones whose level shifted.  Neighbours are taken among all rows of the zone and metric.
+    """
+    near = repeated_neighbours(rows, ("location_id", "metric")).select("observation_id", "neighbours")
+    covered = covering_patterns(anomalies, patterns).filter("pattern_id is not null").select("observation_id", F.lit(True).alias("patterned")).distinct()
+    moved = shifts.select("location_id", F.lit(True).alias("shifted")).distinct()
+    found = anomalies.join(rain.select("event_time", "mm"), "event_time", "left").join(health.select("source_id", "status"), "source_id", "left")
+    found = found.join(near, "observation_id", "left").join(covered, "observation_id", "left").join(moved, "location_id", "left")
+    return explained(found, F.col("mm"), F.col("status"), F.col("neighbours"), F.col("patterned"), F.col("shifted"))
+
+
 def covering_patterns(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rows beside the patterns that cover them, or beside null; null scope fields of a pattern match anything.
 

@@ -74,6 +74,13 @@ def level_shifts(rows: DataFrame, months: list[str] | None = None, side: int = 2
     return g.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k", "after_median", "before_median")
 
 
+def discovered_shifts(rows: DataFrame, least: float = 0.08, least_rows: int = 12) -> DataFrame:
+    """Level shifts of at least least beyond the zones' own, whose bootstrap interval of the raw ratio leaves out 1."""
+    large = level_shifts(rows).filter((F.abs(F.col("adjusted_ratio") - 1) >= least) & (F.least("n_before", "n_after") >= least_rows))
+    sides = rows.join(large.select("location_id", "change_point"), "location_id").withColumn("treated", F.col("month") >= F.col("change_point"))
+    return large.join(S.bootstrap_median_ratio(sides, ["location_id"], "treated", draws=500), "location_id").filter("lower > 1 or upper < 1")
+
+
 def interaction(rows: DataFrame, by: list[str], first: Column, second: Column, least: int = 8) -> DataFrame:
     """Two conditions on the log scale: the saturated model's interaction from four cells' counts, means and variances."""
     known = rows.filter(F.col("value") > 0).withColumns({"_a": first.cast("int"), "_b": second.cast("int"), "_y": F.log("value")})

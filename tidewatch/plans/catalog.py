@@ -602,6 +602,7 @@ a AS (SELECT d.* FROM d JOIN s USING (location_id, metric, hour) WHERE gap / mad
 e AS (SELECT a.observation_id, CASE WHEN a.weekday = 4 THEN 0.8 WHEN mm > 0.5 THEN least(0.6, 0.2 + mm / 50) ELSE 0.0 END AS support, CASE WHEN a.weekday = 4 THEN 'recurring_pattern' WHEN mm > 0.5 THEN 'rainfall' ELSE 'unexplained' END AS leading_kind FROM a LEFT JOIN rain USING (event_time))
 SELECT observation_id, leading_kind, round(support, 5) AS support FROM e""")
 def _explanations(spark, sf):
+    """With the constants of its oracle; anomaly_explanations_joined has the evidence."""
     rows = local_obs(spark, sf)
     rain = rows.filter("metric = 'purchase'").groupBy("event_time").agg((F.avg("value") / 100).alias("mm"))
     found = integrity.mad_outliers(rows, ("location_id", "metric", "hour")).join(rain, "event_time", "left")
@@ -609,6 +610,50 @@ def _explanations(spark, sf):
     return told.select("observation_id", F.col("leading").alias("leading_kind"), r("support", 5).alias("support"))
 
 
+_T = "1 / (1 + 0.5 * (greatest(z, 0) / sqrt(2)))"
+_ERFC = "t * exp(-z * z / 2 - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))"
+# The cells' p-values by a rational form of erfc (relative error 1.2e-7); level shifts without their bootstrap interval, which SQL cannot draw.
+_EVIDENCE_SQL = f"""{_ANOMALY_SQL}, rain AS (SELECT event_time, avg(value) / 100 AS mm FROM obs WHERE metric = 'purchase' GROUP BY 1),
+gaps AS (SELECT source_id, max(gap) AS max_gap FROM (SELECT source_id, (epoch(event_time) - epoch(lag(event_time) OVER (PARTITION BY source_id ORDER BY event_time))) / 3600 AS gap FROM (SELECT DISTINCT source_id, event_time FROM obs)) GROUP BY 1),
+health AS (SELECT source_id, CASE WHEN silent > 24 THEN 'failed' WHEN silent > 6 OR max_gap > 24 OR missing > 0.1 THEN 'warning' ELSE 'ok' END AS status
+  FROM (SELECT source_id, (epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(max(event_time))) / 3600 AS silent, (count(*) - count(value)) / count(*) AS missing FROM obs GROUP BY 1) JOIN gaps USING (source_id)),
+near AS (SELECT observation_id, {" + ".join(f"coalesce(CAST({f}(value, {k}) OVER w = value AS INTEGER), 0)" for f in ("lag", "lead") for k in (1, 2, 3))} AS neighbours FROM obs WINDOW w AS (PARTITION BY location_id, metric ORDER BY event_time, observation_id)),
+cell AS (SELECT DISTINCT location_id, hour, weekday AS w FROM loc WHERE value IS NOT NULL),
+cx AS (SELECT l.location_id, l.hour, c.w, l.value, l.weekday = c.w AS treated FROM loc l JOIN cell c ON l.location_id = c.location_id AND l.hour = c.hour WHERE l.value IS NOT NULL),
+ck AS (SELECT *, rank() OVER (PARTITION BY location_id, hour, w ORDER BY value) + (count(*) OVER (PARTITION BY location_id, hour, w, value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY location_id, hour, w, value) AS t FROM cx),
+cg AS (SELECT location_id, hour, w, CAST(count(*) FILTER (treated) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT treated) AS DOUBLE) AS n2, sum(r) FILTER (treated) AS r1, sum(CAST(t AS DOUBLE) * t - 1) AS ties,
+  median(value) FILTER (treated) / median(value) FILTER (NOT treated) AS effect FROM ck GROUP BY ALL),
+cz AS (SELECT *, greatest(0, (greatest(r1 - n1 * (n1 + 1) / 2, n1 * n2 - (r1 - n1 * (n1 + 1) / 2)) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1))))) AS z,
+  effect / median(effect) OVER (PARTITION BY hour, w) AS lift FROM cg WHERE n1 >= 12 AND n2 >= 12),
+cp AS (SELECT location_id, hour, w, lift, least(1.0, {_ERFC}) AS p FROM (SELECT *, {_T} AS t FROM cz)),
+cq AS (SELECT *, row_number() OVER (ORDER BY p, location_id, hour, w) AS k, count(*) OVER () AS m FROM cp),
+pat AS (SELECT * FROM (SELECT *, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS adjusted FROM cq) WHERE adjusted <= 0.05 AND lift >= 1.25),
+mo AS (SELECT location_id, strftime(event_time + INTERVAL 330 MINUTE, '%Y-%m') AS month, value FROM obs),
+mc AS (SELECT month AS change_point FROM (SELECT month, row_number() OVER (ORDER BY month) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT month FROM mo)) WHERE k BETWEEN 3 AND n - 1),
+mg AS (SELECT location_id, change_point, median(value) FILTER (month >= change_point) / median(value) FILTER (month < change_point) AS raw, count(*) FILTER (month < change_point) AS n_before, count(*) FILTER (month >= change_point) AS n_after FROM mo, mc GROUP BY ALL),
+ma AS (SELECT *, raw / quantile_cont(raw, 0.25) OVER (PARTITION BY change_point) AS adjusted FROM mg),
+shift AS (SELECT location_id FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY abs(adjusted - 1) DESC, change_point) AS k FROM ma) WHERE k = 1 AND abs(adjusted - 1) >= 0.08 AND least(n_before, n_after) >= 12),
+ev AS (SELECT a.observation_id, list_sort(list_filter([
+  CASE WHEN mm > 0.5 THEN {{'neg': -least(0.6, 0.2 + mm / 50), 'kind': 'rainfall'}} END,
+  CASE WHEN EXISTS (SELECT 1 FROM pat WHERE pat.location_id = a.location_id AND pat.hour = a.hour AND pat.w = a.weekday) THEN {{'neg': -0.8, 'kind': 'recurring_pattern'}} END,
+  CASE WHEN EXISTS (SELECT 1 FROM shift WHERE shift.location_id = a.location_id) THEN {{'neg': -0.5, 'kind': 'level_shift'}} END,
+  CASE status WHEN 'failed' THEN {{'neg': -0.7, 'kind': 'sensor_suspect'}} WHEN 'warning' THEN {{'neg': -0.4, 'kind': 'sensor_suspect'}} END,
+  CASE WHEN neighbours >= 2 THEN {{'neg': -0.75, 'kind': 'sensor_suspect'}} END], lambda x: x IS NOT NULL)) AS e
+  FROM a LEFT JOIN rain USING (event_time) LEFT JOIN health USING (source_id) LEFT JOIN near USING (observation_id))"""
+
+
+@query("anomaly_explanations_joined", f"WITH {_EVIDENCE_SQL} SELECT observation_id, coalesce(e[1].kind, 'unexplained') AS leading_kind, round(coalesce(-e[1].neg, 0), 5) AS support, CAST(greatest(1, len(e)) AS INTEGER) AS explanations FROM ev")
+def _explanations_joined(spark, sf):
+    rows = local_obs(spark, sf)
+    rain = rows.filter("metric = 'purchase'").groupBy("event_time").agg((F.avg("value") / 100).alias("mm"))
+    health = integrity.source_health(rows, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+    cells = patterns.discovered(patterns.cell_tests(rows.filter("value is not null")))
+    recurring = cells.select(F.concat_ws("-", "location_id", "weekday_tested", "hour").alias("pattern_id"), "location_id", F.col("weekday_tested").alias("weekday"), "hour")
+    shifts = patterns.discovered_shifts(rows.select("location_id", F.date_format(C.local_time(F.col("event_time"), OFFSET), "yyyy-MM").alias("month"), "value"))
+    told = monitoring.explained_by(integrity.mad_outliers(rows, ("location_id", "metric", "hour")), rows, rain, health, recurring, shifts)
+    return told.select("observation_id", F.col("leading").alias("leading_kind"), r("support", 5).alias("support"), F.size("explanations").alias("explanations"))
+
+
 @query("pattern_coverage", f"""WITH {LOCAL_SQL}, p(pattern_id, location_id, weekday, hour) AS (VALUES ('A', 'ZONE-A', 4, NULL), ('B', NULL, NULL, 18), ('C', 'ZONE-C', 5, 9))
 SELECT pattern_id, count(*) AS rows FROM loc l JOIN p ON (p.location_id IS NULL OR p.location_id = l.location_id) AND (p.weekday IS NULL OR p.weekday = l.weekday) AND (p.hour IS NULL OR p.hour = l.hour) GROUP BY 1""")
 def _coverage(spark, sf):
