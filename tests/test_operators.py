@@ -344,3 +344,27 @@ def test_discovered_shifts_need_size_and_an_interval(spark):
     rows = [(z, m, (14.0 if z == "Z0" and m >= "2024-05" else 10.0) + random.random()) for z in ("Z0", "Z1", "Z2", "Z3") for m in months for _ in range(20)]
     got = patterns.discovered_shifts(spark.createDataFrame(rows, "location_id string, month string, value double")).collect()
     assert [r.location_id for r in got] == ["Z0"] and got[0].lower > 1.2
+
+
+def test_leakage_probe_takes_every_instant_and_sees_centred_features(spark):
+    from pyspark.sql import Window
+
+    series = features.hourly(obs(spark, [float(i) for i in range(100)]))
+    at = features.probe_instants(series, 24)
+    assert [r.event_time for r in at.orderBy("event_time").collect()] == [T0 + dt.timedelta(hours=24 + 3 * k) for k in range(24)]
+
+    def centred(s):
+        w = Window.partitionBy("location_id").orderBy("event_time")
+        return features.lag_features(s, (1,)).withColumn("slope", F.lead("value").over(w) - F.lag("value").over(w))
+
+    every = series.filter(F.hour("event_time") < 8).filter(F.col("event_time") < F.lit(T0 + dt.timedelta(days=4))).select("location_id", "event_time")
+    assert every.count() == 32
+    found = features.leakage_probe(series, centred, every, ["lag_1h", "slope"]).collect()
+    assert {(r.feature, r.kind) for r in found} == {("slope", "future_event")} and len(found) == 31  # the first row has no past
+
+
+def test_leakage_probe_perturbs_late_arrivals(spark):
+    rows = obs(spark, [float(i) for i in range(12)]).withColumn("received_time", F.when(F.hour("event_time") == 3, F.lit(T0 + dt.timedelta(hours=9))).otherwise(F.col("received_time")))
+    at = rows.filter(F.hour("event_time").isin(4, 10)).select("location_id", "event_time")
+    found = features.leakage_probe(rows.select("location_id", "event_time", "received_time", "value"), lambda s: features.lag_features(features.hourly(s), (1,)), at, ["lag_1h"]).collect()
+    assert [(r.feature, r.kind, r.event_time.hour) for r in found] == [("lag_1h", "late_arrival", 4)]

@@ -91,18 +91,43 @@ def temporal_split(rows: DataFrame, train: float = 0.6, validation: float = 0.2,
     return rows.crossJoin(F.broadcast(bounds)).withColumn("segment", segment).drop("_a", "_b")  # bounds: one row
 
 
-def leakage_probe(series: DataFrame, features: callable, at: DataFrame, names: list[str]) -> DataFrame:
-    """Features at probe instants (location_id, event_time) that move when everything after them is perturbed.
-
-    An empty result means that no feature looks ahead.  A probe is one instant, so the plan runs once for
-    each distinct instant asked for; probes are few by design.
+def probe_instants(series: DataFrame, warmup_hours: int, probes: int = 24) -> DataFrame:
+    """(location_id, event_time) at evenly spaced distinct instants that have warmup_hours of history."""
+    first = series.agg(F.min("event_time").alias("_first"))  # one row
+    warm = series.select("event_time").distinct().crossJoin(F.broadcast(first)).filter(F.col("event_time") >= F.col("_first") + hours(warmup_hours))
+    ranked = warm.select("event_time", (F.row_number().over(Window.orderBy("event_time")) - 1).alias("_k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / probes))
+    chosen = ranked.filter((F.col("_k") % step == 0) & (F.col("_k") < step * probes)).select("event_time")  # at most probes rows
+    return series.join(F.broadcast(chosen), "event_time").select("location_id", "event_time").distinct()
+
+
+def leakage_probe(rows: DataFrame, features: callable, at: DataFrame, names: list[str]) -> DataFrame:
+    """Features at probe instants (location_id, event_time) that move when what is unknown there is perturbed.
+
+    Unknown is every row after the instant; and, where rows have a received_time and receipts lie on both
+    sides of the instant, in a second pass every row received after it (kind: future_event, late_arrival).
+    features makes location_id, event_time and the named columns from rows.  An empty result means that
+    no feature looks ahead.  The plan runs for each distinct instant asked for, and none is left out.
     """
-    found = None
-    for row in at.select("event_time").distinct().limit(24).collect():
-        pivot = F.lit(row["event_time"])
-        moved = series.withColumn("value", F.when(F.col("event_time") > pivot, F.col("value") * 10 + 1000).otherwise(F.col("value")))
-        both = features(series).filter(F.col("event_time") == pivot).alias("x").join(features(moved).filter(F.col("event_time") == pivot).alias("y"), ["location_id", "event_time"])
-        flags = [F.when(~F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}")), n) for n in names]
-        hits = both.select("location_id", "event_time", F.explode(F.array_compact(F.array(*flags))).alias("feature"))
-        found = hits if found is None else found.unionByName(hits)
-    return found if found is not None else at.select("location_id", "event_time").withColumn("feature", F.lit(None).cast("string")).limit(0)
+    instants = [row["event_time"] for row in at.select("event_time").distinct().orderBy("event_time").collect()]
+    keys = ["location_id", "event_time"]
+    known = features(rows).select(*keys, *names)
+    kinds = {"future_event": "event_time"}
+    straddled = set()
+    if "received_time" in rows.columns and instants:
+        kinds["late_arrival"] = "received_time"
+        span = rows.agg(F.min("received_time").alias("lo"), F.max("received_time").alias("hi")).first()
+        straddled = {t for t in instants if span["lo"] is not None and span["lo"] <= t < span["hi"]}
+    number = {n for n, kind in known.dtypes if kind in ("double", "float")}  # sums may differ in their last digits from run to run
+    near = lambda n: F.abs(F.col(f"x.{n}") - F.col(f"y.{n}")) <= 1e-9 * F.greatest(F.abs(f"x.{n}"), F.abs(f"y.{n}")) if n in number else F.lit(False)
+    found = at.select(*keys).withColumns({"feature": F.lit(None).cast("string"), "kind": F.lit(None).cast("string")}).limit(0)
+    for t in instants:
+        for kind, time in kinds.items():
+            if kind == "late_arrival" and t not in straddled:
+                continue
+            pivot = F.lit(t)
+            moved = rows.withColumn("value", F.when(F.col(time) > pivot, F.col("value") * 10 + 1000).otherwise(F.col("value")))
+            both = known.filter(F.col("event_time") == pivot).alias("x").join(features(moved).filter(F.col("event_time") == pivot).alias("y"), keys)
+            flags = [F.when(~F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}")) & ~F.coalesce(near(n), F.lit(False)), n) for n in names]
+            found = found.unionByName(both.select(*keys, F.explode(F.array_compact(F.array(*flags))).alias("feature"), F.lit(kind).alias("kind")))
+    return found

@@ -286,12 +286,31 @@ def _split(spark, sf):
 @query("leakage_probe", "SELECT CAST(NULL AS VARCHAR) AS location_id, CAST(NULL AS VARCHAR) AS feature, CAST(0 AS BIGINT) AS event_s WHERE false")
 def _leakage(spark, sf):
     series = hourly(spark, sf)
-    make = lambda s: features.rolling_features(features.lag_features(s, (1, 24)), (3, 24))
-    probes = series.orderBy(F.desc("event_time")).limit(1).select("location_id", "event_time").unionByName(series.orderBy("event_time").limit(1).select("location_id", "event_time"))
-    found = features.leakage_probe(series, make, probes, ["lag_1h", "lag_24h", "mean_3h", "mean_24h"])
+    found = features.leakage_probe(series, _probed, features.probe_instants(series, 24), _PROBED)
     return found.select("location_id", "feature", micros("event_time").alias("event_s"))
 
 
+_PROBED = ["lag_1h", "lag_24h", "mean_3h", "mean_24h"]
+
+
+def _probed(series: DataFrame) -> DataFrame:
+    return features.rolling_features(features.lag_features(series, (1, 24)), (3, 24))
+
+
+@query("leakage_probe_receipts", f"""WITH {HOURLY_SQL}, times AS (SELECT event_time, row_number() OVER (ORDER BY event_time) - 1 AS k, greatest(1, count(*) OVER () // 24) AS step FROM (SELECT DISTINCT event_time FROM hourly WHERE event_time >= (SELECT min(event_time) FROM hourly) + INTERVAL 24 HOUR)),
+probe AS (SELECT event_time AS t FROM times WHERE k % step = 0 AND k < step * 24 AND event_time >= (SELECT min(received_time) FROM obs) AND event_time < (SELECT max(received_time) FROM obs)),
+pr AS (SELECT h.location_id, p.t, count(x.value) FILTER (x.event_time > p.t - INTERVAL 3 HOUR) AS n3, count(x.value) AS n24 FROM probe p JOIN hourly h ON h.event_time = p.t
+  JOIN hourly x ON x.location_id = h.location_id AND x.event_time > p.t - INTERVAL 24 HOUR AND x.event_time <= p.t GROUP BY ALL),
+late AS (SELECT DISTINCT pr.*, (epoch(t) - epoch(o.event_time)) / 3600 AS age FROM pr JOIN obs o ON o.location_id = pr.location_id AND o.received_time > t AND o.event_time <= t AND o.event_time >= t - INTERVAL 24 HOUR WHERE o.value IS NOT NULL),
+f AS (SELECT location_id, t, unnest([CASE WHEN age = 1 THEN 'lag_1h' END, CASE WHEN age = 24 THEN 'lag_24h' END, CASE WHEN age < 3 AND n3 >= 2 THEN 'mean_3h' END, CASE WHEN age < 24 AND n24 >= 2 THEN 'mean_24h' END]) AS feature FROM late)
+SELECT DISTINCT location_id, feature, 'late_arrival' AS kind, CAST(epoch(t) AS BIGINT) AS event_s FROM f WHERE feature IS NOT NULL""")
+def _leakage_receipts(spark, sf):
+    """Hourly means take readings as known at their event time, so late receipts move them: what is found is real."""
+    obs = observations(spark, sf).select("location_id", "event_time", "received_time", "value")
+    found = features.leakage_probe(obs, lambda o: _probed(features.hourly(o)), features.probe_instants(features.hourly(obs), 24), _PROBED)
+    return found.select("location_id", "feature", "kind", micros("event_time").alias("event_s"))
+
+
 @query("zone_thresholds", f"WITH {HOURLY_SQL} SELECT location_id, round(quantile_cont(value, 0.9), 7) AS threshold FROM hourly GROUP BY 1")
 def _thresholds(spark, sf):
     return evaluation.thresholds(hourly(spark, sf)).select("location_id", r("threshold").alias("threshold"))
