@@ -41,10 +41,11 @@ def test_classes_match_brute_force(spark, corpus):
     assert len({c for _, c in got.values()}) < len(got)
 
 
-def test_costly_keys_take_the_fine_index(spark, corpus, monkeypatch):
-    monkeypatch.setattr(ngram_join, "COSTLY", 1)
-    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 1)
-    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+@pytest.mark.parametrize("settings", [{"LOADS": (2.8, 0.0), "COARSER": 9.0, "HUB_ROUNDS": 1}, {"HUB_ROUNDS": 0, "BROADCAST_IDS": 0}, {"LOADS": (0.0,), "HOT_SHARE": 0.0, "HUB_ROUNDS": 0}])
+def test_other_allocations_find_the_same(spark, corpus, monkeypatch, settings):
+    """Coarse segments with deletions, no hubs and no broadcast, single tokens and salted keys."""
+    for k, v in settings.items():
+        monkeypatch.setattr(ngram_join, k, v)
     assert classes(frame(spark, corpus)) == brute(corpus)
 
 
@@ -55,16 +56,23 @@ def test_empty_table_and_clashing_columns(spark):
     assert sorted((r.doc_id or -1, r.component_id) for r in got) == [(-1, None), (1, 1), (2, 1)]
 
 
-def test_every_set_can_reach_its_need():
+def test_pairs_at_the_threshold_share_a_unit():
+    """Any two sets that differ in as many tokens as may be share a key, under each option."""
     rng = np.random.default_rng(1)
-    for n in (1, 2, 3, 7, 30, 400):
-        s = np.sort(rng.integers(0, 2**63, n).astype(np.uint64))
-        assert ngram_join.need_of(n, 3, 4) == n // 3 + 1
-        for load in ngram_join.LOADS[:-1]:
-            m = ngram_join.segments_of(ngram_join.band_of(n), load)
-            reaches = [ngram_join.reach_of(k, m, load, 3, 4) for k in range(1, 3 * n)]
-            assert reaches == sorted(reaches)
-        assert len(s) >= ngram_join.need_of(n, 3, 4)
+    for n in (1, 2, 3, 7, 9, 30, 60, 400):
+        spare = ngram_join.spare_of(n, 3, 4)
+        for load in ngram_join.LOADS:
+            for _ in range(30):
+                s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+                k = int(rng.integers(0, spare + 1))
+                r = np.unique(np.r_[s, rng.integers(0, 2**63, k).astype(np.uint64)])
+                if 4 * len(s) < 3 * len(r):
+                    continue
+                band = ngram_join.band_of(len(s))
+                option = ngram_join.LOADS.index(load)
+                deletions = ngram_join.segments_of(band, load) if load else 0
+                keys = [set(ngram_join.keys_of(x, np.array([0, len(x)]), np.array([band]), {band: (option, deletions)}, 3, 4)[0].tolist()) for x in (s, r)]
+                assert keys[0] & keys[1]
 
 
 def test_word_hashes_ignore_block_borders(monkeypatch):

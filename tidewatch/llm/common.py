@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 #: The word pattern of every operator here (space and 0x09-0x0D separate words).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a row group in intermediate tables: a writer holds one in memory.
+ROW_GROUP = 16 << 20
+#: Rows of an Arrow batch at most, as texts may be long.
+BATCH_ROWS = 500
+
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BLOCK = 1 << 19
@@ -22,6 +27,7 @@ _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+_LOWER_TABLE = _LOWER.tobytes()
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -41,10 +47,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches at BATCH_ROWS rows in this session, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(name, "10000"))
+    if have <= 0 or have > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    """Words of a text as UTF-8, A-Z in lower case."""
+    return (text or "").encode().translate(_LOWER_TABLE).split()
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

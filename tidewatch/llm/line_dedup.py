@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, text_buffer, word_bounds, word_hashes
+from .common import lower_words, materialize, mix, text_buffer, word_bounds, word_hashes
 
 MIN_WORDS = 8
 #: Up to so many rows of line numbers by document are broadcast to the texts; beyond, a shuffled join.
@@ -124,13 +124,6 @@ def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in _VARIANTS.split(", ")])
 
 
-def _split(text: str) -> list[bytes]:
-    return text.encode().translate(_LOWER).split()
-
-
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
 def within_one_edit(x: list, y: list) -> bool:
     """True if the sequences are at most one insertion, deletion or substitution apart."""
     if len(x) > len(y):
@@ -145,7 +138,7 @@ def within_one_edit(x: list, y: list) -> bool:
 
 def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if within_one_edit(_split(x), _split(y))]
+        keep = [i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if within_one_edit(lower_words(x), lower_words(y))]
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["doc_id", "line"])
 
 

@@ -1,28 +1,33 @@
 """N-gram Jaccard self-join by a partitioned universe of tokens (pigeonhole), and its classes.
 
 A document's set holds the 64-bit hashes of its distinct word shingles.  Documents with the same
-set form one node.  Nodes fall into bands by set size (each three times the last); a node near a
-band's lower end is also indexed in the band below, so that any two sets that can reach the
-threshold share a band.
-
-Within a band the universe is split into ``m`` segments by hash.  Let |s| <= |r| and Jaccard >= t.
-|r| <= |s|/t, so their symmetric difference is at most (1-t)/(1+t) (|s|+|r|) <= |s| (1-t)/t (a third
-of |s| at 0.75).  So among segments of s whose allowances (0: equal subset, 1: one deletion apart) plus one
-add up to ``need(s) = floor(|s| (1-t)/t) + 1``, at least one matches r within its allowance.
-
-* A node indexes the hash of its subset in each of its first ``reach(size)`` segments, and, in the
-  first ``deletions`` segments of the band, its one-deletion neighbourhood as well.  Empty subsets
-  are never indexed.  ``m`` and ``deletions`` are set for each band from statistics over all
-  documents: the cheapest choice under which every node can reach its ``need``.
-* A node probes only its cheapest ``need`` units, by the number of nodes outside its own component
-  under the same key (cost-based allocation).  Units that nobody else has are free.
-* Before that, each node is compared with the hub it shares most keys with.  Links found so merge
-  large groups of near copies into components, inside which no further pair is looked at.  A hot
-  key, such as a passage in a third of all documents, costs nothing to nodes with cheaper units.
-* Candidates are verified on their whole sets.
+set form one node.  Nodes fall into bands by set size (each ``GROWTH`` times the last); a node near a
+band's lower end is also indexed in the band below, so any two sets that can reach the threshold
+share a band.
+
+Within a band the universe of hashes is cut into ``m`` equal segments.  Let |s| <= |r| and Jaccard >= t.
+Then |r| <= |s|/t, and the sets differ in at most (1-t)/(1+t) (|s|+|r|) <= D(s) = floor(|s| (1-t)/t)
+tokens.  Taking both sets' non-empty segments in order, fewer than D(s)+1 of either come before the
+first segment in which the two agree.  So:
+
+* A node indexes the hash of its subset in each of its first ``target(size)`` non-empty segments,
+  more than D+1 of them.  A set whose tokens fall into D or fewer segments makes up for it by the
+  one-deletion neighbourhoods of its subsets, which all sets of the band index in the first
+  ``deletions`` segments.  ``m`` and ``deletions`` are chosen for each band from statistics over all
+  documents: the coarsest choice whose keys cost little more than the cheapest.
+* Of ``target`` units at least ``target - D`` agree, so nodes with fewer shared units are left out.
+* A node probes its cheapest units only (cost-based allocation): those that nobody outside its component
+  has are free, and of the others the ones with the fewest holders, D+1 with the free ones.
+* Before that, each node is compared with the hub it shares most keys with, in rounds, until no round
+  merges components.  Inside a component no further pair is looked at.
+* A pair of the final join must also pass a bound from parity sketches: two sets differ in at least as
+  many tokens as their sketches differ in bits.  It is tested inside the join, so a key that many
+  dissimilar nodes hold makes no rows.
+* Candidates are verified on their words.
 
 Nothing is capped: every pair at or above the threshold that joins different components is found.
-Hash identities are 64 bits wide (sets: 64 bits and the size).
+The result is connectivity (classes): links inside a class are not enumerated, as a group of n near
+copies has n * n of them.  Sets are told apart by 128 bits and their size.
 """
 
 from __future__ import annotations
@@ -33,29 +38,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shingle_sets, word_hashes
+from .common import lower_words, materialize, mix, shingle_sets, small_batches, word_hashes
 from .components import connected_components
 
-GROWTH = 3.0
-#: Times that each node is compared with the most central node it shares most keys with.
-HUB_ROUNDS = 2
-SLACK = 0.10
+GROWTH = 8.0
+#: Share of a set's tokens for which it indexes segments (at least D + 1 of them).
+SPREAD = 0.42
+#: Times at most that each node is compared with the most central node it shares most keys with.
+HUB_ROUNDS = 4
 #: Tokens for each segment at a band's upper end, by option; 0: each token is its own segment.
-LOADS = (2.5, 1.2, 0.5, 0.0)
-#: Up to so many ids (8 bytes each) are broadcast to filter documents; beyond, a shuffled join does it.
-BROADCAST_IDS = 1_000_000
-
-#: A unit with more outside holders than this is costly; nodes that need one are indexed finely.
-COSTLY = 40
+LOADS = (1.2, 0.4, 0.0)
+#: A coarser option is taken if its keys are at most so many times those of the cheapest.
+COARSER = 1.1
+#: Up to so many ids (8 to 24 bytes each) are broadcast to filter documents; beyond, a shuffled join does it.
+BROADCAST_IDS = 500_000
 #: Longs in a parity sketch (a power of two).
 SKETCH = 8
+#: Documents that are looked at for very frequent keys, which are then dealt to ``SALTS`` tasks each.
+#: That decides where rows go, never what is found.
+HOT_SAMPLE, HOT_SHARE, SALTS = 4000, 0.01, 64
 
-#: info: 0 indexed only; 1 subset in the home band; 2 + 4 * segment: one-deletion key there.
+#: info: 0 indexed only; 1 subset in the home band; 2 one-deletion key there.
 _KEYS = "key long, node long, info int"
-_NODES = "doc_id long, digest long, n_shingles long, band int, " + ", ".join(f"miss{i} int, cost{i} long" for i in range(len(LOADS)))
+_SKETCHES = [f"s{i}" for i in range(SKETCH)]
+_NODES = "doc_id long, digest long, check long, n_shingles long, band int, " + ", ".join(f"{s} long" for s in _SKETCHES) + ", " + ", ".join(f"miss{i} int, units{i} long" for i in range(len(LOADS)))
 
 
 def band_of(size: int) -> int:
@@ -70,25 +79,23 @@ def segments_of(band: int, load: float) -> int:
     return max(1, math.ceil(GROWTH ** (band + 1) / load))
 
 
-def need_of(size: int, num: int, den: int) -> int:
-    """Allowance that catches every partner at least as large (threshold num/den)."""
-    return size * (den - num) // num + 1
-
+def spare_of(size: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
+    """D: tokens in which a set may differ from a partner at least as large (threshold num/den)."""
+    return size * (den - num) // num
 
-def reach_of(size: int, m: int, load: float, num: int, den: int) -> int:
-    """Number of leading segments that a set of this size indexes; never falls with the size.
 
-    Enough to hold need_of(size) tokens' segments, if hashes fall evenly, with some slack.
-    """
-    more = (1 + SLACK) * size * (den - num) / num / -math.expm1(-size / m)
-    return min(m, math.ceil(more + (1 + SLACK) / -math.expm1(-load / GROWTH)))
+def target_of(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Units that a set indexes, if it has so many non-empty segments; never falls with the size."""
+    return np.maximum(np.ceil(SPREAD * size).astype(np.int64), spare_of(size, num, den) + 1)
 
 
-def node_id(packed: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True)
+def node_ids(packed: bytes) -> tuple[int, int]:
+    """128 bits of a set as two longs."""
+    h = hashlib.blake2b(packed, digest_size=16).digest()
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int, rows: int = 300) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     with np.errstate(over="ignore"):
         for batch in batches:
             for lo in range(0, batch.num_rows, rows):
@@ -96,112 +103,111 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, rows: int = 500) -> Iter
                 yield part, *shingle_sets(*word_hashes(part.column(1), lower=True), size)
 
 
-def _node_ids(hashes: np.ndarray, off: np.ndarray) -> list[int | None]:
-    return [node_id(hashes[a:b].tobytes()) if b > a else None for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+def _node_ids(hashes: np.ndarray, off: np.ndarray) -> list[tuple[int | None, int | None]]:
+    return [node_ids(hashes[a:b].tobytes()) if b > a else (None, None) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+
+
+def _segments(hashes: np.ndarray, row: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segment of each token (rising within a row, as hashes do), and where a row's next segment begins."""
+    seg = (((hashes >> np.uint64(32)) * m.astype(np.uint64)[row]) >> np.uint64(32)).astype(np.int64)
+    if not len(seg):
+        return seg, seg
+    return seg, np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (seg[1:] != seg[:-1])])
 
 
-def _segments(hashes: np.ndarray, row: np.ndarray, m: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segment of each token, and whether its row indexes that segment. m, reach: by row."""
-    seg = ((hashes >> np.uint64(20)) % m.astype(np.uint64)[row]).astype(np.int64)
-    return seg, seg < reach[row]
+def _sketches(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Parity of the tokens on each of 64 * SKETCH bits: rows by SKETCH longs."""
+    bits = 64 * SKETCH
+    odd = np.bincount(row * bits + (hashes & np.uint64(bits - 1)).astype(np.int64), minlength=rows * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, bits), axis=1, bitorder="little").view("<i8")
 
 
 def _node_rows(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for part, hashes, off in _sets(batches, size):
         count = np.diff(off)
         row = np.repeat(np.arange(len(count)), count)
-        bands = np.array([band_of(n) if n else 0 for n in count.tolist()])
-        cols = [part.column(0), pa.array(_node_ids(hashes, off), pa.int64()), pa.array(count), pa.array(bands.astype(np.int32), mask=count == 0)]
+        bands = np.array([band_of(n) if n else 0 for n in count.tolist()], dtype=np.int64)
+        digest, check = zip(*_node_ids(hashes, off), strict=True) if len(count) else ((), ())
+        sketch = _sketches(hashes, row, len(count))
+        cols = [part.column(0), pa.array(digest, pa.int64()), pa.array(check, pa.int64()), pa.array(count), pa.array(bands.astype(np.int32), mask=count == 0)]
+        cols += [pa.array(sketch[:, i].copy()) for i in range(SKETCH)]
+        target = target_of(count, num, den)
         for load in LOADS:
-            if load == 0:
-                miss, filled = np.zeros(len(count)), count
-            else:
-                m = np.array([segments_of(b, load) for b in bands.tolist()])
-                reach = np.array([reach_of(n, k, load, num, den) if n else 0 for n, k in zip(count.tolist(), m.tolist(), strict=True)])
-                seg, take = _segments(hashes, row, m, reach)
-                at = np.r_[0, np.cumsum(reach)]
-                c = np.bincount((at[row] + seg)[take], minlength=at[-1])
-                cut = lambda x, at=at: np.diff(np.r_[0, np.cumsum(x)][at])
-                filled, twice = cut(c >= 1), cut(c >= 2)
-                short = count * (den - num) // num + 1 - filled
-                miss = np.where((short > twice) & (count > 0), -1, 0)
-                for r in np.flatnonzero((short > 0) & (miss == 0) & (count > 0)).tolist():
-                    miss[r] = np.searchsorted(np.cumsum(c[at[r] : at[r + 1]] >= 2), short[r]) + 1
-            cols += [pa.array(miss.astype(np.int32)), pa.array(filled.astype(np.int64))]
-        names = ["doc_id", "digest", "n_shingles", "band"] + [f"{k}{i}" for i in range(len(LOADS)) for k in ("miss", "cost")]
+            miss, filled = np.zeros(len(count), dtype=np.int64), count
+            if load:
+                m = np.array([segments_of(b, load) for b in bands.tolist()], dtype=np.int64)
+                seg, first = _segments(hashes, row, m)
+                filled = np.bincount(row[first], minlength=len(count))
+                short = spare_of(count, num, den) + 1 - filled
+                for r in np.flatnonzero((short > 0) & (count > 0)).tolist():
+                    own, many = np.unique(seg[off[r] : off[r + 1]], return_counts=True)
+                    own = own[many >= 2]  # a deletion must leave something
+                    miss[r] = own[short[r] - 1] + 1 if short[r] <= len(own) else -1
+            cols += [pa.array(miss.astype(np.int32)), pa.array(np.minimum(filled, target))]
+        names = ["doc_id", "digest", "check", "n_shingles", "band", *_SKETCHES] + [f"{k}{i}" for i in range(len(LOADS)) for k in ("miss", "units")]
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def choose_plans(nodes: DataFrame) -> dict[int, tuple[int, int]]:
-    """band -> (option, deletion segments): the cheapest option that serves every set of the band.
+    """band -> (option, deletion segments): the coarsest option near the cheapest one that serves every set.
 
-    One row for each band comes to the driver; there are at most 41 bands of sets below 2**64.
+    One row for each band comes to the driver; there are at most 22 bands of sets below 2**64.
     """
     aggs = []
     for i in range(len(LOADS)):
-        aggs += [F.max(f"miss{i}").alias(f"d{i}"), F.min(f"miss{i}").alias(f"ok{i}"), F.sum(f"cost{i}").alias(f"keys{i}")]
+        aggs += [F.max(f"miss{i}").alias(f"d{i}"), F.min(f"miss{i}").alias(f"ok{i}"), F.sum(f"units{i}").alias(f"keys{i}")]
     plans = {}
     for r in nodes.filter("n_shingles > 0").groupBy("band").agg(F.count(F.lit(1)).alias("n"), *aggs).collect():
-        best = None
-        for i, load in enumerate(LOADS):
-            if r[f"ok{i}"] < 0:
-                continue
-            cost = r[f"keys{i}"] + r["n"] * r[f"d{i}"] * load
-            if best is None or cost < best[0]:
-                best = (cost, i, r[f"d{i}"])
-        plans[r["band"]] = best[1:]
+        cost = {i: r[f"keys{i}"] + r["n"] * r[f"d{i}"] * load for i, load in enumerate(LOADS) if r[f"ok{i}"] >= 0}
+        option = next(i for i, c in sorted(cost.items()) if c <= COARSER * min(cost.values()))
+        plans[r["band"]] = (option, r[f"d{option}"])
     return plans
 
 
 def keys_of(hashes: np.ndarray, off: np.ndarray, bands: np.ndarray, plans: dict[int, tuple[int, int]], num: int, den: int) -> tuple[np.ndarray, ...]:
-    """(keys, rows, segments, levels) that sets index in the given bands; level 1: one-deletion keys."""
+    """(keys, rows, levels) that sets index in the given bands; level 1: one-deletion keys."""
     count = np.diff(off)
     row = np.repeat(np.arange(len(count)), count)
-    chosen = [plans[b] for b in bands.tolist()]
-    salt = mix(bands.astype(np.uint64))[row]
-    own = np.array([LOADS[o] == 0 for o, _ in chosen], dtype=bool)
-    m = np.array([segments_of(b, LOADS[o]) if LOADS[o] else 1 for b, (o, _) in zip(bands.tolist(), chosen, strict=True)], dtype=np.int64)
-    loads = [LOADS[o] or 1.0 for o, _ in chosen]
-    reach = np.array([reach_of(n, k, x, num, den) if n else 0 for n, k, x in zip(count.tolist(), m.tolist(), loads, strict=True)], dtype=np.int64)
-    reach[own] = 1
-    seg, take = _segments(hashes, row, m, reach)
-    # A token that is its own segment is numbered by its place in the sorted set.
-    place = np.arange(len(hashes)) - off[:-1][row]
-    seg = np.where(own[row], place, seg)[take]
-    label = np.where(own[row], hashes, np.uint64(0))[take]
-    row, h, salt = row[take], mix(hashes[take]), salt[take]
-    order = np.argsort((row << 40) + seg, kind="stable")
-    row, seg, h, salt, label = row[order], seg[order], h[order], salt[order], label[order]
-    if not len(row):
-        return h, row, seg, seg
-    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (seg[1:] != seg[:-1])])
+    loads = [LOADS[plans[b][0]] for b in bands.tolist()]
+    own = np.array([x == 0 for x in loads], dtype=bool)
+    m = np.array([segments_of(b, x) if x else 1 for b, x in zip(bands.tolist(), loads, strict=True)], dtype=np.int64)
+    seg, _ = _segments(hashes, row, m)
+    # A token that is its own segment is numbered by its place, and told apart by its hash.
+    seg = np.where(own[row], np.arange(len(hashes)) - off[:-1][row], seg)
+    if not len(seg):
+        return hashes, row, row
+    new = np.r_[True, (row[1:] != row[:-1]) | (seg[1:] != seg[:-1])]
+    first = np.flatnonzero(new)
+    number = np.cumsum(new) - 1
+    start = np.r_[0, np.cumsum(np.bincount(row[first], minlength=len(count)))][:-1]
+    inside = np.arange(len(first)) - start[row[first]] < target_of(count, num, den)[row[first]]
+    h = mix(hashes)
     sums = np.add.reduceat(h, first)
-    tag = mix(np.where(label != 0, label, seg.astype(np.uint64)) + salt)
-    full = mix(sums ^ tag[first])
-    counts = np.diff(np.r_[first, len(seg)])
-    each = np.repeat(np.arange(len(first)), counts)
-    deletions = np.array([d for _, d in chosen], dtype=np.int64)[row]
-    cut = (counts[each] >= 2) & (seg < deletions) & (label == 0)
-    rest = mix((sums[each] - h)[cut] ^ tag[cut])
-    level = np.repeat(np.array([0, 1]), [len(full), len(rest)])
-    return np.r_[full, rest], np.r_[row[first], row[cut]], np.r_[seg[first], seg[cut]], level
+    label = np.where(own[row[first]], hashes[first], seg[first].astype(np.uint64))
+    tag = mix(label + mix(bands.astype(np.uint64))[row[first]])
+    full = mix(sums ^ tag)[inside]
+    many = np.diff(np.r_[first, len(seg)])
+    deletions = np.array([plans[b][1] for b in bands.tolist()], dtype=np.int64)[row]
+    cut = inside[number] & (many[number] >= 2) & (seg < deletions) & ~own[row]
+    rest = mix((sums[number] - h)[cut] ^ tag[number][cut])
+    return np.r_[full, rest], np.r_[row[first][inside], row[cut]], np.repeat(np.array([0, 1]), [len(full), len(rest)])
 
 
-def _owned(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(nodes, hashes, offsets) of rows (node, text, digest) whose text has that digest.
+def _owned(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """(nodes, hashes, offsets, texts) of rows (node, text, digest, check) whose text has that identity.
 
     Rows that share a doc_id may bring other texts; only a node's own set is right.
     """
     for part, hashes, off in _sets(batches, size):
-        wanted = part.column(2).to_pylist()
-        own = np.array([v is not None and v == w for v, w in zip(_node_ids(hashes, off), wanted, strict=True)], dtype=bool)
+        wanted = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
+        own = np.array([v[0] is not None and v == w for v, w in zip(_node_ids(hashes, off), wanted, strict=True)], dtype=bool)
         count = np.diff(off)
         nodes = part.column(0).to_numpy(zero_copy_only=False)[own]
-        yield nodes, hashes[np.repeat(own, count)], np.r_[0, np.cumsum(count[own])]
+        yield nodes, hashes[np.repeat(own, count)], np.r_[0, np.cumsum(count[own])], part.column(1).filter(pa.array(own))
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, plans: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    for node, hashes, off in _owned(batches, size):
+    for node, hashes, off, _ in _owned(batches, size):
         count = np.diff(off)
         home = np.array([band_of(n) for n in count.tolist()], dtype=np.int64)
         low = np.array([band_low(b) for b in home.tolist()], dtype=np.int64)
@@ -212,37 +218,43 @@ def _key_rows(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int,
             if not rows.any():
                 continue
             mine = np.repeat(rows, count)
-            key, row, seg, level = keys_of(hashes[mine], np.r_[0, np.cumsum(count[rows])], home[rows] - below, plans, num, den)
-            info = np.zeros_like(level) if below else np.where(level == 0, 1, 2 + 4 * seg)
+            key, row, level = keys_of(hashes[mine], np.r_[0, np.cumsum(count[rows])], home[rows] - below, plans, num, den)
+            info = np.zeros_like(level) if below else 1 + level
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), node[rows][row], info.astype(np.int32))], names=["key", "node", "info"])
 
 
-def _token_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for node, hashes, off in _owned(batches, size):
-        cols = (hashes.view(np.int64), np.repeat(node, np.diff(off)), np.ones(len(hashes), np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "info"])
+def _text_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for node, _, _, texts in _owned(batches, size):
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), texts], names=["node", "text"])
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for node, hashes, off in _owned(batches, size):
-        sets = [hashes[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "hashes"])
+def shingles(text: str, size: int) -> set[tuple[bytes, ...]]:
+    words = lower_words(text)
+    if len(words) < size:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(size)), strict=False))
 
 
-def _linked(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, text of a, text of b) -> those whose sets of shingles, word by word, reach the threshold."""
+    last, y = None, set()
     for batch in batches:
-        a, b, x, y = (batch.column(i) for i in range(4))
         keep = []
-        for i in range(batch.num_rows):
-            p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-            if min(len(p), len(q)) * den < max(len(p), len(q)) * num:
-                continue
-            both = np.concatenate([p, q])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            if den * shared >= num * (len(p) + len(q) - shared):
+        for i, (b, s, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+            x = shingles(s, size)
+            if b != last:
+                last, y = b, shingles(t, size)
+            shared = len(x & y)
+            if shared and den * shared >= num * (len(x) + len(y) - shared):
                 keep.append(i)
-        yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
+
+
+def _within(num: int, den: int) -> Column:
+    """For columns n, s0.. of one set and n_b, t0.. of another: what every pair at the threshold fulfils."""
+    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
+    fit = (F.col("n") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n") * num)
+    return fit & (differ * (num + den) <= (F.col("n") + F.col("n_b")) * (den - num))
 
 
 class JaccardJoin:
@@ -250,7 +262,7 @@ class JaccardJoin:
 
     Null, empty and wordless texts have the empty set and link with nothing.  Rows with the same
     doc_id are separate documents of that id; rows without doc_id are left out.  Other columns are
-    ignored.  An empty table gives an empty result.
+    ignored.  An empty table gives an empty result.  Very long texts are hashed in blocks.
     """
 
     def __init__(self, size: int = 5, num: int = 75, den: int = 100):
@@ -259,132 +271,148 @@ class JaccardJoin:
 
     def verified(self, pairs: DataFrame, docs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
         """The rows (a, b) of pairs whose sets reach the threshold."""
-        pairs = materialize(pairs, f"{name}-pairs")
         texts = self.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, reps, name)
         size, num, den = self.size, self.num, self.den
-        sets = texts.mapInArrow(lambda it: _set_rows(it, size), "node long, hashes binary")
-        sets = materialize(sets.dropDuplicates(["node"]), f"{name}-sets")
+        texts = materialize(texts.mapInArrow(lambda it: _text_rows(it, size), "node long, text string").dropDuplicates(["node"]), f"{name}-texts")
         full = (
-            pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+            pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
             .select("a", "b", "x", "y")
         )
-        return materialize(full.mapInArrow(lambda it: _linked(it, num, den), "a long, b long"), f"{name}-links")
+        return materialize(full.mapInArrow(lambda it: _linked(it, size, num, den), "a long, b long"), f"{name}-links")
 
     @staticmethod
     def beside(rows: DataFrame, by_node: DataFrame) -> DataFrame:
         """rows joined to a table by node: broadcast up to BROADCAST_IDS rows, shuffled beyond."""
         return rows.join(F.broadcast(by_node) if by_node.count() <= BROADCAST_IDS else by_node, "node")
 
-    def texts_of(self, wanted: DataFrame | None, docs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
-        """(node, text, digest) of the wanted nodes, or of all."""
-        ids = (reps if wanted is None else reps.join(wanted, "node", "left_semi")).select("node", "rep", "digest")
-        ids = materialize(ids, f"{name}-ids")
+    @staticmethod
+    def texts_of(wanted: DataFrame | None, docs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
+        """(node, text, digest, check) of the wanted nodes, or of all."""
+        ids = (reps if wanted is None else reps.join(wanted, "node", "left_semi")).select("node", "rep", "digest", "check")
+        if wanted is not None:
+            ids = materialize(ids, f"{name}-ids")
         side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return docs.join(side, docs["doc_id"] == side["rep"]).select("node", "text", "digest")
+        return docs.join(side, docs["doc_id"] == side["rep"]).select("node", "text", "digest", "check")
 
-    def candidates(self, tagged: DataFrame, reps: DataFrame, plans: dict[int, tuple[int, int]] | None, name: str, costly: int | None) -> tuple[DataFrame, DataFrame]:
-        """(pairs a, b of different components to verify; holders of keys that would cost more than costly).
-
-        tagged: (key, node, info, n, component).  plans: None if each token is a key of its own.
+    def shared_keys(self, docs: DataFrame, reps: DataFrame, plans: dict[int, tuple[int, int]]) -> DataFrame:
+        """Keys (key, node, info) that two nodes or more have."""
+        size, num, den = self.size, self.num, self.den
+        schema = _KEYS
+        total = reps.count()
+        share = min(1.0, HOT_SAMPLE / max(total, 1))
+        some = reps.filter(F.xxhash64("node", F.lit(3)).bitwiseAND(F.lit((1 << 40) - 1)) <= int(share * (1 << 40)))
+        seen = self.texts_of(some.select("node"), docs, reps, "ngram-sample").mapInArrow(lambda it: _key_rows(it, size, num, den, plans), schema)
+        # A node of the sample has a bounded number of keys on average, so few can be in a hundredth of the nodes.
+        least = max(20, int(HOT_SHARE * share * total))
+        hot = materialize(seen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("key", F.lit(True).alias("hot")), "ngram-hot")
+        keys = self.texts_of(None, docs, reps, "ngram-all").mapInArrow(lambda it: _key_rows(it, size, num, den, plans), schema)
+        side = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+        dealt = keys.join(side, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+        by_key = Window.partitionBy("key", "salt")
+        shared = dealt.withColumns({"low": F.min("node").over(by_key), "top": F.max("node").over(by_key)}).filter("low <> top or hot")
+        return materialize(shared.select("key", "salt", "node", "info").distinct().drop("salt"), "ngram-keys")
+
+    def pruned(self, shared: DataFrame, reps: DataFrame) -> DataFrame:
+        """Shared keys of the nodes that have enough of them for any partner."""
+        num, den = self.num, self.den
+        have = shared.groupBy("node").agg(F.count_if(F.col("info") == 1).alias("have"), F.count_if(F.col("info") == 0).alias("lower"), F.count_if(F.col("info") == 2).alias("cut"))
+        facts = self.beside(have, reps.select("node", "n", "units"))
+        n, units = F.col("n"), F.col("units")
+        smaller = units - F.floor(n * (den - num) / F.lit(num))
+        # A smaller partner has at least t * n tokens, and is allowed less.
+        larger = F.least(F.ceil(F.lit(SPREAD) * F.ceil(n * num / F.lit(den))) - F.floor(n * (den - num) / F.lit(den)), units - F.floor(2 * n * (den - num) / F.lit(num + den)))
+        enough = F.col("have") >= F.greatest(F.least(smaller, larger), F.lit(1))
+        alive = facts.filter(enough | (F.col("lower") > 0) | ((F.least(smaller, larger) < 1) & (F.col("cut") > 0)))
+        return materialize(self.beside(shared, materialize(alive.select("node"), "ngram-alive")), "ngram-pruned")
+
+    def hub_pairs(self, rows: DataFrame, nodes: DataFrame, tried: DataFrame | None) -> DataFrame:
+        """(a, b): each node and the most central node of other components that it shares most keys with.
+
+        rows: (key, node); nodes: (node, n, component, central, sketch).
         """
+        tagged = self.beside(rows, nodes.select("node", "component", "central"))
+        # Grouped, with partial results before the shuffle, and joined back: no key lands in one task.
+        hubs = tagged.groupBy("key").agg(F.max(F.struct("central", "node", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("top"))
+        hubs = hubs.filter("low <> top").select("key", F.col("hub.node").alias("b"), F.col("hub.component").alias("hub_component"))
+        pairs = tagged.join(hubs, "key").filter("component <> hub_component").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("common"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        left = nodes.select(F.col("node").alias("a"), "n", *_SKETCHES)
+        right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), *[F.col(s).alias(f"t{i}") for i, s in enumerate(_SKETCHES)])
+        near = pairs.join(left, "a").join(right, "b").filter(_within(self.num, self.den))
+        return near.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
+
+    def candidates(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components to verify.  rows: (key, node, info); nodes as for hub_pairs, with units."""
         num, den = self.num, self.den
-        # The partitioning by key serves both windows and the removal of repeated rows.
-        others = tagged.withColumn("outside", F.count(F.lit(1)).over(Window.partitionBy("key")))
-        others = others.withColumn("outside", F.col("outside") - F.count(F.lit(1)).over(Window.partitionBy("key", "component"))).filter("outside > 0")
-        others = others.dropDuplicates(["key", "node", "info"])
-        # A unit is a subset key, or all deletion keys of a segment.
-        others = others.withColumns({"probe": F.col("info").bitwiseAND(3), "unit": F.when(F.col("info") > 3, F.shiftright("info", 2).cast("long")).otherwise(F.col("key"))})
-        others = materialize(others.drop("info"), name)
-        units = others.filter("probe > 0").groupBy("node", "unit", "probe").agg(F.sum("outside").alias("cost"))
-        paid = units.groupBy("node").agg(F.count(F.lit(1)).alias("paid"))
-        need = F.floor(F.col("n") * (den - num) / F.lit(num)) + 1
-        if plans is None:
-            weight = F.col("n")
-        else:
-            # With its deletions every node can reach its need; counting no more than that as free is safe.
-            filled = F.coalesce(*[F.when(F.col("band") == b, F.col(f"cost{option}")) for b, (option, _) in plans.items()], F.lit(0))
-            weight = F.greatest(filled, need)
-        weights = reps.select("node", need.alias("need"), weight.alias("weight"))
-        # A deletion unit also needs its segment's subset unit, so all of those come first.
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("probe", "cost", "unit"))
-        units = units.withColumn("rank", rank).join(paid, "node").join(weights, "node").withColumn("free", F.col("weight") - F.col("paid"))
-        chosen = units.filter("rank <= need - free").select("node", "unit", "probe", "cost", "free")
-        probes = others.join(chosen, ["node", "unit", "probe"])
-        index = others.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-        near = (F.col("component") != F.col("component_b")) & (F.col("n") <= F.col("n_b")) & (F.col("n") * den >= F.col("n_b") * num)
-        if plans is None:
-            # Free tokens are in one set of any pair only; of the others, the exclusive or of two parity
-            # sketches has at most as many bits as tokens differ.  Both count within the difference.
-            bit = F.col("key").bitwiseAND(F.lit(64 * SKETCH - 1))
-            sketch = [F.bit_xor(F.when(F.shiftright(bit, 6) == i, F.expr("shiftleft(1L, cast(key & 63 as int))")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)]
-            sketches = others.groupBy("node").agg(*sketch)
-            spare = paid.join(weights, "node").join(sketches, "node").select(F.col("node").alias("b"), (F.col("weight") - F.col("paid")).alias("free_b"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)])
-            index = index.join(spare, "b").filter(F.col("free_b") * (num + den) <= 2 * F.col("n_b") * (den - num))
-            probes = probes.join(sketches, "node")
-            differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH)), F.col("free") + F.col("free_b"))
-            near &= differ * (num + den) <= (F.col("n") + F.col("n_b")) * (den - num)
-        cheap = probes if costly is None else probes.filter(F.col("cost") <= costly)
-        pairs = cheap.join(index, (cheap["key"] == index["key"]) & near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        if costly is None:
-            return pairs, pairs.select(F.col("a").alias("node"))
-        hot = others.join(probes.filter(F.col("cost") > costly).select("key").distinct(), "key", "left_semi").select("node")
-        return pairs, hot
+        tagged = self.beside(rows, nodes.select("node", "component"))
+        cost = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.count(F.lit(1)).alias("cost"))
+        others = materialize(rows.join(cost.filter("low <> top").select("key", "cost"), "key"), "ngram-others")
+        home = others.filter("info = 1")
+        paid = home.groupBy("node").agg(F.count(F.lit(1)).alias("paid"))
+        need = F.floor(F.col("n") * (den - num) / F.lit(num)) + 1 - (F.col("units") - F.col("paid"))
+        short = F.col("units") < F.floor(F.col("n") * (den - num) / F.lit(num)) + 1
+        needs = self.beside(paid, nodes).select("node", need.alias("need"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("cost", "key"))
+        chosen = home.withColumn("rank", rank).join(needs, "node").filter("rank <= need").select("key", "node")
+        # Sets that fall into too few segments probe all that they have, deletions too.
+        chosen = chosen.unionByName(self.beside(others.filter("info > 0"), nodes.filter(short).select("node")).select("key", "node")).distinct()
+        probes = self.beside(chosen, nodes.select("node", "n", "component", *_SKETCHES))
+        index = self.beside(others.select("key", "node").distinct(), nodes.select("node", F.col("n").alias("n_b"), F.col("component").alias("component_b"), *[F.col(s).alias(f"t{i}") for i, s in enumerate(_SKETCHES)]))
+        near = (F.col("component") != F.col("component_b")) & (F.col("n") <= F.col("n_b")) & _within(num, den)
+        index = index.withColumnRenamed("key", "key_b").withColumnRenamed("node", "b")
+        pairs = probes.join(index, (F.col("key") == F.col("key_b")) & near)
+        return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
     def classes(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id): component_id is the least doc_id reachable by links."""
         size, num, den = self.size, self.num, self.den
+        small_batches(docs.sparkSession)
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         nodes = materialize(docs.mapInArrow(lambda it: _node_rows(it, size, num, den), _NODES), "ngram-nodes")
         plans = choose_plans(nodes)
         # A node is named by its least doc_id; should another set share that, by its digest.
-        facts = [F.first(c).alias(c) for c in ("band", *(f"cost{i}" for i in range(len(LOADS))))]
-        reps = nodes.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *facts)
+        chosen = F.coalesce(*[F.when(F.col("band") == b, F.col(f"units{option}")) for b, (option, _) in plans.items()], F.lit(0).cast("long"))
+        facts = [F.first(c).alias(c) for c in ("units", *_SKETCHES)]
+        identity = ["digest", "check", F.col("n_shingles").alias("n")]
+        reps = nodes.filter("n_shingles > 0 and doc_id is not null").withColumn("units", chosen).groupBy(*identity).agg(F.min("doc_id").alias("rep"), *facts)
         turn = F.row_number().over(Window.partitionBy("rep").orderBy("digest"))
         reps = materialize(reps.withColumn("turn", turn).withColumn("node", F.when(F.col("turn") == 1, F.col("rep")).otherwise(F.col("digest"))).drop("turn"), "ngram-reps")
-        keys = self.texts_of(None, docs, reps, "ngram-all").mapInArrow(lambda it: _key_rows(it, size, num, den, plans), _KEYS)
-        by_key = Window.partitionBy("key")
-        shared = keys.withColumns({"low": F.min("node").over(by_key), "top": F.max("node").over(by_key)}).filter("low <> top").drop("low", "top")
-        shared = shared.dropDuplicates(["key", "node", "info"]).withColumn("holders", F.count(F.lit(1)).over(by_key))
-        shared = materialize(shared, "ngram-keys")
+        rows = self.pruned(self.shared_keys(docs, reps, plans), reps)
         # How common a node's keys are: the text that others of a group were made from ranks first.
-        central = materialize(shared.groupBy("node").agg(F.avg("holders").alias("central")).join(reps.select("node", "n"), "node"), "ngram-central")
-        links = tried = None
-        component = central.select("node", "n", F.col("node").alias("component"))
+        holders = rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders"))
+        central = rows.join(holders, "key").groupBy("node").agg(F.avg("holders").alias("central"))
+        known = materialize(reps.select("node", "n", "units", *_SKETCHES).join(central, "node").withColumn("component", F.col("node")), "ngram-central")
         # A quarter of the keys is enough to find hubs; what they miss is found below.
-        some = shared.filter("info < 2").filter(F.col("key").bitwiseAND(3) == 0).select("key", "node")
+        some = rows.filter("info < 2").filter(F.col("key").bitwiseAND(3) == 0).select("key", "node")
+        links = tried = None
         for step in range(HUB_ROUNDS):
-            ranked = self.beside(some, central.drop("n").join(component, "node"))
-            hub = F.max(F.struct("central", "node", "component")).over(by_key)
-            pairs = ranked.withColumn("hub", hub).filter("component <> hub.component").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"))
-            pairs = pairs.filter(F.col("common") * 48 >= F.col("n")).select(F.col("node").alias("a"), F.col("hub").alias("b"), "common")
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            best = pairs.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
-            best = materialize(best, f"ngram-hub{step}")
+            best = materialize(self.hub_pairs(some, known, tried), f"ngram-hub{step}")
+            if best.isEmpty():
+                break
             found = self.verified(best, docs, reps, f"ngram-hub{step}")
-            links = found if links is None else links.unionByName(found)
             tried = best if tried is None else tried.unionByName(best)
-            known = connected_components(links, f"ngram-hub{step}")
-            component = materialize(central.select("node", "n").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), f"ngram-component{step}")
-        tagged = self.beside(shared.drop("holders"), component)
-        pairs, hot = self.candidates(tagged, reps, plans, "ngram-others", COSTLY)
-        # Nodes left with costly units, and all holders of those keys, are indexed again with each token
-        # as a segment of its own: tokens that nobody else holds then bound the difference from both sides.
-        again = materialize(hot.distinct(), "ngram-again")
-        if not again.isEmpty():
-            tokens = self.texts_of(again, docs, reps, "ngram-again").mapInArrow(lambda it: _token_rows(it, size), _KEYS)
-            tagged = self.beside(tokens, component)
-            more, _ = self.candidates(tagged, reps, None, "ngram-fine", None)
-            pairs = pairs.unionByName(more).distinct()
-        more_links = self.verified(pairs, docs, reps, "ngram-rest")
-        joined = connected_components(links.unionByName(more_links), "ngram-all")
-        rep_of = reps.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = rep_of.groupBy("component").agg(F.min("rep").alias("component_id"))
-        rep_of = rep_of.join(least, "component").select("node", "component_id")
-        rep_of = rep_of.join(reps.select("node", "digest"), "node").drop("node")
+            if found.isEmpty():
+                break
+            links = found if links is None else links.unionByName(found)
+            joined = connected_components(links, f"ngram-hub{step}")
+            known = known.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            known = materialize(known, f"ngram-component{step}")
+        pairs = materialize(self.candidates(rows, known), "ngram-pairs")
+        if not pairs.isEmpty():
+            more = self.verified(pairs, docs, reps, "ngram-rest")
+            links = more if links is None else links.unionByName(more)
+        ids = reps.select("node", "rep", "digest", "check")
+        if links is None:
+            rep_of = ids.select("digest", "check", F.col("rep").alias("component_id"))
+        else:
+            joined = connected_components(links, "ngram-all")
+            rep_of = ids.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            least = rep_of.groupBy("component").agg(F.min("rep").alias("component_id"))
+            rep_of = rep_of.join(least, "component").select("digest", "check", "component_id")
         return (
-            nodes.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-            .join(rep_of, "digest", "left")
+            nodes.select("doc_id", "n_shingles", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("digest", "check")])
+            .join(rep_of, ["digest", "check"], "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         )
