@@ -56,6 +56,21 @@ def test_empty_table_and_clashing_columns(spark):
     assert sorted((r.doc_id or -1, r.component_id) for r in got) == [(-1, None), (1, 1), (2, 1)]
 
 
+def test_keep_removes_rows_not_ids(spark):
+    a, b, c = "a b c d e f g h", "p q r s t u v w", "one two three four five six"
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (8, None), (8, None), (None, a), (9, a.upper() + " i"), (9, "z")]
+    docs = frame(spark, rows).withColumnRenamed("lang", "node")
+    for limit in (ngram_join.BROADCAST_IDS, 0):
+        ngram_join.BROADCAST_IDS, had = limit, ngram_join.BROADCAST_IDS
+        try:
+            got = ngram_join.JaccardJoin().keep(docs)
+            assert got.columns == docs.columns
+            assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == sorted([(-1, a), (3, a), (5, b), (7, c), (8, ""), (8, ""), (9, "z")])
+        finally:
+            ngram_join.BROADCAST_IDS = had
+    assert ngram_join.JaccardJoin().keep(frame(spark, [])).count() == 0
+
+
 def test_pairs_at_the_threshold_share_a_unit():
     """Any two sets that differ in as many tokens as may be share a key, under each option."""
     rng = np.random.default_rng(1)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from conftest_llm import frame
@@ -54,6 +55,100 @@ def test_confident_context_finds_what_the_base_misses(spark):
     assert got[100].n_phone == 1 and got[100].spans.count(":") == 2
 
 
+def planted(n=600):
+    """Texts with identifiers beside telling words, some in forms that the base patterns miss, and numbers that are none."""
+    rng = random.Random(11)
+    filler = ["river", "stone", "and", "of", "the", "market", "walks", "over", "green", "letter"]
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    seen = {"email": lambda: f"u{digits(4)}@mail{digits(1)}.example.com", "ip": lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.7", "phone": lambda: f"+49{digits(9)}"}
+    unseen = {"email": lambda: f"u{digits(4)}(at)mail.example", "ip": lambda: f"10-{rng.randrange(256)}-{rng.randrange(256)}-7", "phone": lambda: digits(9)}
+    cue = {"email": ["Mail:", "address"], "ip": ["host", "from-ip"], "phone": ["Phone:", "dial"]}
+    rows, truth = [], set()
+    for i in range(n):
+        words = [rng.choice(filler) for _ in range(rng.randint(5, 20))]
+        kind = rng.choice(list(cue))
+        new = rng.random() < 0.4
+        at = rng.randrange(len(words))
+        value = (unseen if new else seen)[kind]()
+        words[at:at] = [rng.choice(cue[kind]), value]
+        if rng.random() < 0.5:  # numbers of a phone's shape in other places
+            words.insert(rng.choice([0, len(words)]), digits(9))
+            if len(words) > 1 and words[0][0].isdigit():
+                at += 1
+        text = " ".join(words)
+        rows.append((i, text))
+        if new:
+            begin = len(" ".join(words[: at + 1])) + 1
+            truth.add((i, f"ctx_{kind}:{begin}:{begin + len(value)}"))
+    return rows, truth
+
+
+def test_precision_and_recall_of_unseen_identifiers(spark):
+    rows, truth = planted()
+    got = {(r.doc_id, x) for r in pii.find(frame(spark, rows)).collect() for x in r.spans.split(",") if x.startswith("ctx_")}
+    assert len(truth) > 200
+    assert len(got & truth) >= 0.95 * len(got) and len(got & truth) >= 0.95 * len(truth)
+
+
+def brute_scores(rows, rounds, confident, support):
+    """Confident patterns by plain loops over the texts."""
+    tokens = re.compile(r"(?<!\S)(?=\S*?(?:[0-9@]|\(at\)|\[at\]))\S+")
+    shape = {k: re.compile(v) for k, v in pii._SHAPE.items()}
+    graph, total = {}, {}
+    for _, text in rows:
+        for w in text.lower().split():
+            total[w] = total.get(w, 0) + 1
+        spans = [(k, a, b) for k, a, b in base(text)]
+        taken = [(None, m.start(), m.end()) for m in tokens.finditer(text) if any(s.search(m[0]) for s in shape.values()) and not any(re.search(RULES[k], m[0]) for k in ("email", "ip", "phone"))]
+        for kind, a, b in spans + taken:
+            left, right = text[:a].split()[-1:], text[b:].split()[:1]
+            if a and not text[a - 1].isspace():
+                left = [text[:a].split()[-1]]
+            for side, w in (("L:", left), ("R:", right)):
+                if w:
+                    e = graph.setdefault(side + w[0].lower(), {}).setdefault(text[a:b], [None, 0])
+                    e[0], e[1] = e[0] or kind, e[1] + 1
+    graph = {p: v for p, v in graph.items() if len(v) >= support}
+    belief, scores = {}, {}
+    for step in range(rounds):
+        scores = {}
+        for p, vals in graph.items():
+            for k in RULES:
+                seeds = {v: n for v, (kind, n) in vals.items() if kind == k}
+                free = {v: n for v, (kind, n) in vals.items() if kind is None and shape[k].search(v)}
+                if sum(1 for _ in seeds) + sum(belief.get((v, k), 0) >= confident for v in free) < support:
+                    continue
+                held = sum(seeds.values()) + sum(n * belief.get((v, k), 0.0) for v, n in free.items())
+                spare = sum(n * (1 - belief.get((v, k), 0.0)) for v, n in free.items())
+                score = held / (max(total.get(p[2:], 0) - spare, held) + 1)
+                if score >= confident / 2:
+                    scores[p, k] = score
+        if step + 1 == rounds:
+            break
+        wrong = {}
+        for (p, k), x in scores.items():
+            for v, (kind, _) in graph[p].items():
+                if kind is None and shape[k].search(v):
+                    wrong[v, k] = wrong.get((v, k), 1.0) * max(1e-6, 1 - x)
+        belief = {vk: 1 - w for vk, w in wrong.items()}
+    return {pk: x for pk, x in scores.items() if x >= confident}
+
+
+def test_scores_match_brute_force(spark):
+    rows, _ = planted(300)
+    docs = frame(spark, rows)
+    got = {(r.pattern, r.kind): r.score for r in pii.confident_patterns(pii._edges(pii.scan(docs)), docs).collect()}
+    want = brute_scores(rows, pii.ROUNDS, pii.CONFIDENT, pii.SUPPORT)
+    assert got.keys() == want.keys() and len(want) >= 6
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"a{i}@b.cd 10.0.{i % 256}.1" for i in range(8000))
+    got = pii.find(frame(spark, [(1, text)])).first()
+    assert got.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base(text)).encode()).hexdigest()
+
+
 def test_empty_repeated_and_null_id(spark):
     assert pii.find(frame(spark, [])).count() == 0
     rows = frame(spark, [(1, "a@b.cd"), (1, "a@b.cd"), (None, "a@b.cd")]).withColumnRenamed("lang", "token").withColumnRenamed("source", "base")

@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a row group in intermediate tables: a writer holds one in memory.
 ROW_GROUP = 16 << 20
 #: Rows of an Arrow batch at most, as texts may be long.
-BATCH_ROWS = 500
+BATCH_ROWS = 2000
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))

@@ -1,10 +1,13 @@
 """Exact deduplication as a stateful stream over a disk-backed (RocksDB) state store.
 
-State, keyed by the SHA-256 of the normalised text, holds for each distinct text the identifier and
-content locator of the row that stays and the number of rows, and never expires (no watermark).
-Each micro-batch writes its changed keys under its batch id, so a batch that is run again after a
-failure replaces its own output.  Where a digest was seen before, the full normalised bytes are
-compared with those at the locator; texts that share a digest but differ are told apart.
+A first stream hashes every text once and keeps (digest, doc_id, locator) of each row as files.  A second,
+stateful stream takes those in several micro-batches: its state, keyed by the SHA-256 of the normalised
+text, holds for each distinct text the identifier and content locator of the row that stays and the number
+of rows, and never expires (no watermark).  Each micro-batch writes its changed keys under its batch id, so
+a batch that is run again after a failure replaces its own output.  Rows whose digest was seen more than
+once are read again by their locators, and their full normalised bytes are compared: the least and the
+greatest text of a digest are equal if all are, which needs no group in one task.  Texts that share a
+digest but differ are told apart.
 
 All of it is DataFrame and SQL functions.
 """
@@ -18,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, new_path
 
-#: Up to so many digests seen twice (a few hundred bytes each) are broadcast to find their texts; beyond, a shuffled join.
+#: Up to so many digests or rows seen twice (a few hundred bytes each) are broadcast to find their rows; beyond, a shuffled join.
 BROADCAST_DIGESTS = 100_000
+#: Micro-batches that the files of one feed are dealt over.
+BATCHES = 3
 
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -59,8 +64,13 @@ class ExactDedup:
 
     def feed(self, stream: DataFrame) -> None:
         """Take in all rows (doc_id, text, locator) that the stream has now; may be called again later."""
+        hashed = _digest(stream).select("digest", "doc_id", "locator")
+        hashed.writeStream.format("parquet").option("path", self._digests).option("checkpointLocation", f"{self.dir}/hashing").trigger(availableNow=True).start().awaitTermination()
+        rows = self.digests()
+        files = max(1, -(-len(rows.inputFiles()) // BATCHES))
         best = F.max(F.struct("doc_id", "locator"))
-        state = _digest(stream).groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+        seen = self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(self._digests)
+        state = seen.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
         updates = f"{self.dir}/updates"
 
         def save(batch: DataFrame, batch_id: int) -> None:
@@ -76,25 +86,45 @@ class ExactDedup:
             for k, v in before.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
+    @property
+    def _digests(self) -> str:
+        return f"{self.dir}/digests"
+
+    def digests(self) -> DataFrame:
+        """(digest, doc_id, locator) of every row fed so far."""
+        return self.spark.read.schema("digest binary, doc_id long, locator string").parquet(self._digests)
+
     def state(self) -> DataFrame:
-        """(digest, keep_id, locator, group_size): the last state of each digest."""
+        """(digest, keep_id, keep_at, group_size): the last state of each digest."""
         rows = self.spark.read.schema("digest binary, best struct<doc_id: long, locator: string>, group_size long, batch long").parquet(f"{self.dir}/updates")
         last = rows.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("s"))
         return last.select("digest", F.col("s.best.doc_id").alias("keep_id"), F.col("s.best.locator").alias("keep_at"), F.col("s.group_size").alias("group_size"))
 
-    def differing(self, rows: DataFrame) -> DataFrame:
+    @staticmethod
+    def _beside(rows: DataFrame, side: DataFrame, on: str, how: str) -> DataFrame:
+        """A join with a table that is broadcast while it has at most BROADCAST_DIGESTS rows."""
+        return rows.join(F.broadcast(side) if side.count() <= BROADCAST_DIGESTS else side, on, how)
+
+    def differing(self, rows: DataFrame, repeated: DataFrame) -> DataFrame:
         """Rows whose bytes differ from those kept under their digest (a collision; none are expected)."""
-        hits = materialize(self.state().filter("group_size > 1").select("digest", "keep_at"), "dedup-hits")
-        side = F.broadcast(hits) if hits.count() <= BROADCAST_DIGESTS else hits
-        texts = materialize(_digest(rows).join(side, "digest"), "dedup-hit-texts")
+        hits = materialize(self._beside(self.digests(), repeated, "digest", "inner").select("locator", "digest", "keep_at"), "dedup-hits")
+        texts = self._beside(rows.select("doc_id", "locator", normal(F.col("text")).alias("body")), hits, "locator", "inner")
+        apart = texts.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("greatest")).filter("least <> greatest").select("digest")
+        apart = materialize(apart, "dedup-apart")
+        if apart.isEmpty():
+            return texts.filter(F.lit(False)).select("digest", "doc_id", "locator", "body")
+        texts = materialize(self._beside(texts, apart, "digest", "inner"), "dedup-apart-texts")
         kept = texts.filter(F.col("locator") == F.col("keep_at")).select("digest", F.col("body").alias("kept_body"))
         return texts.join(kept, "digest").filter(F.col("body") != F.col("kept_body")).select("digest", "doc_id", "locator", "body")
 
     def result(self, rows: DataFrame) -> DataFrame:
-        """(doc_id, keep_id, group_size, kept, text_sha256) for each of the rows (doc_id, text, locator) fed so far."""
-        state = self.state()
-        plain = _digest(rows).select("doc_id", "locator", "digest").join(state, "digest")
-        differing = materialize(self.differing(rows), "dedup-differing")
+        """(doc_id, keep_id, group_size, kept, text_sha256) of every row fed so far; rows: the same (doc_id, text, locator)."""
+        repeated = materialize(self.state().filter("group_size > 1"), "dedup-repeated")
+        # A digest seen once needs no look at the state: its only row stays.
+        found = self._beside(self.digests(), repeated, "digest", "left")
+        one = F.col("group_size").isNull()
+        plain = found.select("doc_id", "locator", "digest", *[F.when(one, F.col(c)).otherwise(F.col(k)).alias(k) for c, k in (("doc_id", "keep_id"), ("locator", "keep_at"))], F.coalesce("group_size", F.lit(1)).alias("group_size"))
+        differing = materialize(self.differing(rows, repeated), "dedup-differing")
         if not differing.isEmpty():
             group = Window.partitionBy("digest", "body")
             best = F.max(F.struct("doc_id", "locator")).over(group)

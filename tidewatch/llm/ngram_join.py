@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lower_words, materialize, mix, shingle_sets, small_batches, word_hashes
 from .components import connected_components
@@ -59,9 +60,9 @@ BROADCAST_IDS = 500_000
 SKETCH = 8
 #: Documents that are looked at for very frequent keys, which are then dealt to ``SALTS`` tasks each.
 #: That decides where rows go, never what is found.
-HOT_SAMPLE, HOT_SHARE, SALTS = 4000, 0.01, 64
+HOT_SAMPLE, HOT_SHARE, HOT_KEYS, SALTS = 4000, 0.01, 50_000, 64
 
-#: info: 0 indexed only; 1 subset in the home band; 2 one-deletion key there.
+#: info: 0 indexed only; 1 subset in the home band; 2 one-deletion key there; from 4 on, marked as hot.
 _KEYS = "key long, node long, info int"
 _SKETCHES = [f"s{i}" for i in range(SKETCH)]
 _NODES = "doc_id long, digest long, check long, n_shingles long, band int, " + ", ".join(f"{s} long" for s in _SKETCHES) + ", " + ", ".join(f"miss{i} int, units{i} long" for i in range(len(LOADS)))
@@ -206,7 +207,8 @@ def _owned(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.nd
         yield nodes, hashes[np.repeat(own, count)], np.r_[0, np.cumsum(count[own])], part.column(1).filter(pa.array(own))
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, plans: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+def _key_rows(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, plans: dict[int, tuple[int, int]], hot: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Keys of rows (node, text, digest, check); hot: sorted keys whose rows are marked and dealt out by node."""
     for node, hashes, off, _ in _owned(batches, size):
         count = np.diff(off)
         home = np.array([band_of(n) for n in count.tolist()], dtype=np.int64)
@@ -220,7 +222,32 @@ def _key_rows(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int,
             mine = np.repeat(rows, count)
             key, row, level = keys_of(hashes[mine], np.r_[0, np.cumsum(count[rows])], home[rows] - below, plans, num, den)
             info = np.zeros_like(level) if below else 1 + level
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), node[rows][row], info.astype(np.int32))], names=["key", "node", "info"])
+            key = key.view(np.int64)
+            if hot is not None and len(hot):
+                many = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                info = np.where(many, info + 4 * (1 + node[rows][row] % SALTS), info)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, node[rows][row], info.astype(np.int32))], names=["key", "node", "info"])
+
+
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, info) in order, each once, those whose key another node has; marked ones always, unmarked."""
+    key, node, info = (np.zeros(0, np.int64) for _ in range(3))
+    before = np.zeros(0, dtype=bool)  # the row held back shares its key with one already gone
+    for batch in batches:
+        key, node, info = (np.r_[have, c.to_numpy(zero_copy_only=False)] for have, c in zip((key, node, info), batch.columns, strict=True))
+        same = key[1:] == key[:-1]
+        once = np.r_[np.ones(min(len(key), 1), dtype=bool), ~(same & (node[1:] == node[:-1]))]
+        before = np.r_[before, np.zeros(len(key) - len(before), dtype=bool)][once]
+        key, node, info = key[once], node[once], info[once]
+        same = key[1:] == key[:-1]
+        before[1:] |= same
+        shared = before.copy()
+        shared[:-1] |= same
+        out = (shared | (info >= 4))[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(key[:-1][out]), pa.array(node[:-1][out]), pa.array((info[:-1][out] & 3).astype(np.int32))], names=["key", "node", "info"])
+        key, node, info, before = key[-1:], node[-1:], info[-1:], before[-1:]
+    if len(key) and (before[0] or info[0] >= 4):
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array((info & 3).astype(np.int32))], names=["key", "node", "info"])
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -228,6 +255,17 @@ def _text_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), texts], names=["node", "text"])
 
 
+def _with_identity(batches: Iterator[pa.RecordBatch], text_at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows with the 128 bits of their sets added."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 300):
+                part = batch.slice(lo, 300)
+                hashes, off = shingle_sets(*word_hashes(part.column(text_at), lower=True), size)
+                digest, check = zip(*_node_ids(hashes, off), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest, pa.int64()), pa.array(check, pa.int64())], names=[*part.schema.names, "_digest", "_check"])
+
+
 def shingles(text: str, size: int) -> set[tuple[bytes, ...]]:
     words = lower_words(text)
     if len(words) < size:
@@ -298,20 +336,19 @@ class JaccardJoin:
     def shared_keys(self, docs: DataFrame, reps: DataFrame, plans: dict[int, tuple[int, int]]) -> DataFrame:
         """Keys (key, node, info) that two nodes or more have."""
         size, num, den = self.size, self.num, self.den
-        schema = _KEYS
         total = reps.count()
         share = min(1.0, HOT_SAMPLE / max(total, 1))
         some = reps.filter(F.xxhash64("node", F.lit(3)).bitwiseAND(F.lit((1 << 40) - 1)) <= int(share * (1 << 40)))
-        seen = self.texts_of(some.select("node"), docs, reps, "ngram-sample").mapInArrow(lambda it: _key_rows(it, size, num, den, plans), schema)
-        # A node of the sample has a bounded number of keys on average, so few can be in a hundredth of the nodes.
+        seen = self.texts_of(some.select("node"), docs, reps, "ngram-sample").mapInArrow(lambda it: _key_rows(it, size, num, den, plans, None), _KEYS)
+        # So few keys can be in a hundredth of the sampled nodes each: HOT_KEYS at most come to the driver.
         least = max(20, int(HOT_SHARE * share * total))
-        hot = materialize(seen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("key", F.lit(True).alias("hot")), "ngram-hot")
-        keys = self.texts_of(None, docs, reps, "ngram-all").mapInArrow(lambda it: _key_rows(it, size, num, den, plans), schema)
-        side = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
-        dealt = keys.join(side, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-        by_key = Window.partitionBy("key", "salt")
-        shared = dealt.withColumns({"low": F.min("node").over(by_key), "top": F.max("node").over(by_key)}).filter("low <> top or hot")
-        return materialize(shared.select("key", "salt", "node", "info").distinct().drop("salt"), "ngram-keys")
+        found = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
+        hot = np.sort(np.array([r["key"] for r in found], dtype=np.int64))
+        keys = self.texts_of(None, docs, reps, "ngram-all").mapInArrow(lambda it: _key_rows(it, size, num, den, plans, hot), _KEYS)
+        # Rows of a key lie side by side in a sorted task and stream through it; none is gathered.
+        placed = F.when(F.col("info") >= 4, F.xxhash64("key", "info")).otherwise(F.col("key"))
+        lined = keys.repartition(placed).sortWithinPartitions("key", "node")
+        return materialize(lined.mapInArrow(_shared_rows, _KEYS), "ngram-keys")
 
     def pruned(self, shared: DataFrame, reps: DataFrame) -> DataFrame:
         """Shared keys of the nodes that have enough of them for any partner."""
@@ -365,8 +402,11 @@ class JaccardJoin:
         pairs = probes.join(index, (F.col("key") == F.col("key_b")) & near)
         return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
-    def classes(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n_shingles, component_id): component_id is the least doc_id reachable by links."""
+    def _fitted(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(nodes: a row for each document, with its identity (digest, check); (digest, check, component_id, head) of each set).
+
+        component_id is the least doc_id reachable by links, head whether the set is the one that names its class.
+        """
         size, num, den = self.size, self.num, self.den
         small_batches(docs.sparkSession)
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -404,15 +444,44 @@ class JaccardJoin:
             more = self.verified(pairs, docs, reps, "ngram-rest")
             links = more if links is None else links.unionByName(more)
         ids = reps.select("node", "rep", "digest", "check")
-        if links is None:
-            rep_of = ids.select("digest", "check", F.col("rep").alias("component_id"))
-        else:
-            joined = connected_components(links, "ngram-all")
-            rep_of = ids.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            least = rep_of.groupBy("component").agg(F.min("rep").alias("component_id"))
-            rep_of = rep_of.join(least, "component").select("digest", "check", "component_id")
+        joined = None if links is None else connected_components(links, "ngram-all")
+        rep_of = ids.withColumn("component", F.col("node")) if joined is None else ids.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        first = rep_of.groupBy("component").agg(F.min(F.struct("rep", "digest", "check")).alias("first"))
+        head = (F.col("digest") == F.col("first.digest")) & (F.col("check") == F.col("first.check"))
+        return nodes, rep_of.join(first, "component").select("digest", "check", F.col("first.rep").alias("component_id"), head.alias("head"))
+
+    def classes(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, n_shingles, component_id): component_id is the least doc_id reachable by links."""
+        nodes, rep_of = self._fitted(docs)
         return (
             nodes.select("doc_id", "n_shingles", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("digest", "check")])
             .join(rep_of, ["digest", "check"], "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         )
+
+    def keep(self, docs: DataFrame) -> DataFrame:
+        """One row of docs for each class, with all columns: of the document that names it; of equal rows one.
+
+        Rows, not ids, are removed: texts that share a doc_id are judged each for itself.  Rows without doc_id
+        and texts without words stay.
+        """
+        size = self.size
+        nodes, rep_of = self._fitted(docs)
+        texts = nodes.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "digest", "check").agg(F.count(F.lit(1)).alias("rows"))
+        stays = F.col("head") & (F.col("doc_id") == F.col("component_id"))
+        marks = texts.join(rep_of, ["digest", "check"]).withColumn("stays", stays).filter("not stays or rows > 1")
+        marks = materialize(marks.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("check").alias("_check"), F.col("stays").alias("_stays")), "ngram-marks")
+        ids = materialize(marks.select("_id").distinct(), "ngram-marked-ids")
+        side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        same_id = docs["doc_id"].cast("long") == side["_id"]
+        schema = T.StructType([*docs.schema, T.StructField("_digest", T.LongType()), T.StructField("_check", T.LongType())])
+        text_at = docs.columns.index("text")
+        # Only rows whose id is marked are hashed again, to tell which of its texts they hold.
+        hashed = docs.join(side, same_id, "left_semi").mapInArrow(lambda it: _with_identity(it, text_at, size), schema)
+        marked = F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks
+        both = (F.col("doc_id").cast("long") == F.col("_id")) & hashed["_digest"].eqNullSafe(marked["_digest"]) & hashed["_check"].eqNullSafe(marked["_check"])
+        judged = hashed.join(marked, both, "left").drop(marked["_digest"], marked["_check"])
+        kept = judged.filter("_stays is null").select(*docs.columns)
+        # Equal rows of a text that stays: the least of them, so that a rerun keeps the same.
+        equal = judged.filter("_stays").groupBy(F.col("_id").alias("_kept_id"), "_digest", "_check").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+        return docs.join(side, same_id, "left_anti").unionByName(kept).unionByName(equal)

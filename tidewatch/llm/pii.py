@@ -1,14 +1,15 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.
 
-Base matches of each kind (email, ip, card, phone) are seeds.  The words beside them are lexical
-patterns; patterns and identifier-like values form a graph of co-occurrence.  In each round a
-pattern's score for a kind is the share of its distinct values held to be of that kind, and a value's
-is that at least one of its patterns is right.  Patterns above ``CONFIDENT`` with enough distinct
-seeds mark further values of the kind's shape; their spans have the kind's name with ``ctx_`` before it.
-
-Only DataFrame functions: texts are matched in the JVM in one pass (whole texts, linear patterns), and
-the graph is joined and grouped by pattern and by value.  Scores of frequent words such as "the" come
-from partial sums and are dropped before any join.
+Base matches of each kind (email, ip, card, phone) are seeds.  The nearest word on either side (within 48
+characters) is a lexical pattern; patterns and identifier-like values form a graph of co-occurrence.  In
+each round a pattern's score for a kind is the share of its occurrences in the corpus that stand beside a
+value held to be of that kind.  Unknown values of the kind's shape count neither for nor against, but as
+far as they are believed; a value is believed unless all its patterns are wrong.  Believed values support
+patterns in the next round.  Patterns above ``CONFIDENT`` with enough distinct values mark further values
+of the kind's shape; their spans have the kind's name with ``ctx_`` before it.
+
+Only DataFrame functions: texts are matched in the JVM (whole texts, linear patterns), and the graph is
+joined and grouped by pattern and by value.  Occurrences of pattern words come from partial sums.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import WORD, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 2
+ROUNDS = 3
 CONFIDENT = 0.8
-#: Distinct seed values that a pattern needs.
+#: Distinct values, seeds or believed ones, that a pattern needs.
 SUPPORT = 4
+#: Up to so many patterns are broadcast to the words of the corpus; beyond, a shuffled join.
+BROADCAST_PATTERNS = 200_000
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 # The kinds' patterns.  Lookbehinds and possessive quantifiers change no match; they keep long runs
@@ -35,7 +38,7 @@ _PATTERN = {
 }
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 _OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?(?:\.|$)){4}$"
-_TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*?(?:[0-9@]|\(at\)|\[at\]))[^\x20\x09-\x0D]++"
 _BEFORE, _AFTER = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)"
 _SPAN = "array<struct<b:int,e:int,v:string,left:string,right:string>>"
 #: Shape that a value found by context must have, by kind; values with a base match inside are out.
@@ -48,22 +51,32 @@ _SHAPE = {
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches, with code-point offsets and the text on either side."""
-    bound = F.array(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")))
+    """Leftmost non-overlapping matches, with code-point offsets and the text on either side.
 
-    def walk(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            begin = acc["p"] + F.length(F.element_at(x["gaps"], i))
-            hit = F.element_at(x["hits"], i)
-            end = begin + F.length(hit)
-            left, right = F.right(F.element_at(x["gaps"], i), F.lit(48)), F.left(F.element_at(x["gaps"], i + 1), F.lit(48))
-            span = F.struct(begin.alias("b"), end.alias("e"), hit.alias("v"), left.alias("left"), right.alias("right"))
-            return F.struct(end.alias("p"), F.array_append(acc["s"], span).alias("s"))
+    Offsets are sums over blocks of 64 matches, so that many matches stay near linear.
+    """
+    none = F.array().cast(_SPAN)
+    upto = lambda x, i, n: F.aggregate(F.slice(x["steps"], i + 1, n), F.lit(0), lambda a, b: a + b)
+
+    def spans(x: Column) -> Column:
+        def span(hit: Column, i: Column) -> Column:
+            end = F.get(x["starts"], F.shiftright(i, 6)) + upto(x, F.shiftright(i, 6) * 64, i.bitwiseAND(63) + 1)
+            left, right = F.right(F.get(x["gaps"], i), F.lit(48)), F.left(F.get(x["gaps"], i + 1), F.lit(48))
+            return F.struct((end - F.length(hit)).alias("b"), end.alias("e"), hit.alias("v"), left.alias("left"), right.alias("right"))
+
+        return F.when(F.size(x["hits"]) > 0, F.transform(x["hits"], span)).otherwise(none)
+
+    def with_starts(x: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.size(x["steps"]) - 1, F.lit(0)), F.lit(64))
+        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, i: F.array_append(acc, F.element_at(acc, -1) + upto(x, i, 64)))
+        return F.struct(x["gaps"].alias("gaps"), x["hits"].alias("hits"), x["steps"].alias("steps"), starts.alias("starts"))
 
-        start = F.struct(F.lit(0).alias("p"), F.array().cast(_SPAN).alias("s"))
-        return F.when(F.size(x["hits"]) > 0, F.aggregate(F.sequence(F.lit(1), F.size(x["hits"])), start, step, lambda a: a["s"])).otherwise(F.array().cast(_SPAN))
+    def with_steps(x: Column) -> Column:
+        steps = F.transform(x["hits"], lambda hit, i: F.length(F.get(x["gaps"], i)) + F.length(hit))
+        return F.struct(x["gaps"].alias("gaps"), x["hits"].alias("hits"), steps.alias("steps"))
 
-    return F.element_at(F.transform(bound, walk), 1)
+    parts = F.array(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")))
+    return F.element_at(F.transform(F.transform(F.transform(parts, with_steps), with_starts), spans), 1)
 
 
 def _digits(v: Column) -> Column:
@@ -105,7 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
     known = "|".join(f"(?:{_PATTERN[k]})" for k in ("email", "ip", "phone"))
     shape = "|".join(f"(?:{s})" for s in _SHAPE.values())
     tokens = F.filter(_found(F.col("text"), _TOKEN), lambda s: s["v"].rlike(shape) & ~s["v"].rlike(known))
-    tokens = F.when(F.col("text").rlike("[0-9@]"), tokens).otherwise(F.array().cast(_SPAN))
+    tokens = F.when(F.col("text").rlike(r"[0-9@]|\(at\)|\[at\]"), tokens).otherwise(F.array().cast(_SPAN))
     return rows.select("doc_id", F.xxhash64("text").alias("key"), *[base_spans(F.col("text"), k).alias(k) for k in KINDS], tokens.alias("token"))
 
 
@@ -127,23 +140,48 @@ def _edges(scanned: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", "b", "e", F.col("v").alias("value"), "kind", F.explode(sides).alias("pattern")).filter(F.length("pattern") > 2)
 
 
-def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
+def shaped(kind: Column, value: Column) -> Column:
+    """True if a value has the shape that its kind asks for."""
+    return F.coalesce(*[F.when(kind == k, value.rlike(p)) for k, p in _SHAPE.items()])
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often each pattern's word occurs in the texts."""
+    word = F.substring("pattern", 3, 48)
+    wanted = patterns.select(word.alias("word")).distinct()
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_PATTERNS else wanted
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(f"({WORD})"))).alias("word"))
+    totals = words.join(side, "word").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    return patterns.withColumn("word", word).join(totals, "word", "left").select("pattern", F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def confident_patterns(edges: DataFrame, docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
     """(pattern, kind, score) of the patterns that may mark new values."""
-    graph = materialize(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-graph")
-    totals = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"))
-    belief = graph.filter("kind is not null").select("pattern", "value", "kind", F.lit(1.0).alias("belief"))
+    graph = edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
+    graph = materialize(graph.join(graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("values")).filter(F.col("values") >= support).select("pattern"), "pattern"), "pii-graph")
+    totals = materialize(occurrences(docs, graph.select("pattern").distinct()), "pii-totals")
+    # Every unknown value stands once for each kind whose shape it has.
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    unknown = graph.filter("kind is null").select("pattern", "value", "n", F.explode(kinds).alias("kind")).filter(shaped(F.col("kind"), F.col("value")))
+    seeds = graph.filter("kind is not null").select("pattern", "value", "n", "kind", F.lit(1.0).alias("belief"), F.lit(False).alias("open"))
+    values = seeds.unionByName(unknown.withColumns({"belief": F.lit(0.0), "open": F.lit(True)}))
     scores = None
     for step in range(rounds):
-        held = belief.groupBy("pattern", "kind").agg(F.sum("belief").alias("held"), F.count_if(F.col("belief") == 1.0).alias("seeds"))
-        scores = held.filter(F.col("seeds") >= support).join(totals, "pattern").withColumn("score", F.col("held") / (F.col("values") + 1.0))
-        scores = materialize(scores.filter(F.col("score") >= confident / 2).select("pattern", "kind", "score"), f"pii-patterns{step}")
+        held = values.groupBy("pattern", "kind").agg(
+            F.sum(F.col("n") * F.col("belief")).alias("held"),
+            F.sum(F.when(F.col("open"), F.col("n") * (1.0 - F.col("belief"))).otherwise(0.0)).alias("spare"),
+            F.count_if(F.col("belief") >= confident).alias("support"),
+        )
+        # A word that stands between two values is beside both, so a total is at least what is held.
+        total = F.greatest(F.col("total") - F.col("spare"), F.col("held"))
+        scored = held.filter(F.col("support") >= support).join(totals, "pattern").withColumn("score", F.col("held") / (total + 1.0))
+        scores = materialize(scored.filter(F.col("score") >= confident / 2).select("pattern", "kind", "score"), f"pii-patterns{step}")
         if step + 1 == rounds or scores.isEmpty():
             break
-        # A value is believed unless all its patterns are wrong.
-        guess = graph.filter("kind is null").select("pattern", "value").join(scores, "pattern").groupBy("value", "kind").agg((1.0 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1.0 - F.col("score")))))).alias("belief"))
-        shaped = F.coalesce(*[F.when(F.col("kind") == k, F.col("value").rlike(s)) for k, s in _SHAPE.items()])
-        guess = graph.filter("kind is null").select("pattern", "value").join(guess.filter(shaped), "value").select("pattern", "value", "kind", "belief")
-        belief = graph.filter("kind is not null").select("pattern", "value", "kind", F.lit(1.0).alias("belief")).unionByName(guess)
+        wrong = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1.0 - F.col("score")))))
+        guess = unknown.join(scores, ["pattern", "kind"]).groupBy("value", "kind").agg((1.0 - wrong).alias("belief"))
+        values = unknown.join(guess, ["value", "kind"], "left").select("pattern", "value", "n", "kind", F.coalesce("belief", F.lit(0.0)).alias("belief"), F.lit(True).alias("open"))
+        values = seeds.unionByName(values)
     return scores.filter(F.col("score") >= confident)
 
 
@@ -152,13 +190,13 @@ def find(docs: DataFrame) -> DataFrame:
 
     Counts and digest are of base spans, which are never changed; ``spans`` adds those found by
     context.  Null and empty texts have none; repeated rows are reported alike; other columns are
-    ignored; an empty table gives an empty result.
+    ignored; very long texts and texts of many matches are scanned whole; an empty table gives an empty
+    result.
     """
     scanned = materialize(scan(docs), "pii-scan")
     edges = _edges(scanned)
-    patterns = confident_patterns(edges)
-    shaped = F.coalesce(*[F.when(F.col("kind") == k, F.col("value").rlike(s)) for k, s in _SHAPE.items()])
-    new = edges.filter("kind is null").drop("kind").join(patterns, "pattern").filter(shaped)
+    patterns = confident_patterns(edges, docs)
+    new = edges.filter("kind is null").drop("kind").join(patterns, "pattern").filter(shaped(F.col("kind"), F.col("value")))
     new = new.groupBy("doc_id", "key", "b", "e").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     new = new.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("kind", "b", "e"))).alias("new"))
     new = materialize(new, "pii-new")

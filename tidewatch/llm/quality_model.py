@@ -1,9 +1,10 @@
 """Weak-label quality model.
 
 Overlapping heuristics vote low (1), fine (0) or abstain (-1) on every document.  Expectation-
-maximisation over the counts of vote patterns (at most 2 ** labellers of them, counted over all
-documents) estimates each labeller's accuracy and gives every pattern a posterior.  A linear scorer on hashed byte pairs and hashed repetition levels is
-then trained on posteriors of at most ``TRAIN`` documents, and scores all.
+maximisation over the counts of vote patterns (labellers are one-sided, so there are at most
+2 ** labellers of them, counted over all documents) estimates each labeller's accuracy and gives every
+pattern a posterior.  A linear scorer on hashed byte pairs and hashed repetition levels is then trained
+on posteriors of at most ``TRAIN`` documents, and scores all.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, small_batches
 from .rules import Texts
 
 #: Documents that the scorer is fitted on, at most (chosen by hash of doc_id); 4 * DIM bytes each.
@@ -188,10 +189,12 @@ class QualityModel:
     """Fitted on documents (doc_id, text); ``score`` judges any.
 
     Null and empty texts get abstentions only and are kept; repeated rows are judged alike; a null
-    doc_id is carried; an empty table fits a model that keeps everything.
+    doc_id is carried; very long texts are read whole; other columns are ignored, or kept by ``keep``; an
+    empty table fits a model that keeps everything.
     """
 
     def __init__(self, docs: DataFrame, train: int = TRAIN):
+        small_batches(docs.sparkSession)
         rows = self._rows(docs)
         found = rows.mapInArrow(_vote_rows, "doc_id long, pattern long").groupBy("pattern").count().collect()
         self.patterns = np.array([r["pattern"] for r in found], dtype=np.int64)

@@ -155,7 +155,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation and its loss mask, read back from the formatted output."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", _TRICKY), (-7, 1, "assistant", _TRICKY)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_turns(turns.unionByName(extra))).drop("history_kept")
+    return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
 @query()

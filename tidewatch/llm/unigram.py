@@ -1,11 +1,16 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-The pieces and log scores come from a model file (its path is a parameter; the file is read by the
-driver only and reaches the tasks as a broadcast of a few MB, bounded by the vocabulary).  Encoding
-is exact Viterbi.  A text is cut into units that no piece can span (before a space that follows
+The pieces come from a model file (its path is a parameter; the file is read by the driver only and
+reaches the tasks as a broadcast of a few MB, bounded by the vocabulary).  A unigram model's log scores
+are taken as they are.  A file whose scores are merge ranks has no probabilities: there a piece of rank r
+gets the logarithm of Zipf's law, 1 / (r + 1), made to sum to one over all pieces.  Nothing is trained.
+
+Encoding is exact Viterbi.  A text is cut into units that no piece can span (before a space that follows
 another character, and around newlines, if the vocabulary allows); each distinct unit of a batch is
-encoded once, all of them together: one vector step for each piece length builds the lattice of every
-position, one for each offset in a unit extends all best paths.
+encoded once, all of them together.  One vector step for each piece length builds the lattice of every
+position; it falls into runs where no piece spans a position; one vector step for each offset in a run
+extends all best paths.  Long runs (one letter many times) are walked edge by edge.  Of equal sums the
+path found first wins: the one whose last piece begins earlier.
 
 Spaces become the marker U+2581, with one more in front of a text.  A literal U+2581 and characters
 without a piece are written as byte pieces, so decoding gives back every text exactly.
@@ -14,7 +19,9 @@ without a piece are written as byte pieces, so decoding gives back every text ex
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +30,10 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 _MARK_BYTE = b"\xff"  # stands for the marker inside; never part of UTF-8
-#: Distinct units that a worker remembers at most; then it starts afresh.
-CACHE = 150_000
+#: Bytes of units and their pieces that a worker remembers at most; then it starts afresh.
+CACHE = 24_000_000
+#: Length of a run in bytes from which its best path is found edge by edge.
+LONG_RUN = 512
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -79,10 +88,22 @@ class DoubleArray:
                 self.check[place[kid]] = place[node]
 
 
+def are_ranks(scores: list[float]) -> bool:
+    """True if scores are merge ranks: whole numbers, none above 0, most of them different."""
+    return 2 * len(set(scores)) > len(scores) > 1 and all(x <= 0 and x == int(x) for x in scores)
+
+
+def zipf(ranks: np.ndarray) -> np.ndarray:
+    """Log probabilities in proportion to 1 / (rank + 1)."""
+    weight = 1.0 / (ranks + 1.0)
+    return np.log(weight / weight.sum())
+
+
 class Vocabulary:
     """Pieces, log scores and byte pieces of a model, ready for encoding; picklable."""
 
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int], special: set[int], unknown: int):
+        self.name = uuid.uuid4().hex  # workers tell vocabularies apart by it
         self.unknown = unknown
         self.bytes_of = [b"" for _ in pieces]
         for b, i in byte_ids.items():
@@ -118,7 +139,14 @@ class Vocabulary:
         pieces = [m.id_to_piece(i) for i in range(n)]
         byte_ids = {int(pieces[i][3:5], 16): i for i in range(n) if m.is_byte(i)}
         special = {i for i in range(n) if m.is_control(i) or m.is_unknown(i) or m.is_unused(i)}
-        return cls(pieces, [m.get_score(i) for i in range(n)], byte_ids, special, max(0, m.unk_id()))
+        scores = [m.get_score(i) for i in range(n)]
+        plain = [i for i in range(n) if i not in special and i not in byte_ids.values()]
+        if are_ranks([scores[i] for i in plain]):
+            logs = zipf(np.array([-scores[i] for i in plain]))
+            scores = [0.0] * n
+            for i, x in zip(plain, logs.tolist(), strict=True):
+                scores[i] = x
+        return cls(pieces, scores, byte_ids, special, max(0, m.unk_id()))
 
     def viterbi(self, units: list[bytes]) -> list[bytes]:
         """Best piece ids (little-endian int32) of each unit."""
@@ -161,13 +189,23 @@ class Vocabulary:
         ids.append(np.full(len(bare), -1, np.int32))
         src, dst, pid = np.concatenate(from_), np.concatenate(to), np.concatenate(ids)
         score = np.where(pid >= 0, self.scores[pid], self.unknown_score)
-        offset = src - origin[src]
-        order = np.argsort(offset, kind="stable")
+        # Where no edge passes over a position, every path goes through it: a run ends there.
+        over = np.zeros(len(text) + 2, dtype=np.int64)
+        np.add.at(over, src + 1, 1)
+        np.add.at(over, dst, -1)
+        opens = np.cumsum(over)[: len(text)] == 0
+        opens[begins[begins < len(text)]] = True
+        runs = np.flatnonzero(opens)
+        run_of = np.cumsum(opens) - 1
+        offset = src - runs[run_of[src]]
+        long_edge = np.diff(np.r_[runs, len(text)])[run_of[src]] >= LONG_RUN
+        order = np.argsort(np.where(long_edge, src + len(text), offset), kind="stable")
         src, dst, pid, score, offset = src[order], dst[order], pid[order], score[order], offset[order]
-        # A unit's end is the next one's begin, so best scores are kept by the last byte reached.
+        split = len(src) - int(long_edge.sum())
+        # A run's end is the next one's begin, so best scores are kept by the last byte reached.
         best = np.full(len(text) + 1, -np.inf)
         back = np.full(len(text) + 1, -1, dtype=np.int64)
-        edge = np.flatnonzero(np.r_[True, offset[1:] != offset[:-1], True])
+        edge = np.flatnonzero(np.r_[True, offset[1:split] != offset[: split - 1], True]) if split else np.zeros(0, np.int64)
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             s, d = src[a:b], dst[a:b] - 1
             so_far = score[a:b] if offset[a] == 0 else best[s - 1] + score[a:b]
@@ -175,8 +213,18 @@ class Vocabulary:
             d = d[better]
             best[d] = so_far[better]
             back[d] = np.arange(a, b)[better]
+        if split < len(src):
+            top: dict[int, tuple[float, int]] = {}
+            for e, (s, d, x, k) in enumerate(zip(src[split:].tolist(), dst[split:].tolist(), score[split:].tolist(), offset[split:].tolist(), strict=True), split):
+                if k:
+                    x += top[s - 1][0] if s - 1 in top else -np.inf
+                have = top.get(d - 1)
+                if x > -np.inf and (have is None or x > have[0]):
+                    top[d - 1] = (x, e)
+            at = np.fromiter(top.keys(), np.int64, len(top))
+            back[at] = np.fromiter((e for _, e in top.values()), np.int64, len(top))
         picked = np.zeros(len(src), dtype=bool)
-        live = ends[ends > begins] - 1
+        live = np.r_[runs[1:], len(text)] - 1
         while len(live):
             e = back[live]
             picked[e] = True
@@ -214,12 +262,9 @@ class Vocabulary:
         return _MARK_BYTE + token.encode().replace(b" ", _MARK_BYTE)
 
     def encode(self, texts: list[str | None], cache: dict[str, bytes]) -> list[bytes]:
-        """Piece ids of each text (little-endian int32); null is empty."""
+        """Piece ids of each text (little-endian int32); null is empty.  cache holds units already encoded."""
         tokens = [self._tokens(t or "") for t in texts]
         new = list({x for part in tokens for x in part if x not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({x for part in tokens for x in part})
         for lo in range(0, len(new), 10_000):
             some = new[lo : lo + 10_000]
             cache.update(zip(some, self.viterbi([self._unit(x) for x in some]), strict=True))
@@ -254,16 +299,38 @@ def _merged(parts: list[str]) -> list[str]:
     return out
 
 
-_caches: dict[int, dict[str, bytes]] = {}
+class _Memory:
+    """What a worker remembers: units of one vocabulary, within CACHE bytes."""
+
+    vocabulary = ""
+    units: dict[str, bytes] = {}
+    size = 0
+
+    @classmethod
+    def of(cls, vocabulary: Vocabulary) -> dict[str, bytes]:
+        if cls.vocabulary != vocabulary.name:
+            cls.vocabulary, cls.units, cls.size = vocabulary.name, {}, 0
+        return cls.units
+
+    @classmethod
+    def trim(cls, before: int) -> None:
+        """Count the units added since there were before of them; forget all beyond CACHE."""
+        for k, v in islice(cls.units.items(), before, None):
+            cls.size += 150 + len(k) + len(v)
+        if cls.size > CACHE:
+            cls.units.clear()
+            cls.size = 0
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     vocabulary = shared.value
-    cache = _caches.setdefault(id(vocabulary), {})
     for batch in batches:
         for lo in range(0, batch.num_rows, 250):
             part = batch.slice(lo, 250)
+            cache = _Memory.of(vocabulary)
+            known = len(cache)
             ids = vocabulary.encode(part.column(1).to_pylist(), cache)
+            _Memory.trim(known)
             flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())
             offsets = pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "text", "ids"])
