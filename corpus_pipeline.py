@@ -2,38 +2,44 @@
 
 Every stage is (spark, docs, sf_dir) -> DataFrame and is written as Parquet and read again as the
 next one's documents.  All but the last return the columns of ``documents``.
+
+Nulls in any column pass through; null and empty texts are kept by every stage (they have nothing to judge) and
+taken into the mix with size 0; very long texts are read whole; rows that repeat are judged alike, and one of
+equal rows stays after the near-duplicate stage; an empty table stays empty; extra columns pass through all but
+the last stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewatch.llm import unigram
-from tidewatch.llm.common import materialize
+from tidewatch.llm.common import materialize, small_batches
 from tidewatch.llm.line_dedup import LineDedup
 from tidewatch.llm.mixing import Mixture
-from tidewatch.llm.ngram_join import BROADCAST_IDS, JaccardJoin
+from tidewatch.llm.ngram_join import JaccardJoin
 from tidewatch.llm.quality_model import QualityModel
 from tidewatch.llm.queries import PIECES
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
+    small_batches(spark)
     return QualityModel(docs).keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat or nearly repeat an earlier one."""
+    small_batches(spark)
     return LineDedup(docs).apply(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one that names it."""
-    classes = JaccardJoin(size=5, num=75, den=100).classes(docs)
-    gone = materialize(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near-copies")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate class: the one that names it; of equal rows one.
+
+    Rows go, not ids: texts that share a doc_id are judged each for itself.
+    """
+    return JaccardJoin(size=5, num=75, den=100).keep(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +49,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document of the mix, with the round trip through decoding."""
+    small_batches(spark)
     vocabulary = unigram.Vocabulary.load(PIECES)
     return unigram.digests(docs, vocabulary)
 
