@@ -18,9 +18,14 @@ T0 = dt.datetime(2024, 1, 1)
 OBS = "observation_id string, source_id string, location_id string, metric string, event_time timestamp_ntz, source_time timestamp_ntz, received_time timestamp_ntz, value double"
 
 
+def keyed(df):
+    """Observations with the rest of their key."""
+    return df.withColumns({"unit": F.lit("vehicles/hour"), "duration_minutes": F.lit(60), "aggregation_level": F.lit("hourly")})
+
+
 def obs(spark, values, hours=1, source="s1", start=0):
     rows = [(f"o{start + i:04d}", source, "A", "m", T0 + dt.timedelta(hours=hours * i), T0, T0 + dt.timedelta(hours=hours * i), v) for i, v in enumerate(values)]
-    return spark.createDataFrame(rows, OBS)
+    return keyed(spark.createDataFrame(rows, OBS))
 
 
 def one(spark, *cols):
@@ -41,7 +46,7 @@ def test_group_conflict_equals_pairwise(spark):
         vals = [random.choice([None, random.uniform(-2, 2), random.uniform(90, 110)]) for _ in range(random.randint(1, 5))]
         groups[g] = vals
         rows += [(f"{g}-{i}", "s", str(g), "m", T0, T0, T0, v) for i, v in enumerate(vals)]
-    found = {int(r.location_id): r.dissent for r in integrity.key_groups(spark.createDataFrame(rows, OBS)).collect()}
+    found = {int(r.location_id): r.dissent for r in integrity.key_groups(keyed(spark.createDataFrame(rows, OBS))).collect()}
 
     def agree(x, y):
         if x is None or y is None:
@@ -185,12 +190,40 @@ def test_evolution_status(spark):
     assert got == {"up": "strengthening", "flat": "stable", "gone": "disappeared", "short": "insufficient_history"}
 
 
-def test_episode_fold():
-    f = monitoring.EpisodeFold(quiet_days=14, cooldown_days=28)
-    for d in (0, 7, 14, 60):
-        f.observe(pd.Timestamp("2024-01-01") + pd.Timedelta(days=d), d / 10, "feature")
+DAY = pd.Timestamp("2024-01-01")
+
+
+def told(evaluations, **kw):
+    """Fold (day, kinds, magnitude) rows; the episodes and the days that raised a candidate."""
+    f = monitoring.EpisodeFold(**kw)
+    raised = [d for d, kinds, size in evaluations if f.observe(DAY + pd.Timedelta(days=d), kinds, size)[1]]
     f.close()
-    assert [(e["events"], e["candidates"], e["peak"]) for e in f.done] == [(3, 1, 1.4), (1, 1, 6.0)]
+    return [(e["events"], e["candidates"], e["peak"], e["kinds"]) for e in f.done], raised
+
+
+def test_a_new_episode_raises_at_once_and_others_close_it():
+    p = ["prediction"]
+    assert told([(0, p, 1.1), (7, p, 1.4), (14, [], None), (21, p, 1.2)]) == ([(2, 1, 1.4, p), (1, 1, 1.2, p)], [0, 21])  # day 21 is within the cooldown, yet new
+    assert told([(7 * k, p, 1.0) for k in range(9)])[1] == [0, 28, 56]  # one that goes on waits for the cooldown
+    assert told([(0, ["feature"], 2.0), (7, ["feature", "prediction"], float("nan"))]) == ([(1, 1, 0.0, ["feature", "prediction"])], [7])  # a kind that is not required opens nothing
+    assert told([(0, ["feature"], 2.0), (7, [], 1.0)], required=()) == ([(1, 1, 2.0, ["feature"])], [0])
+
+
+def test_streamed_episodes_equal_the_batch_fold(spark, tmp_path):
+    random.seed(8)
+    days = [(7 * k, random.choice([[], ["prediction"], ["feature"], ["feature", "prediction"]]), random.random()) for k in range(30)]
+    schema = "stream string, detected_at timestamp, kinds array<string>, magnitude double"
+    rows = [("m", (DAY + pd.Timedelta(days=d)).to_pydatetime(), kinds, size) for d, kinds, size in days]
+    for k in range(0, 30, 4):  # each file a trigger; rows in it out of order
+        part = rows[k : k + 4]
+        spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.run_to_end(streams.stream_episodes(stream), str(tmp_path / "out"), str(tmp_path / "ckpt"), mode="update")
+    out = spark.read.schema(monitoring.EPISODES + ", batch long").parquet(str(tmp_path / "out"))
+    last = out.groupBy("episode_id").agg(F.max_by(F.struct("events", "candidates", "kinds", "closed_at"), "batch").alias("x")).select("episode_id", "x.*")
+    want = monitoring.episodes(spark.createDataFrame(rows, schema)).select("episode_id", "events", "candidates", "kinds", "closed_at")
+    key = lambda r: r[0]
+    assert sorted(map(tuple, last.collect()), key=key) == sorted(map(tuple, want.collect()), key=key) and want.count() > 2
 
 
 def test_registry_has_one_champion():

@@ -8,7 +8,7 @@ import pytest
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
-from tidewatch.plans import catalog  # noqa: E402
+from tidewatch.plans import catalog, decisions  # noqa: E402, F401
 
 
 @pytest.fixture(scope="module")

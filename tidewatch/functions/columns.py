@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 # Units by dimension with their factor to the dimension's base, and accepted spellings.
 UNITS = {
-    "km/h": ("speed", 1.0), "m/s": ("speed", 3.6), "mph": ("speed", 1.609344),
-    "mm": ("length", 0.001), "cm": ("length", 0.01), "m": ("length", 1.0), "km": ("length", 1000.0), "in": ("length", 0.0254),
-    "s": ("time", 1.0), "min": ("time", 60.0), "h": ("time", 3600.0),
-    "count": ("count", 1.0), "vehicles/h": ("flow", 1.0), "percent": ("ratio", 0.01), "fraction": ("ratio", 1.0),
+    "vehicles/hour": ("flow", 1.0), "vehicles/minute": ("flow", 60.0), "vehicles/5min": ("flow", 12.0), "vehicles/15min": ("flow", 4.0), "vehicles/30min": ("flow", 2.0), "vehicles/day": ("flow", 1.0 / 24.0),
+    "km/hour": ("speed", 1.0), "m/s": ("speed", 3.6), "mph": ("speed", 1.609344),
+    "ratio": ("ratio", 1.0), "percent": ("ratio", 0.01),
+    "metre": ("length", 1.0), "kilometre": ("length", 1000.0), "foot": ("length", 0.3048),
+    "mm": ("depth", 1.0), "cm": ("depth", 10.0), "inch": ("depth", 25.4),
+}
+UNIT_SPELLINGS = {
+    "vehicles/h": "vehicles/hour", "veh/hour": "vehicles/hour", "veh/h": "vehicles/hour", "vph": "vehicles/hour", "vehicles per hour": "vehicles/hour", "vehicles/min": "vehicles/minute",
+    "km/h": "km/hour", "kmph": "km/hour", "kph": "km/hour", "m/sec": "m/s", "metres/second": "m/s", "miles/hour": "mph",
+    "%": "percent", "fraction": "ratio", "m": "metre", "meter": "metre", "meters": "metre", "metres": "metre", "km": "kilometre", "kilometer": "kilometre", "ft": "foot", "feet": "foot",
+    "millimetre": "mm", "millimeter": "mm", "centimetre": "cm", "centimeter": "cm", "in": "inch", "inches": "inch",
 }
-UNIT_SPELLINGS = {"kmh": "km/h", "kmph": "km/h", "kph": "km/h", "meters": "m", "metres": "m", "millimetres": "mm", "seconds": "s", "hours": "h", "%": "percent", "veh/h": "vehicles/h"}
 # Severity bands by the least ratio of volume to threshold.
 SEVERITY = (("low", 0.0), ("moderate", 1.0), ("high", 1.3), ("severe", 1.8))
 # Interval minutes of each aggregation level.
@@ -36,8 +42,18 @@ def finite(value: Column) -> Column:
 
 
 def canonical_unit(unit: Column) -> Column:
-    name = F.trim(unit)
-    return F.coalesce(_lookup(F.lower(name), UNIT_SPELLINGS), name)
+    """The accepted spelling; an unknown unit comes back trimmed and in lower case."""
+    name = F.lower(F.trim(unit))
+    return F.coalesce(_lookup(name, UNIT_SPELLINGS), name)
+
+
+def known_unit(unit: Column) -> Column:
+    return dimension(unit).isNotNull()
+
+
+def compatible(x: Column, y: Column) -> Column:
+    """True if both units are known and measure the same dimension."""
+    return F.coalesce(dimension(x) == dimension(y), F.lit(False))
 
 
 def dimension(unit: Column) -> Column:
@@ -76,6 +92,11 @@ def snap(ts: Column, minutes: int, offset_hours: float = 0.0) -> Column:
     return F.timestamp_seconds(F.rint(micros / step) * step - shift).cast("timestamp_ntz")
 
 
+def metric_name(name: Column) -> Column:
+    """Key of a metric's name: trimmed, lower case, separators as spaces; runs of spaces stay."""
+    return F.translate(F.lower(F.trim(name)), "-_", "  ")
+
+
 def aggregation_level(minutes: Column) -> Column:
     return _lookup(minutes.cast("int"), LEVELS, F.lit("instant"))
 

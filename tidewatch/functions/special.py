@@ -106,3 +106,11 @@ def chi_square_sf(x: Column, degrees: Column) -> Column:
 
 def t_sf_two_sided(t: Column, degrees: Column) -> Column:
     return pandas_udf(_t_sf, "double")(t, degrees)
+
+
+def _t_quantile(p: pd.Series, degrees: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else t_quantile(a, b) for a, b in zip(p, degrees, strict=True)], dtype="float64")
+
+
+def t_upper_quantile(p: Column, degrees: Column) -> Column:
+    return pandas_udf(_t_quantile, "double")(p, degrees)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.special import normal_sf
 
 
 def thresholds(series: DataFrame, share: float = 0.9) -> DataFrame:
@@ -103,6 +104,36 @@ def residual_intervals(forecasts: DataFrame, least: int = 10, low: float = 0.1,
     return zones.select("location_id", "rows", pick[0].alias("lower_offset"), pick[1].alias("upper_offset"))
 
 
+def residual_sigma(forecasts: DataFrame) -> DataFrame:
+    """One row (sigma, rows): population deviation of the residuals, 1e-6 at least."""
+    return forecasts.filter("predicted is not null and actual is not null").agg(F.greatest(F.lit(1e-6), F.stddev_pop(F.col("actual") - F.col("predicted"))).alias("sigma"), F.count(F.lit(1)).alias("rows"))
+
+
+def tail_probability(predicted: Column, threshold: Column, sigma: float | Column) -> Column:
+    """Probability that the actual value is above the threshold, for normal residuals; null without threshold or prediction."""
+    return normal_sf((threshold - predicted) / (F.lit(sigma) if isinstance(sigma, (int, float)) else sigma))
+
+
+def calibration_report(rows: DataFrame, raw: str, calibrated_: str, outcome: str, fitted_rate: float | None = None, dataset: str = "", fitted_on: str | None = None) -> DataFrame:
+    """One row: Brier scores before and after calibration and of the fitting base rate, calibration error, and which way it errs."""
+    y = F.col(outcome).cast("double")
+    square = lambda c: F.avg((c - y) * (c - y))
+    rate = F.avg(y)
+    reference = F.lit(fitted_rate) if fitted_rate is not None else None
+    known = rows.filter(F.col(raw).isNotNull() & F.col(outcome).isNotNull())
+    scores = known.agg(
+        F.count(F.lit(1)).alias("rows"), rate.alias("base_rate"), square(F.col(raw)).alias("raw_brier"), square(F.col(calibrated_)).alias("calibrated_brier"),
+        (square(reference) if reference is not None else rate * (1 - rate)).alias("reference_brier"),
+    )
+    bins = reliability(known, calibrated_, outcome)
+    gap = F.col("observed") - F.col("mean_predicted")
+    errors = bins.agg(F.try_divide(F.sum(F.col("count") * F.abs(gap)), F.sum("count")).alias("calibration_error"), F.sum(F.col("count") * gap).alias("_lean"))
+    direction = F.when(F.col("calibration_error").isNull() | (F.col("calibration_error") < 0.02), "well matched").when(F.col("_lean") > 0, "under-confident").otherwise("over-confident")
+    shift = F.lit(fitted_rate) - F.col("base_rate") if fitted_rate is not None else F.lit(0.0)
+    out = scores.crossJoin(errors)  # one row each
+    return out.withColumns({"dataset": F.lit(dataset), "improved": F.col("calibrated_brier") <= F.col("raw_brier"), "beats_base_rate": F.col("calibrated_brier") < F.col("reference_brier"), "direction": direction, "base_rate_shift": shift, "in_sample": F.lit(bool(fitted_on) and dataset == fitted_on)}).drop("_lean")
+
+
 def isotonic(rows: DataFrame, raw: str = "raw", outcome: str = "outcome") -> tuple:
     """(model, floor): isotonic calibration and its clip, 3 / n at most a half."""
     from pyspark.ml.functions import array_to_vector

@@ -2,12 +2,119 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
 
+@dataclass(frozen=True)
+class FeatureSpec:
+    """A feature by what it reads: offset_hours before the sample, over window_hours; nothing after it."""
+
+    name: str
+    kind: str
+    offset_hours: int = 0
+    window_hours: int = 0
+    metric: str | None = None
+    location: str | None = None
+
+    def __post_init__(self) -> None:
+        if not self.name:
+            raise ValueError("a feature needs a name")
+        if self.offset_hours < 0 or self.window_hours < 0:
+            raise ValueError(f"{self.name} would read the future")
+
+    @property
+    def reach_hours(self) -> int:
+        return self.offset_hours + self.window_hours
+
+    def earliest(self, sample_time: Column) -> Column:
+        return sample_time - hours(self.reach_hours)
+
+    def latest(self, sample_time: Column) -> Column:
+        return sample_time - hours(self.offset_hours)
+
+
+#: Calendar features by name, of a local wall time.
+CALENDAR = ("hour", "hour_sin", "hour_cos", "weekday", "is_weekend", "month", "month_sin", "month_cos")
+
+
+def feature_specs(config: dict, horizon_hours: int | None = None) -> list[FeatureSpec]:
+    """Specs of a feature configuration: calendar, lags, seasonal_lags (before the target), rolling_means, covariates, include_zone."""
+    target, horizon = config["target_metric"], horizon_hours or config.get("horizon_hours", 1)
+    unknown = [c for c in config.get("calendar") or [] if c not in CALENDAR]
+    if unknown:
+        raise ValueError(f"unknown calendar features {unknown}")
+    specs = [FeatureSpec(c, "calendar") for c in config.get("calendar") or []]
+    for key, kind in (("lags", "lag"), ("seasonal_lags", "seasonal_lag"), ("rolling_means", "roll_mean")):
+        for n in config.get(key) or []:
+            if not isinstance(n, int):
+                raise ValueError(f"{key}: {n!r} is not a number of hours")
+            offset = {"lag": n, "seasonal_lag": n - horizon, "roll_mean": 0}[kind]
+            specs.append(FeatureSpec(f"{kind}_{n}h", "rolling" if kind == "roll_mean" else "lag", offset, n if kind == "roll_mean" else 0, target))
+    for c in config.get("covariates") or []:
+        if "metric" not in c or "location" not in c:
+            raise ValueError("a covariate needs metric and location")
+        offset, window = int(c.get("offset_hours", 0)), int(c.get("window_hours", 0))
+        specs.append(FeatureSpec(f"{c['metric']}_{f'roll_{window}h' if window else f'{offset}h'}", "covariate", offset, window, c["metric"], c["location"]))
+    if config.get("include_zone"):
+        specs.append(FeatureSpec("zone", "spatial"))
+    twice = {s.name for s in specs if sum(t.name == s.name for t in specs) > 1}
+    if twice:
+        raise ValueError(f"features named twice: {sorted(twice)}")
+    return specs
+
+
+def series_index(obs: DataFrame) -> DataFrame:
+    """(location_id, metric, event_time, value) of observations; two with one key are an error, as a lookup would be a guess."""
+    keys = ["location_id", "metric", "event_time"]
+    twice = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two observations at {twice[0][:3]}")
+    return obs.select(*keys, "value")
+
+
+def build_features(series: DataFrame, specs: list[FeatureSpec], target_metric: str, horizon_hours: int = 1, offset_hours: float = 0.0, least: int = 2) -> DataFrame:
+    """Feature table of a series (location_id, metric, event_time, value): a row for each known target, a column for each spec.
+
+    Lookups are at exact instants before sample_time = target_time - horizon; windows end there.  All lags and
+    means of one metric and place are windows over one sorted spine that has a row at every sample time.
+    """
+    own = series.filter(F.col("metric") == target_metric)
+    targets = own.filter("value is not null").select("location_id", F.col("event_time").alias("target_time"), F.col("value").alias("target")).withColumn("sample_time", F.col("target_time") - hours(horizon_hours))
+    zones = targets.select("location_id").distinct()
+    out = targets.withColumns({k: v for k, v in C.calendar(C.local_time(F.col("target_time"), offset_hours)).items() if any(s.name == k and s.kind == "calendar" for s in specs)})
+    for metric, place in sorted({(s.metric, s.location) for s in specs if s.metric is not None}, key=str):
+        mine = [s for s in specs if (s.metric, s.location) == (metric, place)]
+        rows = series.filter((F.col("metric") == metric) & (F.lit(True) if place is None else F.col("location_id") == place)).select("location_id", "event_time", "value")
+        at = targets.select("location_id" if place is None else F.lit(place).alias("location_id"), F.col("sample_time").alias("event_time")).distinct()
+        full = rows.unionByName(at.join(rows, ["location_id", "event_time"], "left_anti").withColumn("value", F.lit(None).cast("double")))
+        full = full.withColumn("_s", F.unix_seconds(F.col("event_time").cast("timestamp")))
+        order = Window.partitionBy("location_id").orderBy("_s")
+        made = {}
+        for s in mine:
+            if s.window_hours:
+                w = order.rangeBetween(-3600 * (s.reach_hours - 1), -3600 * s.offset_hours)
+                made[s.name] = F.when(F.count("value").over(w) >= least, F.avg("value").over(w))
+            else:
+                made[s.name] = F.max("value").over(order.rangeBetween(-3600 * s.offset_hours, -3600 * s.offset_hours))
+        table = full.withColumns(made).select("location_id", F.col("event_time").alias("sample_time"), *made)
+        out = out.join(table, ["location_id", "sample_time"], "left") if place is None else out.join(table.drop("location_id"), "sample_time", "left")
+    if any(s.kind == "spatial" for s in specs):
+        codes = zones.withColumn("zone", F.dense_rank().over(Window.orderBy("location_id")) - 1)  # zones are few
+        out = out.join(F.broadcast(codes), "location_id")
+    return out.select("location_id", "target_time", "sample_time", "target", *[s.name for s in specs])
+
+
+def missing_counts(table: DataFrame, names: list[str]) -> DataFrame:
+    """(feature, missing, rows): how often each feature is unknown."""
+    g = table.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(n).isNull()).alias(n) for n in names])
+    return g.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("missing")) for n in names])).alias("x"), "rows").select("x.*", "rows")
+
+
 def hourly(obs: DataFrame) -> DataFrame:
     """Mean value of each zone and hour: one row for each key, so that point lookups are well defined."""
     return obs.groupBy("location_id", "event_time").agg(F.avg("value").alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,17 +46,32 @@ class GradientForecaster:
             out = out.unionByName(p)
         return out.withColumn("contribution", F.col("_whole") - F.col("predicted")).drop("predicted").withColumnRenamed("_whole", "predicted")
 
-    def importance(self, rows: DataFrame, sample: int = 1500) -> DataFrame:
-        """Rise of the mean absolute error when a feature is taken from another row (its neighbour by hash), on a bounded sample."""
-        from pyspark.sql import Window
-
-        some = rows.orderBy(F.xxhash64(*[F.col(n) for n in self.names])).limit(sample)
-        order = Window.orderBy(F.xxhash64(F.lit(self.seed), *[F.col(n) for n in self.names]))
+    def importance(self, rows: DataFrame, sample: int = 1500, repeats: int = 5) -> DataFrame:
+        """Mean rise of the absolute error, at least 0, when a feature is shuffled among a bounded sample (repeats times)."""
+        key = F.xxhash64(*[F.col(n) for n in self.names], F.col(self.target))
+        some = rows.orderBy(key).limit(sample).withColumn("_i", F.row_number().over(Window.orderBy(key)))  # at most sample rows
         error = F.avg(F.abs(F.col("predicted") - F.col(self.target)))
-        whole = self.predict(some).agg(error.alias("whole"))
-        out = None
+        parts = [self.predict(some).select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), "predicted", self.target)]
         for n in self.names:
-            moved = self.predict(some.withColumn("_moved", F.coalesce(F.lag(n).over(order), F.col(n))).withColumn(n, F.col("_moved")).drop("_moved"))
-            one = moved.agg(error.alias("moved")).crossJoin(whole).select(F.lit(n).alias("feature"), (F.col("moved") - F.col("whole")).alias("importance"))
-            out = one if out is None else out.unionByName(one)
-        return out
+            for k in range(repeats):
+                from_ = some.select(F.col(n).alias("_moved"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(self.seed), F.lit(n), F.lit(k), "_i"), "_i")).alias("_i"))
+                moved = some.join(F.broadcast(from_), "_i").withColumn(n, F.col("_moved")).drop("_moved")
+                parts.append(self.predict(moved).select(F.lit(n).alias("feature"), F.lit(k).alias("repeat"), "predicted", self.target))
+        both = parts[0]
+        for p in parts[1:]:
+            both = both.unionByName(p)
+        errors = both.groupBy("feature", "repeat").agg(error.alias("e"))
+        whole = errors.filter("feature = ''").select(F.col("e").alias("whole"))
+        rises = errors.filter("feature <> ''").crossJoin(F.broadcast(whole))  # one row
+        return rises.groupBy("feature").agg(F.greatest(F.lit(0.0), F.avg(F.col("e") - F.col("whole"))).alias("importance"))
+
+
+def factor_shares(contributions: DataFrame, factors: DataFrame, by: list[str]) -> DataFrame:
+    """Contributions (by, feature, contribution) as factors of each row: signed sum, share of the absolute sums, rank.
+
+    factors: (feature, factor), one factor for each feature.  Rows with no contribution at all have shares of 0.
+    """
+    g = contributions.join(F.broadcast(factors), "feature").groupBy(*by, "factor").agg(F.sum("contribution").alias("contribution"))
+    every = Window.partitionBy(*by)  # as many rows as factors
+    share = F.coalesce(F.try_divide(F.abs("contribution"), F.sum(F.abs("contribution")).over(every)), F.lit(0.0))
+    return g.withColumn("share", share).withColumn("rank", F.row_number().over(every.orderBy(F.desc(F.abs("contribution")), "factor")))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-KEY = ("location_id", "metric", "event_time")
+#: What two observations must share to be claims about one measurement; a null duration (an instant) is a value.
+KEY = ("location_id", "event_time", "metric", "unit", "duration_minutes", "aggregation_level")
 _ORDER = ("received_time", "source_time", "observation_id")
 
 
@@ -76,7 +77,16 @@ def place(obs: DataFrame, relative: float = 0.05, absolute: float = 0.5) -> Data
     """Every observation with its placement: unified, duplicate_linked or conflicted."""
     groups = key_groups(obs, relative, absolute).select(*KEY, F.col("placement").alias("group_placement"), "representative_id", "members")
     placement = F.when(F.col("group_placement") == "conflicted", "conflicted").when(F.col("observation_id") == F.col("representative_id"), "unified").otherwise("duplicate_linked")
-    return obs.join(groups, list(KEY)).withColumn("placement", placement)
+    joined = obs.alias("o").join(groups.alias("g"), same_key("o", "g")).select("o.*", "g.group_placement", "g.representative_id", "g.members")
+    return joined.withColumn("placement", placement)
+
+
+def same_key(a: str, b: str) -> Column:
+    """Null-safe equality of the observation keys of two aliased tables."""
+    out = F.lit(True)
+    for c in KEY:
+        out &= F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
 
 
 def frozen_runs(obs: DataFrame, by: tuple[str, ...], value: Column, least: int = 6, ignored: tuple[float, ...] = (0.0,)) -> DataFrame:
@@ -128,11 +138,19 @@ def check_invariants(obs: DataFrame) -> DataFrame:
     return obs.select("observation_id", *[F.coalesce(t, F.lit(True)).alias(n) for n, t in tests.items()])
 
 
+def by_identifier(obs: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """(identifier, observation_id): identifiers that name an observation, or else a feed record (OBS-<record>)."""
+    ids = obs.select("observation_id")
+    named = identifiers.join(ids, F.col("identifier") == F.col("observation_id"))
+    rest = identifiers.join(named.select("identifier"), "identifier", "left_anti")
+    return named.unionByName(rest.join(ids, F.concat(F.lit("OBS-"), "identifier") == F.col("observation_id")))
+
+
 def provenance(obs: DataFrame, identifiers: DataFrame) -> DataFrame:
     """Placement, representative and peers of the observations named in identifiers (observation_id)."""
     placed = place(obs)
     wanted = placed.join(identifiers, "observation_id", "left_semi")
     peers = placed.select(*KEY, F.col("observation_id").alias("peer"))
-    found = wanted.join(peers, list(KEY)).filter(F.col("peer") != F.col("observation_id"))
-    peers_of = found.groupBy("observation_id").agg(F.array_join(F.sort_array(F.collect_list("peer")), ",").alias("peers"))
+    found = wanted.alias("w").join(peers.alias("p"), same_key("w", "p")).filter("p.peer <> w.observation_id")
+    peers_of = found.select("w.observation_id", "p.peer").groupBy("observation_id").agg(F.array_join(F.sort_array(F.collect_list("peer")), ",").alias("peers"))
     return wanted.select("observation_id", "placement", "representative_id", "members").join(peers_of, "observation_id", "left")

@@ -85,51 +85,143 @@ def performance_status(ratio: Column, gate: Column, rows: Column, least: int = 3
     return F.when(rows < least, "insufficient_data").when(ratio >= gate, "drifted").when(ratio >= (1 + gate) / 2, "minor").otherwise("stable")
 
 
+def fired(signals: DataFrame) -> DataFrame:
+    """One row for each evaluation (stream, detected_at) of its signals (kind, subject, status, statistic, threshold).
+
+    kinds: those that drifted, first by name; the strongest signal is that of the largest statistic over threshold,
+    unknown ones aside.
+    """
+    drifted = F.col("status") == "drifted"
+    size = F.try_divide("statistic", "threshold")
+    known = drifted & size.isNotNull() & ~F.isnan(size)
+    strongest = F.max(F.when(known, F.struct(size.alias("magnitude"), F.col("subject").alias("subject"))))
+    g = signals.groupBy("stream", "detected_at").agg(F.sort_array(F.collect_set(F.when(drifted, F.col("kind")))).alias("kinds"), strongest.alias("_s"), F.count(F.lit(1)).alias("signals"))
+    return g.select("stream", "detected_at", "kinds", (F.size("kinds") > 0).alias("is_drift"), F.col("_s.magnitude").alias("magnitude"), F.col("_s.subject").alias("subject"), "signals")
+
+
+def qualifies(kinds: Column, required: Iterable[str]) -> Column:
+    """An evaluation counts if one of the required kinds drifted; without required kinds, if any did."""
+    names = sorted(required)
+    return F.arrays_overlap(kinds, F.array(*map(F.lit, names))) if names else F.size(kinds) > 0
+
+
 @dataclass
 class EpisodeFold:
-    """Folds ordered drift events into episodes; one candidate at most in each cooldown.
+    """Folds ordered evaluations into episodes; batch and stream share it.
 
-    Batch and stream share it.  An event continues an episode if it comes within quiet_days of the last.
+    An evaluation that does not qualify closes the open episode.  A new episode raises a candidate at once; one
+    that goes on raises the next only when cooldown_days have passed since the last candidate.
     """
 
-    quiet_days: int = 14
     cooldown_days: int = 28
+    required: tuple[str, ...] = ("prediction",)
     open: dict | None = None
     last_candidate: pd.Timestamp | None = None
     done: list[dict] = field(default_factory=list)
 
-    def observe(self, at: pd.Timestamp, magnitude: float, kind: str) -> None:
-        if self.open and at - self.open["last_seen"] > pd.Timedelta(days=self.quiet_days):
-            self.close()
-        if not self.open:
-            self.open = {"onset": at, "last_seen": at, "events": 0, "peak": magnitude, "kinds": set(), "candidates": 0}
-        e = self.open
-        e["last_seen"], e["events"], e["peak"] = at, e["events"] + 1, max(e["peak"], magnitude)
-        e["kinds"].add(kind)
-        if self.last_candidate is None or at - self.last_candidate >= pd.Timedelta(days=self.cooldown_days):
+    def observe(self, at: pd.Timestamp, kinds: Iterable[str], magnitude: float | None) -> tuple[str | None, bool]:
+        """(episode, whether a candidate is raised)."""
+        kinds = list(kinds)
+        if not (set(kinds) & set(self.required) if self.required else kinds):
+            self.close(at)
+            return None, False
+        size = 0.0 if magnitude is None or pd.isna(magnitude) else float(magnitude)
+        if self.open is None:
+            self.open = {"episode_id": f"EP-{at:%Y%m%dT%H%M%S}", "onset": at, "last_seen": at, "closed_at": None, "events": 1, "peak": size, "kinds": kinds, "candidates": 0}
+            raised = True
+        else:
+            e = self.open
+            e |= {"last_seen": at, "events": e["events"] + 1, "peak": max(e["peak"], size), "kinds": list(dict.fromkeys([*e["kinds"], *kinds]))}
+            raised = self.last_candidate is None or at - self.last_candidate >= pd.Timedelta(days=self.cooldown_days)
+        if raised:
+            self.open["candidates"] += 1
             self.last_candidate = at
-            e["candidates"] += 1
+        return self.open["episode_id"], raised
 
-    def close(self) -> None:
+    def close(self, at: pd.Timestamp | None = None) -> None:
         if self.open:
-            self.done.append(self.open | {"kinds": sorted(self.open["kinds"])})
+            self.done.append(self.open | {"closed_at": at})
             self.open = None
 
 
-_EPISODES = "stream string, onset timestamp, last_seen timestamp, events long, peak double, kinds array<string>, candidates long"
+EPISODES = "stream string, episode_id string, onset timestamp, last_seen timestamp, closed_at timestamp, events long, peak double, kinds array<string>, candidates long"
 
 
-def episodes(events: DataFrame, quiet_days: int = 14, cooldown_days: int = 28) -> DataFrame:
-    """Episodes of each stream of drift events (stream, detected_at, magnitude, kind): a handful of events each."""
+def episodes(evaluations: DataFrame, required: tuple[str, ...] = ("prediction",), cooldown_days: int = 28) -> DataFrame:
+    """Episodes of each stream of evaluations (stream, detected_at, kinds, magnitude): one row for each instant, a short series.
+
+    An episode that is open at the end has no closed_at.
+    """
 
     def fold(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f = EpisodeFold(quiet_days, cooldown_days)
-        for r in pdf.sort_values(["detected_at", "kind"]).itertuples():
-            f.observe(r.detected_at, r.magnitude, r.kind)
+        f = EpisodeFold(cooldown_days, required)
+        for r in pdf.sort_values("detected_at").itertuples():
+            f.observe(r.detected_at, r.kinds, r.magnitude)
         f.close()
-        return pd.DataFrame([{"stream": keys[0], **e} for e in f.done], columns=[c.split()[0] for c in _EPISODES.split(", ")])
+        return pd.DataFrame([{"stream": keys[0], **e} for e in f.done], columns=[c.split()[0] for c in EPISODES.split(", ")])
+
+    return evaluations.groupBy("stream").applyInPandas(fold, EPISODES)
+
+
+def raised(evaluations: DataFrame, required: tuple[str, ...] = ("prediction",), cooldown_days: int = 28) -> DataFrame:
+    """Evaluations that raise a candidate, with their episode."""
+    schema = "stream string, detected_at timestamp, episode_id string"
+
+    def fold(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        f = EpisodeFold(cooldown_days, required)
+        told = [(keys[0], r.detected_at, *f.observe(r.detected_at, r.kinds, r.magnitude)) for r in pdf.sort_values("detected_at").itertuples()]
+        return pd.DataFrame([t[:3] for t in told if t[3]], columns=["stream", "detected_at", "episode_id"])
+
+    return evaluations.join(evaluations.groupBy("stream").applyInPandas(fold, schema), ["stream", "detected_at"])
+
+
+def candidates(raised_: DataFrame, champion: str) -> DataFrame:
+    """Open candidate updates of raised evaluations: what drifted, how far, and which model serves."""
+    return raised_.filter("is_drift").select(
+        F.concat(F.lit("CAND-"), F.date_format("detected_at", "yyyyMMdd'T'HHmmss")).alias("candidate_id"),
+        "stream", "detected_at", "episode_id", "kinds", "magnitude", F.coalesce("subject", F.lit("unknown")).alias("subject"), F.lit(champion).alias("champion_version"), F.lit("open").alias("status"),
+    )
+
+
+def best_challengers(evaluations: DataFrame) -> DataFrame:
+    """(candidate_id, best, winner): least error of all, and of those that passed every rule (ties by version)."""
+    key = F.struct("challenger_mae", "version")
+    return evaluations.groupBy("candidate_id").agg(F.min_by("version", key).alias("best"), F.min(F.when(F.col("passed"), key))["version"].alias("winner"))
+
+
+def false_alarms(evaluations: DataFrame, before: str, required: tuple[str, ...] | None = None) -> DataFrame:
+    """(stream, false_alarms): firings before a known change; with required, only those that would raise a candidate."""
+    counts = F.col("is_drift") if required is None else qualifies(F.col("kinds"), required)
+    return evaluations.groupBy("stream").agg(F.count_if((F.col("detected_at") < F.lit(before).cast("timestamp")) & counts).alias("false_alarms"))
+
+
+def detection_delay(evaluations: DataFrame, change: str, required: tuple[str, ...] | None = None) -> DataFrame:
+    """(stream, delay_hours): from a known change to the first firing at or after it; null if none."""
+    counts = F.col("is_drift") if required is None else qualifies(F.col("kinds"), required)
+    point = F.lit(change).cast("timestamp")
+    first = F.min(F.when((F.col("detected_at") >= point) & counts, F.col("detected_at")))
+    return evaluations.groupBy("stream").agg(first.alias("_f")).select("stream", ((C.seconds(F.col("_f")) - C.seconds(point)) / 3600).alias("delay_hours"))
+
+
+def prediction_status(psi: Column, gate: Column) -> Column:
+    """Against the gate that reference weeks gave, not the usual PSI bands."""
+    return F.when(gate.isNull() | F.isnan(gate), "insufficient_reference").when(psi.isNull() | F.isnan(psi), "insufficient_data").when(psi >= gate, "drifted").when(psi >= gate * 0.5, "minor").otherwise("stable")
+
 
-    return events.groupBy("stream").applyInPandas(fold, _EPISODES)
+def monitorable(specs: Iterable[object], watched: Iterable[str], window_hours: int, unfit: tuple[str, ...] = ("rainfall",)) -> tuple[list[str], dict[str, str]]:
+    """(features to watch, those left out with the reason): unknown, of an unfit metric, or reaching as far back as the window."""
+    known = {s.name: s for s in specs}
+    kept, out = [], {}
+    for name in watched:
+        if name not in known:
+            out[name] = "no such feature"
+        elif known[name].metric in unfit:
+            out[name] = f"{known[name].metric} is mostly zero"
+        elif known[name].reach_hours >= window_hours:
+            out[name] = f"reaches {known[name].reach_hours} of {window_hours} hours"
+        else:
+            kept.append(name)
+    return kept, out
 
 
 @dataclass(frozen=True)

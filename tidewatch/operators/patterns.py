@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..functions.special import t_upper_quantile
 from . import statistics as S
 
 
+
 def cell_tests(rows: DataFrame, least: int = 12) -> DataFrame:
     """Each (zone, weekday, hour) against the zone's same hour on other weekdays, with lift over the peers' median.
 
@@ -34,13 +37,35 @@ def merge_hours(found: DataFrame) -> DataFrame:
 
 
 def hotspots(rows: DataFrame, least_ratio: float = 1.3) -> DataFrame:
-    """Zones whose median is least_ratio times the median of all other zones together."""
-    zones = rows.select("location_id").distinct().withColumnRenamed("location_id", "zone")  # a handful
-    spread = rows.crossJoin(F.broadcast(zones))
-    own, rest = F.median(F.when(F.col("location_id") == F.col("zone"), F.col("value"))), F.median(F.when(F.col("location_id") != F.col("zone"), F.col("value")))
-    g = spread.groupBy("zone").agg(own.alias("zone_median"), rest.alias("other_median"))
+    """Zones whose median is least_ratio times the median of all other zones together.
+
+    Values are counted by zone first.  The others' median of a zone is that of all values, less its own: the two
+    middle ranks of what is left are looked up in the running totals of all zones and of the zone itself.
+    """
+    counts = rows.filter(F.col("value").isNotNull()).groupBy("location_id", "value").agg(F.count(F.lit(1)).alias("_n"))
+    own = counts.groupBy("location_id").agg(F.percentile("value", F.lit(0.5), F.col("_n")).alias("zone_median"), F.sum("_n").alias("_own"))
+    all_ = counts.groupBy("value").agg(F.sum("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("location_id", "_n"))).alias("_by"))  # as many entries as zones
+    ranked, _ = S.running_totals(all_.withColumn("_all", F.lit(1)), ["_all"], "value", ["_n"])
+    total = rows.filter(F.col("value").isNotNull()).agg(F.count(F.lit(1)).alias("_total"))
+    zones = own.crossJoin(F.broadcast(total)).withColumn("_rest", F.col("_total") - F.col("_own"))
+    # A zone's own running total at every value that it has; between them it stays.
+    mine, _ = S.running_totals(counts, ["location_id"], "value", ["_n"])
+    mine = mine.select("location_id", "value", F.col("upto__n").alias("_mine"))
+    low, high = F.floor((F.col("_rest") + 1) / 2), F.floor((F.col("_rest") + 2) / 2)
+    every = ranked.select("value", F.col("upto__n").alias("_upto"), "_by")
+    # The rank of a value among the others is its rank among all, less the zone's values up to it; the search is
+    # over values near the middle only: the others' median lies between the ranks low and high + own of all.
+    near = every.join(F.broadcast(zones), (F.col("_upto") >= low) & (F.col("_upto") - F.aggregate(F.map_values("_by"), F.lit(0).cast("long"), lambda x, y: x + y) < high + F.col("_own")))
+    upto = Window.partitionBy("location_id").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = near.groupBy("location_id").agg(F.min("value").alias("_first"))
+    base = mine.join(F.broadcast(before), "location_id").filter(F.col("value") < F.col("_first")).groupBy("location_id").agg(F.max("_mine").alias("_base"))
+    held = near.join(base, "location_id", "left").withColumn("_held", F.coalesce("_base", F.lit(0)) + F.sum(F.coalesce(F.element_at("_by", F.col("location_id")), F.lit(0))).over(upto))
+    held = held.withColumn("_k", F.col("_upto") - F.col("_held"))
+    pick = lambda rank: F.min(F.when(F.col("_k") >= rank, F.col("value")))
+    other = held.groupBy("location_id").agg(((pick(low) + pick(high)) / 2).alias("other_median"))
+    g = zones.select("location_id", "zone_median").join(other, "location_id", "left")
     ratio = F.try_divide("zone_median", "other_median")
-    return g.withColumn("ratio", ratio).withColumn("hotspot", F.coalesce(ratio >= least_ratio, F.lit(False))).withColumnRenamed("zone", "location_id")
+    return g.withColumn("ratio", ratio).withColumn("hotspot", F.coalesce(ratio >= least_ratio, F.lit(False)))
 
 
 def profiles(rows: DataFrame, bucket: str, least: int = 12) -> DataFrame:
@@ -50,6 +75,14 @@ def profiles(rows: DataFrame, bucket: str, least: int = 12) -> DataFrame:
     return g.filter((F.col("buckets") >= 2) & (F.col("trough_median") > 0)).withColumn("ratio", F.col("peak_median") / F.col("trough_median"))
 
 
+def profile_patterns(rows: DataFrame, bucket: str, least: int = 12, range_: float = 1.5) -> DataFrame:
+    """Profiles with a peak of at least range_ times the trough, with the rank test that the buckets differ at all."""
+    found = profiles(rows, bucket, least).filter(F.col("ratio") >= range_)
+    sizes = rows.filter("value is not null").groupBy("location_id", bucket).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    tested = S.kruskal_test(S.kruskal_wallis(rows.join(sizes.select("location_id", bucket), ["location_id", bucket]), ["location_id"], bucket, "value"))
+    return found.join(tested.select("location_id", "h", "degrees", "p_value"), "location_id").withColumn("confidence", C.confidence_from_p(F.col("p_value")))
+
+
 def level_shifts(rows: DataFrame, months: list[str] | None = None, side: int = 2) -> DataFrame:
     """For each zone the month whose before/after ratio of medians, over the zones' lower quartile, is furthest from 1.
 
@@ -99,6 +132,15 @@ def interaction(rows: DataFrame, by: list[str], first: Column, second: Column, l
     return g.withColumns({"effect": effect, "stderr": F.when(enough, error), "testable": enough}).drop(*[f"_{k}{c}" for k in "mv" for c in cells])
 
 
+def interaction_verdict(tests: DataFrame, level: float = 0.95) -> DataFrame:
+    """``interaction`` results with a t interval: supported (above 0), contradicted (below), no_evidence, or untestable."""
+    n = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")
+    width = t_upper_quantile(F.lit((1 + level) / 2), (n - 4).cast("double")) * F.col("stderr")
+    out = tests.withColumns({"lower": F.col("effect") - width, "upper": F.col("effect") + width})
+    verdict = F.when(~F.col("testable") | F.col("lower").isNull(), "untestable").when(F.col("lower") > 0, "supported").when(F.col("upper") < 0, "contradicted").otherwise("no_evidence")
+    return out.withColumn("verdict", verdict)
+
+
 def conditional_response(rows: DataFrame, wet: str, least_dry: int = 4) -> DataFrame:
     """Relative change of wet readings over their (zone, weekday, hour) dry median."""
     cell = ["location_id", "weekday", "hour"]
@@ -106,6 +148,90 @@ def conditional_response(rows: DataFrame, wet: str, least_dry: int = 4) -> DataF
     return rows.filter(F.col(wet) > 0).join(dry, cell).withColumn("response", F.col("value") / F.col("base") - 1)
 
 
+def rain_effects(rows: DataFrame, wet: str, light: float = 10.0, least: int = 30, smallest: float = 0.005) -> DataFrame:
+    """Slope of the response to rain in each zone, over light rain and over all; kept if its interval leaves out 0 and it is large enough."""
+    response = conditional_response(rows, wet)
+    parts = [S.slope(part, ["location_id"], wet, "response", least).withColumn("range", F.lit(name)) for name, part in (("light", response.filter(F.col(wet) <= light)), ("all", response))]
+    tested = S.slope_test(parts[0].unionByName(parts[1]))
+    return tested.withColumn("kept", ((F.col("lower") > 0) | (F.col("upper") < 0)) & (F.abs("slope") >= smallest))
+
+
+def cell_strengths(rows: DataFrame, found: DataFrame, least: int = 8) -> DataFrame:
+    """(pattern_id, window, strength): a cell's median over that of the same hours on other weekdays, in each month.
+
+    found: (pattern_id, location_id, weekday, hours).  rows: location_id, month, weekday, hour, value.
+    """
+    cells = found.select("pattern_id", "location_id", F.col("weekday").alias("_weekday"), F.explode("hours").alias("hour"))
+    near = rows.filter("value is not null").join(cells, ["location_id", "hour"])
+    return _strengths(near, F.col("weekday") == F.col("_weekday"), least)
+
+
+def zone_strengths(rows: DataFrame, found: DataFrame, least: int = 8) -> DataFrame:
+    """The same for level shifts (pattern_id, location_id): a zone's median over that of all other zones.
+
+    Values are counted by zone and month before they meet the patterns.
+    """
+    counts = rows.filter("value is not null").groupBy("location_id", "month", "value").agg(F.count(F.lit(1)).alias("_n"))
+    zones = found.select("pattern_id", F.col("location_id").alias("_zone"))
+    near = counts.crossJoin(F.broadcast(zones))  # patterns of zones: as many as zones at most
+    return _strengths(near, F.col("location_id") == F.col("_zone"), least, F.col("_n"))
+
+
+def _strengths(near: DataFrame, treated: Column, least: int, weight: Column | None = None) -> DataFrame:
+    weight = F.lit(1) if weight is None else weight
+    median = lambda t: F.percentile(F.when(t, F.col("value")), F.lit(0.5), weight)
+    n = lambda t: F.sum(F.when(t, weight).otherwise(0))
+    g = near.groupBy("pattern_id", F.col("month").alias("window")).agg(median(treated).alias("_a"), median(~treated).alias("_b"), n(treated).alias("n_pattern"), n(~treated).alias("n_rest"))
+    strength = F.when((F.col("n_pattern") >= least) & (F.col("n_rest") >= least), F.try_divide("_a", "_b"))
+    return g.withColumn("strength", strength).drop("_a", "_b")
+
+
+def wet_strengths(rows: DataFrame, wet: str, pattern_id: str, least: int = 8) -> DataFrame:
+    """The same for the rain pattern: in each month the median of wet values over the dry median of their own cell."""
+    cell = ["month", "location_id", "weekday", "hour"]
+    known = rows.filter("value is not null")
+    dry = known.filter(F.col(wet) == 0).groupBy(*cell).agg(F.median("value").alias("_base"), F.count(F.lit(1)).alias("_n")).filter("_n >= 2 and _base <> 0").drop("_n")
+    ratios = known.filter(F.col(wet) > 0).join(dry, cell).groupBy("month").agg(F.median(F.col("value") / F.col("_base")).alias("_m"), F.count(F.lit(1)).alias("n_pattern"))
+    rest = known.filter(F.col(wet) == 0).groupBy("month").agg(F.count(F.lit(1)).alias("n_rest"))
+    g = rest.join(ratios, "month", "full").select(F.lit(pattern_id).alias("pattern_id"), F.col("month").alias("window"), "_m", F.coalesce("n_pattern", F.lit(0)).alias("n_pattern"), F.coalesce("n_rest", F.lit(0)).alias("n_rest"))
+    return g.withColumn("strength", F.when((F.col("n_pattern") >= least) & (F.col("n_rest") >= least), F.col("_m"))).drop("_m")
+
+
+def tracked(strengths: DataFrame, recent: int = 2, band: float = 0.15) -> DataFrame:
+    """``evolution`` with the trend of the strengths over the windows."""
+    return evolution(strengths, recent, band).join(S.trend(strengths, ["pattern_id"], "window", "strength").select("pattern_id", "rho", "p_value", "direction"), "pattern_id", "left")
+
+
+#: Kinds that describe the data and are not counted as discoveries, and the order in which kinds are listed.
+DESCRIPTIVE = ("hourly_profile", "weekly_profile", "hotspot")
+KINDS = ("spatiotemporal", "level_shift", "conditional", *DESCRIPTIVE)
+
+
+def discover(rows: DataFrame, months: DataFrame, fdr: float = 0.05, lift: float = 1.25) -> DataFrame:
+    """All patterns of rows as one table (pattern_id, kind, location_id, weekday, hours, effect, confidence, descriptive), in a fixed order.
+
+    rows: location_id, event_time, weekday, hour, value, wet.  months: location_id, month, value.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    cells = discovered(cell_tests(rows.filter("value is not null")), fdr, lift)
+    certain = cells.groupBy("location_id", "weekday_tested").agg(F.max("adjusted_p").alias("_p"))
+    runs = merge_hours(cells).join(certain, ["location_id", "weekday_tested"])
+    hour = lambda h: F.format_string("%02d", h.cast("int"))
+    ident = F.concat(F.lit("ST-"), "location_id", F.lit("-"), F.col("weekday_tested").cast("string"), F.lit("-"), hour(F.element_at("hours", 1)), hour(F.element_at("hours", -1) + 1))
+    parts = [runs.select(ident.alias("pattern_id"), F.lit("spatiotemporal").alias("kind"), "location_id", F.col("weekday_tested").cast("int").alias("weekday"), F.col("hours").cast("array<int>").alias("hours"), F.col("lift").alias("effect"), C.confidence_from_p(F.col("_p")).alias("confidence"))]
+    row = lambda t, prefix, kind, effect, confidence: t.select(F.concat(F.lit(prefix), "location_id").alias("pattern_id"), F.lit(kind).alias("kind"), "location_id", none("int").alias("weekday"), none("array<int>").alias("hours"), effect.alias("effect"), confidence.alias("confidence"))
+    parts.append(row(discovered_shifts(months), "LVL-", "level_shift", F.col("adjusted_ratio"), F.lit(0.95)))
+    parts.append(row(rain_effects(rows, "wet").filter("kept and range = 'all'"), "CND-", "conditional", F.col("slope"), C.confidence_from_p(F.col("p_value"))))
+    parts.append(row(profile_patterns(rows, "hour"), "PRF-hour-", "hourly_profile", F.col("ratio"), F.col("confidence")))
+    parts.append(row(profile_patterns(rows, "weekday"), "PRF-weekday-", "weekly_profile", F.col("ratio"), F.col("confidence")))
+    parts.append(row(hotspots(rows).filter("hotspot"), "HOT-", "hotspot", F.col("ratio"), none("double")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    return out.withColumn("descriptive", F.col("kind").isin(*DESCRIPTIVE)).orderBy(place, F.desc_nulls_last("confidence"), "pattern_id")
+
+
 def evolution(strengths: DataFrame, recent: int = 2, band: float = 0.15, least: int = 3) -> DataFrame:
     """Status of each pattern from its windows (pattern_id, window, strength above 1 means present)."""
     latest = Window.partitionBy("pattern_id").orderBy(F.desc("window"))

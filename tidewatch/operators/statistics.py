@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import normal_sf
+from ..functions.special import chi_square_sf, normal_sf, t_sf_two_sided, t_upper_quantile
 
 
 def average_rank(by: list[str], value: str) -> tuple[Column, Column]:
@@ -42,15 +42,23 @@ def two_sided(z: Column) -> Column:
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, level: float = 0.05) -> DataFrame:
-    """Adjusted p and rejection of each test; null p are left out of the family.  One row for each hypothesis: a small table."""
+    """Adjusted p and rejection of each test; null p are left out of the family.
+
+    Tests with one p share the largest of their ranks, so it is enough to rank distinct values: they are counted
+    first and ordered in buckets, and no task holds all tests.  The least of p m / k over larger p is taken inside
+    a bucket and over the buckets above it.
+    """
     known = tests.filter(F.col(p).isNotNull() & ~F.isnan(p))
-    order = Window.orderBy(F.col(p), *[c for c in tests.columns if c != p])
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    raw = known.withColumns({"_k": F.row_number().over(order), "_m": m})
-    from_largest = Window.orderBy(F.col("_k")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    adjusted = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_k")).over(from_largest))
-    out = raw.withColumn("adjusted_p", adjusted)
-    return out.withColumn("rejected", F.col("adjusted_p") <= level).drop("_k", "_m")
+    counts = known.groupBy(F.lit(1).alias("_all"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked, _ = running_totals(counts, ["_all"], "_p", ["_c"])
+    ranked = ranked.withColumn("_a", F.col("_p") * F.col("all__c") / F.col("upto__c"))
+    above = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)  # at most MOST_BUCKETS rows
+    least = ranked.groupBy("_bucket").agg(F.min("_a").alias("_b")).select("_bucket", F.min("_b").over(above).alias("_above"))
+    inside = Window.partitionBy("_bucket").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    adjusted = F.least(F.lit(1.0), F.min("_a").over(inside), "_above")
+    table = ranked.join(F.broadcast(least), "_bucket").select("_p", adjusted.alias("adjusted_p"))
+    out = known.join(table, known[p] == table["_p"]).drop("_p")
+    return out.withColumn("rejected", F.col("adjusted_p") <= level)
 
 
 def slope(rows: DataFrame, by: list[str], x: str, y: str, least: int = 30) -> DataFrame:
@@ -61,6 +69,37 @@ def slope(rows: DataFrame, by: list[str], x: str, y: str, least: int = 30) -> Da
     return g.filter((F.col("n") >= least) & (F.col("_sxx") > 0)).withColumn("stderr", F.sqrt(left / (F.col("n") - 2) / F.col("_sxx"))).drop("_sxx", "_syy")
 
 
+def slope_test(slopes: DataFrame, level: float = 0.95) -> DataFrame:
+    """``slope`` results with a t interval and p value; one row for each group, a small table."""
+    degrees = (F.col("n") - 2).cast("double")
+    width = t_upper_quantile(F.lit((1 + level) / 2), degrees) * F.col("stderr")
+    p = F.when(F.col("stderr") > 0, t_sf_two_sided(F.col("slope") / F.col("stderr"), degrees)).otherwise(F.when(F.col("slope") != 0, 0.0).otherwise(1.0))
+    return slopes.withColumns({"lower": F.col("slope") - width, "upper": F.col("slope") + width, "p_value": p})
+
+
+def trend(rows: DataFrame, by: list[str], x: str, y: str, least: int = 4, level: float = 0.05) -> DataFrame:
+    """Spearman trend of each group: rho, p and direction (up, down, flat); fewer than least known points are untested.
+
+    One row for each point of a short series; a constant series is tested and flat.
+    """
+    known = rows.filter(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")))
+    g = spearman(known, by, x, y)
+    flat = known.groupBy(*by).agg((F.count_distinct(y) <= 1).alias("_flat"))
+    rho, degrees = F.col("rho"), (F.col("n") - 2).cast("double")
+    t = rho * F.sqrt(degrees / F.greatest(F.lit(1e-300), 1 - rho * rho))
+    p = F.when(F.abs(rho) >= 1 - 1e-12, 0.0).otherwise(t_sf_two_sided(t, degrees))
+    tested = F.col("n") >= least
+    out = g.alias("g").join(flat.alias("f"), _same(by, "g", "f")).select("g.*", "f._flat").withColumn("tested", tested)
+    out = out.withColumns({"rho": F.when(tested, F.when(F.col("_flat"), 0.0).otherwise(rho)), "p_value": F.when(tested, F.when(F.col("_flat"), 1.0).otherwise(p))})
+    sure = F.coalesce(F.col("p_value") <= level, F.lit(False))
+    return out.withColumn("direction", F.when(sure & (F.col("rho") > 0), "up").when(sure & (F.col("rho") < 0), "down").otherwise("flat")).drop("_flat")
+
+
+def kruskal_test(tests: DataFrame) -> DataFrame:
+    """``kruskal_wallis`` results with their p value."""
+    return tests.withColumn("p_value", chi_square_sf(F.col("h"), F.col("degrees").cast("double")))
+
+
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     rx, _ = average_rank(by, x)
     ry, _ = average_rank(by, y)
@@ -96,6 +135,23 @@ def psi(reference: DataFrame, recent: DataFrame, value: str, bins: int = 10, lea
     return out.crossJoin(F.broadcast(flat)).withColumn("psi", F.when(~thin, F.col("psi"))).drop("flat")
 
 
+def psi_windows(reference: DataFrame, rows: DataFrame, value: str, window: str, bins: int = 10, least: int = 30, floor: float = 1e-6) -> DataFrame:
+    """(window, psi, rows): the index of every window of rows against one reference, in one grouped pass."""
+    shares = [k / bins for k in range(1, bins)]
+    found = reference.agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("edges"), F.count(value).alias("n"))  # one row
+    slot = F.size(F.filter("edges", lambda e: e <= F.col(value)))
+    count = lambda t, *keys: t.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(found.select("edges"))).groupBy(*keys, slot.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    base = count(reference).withColumnRenamed("c", "a")
+    grid = rows.select(window).distinct().crossJoin(F.broadcast(rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))))
+    full = grid.join(F.broadcast(base), "bin", "left").join(count(rows, window), [window, "bin"], "left").na.fill(0, ["a", "c"])
+    total = full.withColumns({"n": F.sum("a").over(Window.partitionBy(window)), "m": F.sum("c").over(Window.partitionBy(window))})
+    p, q = F.greatest(F.col("a") / F.col("n"), F.lit(floor)), F.greatest(F.try_divide("c", "m"), F.lit(floor))
+    out = total.groupBy(window).agg(F.sum((q - p) * F.log(q / p)).alias("psi"), F.max("n").alias("_n"), F.max("m").alias("rows"))
+    flat = found.select((F.size(F.array_distinct("edges")) < bins - 1).alias("_flat"))
+    thin = (F.col("_n") < least) | (F.col("rows") < least) | F.col("_flat")
+    return out.crossJoin(F.broadcast(flat)).withColumn("psi", F.when(~thin, F.col("psi"))).drop("_n", "_flat")
+
+
 def psi_status(psi_: Column, drifted: float = 0.25, minor: float = 0.1) -> Column:
     return F.when(psi_.isNull(), "insufficient_data").when(psi_ >= drifted, "drifted").when(psi_ >= minor, "minor").otherwise("stable")
 

@@ -440,7 +440,8 @@ def _bh(spark, sf):
     return statistics.benjamini_hochberg(p, "p").select("location_id", "hour", "p", r("adjusted_p", 6).alias("adjusted_p"))
 
 
-@query("mwu_p_values")
+# erf(x) = exp(-x^2) * sum of x^(2n+1) / gamma(n + 3/2)
+@query("mwu_p_values", f"""WITH {_MWU_SQL} SELECT location_id, hour, round(least(1.0, 1 - exp(-greatest(0, z) * greatest(0, z) / 2) * list_sum(list_transform(range(80), lambda n: pow(greatest(0, z) / sqrt(2), 2 * n + 1) / gamma(n + 1.5)))), 6) AS p_value FROM mw""")
 def _mwu_p(spark, sf):
     return _mwu(spark, sf).select("location_id", "hour", r(statistics.two_sided(F.col("z")), 6).alias("p_value"))
 
@@ -450,13 +451,25 @@ def _cells(spark, sf):
     return local_obs(spark, sf).groupBy("location_id", "weekday", "hour").agg(F.count(F.lit(1)).alias("rows"), r(F.median("value")).alias("median_value"))
 
 
-@query("spatiotemporal_cells")
+_CELL_SQL = f"""{LOCAL_SQL}, cell AS (SELECT DISTINCT location_id, hour, weekday AS w FROM loc WHERE value IS NOT NULL), cx AS (SELECT l.location_id, l.hour, c.w, l.value, l.weekday = c.w AS treated FROM loc l JOIN cell c ON l.location_id = c.location_id AND l.hour = c.hour WHERE l.value IS NOT NULL),
+cg AS (SELECT location_id, hour, w, median(value) FILTER (treated) / median(value) FILTER (NOT treated) AS effect FROM cx GROUP BY ALL HAVING count(*) FILTER (treated) >= 12 AND count(*) FILTER (NOT treated) >= 12),
+cl AS (SELECT *, effect / median(effect) OVER (PARTITION BY hour, w) AS lift FROM cg)"""
+
+
+@query("spatiotemporal_cells", f"""WITH {_CELL_SQL}, ck AS (SELECT *, rank() OVER (PARTITION BY location_id, hour, w ORDER BY value) + (count(*) OVER (PARTITION BY location_id, hour, w, value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY location_id, hour, w, value) AS t FROM cx),
+cs AS (SELECT location_id, hour, w, CAST(count(*) FILTER (treated) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT treated) AS DOUBLE) AS n2, sum(r) FILTER (treated) AS r1, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM ck GROUP BY ALL HAVING count(*) FILTER (treated) >= 12 AND count(*) FILTER (NOT treated) >= 12),
+cz AS (SELECT location_id, hour, w, greatest(0, (greatest(r1 - n1 * (n1 + 1) / 2, n1 * n2 - (r1 - n1 * (n1 + 1) / 2)) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1))))) / sqrt(2) AS x FROM cs),
+cp AS (SELECT location_id, hour, w, least(1.0, greatest(0.0, 1 - exp(-x * x) * list_sum(list_transform(range(80), lambda n: pow(x, 2 * n + 1) / gamma(n + 1.5))))) AS p FROM cz),
+cq AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM cp), ca AS (SELECT location_id, hour, w, least(1.0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adjusted FROM cq)
+SELECT location_id, hour, w AS weekday_tested, round(effect, 7) AS effect, round(lift, 7) AS localized_lift, round(adjusted, 5) AS adjusted_p FROM cl JOIN ca USING (location_id, hour, w)""")
 def _cell_tests(spark, sf):
-    t = patterns.cell_tests(local_obs(spark, sf).filter("value is not null"))
-    return patterns.discovered(t, level=0.5, lift=1.0).select("location_id", "hour", "weekday_tested", r("effect").alias("effect"), r("localized_lift").alias("localized_lift"))
+    """All cells with their adjusted p value; those below the level and above the lift are the patterns (discovered_patterns)."""
+    t = patterns.discovered(patterns.cell_tests(local_obs(spark, sf).filter("value is not null")), level=2.0, lift=0.0)
+    return t.select("location_id", "hour", "weekday_tested", r("effect").alias("effect"), r("localized_lift").alias("localized_lift"), r("adjusted_p", 5).alias("adjusted_p"))
 
 
-@query("pattern_hours")
+@query("pattern_hours", f"""WITH {_CELL_SQL}, i AS (SELECT *, hour - row_number() OVER (PARTITION BY location_id, w ORDER BY hour) AS island FROM cl WHERE lift >= 1.25)
+SELECT location_id, w AS weekday_tested, list_sort(list(hour)) AS hours, round(max(lift), 7) AS lift FROM i GROUP BY location_id, w, island""")
 def _pattern_hours(spark, sf):
     t = patterns.cell_tests(local_obs(spark, sf).filter("value is not null"))
     return patterns.merge_hours(t.filter(F.col("localized_lift") >= 1.25)).select("location_id", "weekday_tested", "hours", r("lift").alias("lift"))
@@ -756,17 +769,27 @@ def _gbt(spark, sf):
 @query("fuzzy_location")
 def _fuzzy(spark, sf):
     names = table(spark, sf, "nation").select(F.concat(F.substring("n_name", 2, 20), F.lit("x")).alias("name"))
-    return feeds.suggest_locations(names, [x["n_name"] for x in table(spark, sf, "nation").select("n_name").limit(1000).collect()])
+    return feeds.suggest_locations(names, table(spark, sf, "nation").select(F.col("n_name").alias("suggestion")))
+
+
+_MONTHLY_ORDERS_SQL = """RECURSIVE w AS (SELECT date_trunc('month', o_orderdate) AS t, avg(CAST(o_totalprice AS DOUBLE)) AS m FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+o AS (SELECT row_number() OVER (ORDER BY t) AS k, epoch(CAST(t AS TIMESTAMP)) AS s, abs(m - 150000) / 150000 AS magnitude, abs(m - 150000) / 150000 > 0.01 AS q FROM w),
+fold(k, onset, raised, last, s, magnitude) AS (SELECT 0, CAST(NULL AS DOUBLE), false, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL SELECT o.k, CASE WHEN q THEN coalesce(onset, o.s) END, q AND (onset IS NULL OR o.s - last >= 45 * 86400), CASE WHEN q AND (onset IS NULL OR o.s - last >= 45 * 86400) THEN o.s ELSE last END, o.s, o.magnitude FROM fold JOIN o ON o.k = fold.k + 1)"""
 
 
-@query("drift_episodes")
+@query("drift_episodes", f"WITH {_MONTHLY_ORDERS_SQL} SELECT 'orders' AS stream, CAST(onset AS BIGINT) AS onset_s, CAST(max(s) AS BIGINT) AS last_s, count(*) AS events, round(max(magnitude), 6) AS peak, count(*) FILTER (raised) AS candidates FROM fold WHERE onset IS NOT NULL GROUP BY onset")
 def _episodes(spark, sf):
-    w = table(spark, sf, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("detected_at")).agg(F.avg(F.col("o_totalprice").cast("double")).alias("m"))
-    events = w.select(F.lit("orders").alias("stream"), F.col("detected_at").cast("timestamp").alias("detected_at"), (F.abs(F.col("m") - 150000) / 150000).alias("magnitude"), F.lit("feature").alias("kind")).filter("magnitude > 0.005")
-    return monitoring.episodes(events, quiet_days=45).select("stream", "onset", "last_seen", "events", r("peak", 6).alias("peak"), "candidates")
+    """Months whose mean order is off by more than a hundredth are drifted evaluations; the others close an episode."""
+    w = table(spark, sf, "orders").filter("o_orderdate is not null").groupBy(F.date_trunc("month", "o_orderdate").alias("detected_at")).agg(F.avg(F.col("o_totalprice").cast("double")).alias("m"))
+    size = F.abs(F.col("m") - 150000) / 150000
+    events = w.select(F.lit("orders").alias("stream"), F.col("detected_at").cast("timestamp").alias("detected_at"), size.alias("magnitude"), F.when(size > 0.01, F.array(F.lit("feature"))).otherwise(F.array().cast("array<string>")).alias("kinds"))
+    e = monitoring.episodes(events, required=("feature",), cooldown_days=45)
+    return e.select("stream", micros("onset").alias("onset_s"), micros("last_seen").alias("last_s"), "events", r("peak", 6).alias("peak"), "candidates")
 
 
-@query("stream_tumbling")
+@query("stream_tumbling", """WITH t AS (SELECT 'ZONE-' || substr('ABCD', CAST(user_id % 4 AS INTEGER) + 1, 1) AS location_id, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01 00:00:00')) / 604800) AS BIGINT) AS k, value FROM events)
+SELECT location_id, CAST(epoch(TIMESTAMP '2024-01-01 00:00:00') + k * 604800 AS BIGINT) AS start_s, count(*) AS rows, round(avg(value), 7) AS mean_value FROM t GROUP BY location_id, k""")
 def _tumbling(spark, sf):
     import uuid
 
@@ -774,4 +797,4 @@ def _tumbling(spark, sf):
     streams.run_to_end(streams.tumbling(streams.events_stream(spark, f"{sf}/events.parquet")), f"{root}/out", f"{root}/checkpoint", mode="update")
     rows = spark.read.schema("location_id string, window struct<start: timestamp, end: timestamp>, rows long, mean_value double, batch long").parquet(f"{root}/out")
     last = rows.groupBy("location_id", "window").agg(F.max_by(F.struct("rows", "mean_value"), "batch").alias("x"))
-    return last.select("location_id", F.col("window.start").alias("start"), "x.rows", r("x.mean_value").alias("mean_value"))
+    return last.select("location_id", micros("window.start").alias("start_s"), "x.rows", r("x.mean_value").alias("mean_value"))

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns: observation_id, source_id, location_id, metric, event_time, source_time, received_time, value."""
+    """Columns: observation_id, source_id, location_id, metric, unit, duration_minutes, aggregation_level, event_time, source_time, received_time, value."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(
         F.concat(F.lit("OBS-"), F.col("event_id").cast("string")).alias("observation_id"),
         F.concat(F.lit("sensor-"), (F.col("user_id") % 6).cast("string")).alias("source_id"),
         F.concat(F.lit("ZONE-"), F.substring(F.lit("ABCD"), (F.col("user_id") % 4).cast("int") + 1, F.lit(1))).alias("location_id"),
         F.col("event_type").alias("metric"),
+        F.lit("vehicles/hour").alias("unit"),
+        F.lit(60).alias("duration_minutes"),
+        F.lit("hourly").alias("aggregation_level"),
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("event_time"),
         F.col("ts").alias("source_time"),
         F.expr("ts + make_dt_interval(0, cast(event_id % 60 as int), 0, 0)").alias("received_time"),

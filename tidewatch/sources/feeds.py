@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import difflib
 import fnmatch
-from collections.abc import Iterator
-
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +28,16 @@ def stream_feed(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return rows.withColumn("received_time", F.current_timestamp())
 
 
+def stream_limited(spark: SparkSession, path: str, limit: int, delay_seconds: float = 0.0) -> DataFrame:
+    """Rows that a replay gives out before it stops: good rows only count, by file and place, each delay_seconds after the last.
+
+    A replay of files that are there is a batch plan: (feed columns, offset_seconds).
+    """
+    rows = read_feed(spark, path).withColumn("_at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+    first = rows.filter("length(trim(record_id)) > 0").orderBy("_at").limit(limit)
+    return first.withColumn("offset_seconds", (F.row_number().over(Window.orderBy("_at")) - 1) * F.lit(float(delay_seconds))).drop("_at")  # limit rows
+
+
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
     """Zone coordinates; zones with bad ones keep null coordinates."""
     rows = spark.read.option("header", True).csv(path)
@@ -59,19 +67,29 @@ def resolve_locations(rows: DataFrame, registry: DataFrame, column: str = "locat
     return found.withColumn("match_kind", F.coalesce("match_kind", F.lit("unresolved")))
 
 
-def suggest_locations(names: DataFrame, choices: list[str], least: float = 0.6, top: int = 3) -> DataFrame:
-    """Up to top similar choices for each unresolved name: suggestions only, never applied.  choices: the registry's names."""
-    known = sorted(set(choices))
+def suggest_locations(names: DataFrame, choices: DataFrame, least: float = 0.6, top: int = 3) -> DataFrame:
+    """Up to top similar choices for each unresolved name: suggestions only, never applied.
+
+    choices: (suggestion), the registry's names, a dimension table.  Pairs share a character and have lengths that
+    can reach the score, which is 2 M / T for M matching of T characters in all; the ratio itself is that of
+    difflib, on Arrow batches.
+    """
+    known = choices.select("suggestion", F.lower("suggestion").alias("_c")).distinct()
+    asked = names.select("name", F.lower(F.coalesce("name", F.lit(""))).alias("_n")).distinct()
+    letters = lambda c: F.explode(F.array_distinct(F.split(c, "")))
+    reach = 2 * F.least(F.length("_n"), F.length("_c")) >= least * (F.length("_n") + F.length("_c"))
+    pairs = asked.withColumn("_l", letters(F.col("_n"))).join(known.withColumn("_l", letters(F.col("_c"))), "_l").filter(reach).select("name", "suggestion", "_n", "_c").distinct()
+    scored = pairs.withColumn("score", similarity(F.col("_n"), F.col("_c"))).filter(F.col("score") >= least)
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "suggestion"))
+    return scored.withColumn("_k", rank).filter(F.col("_k") <= top).select("name", "suggestion", "score")
+
+
+def _ratios(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(x, y, strict=True)], dtype="float64")
 
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for n in pdf["name"]:
-                scored = [(difflib.SequenceMatcher(None, (n or "").lower(), c.lower()).ratio(), c) for c in known]
-                out += [(n, c, s) for s, c in sorted(scored, key=lambda x: (-x[0], x[1]))[:top] if s >= least]
-            yield pd.DataFrame(out, columns=["name", "suggestion", "score"])
 
-    return names.select("name").distinct().mapInPandas(rank, "name string, suggestion string, score double")
+def similarity(x: Column, y: Column) -> Column:
+    return F.pandas_udf(_ratios, "double")(x, y)
 
 
 def append_log(rows: DataFrame, path: str, run_id: str) -> None:

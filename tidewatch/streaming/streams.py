@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.monitoring import EpisodeFold
+from ..operators.integrity import KEY
+from ..operators.monitoring import EPISODES, EpisodeFold
 
 
 def tumbling(stream: DataFrame, days: int = 7, anchor: str = "2024-01-01 00:00:00", late_hours: int = 48) -> DataFrame:
@@ -30,7 +31,7 @@ def late_split(rows: DataFrame, late_hours: int = 48) -> tuple[DataFrame, DataFr
 
 def representatives(stream: DataFrame, late_hours: int = 48) -> DataFrame:
     """First arrival of each observation key within the watermark; links between duplicates come from the batch path."""
-    return stream.withWatermark("event_time", f"{late_hours} hours").dropDuplicatesWithinWatermark(["location_id", "metric", "event_time"])
+    return stream.withWatermark("event_time", f"{late_hours} hours").dropDuplicatesWithinWatermark([c for c in KEY if c in stream.columns])
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -52,28 +53,36 @@ def split_to_end(stream: DataFrame, valid: str, quarantine: str, checkpoint: str
     stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
 
 
-_OUT = "stream string, onset timestamp, last_seen timestamp, events long, peak double"
-_STATE = "onset timestamp, last_seen timestamp, events long, peak double"
+_STATE = "episode_id string, onset timestamp, last_seen timestamp, events long, peak double, kinds array<string>, candidates long, last_candidate timestamp"
 
 
-def stream_episodes(events: DataFrame, quiet_days: int = 14) -> DataFrame:
-    """Episodes of drift events (stream, detected_at, magnitude, kind) as they close or grow; the fold is the batch one."""
+def stream_episodes(evaluations: DataFrame, required: tuple[str, ...] = ("prediction",), cooldown_days: int = 28) -> DataFrame:
+    """Episodes of evaluations (stream, detected_at, kinds, magnitude) as they close or grow; the fold is the batch one.
+
+    State holds the open episode and the last candidate, so a cooldown outlives the episode that began it.
+    """
+    stamp = lambda x: None if x is None or pd.isna(x) else pd.Timestamp(x)
+    plain = lambda x: None if x is None or pd.isna(x) else x.to_pydatetime()
+    names = [c.split()[0] for c in EPISODES.split(", ")]
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        f = EpisodeFold(quiet_days)
+        f = EpisodeFold(cooldown_days, required)
         if state.exists:
-            onset, last, n, peak = state.get
-            f.open = {"onset": pd.Timestamp(onset), "last_seen": pd.Timestamp(last), "events": n, "peak": peak, "kinds": set(), "candidates": 0}
-        for pdf in batches:
-            for r in pdf.sort_values("detected_at").itertuples():
-                f.observe(r.detected_at, r.magnitude, r.kind)
+            ident, onset, last, n, peak, kinds, raised, candidate = state.get
+            f.last_candidate = stamp(candidate)
+            if ident is not None:
+                f.open = {"episode_id": ident, "onset": stamp(onset), "last_seen": stamp(last), "closed_at": None, "events": n, "peak": peak, "kinds": list(kinds), "candidates": raised}
+        # The rows of one stream in one trigger: a few instants, in any order over the batches.
+        for r in pd.concat(list(batches)).sort_values("detected_at").itertuples():
+            f.observe(r.detected_at, r.kinds, r.magnitude)
         e = f.open
         if e:
-            state.update((e["onset"].to_pydatetime(), e["last_seen"].to_pydatetime(), int(e["events"]), float(e["peak"])))
-        rows = [{"stream": key[0], **{c: x[c] for c in ("onset", "last_seen", "events", "peak")}} for x in [*f.done, *([e] if e else [])]]
-        yield pd.DataFrame(rows, columns=["stream", "onset", "last_seen", "events", "peak"])
+            state.update((e["episode_id"], plain(e["onset"]), plain(e["last_seen"]), int(e["events"]), float(e["peak"]), list(e["kinds"]), int(e["candidates"]), plain(f.last_candidate)))
+        else:
+            state.update((None, None, None, 0, 0.0, [], 0, plain(f.last_candidate)))
+        yield pd.DataFrame([{"stream": key[0], **x} for x in [*f.done, *([e] if e else [])]], columns=names)
 
-    return events.groupBy("stream").applyInPandasWithState(fold, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return evaluations.groupBy("stream").applyInPandasWithState(fold, EPISODES, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def events_stream(spark: SparkSession, path: str) -> DataFrame:
