@@ -19,7 +19,7 @@ def brute(rows):
             keep = False
         else:
             seen[w] = True
-            keep = not any(len(w) >= 8 and len(v) >= 8 and within_one_edit(list(w), list(v)) for v in order)
+            keep = not any(len(w) >= line_dedup.MIN_WORDS and len(v) >= line_dedup.MIN_WORDS and within_one_edit(list(w), list(v)) for v in order)
             order.append(w)
         if keep:
             out.setdefault(i, []).append(line)

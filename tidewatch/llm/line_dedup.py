@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import lower_words, materialize, mix, text_buffer, word_bounds, word_hashes
 
-MIN_WORDS = 8
-#: Up to so many rows of line numbers by document are broadcast to the texts; beyond, a shuffled join.
-BROADCAST_ROWS = 500_000
+#: One edit leaves at least three quarters of a line of so many words; shorter lines count as repeats only if equal.
+MIN_WORDS = 4
+#: Up to so many line numbers and documents are broadcast to the texts; beyond, a shuffled join.
+BROADCAST_ROWS = 1_000_000
 
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _INV = tuple(np.uint64(pow(int(m), -1, 1 << 64)) for m in _MULT)
@@ -201,7 +202,9 @@ class LineDedup:
     @staticmethod
     def _beside(docs: DataFrame, by_doc: DataFrame, how: str = "inner") -> DataFrame:
         side = by_doc.withColumnRenamed("doc_id", "_line_doc")
-        side = F.broadcast(side) if by_doc.count() <= BROADCAST_ROWS else side
+        numbers = next(F.size(c) for c in ("lines", "_lines") if c in by_doc.columns)
+        size = by_doc.agg(F.coalesce(F.sum(numbers + 4), F.lit(0)).alias("n")).first()["n"]
+        side = F.broadcast(side) if size <= BROADCAST_ROWS else side
         return docs.join(side, docs["doc_id"] == side["_line_doc"], how).drop("_line_doc")
 
     def apply(self, docs: DataFrame) -> DataFrame:

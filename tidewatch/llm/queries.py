@@ -67,9 +67,9 @@ f AS (
   SELECT w, array_to_string(w, ' ') AS whole, min((doc_id, line)) AS pos FROM l WHERE len(w) > 0 GROUP BY w),
 v AS (
   SELECT pos, whole, len(w) AS n, i, array_to_string(list_concat(w[1:i-1], w[i+1:]), ' ') AS variant
-  FROM f, unnest(range(1, len(w) + 1)) AS t(i) WHERE len(w) >= 8),
+  FROM f, unnest(range(1, len(w) + 1)) AS t(i) WHERE len(w) >= 4),
 sub AS (SELECT pos FROM (SELECT pos, min(pos) OVER (PARTITION BY n, i, variant) AS hub FROM v) WHERE pos <> hub),
-ins AS (SELECT greatest(v.pos, f.pos) AS pos FROM v JOIN f ON v.variant = f.whole AND len(f.w) >= 8),
+ins AS (SELECT greatest(v.pos, f.pos) AS pos FROM v JOIN f ON v.variant = f.whole AND len(f.w) >= 4),
 near AS (SELECT pos FROM sub UNION SELECT pos FROM ins),
 judged AS (
   SELECT l.doc_id, l.line, l.raw, len(l.w) > 0 AND ((l.doc_id, l.line) <> f.pos OR near.pos IS NOT NULL) AS gone,
