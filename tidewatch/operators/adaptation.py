@@ -184,6 +184,14 @@ def summarise_arms(scores: DataFrame, by: tuple[str, ...] = ("arm",)) -> DataFra
     return g.withColumn("rank", F.row_number().over(Window.partitionBy(*[c for c in by if c != "arm"]).orderBy("mean_mae", "arm")))  # arms are few
 
 
+def regressions(summary: DataFrame) -> DataFrame:
+    """(arm, slice, mean_mae, best_rival): slices on which an arm is worse than the best of the others; unknown means aside."""
+    known = summary.filter(F.col("mean_mae").isNotNull() & ~F.isnan("mean_mae")).select("arm", "slice", "mean_mae")
+    rival = known.select(F.col("arm").alias("_rival"), "slice", F.col("mean_mae").alias("_m"))
+    met = known.join(rival, "slice").filter("arm <> _rival")  # arms are few
+    return met.groupBy("arm", "slice", "mean_mae").agg(F.min("_m").alias("best_rival")).filter("mean_mae > best_rival")
+
+
 def run_seeds(seeds: list[int], run: Callable[[int], DataFrame]) -> DataFrame:
     """Scores (arm, ...) of one run for each seed, with the seed."""
     out = None

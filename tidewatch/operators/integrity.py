@@ -154,3 +154,77 @@ def provenance(obs: DataFrame, identifiers: DataFrame) -> DataFrame:
     found = wanted.alias("w").join(peers.alias("p"), same_key("w", "p")).filter("p.peer <> w.observation_id")
     peers_of = found.select("w.observation_id", "p.peer").groupBy("observation_id").agg(F.array_join(F.sort_array(F.collect_list("peer")), ",").alias("peers"))
     return wanted.select("observation_id", "placement", "representative_id", "members").join(peers_of, "observation_id", "left")
+
+
+def frozen_members(obs: DataFrame, by: tuple[str, ...], value: Column, least: int = 6, ignored: tuple[float, ...] = (0.0,)) -> tuple[DataFrame, DataFrame]:
+    """(rows outside frozen runs, rows inside, with run_length): the run's length rides on its rows, so nothing is joined."""
+    order = Window.partitionBy(*by).orderBy("event_time", "observation_id")
+    rows = obs.withColumn("_v", F.when(~value.isin(*ignored), value))
+    rows = rows.withColumn("_new", F.when(F.col("_v").eqNullSafe(F.lag("_v").over(order)), 0).otherwise(1))
+    rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("run_length", F.when(F.col("_v").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(*by, "_run"))).otherwise(0))
+    inside = F.col("run_length") >= least
+    return rows.filter(~inside).drop("_v", "_new", "_run", "run_length"), rows.filter(inside).drop("_v", "_new", "_run")
+
+
+def assessed_sources(obs: DataFrame, frozen: DataFrame, as_of: Column, expected_hours: float | None = None, warning_hours: float = 6, failed_hours: float = 24, warning_missing: float = 0.1) -> DataFrame:
+    """Health of each source with its frozen runs (source_id, length) and the reasons for its status.
+
+    Frozen runs or a silence beyond failed_hours fail a source; a longer gap inside the series, or a silence or gap
+    beyond warning_hours, or too many missing values warn.  Gaps up to expected_hours are none.
+    """
+    base = source_health(obs, as_of, warning_hours, failed_hours, warning_missing).drop("status")
+    runs = frozen.groupBy("source_id").agg(F.count(F.lit(1)).alias("frozen_runs"), F.sum("length").alias("frozen_observations"))
+    rows = base.join(runs, "source_id", "left").na.fill(0, ["frozen_runs", "frozen_observations"])
+    gap = F.col("max_gap_hours") if expected_hours is None else F.when(F.col("max_gap_hours") > expected_hours, F.col("max_gap_hours"))
+    silent = F.col("trailing_gap_hours")
+    rate = F.try_divide("missing", "observations")
+    reasons = {
+        "frozen": F.col("frozen_runs") > 0,
+        "silent": silent > failed_hours,
+        "long_gap": (silent <= failed_hours) & (gap > failed_hours),
+        "late": (silent <= failed_hours) & ~F.coalesce(gap > failed_hours, F.lit(False)) & (silent > warning_hours),
+        "gap": (silent <= warning_hours) & (gap <= failed_hours) & (gap > warning_hours),
+        "missing": rate > warning_missing,
+    }
+    told = F.array_compact(F.array(*[F.when(when, F.lit(name)) for name, when in reasons.items()]))
+    status = F.when(F.arrays_overlap("reasons", F.array(F.lit("frozen"), F.lit("silent"))), "failed").when(F.size("reasons") > 0, "warning").otherwise("ok")
+    return rows.withColumns({"max_gap_hours": gap, "reasons": told}).withColumn("status", status)
+
+
+#: Statuses whose rows may break the rules on time.
+_EXEMPT = ("quarantined", "suspect", "rejected")
+
+
+def row_invariants(rows: DataFrame, now: Column, minutes_ahead: int = 5) -> DataFrame:
+    """A boolean for each rule on whole observation rows; rules on columns that rows do not have are left out.
+
+    Columns: observation_id, event_time, received_time, status, period_start, period_end, is_imputed, imputation_method,
+    original_value, original_unit, source_type, document_name, is_inferred, quarantine_reason, links.
+    """
+    exempt = F.coalesce(F.col("status").isin(*_EXEMPT), F.lit(False)) if "status" in rows.columns else F.lit(False)
+    col = F.col
+    rules = {
+        "received_after_event": (("event_time", "received_time"), lambda: exempt | (col("received_time") >= col("event_time"))),
+        "not_in_the_future": (("event_time",), lambda: exempt | (C.seconds(col("event_time")) <= C.seconds(now) + 60 * minutes_ahead)),
+        "period_ordered": (("period_start", "period_end"), lambda: col("period_end") >= col("period_start")),
+        "imputation_declared": (("is_imputed", "imputation_method"), lambda: F.coalesce(col("is_imputed"), F.lit(False)) == col("imputation_method").isNotNull()),
+        "original_paired": (("original_value", "original_unit"), lambda: col("original_value").isNull() | col("original_unit").isNotNull()),
+        "document_has_source": (("source_type", "document_name"), lambda: (col("source_type") == "document") == col("document_name").isNotNull()),
+        "inferred_not_born_valid": (("is_inferred", "status"), lambda: ~(F.coalesce(col("is_inferred"), F.lit(False)) & (col("status") == "valid"))),
+        "quarantine_has_reason": (("status", "quarantine_reason"), lambda: (col("status") != "quarantined") | (F.length("quarantine_reason") > 0)),
+        "no_self_link": (("links", "observation_id"), lambda: ~F.array_contains("links", col("observation_id"))),
+    }
+    made = [F.coalesce(rule(), F.lit(True)).alias(name) for name, (needs, rule) in rules.items() if set(needs) <= set(rows.columns)]
+    return rows.select("observation_id", *made)
+
+
+def views(rows: DataFrame) -> dict[str, DataFrame]:
+    """Rows (status, source_type, recency) as the views that are read most: suspicious, clean, historical, real_time, document."""
+    return {
+        "suspicious": rows.filter("status = 'suspect'"),
+        "clean": rows.filter("status = 'valid'"),
+        "historical": rows.filter("source_type = 'historical'"),
+        "real_time": rows.filter("source_type = 'real_time'"),
+        "document": rows.filter("source_type = 'document'"),
+    }

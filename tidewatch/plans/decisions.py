@@ -74,6 +74,45 @@ def _counts(spark, sf):
     return normalise.counts_by(rows, "band", ["current", "recent", "historical", "future"])
 
 
+_FROZEN_SQL = f"""{OBS_SQL}, q AS (SELECT *, CASE WHEN floor(value / 50) <> 0 THEN floor(value / 50) END AS v FROM obs), f1 AS (SELECT *, CASE WHEN v IS NOT DISTINCT FROM lag(v) OVER w THEN 0 ELSE 1 END AS fresh FROM q WINDOW w AS (PARTITION BY source_id, location_id, metric ORDER BY event_time, observation_id)),
+f2 AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id, location_id, metric ORDER BY event_time, observation_id ROWS UNBOUNDED PRECEDING) AS run FROM f1), f3 AS (SELECT source_id, location_id, metric, run, count(*) AS length FROM f2 WHERE v IS NOT NULL GROUP BY ALL HAVING count(*) >= 4)"""
+
+
+def _steps(spark, sf) -> DataFrame:
+    return observations(spark, sf).withColumn("step", F.floor(F.col("value") / 50).cast("double"))
+
+
+@query("frozen_membership", f"WITH {_FROZEN_SQL} SELECT (SELECT count(*) FROM obs) - coalesce(sum(length), 0)::BIGINT AS outside, coalesce(sum(length), 0)::BIGINT AS inside, count(*) AS runs FROM f3")
+def _membership(spark, sf):
+    by = ("source_id", "location_id", "metric")
+    out, inside = integrity.frozen_members(_steps(spark, sf), by, F.col("step"), 4)
+    runs = integrity.frozen_runs(_steps(spark, sf), by, F.col("step"), 4)
+    one = lambda t, name: t.agg(F.count(F.lit(1)).alias(name))
+    return one(out, "outside").crossJoin(one(inside, "inside")).crossJoin(one(runs, "runs"))  # one row each
+
+
+@query("assessed_sources", f"""WITH {_FROZEN_SQL}, fr AS (SELECT source_id, count(*) AS runs, sum(length)::BIGINT AS n FROM f3 GROUP BY 1), t AS (SELECT DISTINCT source_id, event_time FROM obs), gp AS (SELECT source_id, max(gap) AS gap FROM (SELECT source_id, (epoch(event_time) - epoch(lag(event_time) OVER (PARTITION BY source_id ORDER BY event_time))) / 3600 AS gap FROM t) GROUP BY 1),
+b AS (SELECT source_id, count(*) AS observations, count(*) - count(value) AS missing, (epoch(TIMESTAMP '2024-01-31 06:30:00') - epoch(max(event_time))) / 3600 AS silent FROM obs GROUP BY 1),
+j AS (SELECT b.*, CASE WHEN gap > 1 THEN gap END AS gap, coalesce(runs, 0) AS frozen_runs, coalesce(n, 0) AS frozen_observations FROM b JOIN gp USING (source_id) LEFT JOIN fr USING (source_id))
+SELECT source_id, observations, frozen_runs, frozen_observations, round(silent, 4) AS silent, round(gap, 4) AS gap,
+ CASE WHEN frozen_runs > 0 OR silent > 24 THEN 'failed' WHEN gap > 24 OR silent > 6 OR gap > 6 OR missing / observations > 0.1 THEN 'warning' ELSE 'ok' END AS status FROM j""")
+def _assessed(spark, sf):
+    runs = integrity.frozen_runs(_steps(spark, sf), ("source_id", "location_id", "metric"), F.col("step"), 4)
+    h = integrity.assessed_sources(observations(spark, sf), runs, F.lit("2024-01-31 06:30:00").cast("timestamp_ntz"), 1.0)
+    return h.select("source_id", "observations", "frozen_runs", "frozen_observations", r("trailing_gap_hours", 4).alias("silent"), r("max_gap_hours", 4).alias("gap"), "status")
+
+
+@query("row_invariants", f"WITH {OBS_SQL}, n AS (SELECT *, CAST(substr(observation_id, 5) AS BIGINT) AS n FROM obs) SELECT count(*) AS rows, count(*) FILTER (n % 11 <> 0 OR n % 22 = 0) AS received, count(*) FILTER (event_time <= TIMESTAMP '2024-01-20 00:05:00' OR n % 22 = 0) AS past, count(*) FILTER (NOT (n % 7 = 0 AND n % 14 <> 0)) AS imputation, count(*) FILTER (n % 13 <> 0) AS linked, count(*) FILTER (n % 22 <> 0 OR n % 44 = 0) AS reasoned FROM n")
+def _row_invariants(spark, sf):
+    n = F.expr("cast(substr(observation_id, 5) as bigint)")
+    rows = observations(spark, sf).withColumns({
+        "received_time": F.when(n % 11 == 0, F.col("event_time") - features.hours(1)).otherwise(F.col("received_time")), "status": F.when(n % 22 == 0, "quarantined").otherwise("valid"),
+        "is_imputed": n % 7 == 0, "imputation_method": F.when(n % 14 == 0, "mean"), "links": F.array(F.when(n % 13 == 0, F.col("observation_id")).otherwise("other")), "quarantine_reason": F.when(n % 44 == 0, "invalid_value").otherwise(""),
+    })
+    c = integrity.row_invariants(rows, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    return c.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(k)).alias(v) for k, v in (("received_after_event", "received"), ("not_in_the_future", "past"), ("imputation_declared", "imputation"), ("no_self_link", "linked"), ("quarantine_has_reason", "reasoned"))])
+
+
 # feature tables
 
 _CONFIG = {"target_metric": "view", "horizon_hours": 1, "calendar": list(features.CALENDAR), "lags": [1, 24, 168], "seasonal_lags": [24, 168], "rolling_means": [3, 24, 168], "covariates": [{"metric": "rain", "location": "CITY"}, {"metric": "rain", "location": "CITY", "window_hours": 24}], "include_zone": True}
@@ -323,6 +362,12 @@ def _arm_slices(spark, sf):
     return adaptation.compare_slices(s, "scheduled").select("slice", r("base_mae", 6).alias("base_mae"), r("arm_mae", 6).alias("arm_mae"), r("change", 6).alias("change"))
 
 
+@query("arm_regressions", f"""WITH {_ARMS_SQL}, s AS (SELECT arm, location_id AS slice, avg(abs(predicted - target)) AS mae FROM arm GROUP BY ALL) SELECT a.arm, a.slice, round(a.mae, 6) AS mean_mae, round(min(b.mae), 6) AS best_rival FROM s a JOIN s b ON a.slice = b.slice AND a.arm <> b.arm GROUP BY a.arm, a.slice, a.mae HAVING a.mae > min(b.mae)""")
+def _regressions(spark, sf):
+    s = _arms(spark, sf).filter("arm <> 'adaptive'").groupBy("arm", F.col("location_id").alias("slice")).agg(F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("mean_mae"))
+    return adaptation.regressions(s).select("arm", "slice", r("mean_mae", 6).alias("mean_mae"), r("best_rival", 6).alias("best_rival"))
+
+
 @query("arm_summary", f"""WITH {_ARMS_SQL}, s AS (SELECT arm, k AS seed, avg(abs(predicted - target)) AS mae, sqrt(avg(pow(predicted - target, 2))) AS rmse FROM arm GROUP BY ALL), g AS (SELECT arm, avg(mae) AS m, stddev_samp(mae) AS sd, avg(rmse) AS rm, count(*) AS seeds FROM s GROUP BY arm)
 SELECT arm, round(m, 6) AS mean_mae, round(sd, 6) AS sd_mae, round(rm, 6) AS mean_rmse, seeds, CAST(row_number() OVER (ORDER BY m, arm) AS INTEGER) AS rank FROM g""")
 def _arm_summary(spark, sf):

@@ -124,6 +124,40 @@ def load_yaml(path: str) -> dict:
         return yaml.safe_load(f) or {}
 
 
+def validated(config: dict, required: dict[str, type | tuple[type, ...]], optional: dict[str, type | tuple[type, ...]] | None = None) -> dict:
+    """A configuration whose keys are known and of their kinds; anything else is an error that names the key."""
+    known = required | (optional or {})
+    unknown, absent = sorted(set(config) - set(known)), sorted(set(required) - set(config))
+    wrong = sorted(k for k, v in config.items() if k in known and (not isinstance(v, known[k]) or isinstance(v, bool) and known[k] is not bool))
+    if unknown or absent or wrong:
+        raise ValueError(f"unknown {unknown}, absent {absent}, of another kind {wrong}")
+    return config
+
+
+def load_settings(folder: str, env: str | None = None, base: str = "base.yaml") -> dict:
+    """base.yaml of a folder, with the environment's own file laid over it (mappings merge, other values replace)."""
+
+    def over(x: dict, y: dict) -> dict:
+        return x | {k: over(x[k], v) if isinstance(v, dict) and isinstance(x.get(k), dict) else v for k, v in y.items()}
+
+    return over(load_yaml(f"{folder}/{base}"), load_yaml(f"{folder}/{env}.yaml") if env else {})
+
+
+def metric_table(spark: SparkSession, problem: dict) -> DataFrame:
+    """The metrics of a problem configuration, as ``normalise.resolve_metrics`` takes them."""
+    rows = []
+    for name, m in (problem.get("metrics") or {}).items():
+        validated(m, {"canonical_unit": str}, {"aliases": list, "accepted_units": list, "min_value": (int, float), "max_value": (int, float), "non_negative": bool, "description": str})
+        number = lambda k, m=m: float(m[k]) if m.get(k) is not None else None
+        rows.append((name, m.get("aliases") or [], m["canonical_unit"], m.get("accepted_units") or [], number("min_value"), number("max_value"), bool(m.get("non_negative", False))))
+    return spark.createDataFrame(rows, "metric string, aliases array<string>, canonical_unit string, accepted_units array<string>, minimum double, maximum double, non_negative boolean")
+
+
+def factor_table(spark: SparkSession, features: list[str], groups: dict[str, list[str]]) -> DataFrame:
+    """(feature, factor) of every feature; one without a factor, or with several, is an error."""
+    return spark.createDataFrame([(f, factor_of(f, groups)) for f in features], "feature string, factor string")
+
+
 def factor_of(feature: str, groups: dict[str, list[str]]) -> str:
     """The one factor whose patterns match a feature; none or several is an error."""
     hits = [g for g, patterns in groups.items() if any(fnmatch.fnmatchcase(feature, p) for p in patterns)]
