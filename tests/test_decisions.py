@@ -103,6 +103,16 @@ def test_declared_features_end_at_the_sample(spark):
         features.series_index(df.unionByName(df.limit(1)))
 
 
+def test_stretches_of_time_change_nothing(spark, monkeypatch):
+    rng = random.Random(1)
+    df = spark.createDataFrame([("A", T0 + hours(h), rng.random() if rng.random() < 0.8 else None) for h in range(400) if rng.random() < 0.9], "location_id string, event_time timestamp_ntz, value double")
+    get = lambda: sorted(map(tuple, features.rolling_features(features.lag_features(df, (1, 24, 168)), (3, 24, 168)).collect()))
+    whole = get()
+    monkeypatch.setattr(features, "BUCKET_DAYS", 2)
+    assert [(r[:2], r[3:6]) for r in get()] == [(r[:2], r[3:6]) for r in whole]
+    assert all(a == b or a == pytest.approx(b) for x, y in zip(get(), whole, strict=True) for a, b in zip(x[6:], y[6:], strict=True))
+
+
 def test_monitorable():
     specs = [features.FeatureSpec("a", "lag", 1, 0, "m"), features.FeatureSpec("wide", "rolling", 0, 168, "m"), features.FeatureSpec("rain_0h", "covariate", 0, 0, "rainfall", "CITY")]
     kept, out = monitoring.monitorable(specs, ["a", "wide", "rain_0h", "none"], 168)

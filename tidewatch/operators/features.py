@@ -92,16 +92,11 @@ def build_features(series: DataFrame, specs: list[FeatureSpec], target_metric: s
         rows = series.filter((F.col("metric") == metric) & (F.lit(True) if place is None else F.col("location_id") == place)).select("location_id", "event_time", "value")
         at = targets.select("location_id" if place is None else F.lit(place).alias("location_id"), F.col("sample_time").alias("event_time")).distinct()
         full = rows.unionByName(at.join(rows, ["location_id", "event_time"], "left_anti").withColumn("value", F.lit(None).cast("double")))
-        full = full.withColumn("_s", F.unix_seconds(F.col("event_time").cast("timestamp")))
-        order = Window.partitionBy("location_id").orderBy("_s")
         made = {}
         for s in mine:
-            if s.window_hours:
-                w = order.rangeBetween(-3600 * (s.reach_hours - 1), -3600 * s.offset_hours)
-                made[s.name] = F.when(F.count("value").over(w) >= least, F.avg("value").over(w))
-            else:
-                made[s.name] = F.max("value").over(order.rangeBetween(-3600 * s.offset_hours, -3600 * s.offset_hours))
-        table = full.withColumns(made).select("location_id", F.col("event_time").alias("sample_time"), *made)
+            w = past(s.reach_hours - 1, s.offset_hours) if s.window_hours else past(s.offset_hours, s.offset_hours)
+            made[s.name] = F.when(F.count("value").over(w) >= least, F.avg("value").over(w)) if s.window_hours else F.max("value").over(w)
+        table = looking_back(full, made, max(s.reach_hours for s in mine)).select("location_id", F.col("event_time").alias("sample_time"), *made)
         out = out.join(table, ["location_id", "sample_time"], "left") if place is None else out.join(table.drop("location_id"), "sample_time", "left")
     if any(s.kind == "spatial" for s in specs):
         codes = zones.withColumn("zone", F.dense_rank().over(Window.orderBy("location_id")) - 1)  # zones are few
@@ -124,26 +119,40 @@ def hours(n: int) -> Column:
     return F.expr(f"make_dt_interval(0, {int(n)}, 0, 0)")
 
 
+#: Days of a series that one task holds, beside what its windows reach back.
+BUCKET_DAYS = 56
+
+
+def looking_back(rows: DataFrame, made: dict[str, Column], reach_hours: int) -> DataFrame:
+    """rows with the columns made over ``past`` windows, which reach back reach_hours at most.
+
+    A zone is cut into stretches of time, and each stretch also gets the rows that its windows reach back to: so
+    a series is spread over tasks however long it is, and however few zones there are.
+    """
+    seconds = 86400 * BUCKET_DAYS
+    at = F.unix_seconds(F.col("event_time").cast("timestamp"))
+    home = F.floor(F.col("_s") / seconds)
+    spread = rows.withColumn("_s", at).withColumn("_b", F.explode(F.sequence(home, F.floor((F.col("_s") + 3600 * reach_hours) / seconds))))
+    return spread.withColumns(made).filter(F.col("_b") == home).drop("_s", "_b")
+
+
+def past(earliest_hours: int, latest_hours: int):
+    """The window of rows from earliest to latest hours before a row, both included; for ``looking_back``."""
+    return Window.partitionBy("location_id", "_b").orderBy("_s").rangeBetween(-3600 * earliest_hours, -3600 * latest_hours)
+
+
 def lag_features(series: DataFrame, lags: tuple[int, ...]) -> DataFrame:
     """Value exactly n hours before each row; a hole gives null, never an earlier value.
 
     One range window for each lag, over one shared sort; no self-join.
     """
-    at = F.unix_seconds(F.col("event_time").cast("timestamp"))
-    rows = series.withColumn("_s", at)
-    for n in lags:
-        then = Window.partitionBy("location_id").orderBy("_s").rangeBetween(-3600 * n, -3600 * n)
-        rows = rows.withColumn(f"lag_{n}h", F.max("value").over(then))
-    return rows.drop("_s")
+    return looking_back(series, {f"lag_{n}h": F.max("value").over(past(n, n)) for n in lags}, max(lags, default=0))
 
 
 def rolling_features(series: DataFrame, spans: tuple[int, ...], least: int = 2) -> DataFrame:
     """Mean of the last n hours, the row's own included; null with fewer than least known values."""
-    rows = series.withColumn("_s", F.unix_seconds(F.col("event_time").cast("timestamp")))
-    for n in spans:
-        w = Window.partitionBy("location_id").orderBy("_s").rangeBetween(-3600 * (n - 1), 0)
-        rows = rows.withColumn(f"mean_{n}h", F.when(F.count("value").over(w) >= least, F.avg("value").over(w)))
-    return rows.drop("_s")
+    made = {f"mean_{n}h": F.when(F.count("value").over(past(n - 1, 0)) >= least, F.avg("value").over(past(n - 1, 0))) for n in spans}
+    return looking_back(series, made, max(spans, default=1) - 1)
 
 
 def calendar_features(series: DataFrame, offset_hours: float) -> DataFrame:
