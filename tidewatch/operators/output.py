@@ -97,6 +97,11 @@ def available(**tables: DataFrame | None) -> dict[str, bool]:
     return {name: t is not None and not t.isEmpty() for name, t in tables.items()}
 
 
+def health(spark, **tables: DataFrame | None) -> DataFrame:
+    """(artifact, available) of each table."""
+    return spark.createDataFrame(sorted(available(**tables).items()), "artifact string, available boolean")
+
+
 def selected(rows: DataFrame, **equal: object) -> DataFrame:
     """Rows whose columns have the given values; arguments that are None ask for nothing."""
     for column, value in equal.items():

@@ -624,13 +624,13 @@ def _neighbours(spark, sf):
     return monitoring.repeated_neighbours(rows, ("location_id", "metric")).groupBy("neighbours").agg(F.count(F.lit(1)).alias("rows"))
 
 
-_ANOMALY_SQL = f"""{LOCAL_SQL}, m AS (SELECT location_id, metric, hour, median(value) AS med FROM loc GROUP BY ALL HAVING count(*) >= 12),
+ANOMALY_SQL = f"""{LOCAL_SQL}, m AS (SELECT location_id, metric, hour, median(value) AS med FROM loc GROUP BY ALL HAVING count(*) >= 12),
 d AS (SELECT l.*, abs(value - med) AS gap FROM loc l JOIN m USING (location_id, metric, hour)),
 s AS (SELECT location_id, metric, hour, median(gap) * 1.4826 AS mad FROM d GROUP BY ALL HAVING median(gap) > 0),
 a AS (SELECT d.* FROM d JOIN s USING (location_id, metric, hour) WHERE gap / mad > 6)"""
 
 
-@query("anomaly_explanations", f"""WITH {_ANOMALY_SQL}, rain AS (SELECT event_time, avg(value) / 100 AS mm FROM obs WHERE metric = 'purchase' GROUP BY 1),
+@query("anomaly_explanations", f"""WITH {ANOMALY_SQL}, rain AS (SELECT event_time, avg(value) / 100 AS mm FROM obs WHERE metric = 'purchase' GROUP BY 1),
 e AS (SELECT a.observation_id, CASE WHEN a.weekday = 4 THEN 0.8 WHEN mm > 0.5 THEN least(0.6, 0.2 + mm / 50) ELSE 0.0 END AS support, CASE WHEN a.weekday = 4 THEN 'recurring_pattern' WHEN mm > 0.5 THEN 'rainfall' ELSE 'unexplained' END AS leading_kind FROM a LEFT JOIN rain USING (event_time))
 SELECT observation_id, leading_kind, round(support, 5) AS support FROM e""")
 def _explanations(spark, sf):
@@ -645,7 +645,7 @@ def _explanations(spark, sf):
 _T = "1 / (1 + 0.5 * (greatest(z, 0) / sqrt(2)))"
 _ERFC = "t * exp(-z * z / 2 - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))"
 # The cells' p-values by a rational form of erfc (relative error 1.2e-7); level shifts without their bootstrap interval, which SQL cannot draw.
-_EVIDENCE_SQL = f"""{_ANOMALY_SQL}, rain AS (SELECT event_time, avg(value) / 100 AS mm FROM obs WHERE metric = 'purchase' GROUP BY 1),
+_EVIDENCE_SQL = f"""{ANOMALY_SQL}, rain AS (SELECT event_time, avg(value) / 100 AS mm FROM obs WHERE metric = 'purchase' GROUP BY 1),
 gaps AS (SELECT source_id, max(gap) AS max_gap FROM (SELECT source_id, (epoch(event_time) - epoch(lag(event_time) OVER (PARTITION BY source_id ORDER BY event_time))) / 3600 AS gap FROM (SELECT DISTINCT source_id, event_time FROM obs)) GROUP BY 1),
 health AS (SELECT source_id, CASE WHEN silent > 24 THEN 'failed' WHEN silent > 6 OR max_gap > 24 OR missing > 0.1 THEN 'warning' ELSE 'ok' END AS status
   FROM (SELECT source_id, (epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(max(event_time))) / 3600 AS silent, (count(*) - count(value)) / count(*) AS missing FROM obs GROUP BY 1) JOIN gaps USING (source_id)),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import adaptation, evaluation, features, forecast, integrity, monitoring, normalise, output, patterns, statistics
-from .catalog import FORECAST_SQL, HOURLY_SQL, LOCAL_SQL, OFFSET, forecasts, hourly, local_obs, micros, query, r
+from ..sources import feeds
+from .catalog import ANOMALY_SQL, FORECAST_SQL, HOURLY_SQL, LOCAL_SQL, OFFSET, forecasts, hourly, local_obs, micros, query, r
 from .observations import OBS_SQL, observations
 
 # observation keys and normalisation
@@ -457,3 +458,39 @@ def _rain_effects(spark, sf):
     n = F.expr("cast(substr(observation_id, 5) as bigint)")
     rows = local_obs(spark, sf).filter("value is not null").withColumn("wet", F.when(n % 3 == 0, 1.0 + n % 14).otherwise(0.0))
     return patterns.rain_effects(rows, "wet").select("location_id", "range", "n", *[r(c, 6).alias(c) for c in ("slope", "intercept", "r2", "stderr")])
+
+
+# read queries
+
+@query("patterns_by_status", f"""WITH {_MONTH_SQL}, p(pattern_id, zone) AS (VALUES ('LVL-ZONE-A', 'ZONE-A'), ('LVL-ZONE-B', 'ZONE-B'), ('LVL-ZONE-C', 'ZONE-C'), ('LVL-ZONE-D', 'ZONE-D')),
+g AS (SELECT pattern_id, month, median(value) FILTER (location_id = zone) / median(value) FILTER (location_id <> zone) AS s, count(*) FILTER (location_id = zone) AS n1, count(*) FILTER (location_id <> zone) AS n2 FROM m, p GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY month DESC) AS k FROM g WHERE n1 >= 8 AND n2 >= 8 AND s IS NOT NULL), e AS (SELECT pattern_id, count(*) AS windows, avg(s) FILTER (k > 2) AS h, avg(s) FILTER (k <= 2) AS r FROM k GROUP BY 1)
+SELECT pattern_id, windows, round(h, 6) AS historical, round(r, 6) AS recent, CASE WHEN windows < 3 THEN 'insufficient_history' WHEN h IS NULL OR (h <= 1 AND r > 1) THEN 'new' WHEN h > 1 AND r < 0.85 THEN 'conflicting' WHEN h > 1 AND r <= 1 THEN 'disappeared' WHEN (r - h) / abs(h) > 0.15 THEN 'strengthening' WHEN (r - h) / abs(h) < -0.15 THEN 'weakening' ELSE 'stable' END AS status FROM e""")
+def _by_status(spark, sf):
+    zones = spark.createDataFrame([(f"LVL-ZONE-{z}", f"ZONE-{z}") for z in "ABCD"], "pattern_id string, location_id string")
+    e = patterns.evolution(patterns.zone_strengths(_months(spark, sf), zones))
+    return output.selected(e, status=None).select("pattern_id", "windows", r("historical", 6).alias("historical"), r("recent", 6).alias("recent"), "status")
+
+
+@query("anomalies_of_zone", f"WITH {ANOMALY_SQL} SELECT observation_id, metric, round(value, 6) AS value, round(m.med, 6) AS expected FROM a JOIN m USING (location_id, metric, hour) WHERE location_id = 'ZONE-B'")
+def _zone_anomalies(spark, sf):
+    a = output.selected(integrity.mad_outliers(local_obs(spark, sf), ("location_id", "metric", "hour")), location_id="ZONE-B")
+    return a.select("observation_id", "metric", r("value", 6).alias("value"), r("group_median", 6).alias("expected"))
+
+
+@query("drift_firing", f"WITH {_DRIFT_SQL} SELECT CAST(epoch(TIMESTAMP '{_ORIGIN}') + (w + 1) * 259200 AS BIGINT) AS detected_s, array_to_string(kinds, ',') AS kinds FROM ev WHERE len(kinds) > 0")
+def _firing(spark, sf):
+    return output.selected(evaluations(spark, sf), is_drift=True).select(micros("detected_at").alias("detected_s"), F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("experiment_page", f"WITH {_ARMS_SQL}, s AS (SELECT arm, k AS week, round(avg(abs(predicted - target)), 6) AS mae FROM arm GROUP BY ALL) SELECT arm, CAST(week AS INTEGER) AS week, mae, (SELECT count(*) FROM s) AS total FROM s ORDER BY arm DESC, week LIMIT 4 OFFSET 1")
+def _experiments(spark, sf):
+    s = _arms(spark, sf).filter("arm <> 'adaptive'").groupBy("arm", F.col("window").alias("week")).agg(r(F.avg(F.abs(F.col("predicted") - F.col("actual"))), 6).alias("mae"))
+    rows, total = feeds.page(s.withColumn("_k", F.when(F.col("arm") == "static", 0).otherwise(1)), ["_k", "week"], 1, 4)
+    return rows.drop("_k").withColumn("total", F.lit(total))
+
+
+@query("artifact_health", "SELECT * FROM (VALUES ('models', false), ('quarantine', false), ('unified', true)) AS t(artifact, available)")
+def _health(spark, sf):
+    obs = observations(spark, sf)
+    return output.health(spark, unified=obs, quarantine=obs.filter("value > 1e9"), models=None)
