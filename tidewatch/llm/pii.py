@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: Seeds beside the base kinds: runs of 32 to 64 hexadecimal digits, as keys and tokens are written.
+SEEDS = (*KINDS, "secret")
 ROUNDS = 3
 CONFIDENT = 0.8
 #: Distinct values, seeds or believed ones, that a pattern needs.
@@ -35,8 +37,9 @@ _PATTERN = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
 }
-_HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
+_HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "secret": "[0-9a-f]{32}"}
 _OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?(?:\.|$)){4}$"
 _TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*?(?:[0-9@]|\(at\)|\[at\]))[^\x20\x09-\x0D]++"
 _BEFORE, _AFTER = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)"
@@ -47,6 +50,7 @@ _SHAPE = {
     "ip": r"^[0-9]{1,3}(?:[.:_-][0-9]{1,3}){3}[^0-9]?$",
     "card": r"^(?:[^0-9]{0,2}[0-9]){12,19}[^0-9]{0,2}$",
     "phone": r"^(?:[^0-9]{0,2}[0-9]){7,11}[^0-9]{0,2}$",
+    "secret": r"^[^0-9A-Za-z]{0,2}(?=[^0-9A-Za-z]*[A-Za-z]*[0-9])[0-9A-Za-z_+/=-]{20,}[^0-9A-Za-z]{0,2}$",
 }
 
 
@@ -100,6 +104,7 @@ _VALID = {
     "ip": lambda v: v.rlike(_OCTETS),
     "card": _luhn,
     "phone": lambda v: F.length(_digits(v)).between(8, 15),
+    "secret": lambda v: v.rlike("[0-9]") & v.rlike("[a-f]"),
 }
 
 
@@ -113,13 +118,13 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, email, ip, card, phone, token): spans of each row; token: identifier-like words without a base match."""
+    """(doc_id, key, email, ip, card, phone, secret, token): spans of each row; token: identifier-like words without a match."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = "|".join(f"(?:{_PATTERN[k]})" for k in ("email", "ip", "phone"))
+    known = "|".join(f"(?:{_PATTERN[k]})" for k in ("email", "ip", "phone", "secret"))
     shape = "|".join(f"(?:{s})" for s in _SHAPE.values())
     tokens = F.filter(_found(F.col("text"), _TOKEN), lambda s: s["v"].rlike(shape) & ~s["v"].rlike(known))
     tokens = F.when(F.col("text").rlike(r"[0-9@]|\(at\)|\[at\]"), tokens).otherwise(F.array().cast(_SPAN))
-    return rows.select("doc_id", F.xxhash64("text").alias("key"), *[base_spans(F.col("text"), k).alias(k) for k in KINDS], tokens.alias("token"))
+    return rows.select("doc_id", F.xxhash64("text").alias("key"), *[base_spans(F.col("text"), k).alias(k) for k in SEEDS], tokens.alias("token"))
 
 
 def _tagged(column: str) -> Column:
@@ -133,7 +138,7 @@ def _written(column: str, kind: str) -> Column:
 
 def _edges(scanned: DataFrame) -> DataFrame:
     """One row for each occurrence and side: (doc_id, key, b, e, value, kind, pattern); kind is null for unknown tokens."""
-    parts = F.flatten(F.array(*[_tagged(k) for k in (*KINDS, "token")]))
+    parts = F.flatten(F.array(*[_tagged(k) for k in (*SEEDS, "token")]))
     rows = scanned.select("doc_id", "key", F.explode(parts).alias("x")).select("doc_id", "key", "x.kind", "x.s.*")
     word = lambda side, pattern: F.lower(F.regexp_extract(side, pattern, 1))
     sides = F.array(F.concat(F.lit("L:"), word("left", _BEFORE)), F.concat(F.lit("R:"), word("right", _AFTER)))
@@ -161,7 +166,7 @@ def confident_patterns(edges: DataFrame, docs: DataFrame, rounds: int = ROUNDS,
     graph = materialize(graph.join(graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("values")).filter(F.col("values") >= support).select("pattern"), "pattern"), "pii-graph")
     totals = materialize(occurrences(docs, graph.select("pattern").distinct()), "pii-totals")
     # Every unknown value stands once for each kind whose shape it has.
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    kinds = F.array(*[F.lit(k) for k in SEEDS])
     unknown = graph.filter("kind is null").select("pattern", "value", "n", F.explode(kinds).alias("kind")).filter(shaped(F.col("kind"), F.col("value")))
     seeds = graph.filter("kind is not null").select("pattern", "value", "n", "kind", F.lit(1.0).alias("belief"), F.lit(False).alias("open"))
     values = seeds.unionByName(unknown.withColumns({"belief": F.lit(0.0), "open": F.lit(True)}))
@@ -186,10 +191,10 @@ def confident_patterns(edges: DataFrame, docs: DataFrame, rounds: int = ROUNDS,
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of docs (doc_id, text).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row of docs (doc_id, text).
 
-    Counts and digest are of base spans, which are never changed; ``spans`` adds those found by
-    context.  Null and empty texts have none; repeated rows are reported alike; other columns are
+    Counts and digest are of base spans, which are never changed; ``spans`` adds secrets and those found by
+    context, and ``n_spans`` counts all of them.  Null and empty texts have none; repeated rows are reported alike; other columns are
     ignored; very long texts and texts of many matches are scanned whole; an empty table gives an empty
     result.
     """
@@ -206,7 +211,7 @@ def find(docs: DataFrame) -> DataFrame:
     else:
         rows = rows.join(new.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "new"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     base = F.flatten(F.array(*[_written(k, k) for k in KINDS]))
-    every = F.flatten(F.array(*[F.transform(k, lambda s: F.struct(s["b"], s["e"])) for k in KINDS]))
+    every = F.flatten(F.array(*[F.transform(k, lambda s: F.struct(s["b"], s["e"])) for k in SEEDS]))
     free = F.filter(F.coalesce("new", F.array().cast(new.schema["new"].dataType)), lambda n: ~F.exists("every", lambda s: (s["b"] < n["e"]) & (n["b"] < s["e"])))
     rows = rows.withColumn("base", base).withColumn("every", every)
     added = F.transform(free, lambda n: F.concat_ws(":", F.concat(F.lit("ctx_"), n["kind"]), n["b"].cast("string"), n["e"].cast("string")))
@@ -214,5 +219,6 @@ def find(docs: DataFrame) -> DataFrame:
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.concat("base", added), ",").alias("spans"),
+        F.array_join(F.concat("base", _written("secret", "secret"), added), ",").alias("spans"),
+        (F.size("base") + F.size("secret") + F.size(added)).cast("long").alias("n_spans"),
     )
