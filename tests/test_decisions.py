@@ -339,3 +339,58 @@ def test_suggestions(spark):
         want = [(c, s) for s, c in sorted(all_, key=lambda x: (-x[0], x[1])) if s >= 0.6][:3]
         assert sorted(found, key=lambda x: (-x[1], x[0])) == want
     assert set(got) == {"Nort Gate", "Pear"}
+
+
+def test_isotonic_is_monotone_and_clipped(spark):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(x := rng.random(), rng.random() < x) for _ in range(400)], "raw double, outcome boolean")
+    model, floor = evaluation.isotonic(rows)
+    got = [r.probability for r in evaluation.calibrated(rows, model, floor).orderBy("raw").collect()]
+    assert got == sorted(got) and floor == 3 / 400 and min(got) >= floor and max(got) <= 1 - floor
+
+
+def test_forecaster_importance_and_occlusion(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(float(i % 10), rng.random(), 5.0 * (i % 10)) for i in range(300)], "signal double, noise double, target double")
+    model = forecast.GradientForecaster(["signal", "noise"], rounds=4, depth=3).fit(rows)
+    rise = {r.feature: r.importance for r in model.importance(rows, sample=100, repeats=2).collect()}
+    assert rise["signal"] > 5 > rise["noise"] >= 0
+    one = rows.filter("signal = 9").limit(1).withColumn("i", F.lit(1))
+    parts = model.occlusion(one)
+    shares = {r.factor: r.share for r in forecast.factor_shares(parts, feeds.factor_table(spark, ["signal", "noise"], {"history": ["sig*"], "other": ["noise"]}), ["i"]).collect()}
+    assert shares["history"] > 0.9
+    with pytest.raises(ValueError):
+        feeds.factor_of("signal", {"a": ["sig*"], "b": ["*nal"]})
+
+
+def test_settings_and_limited_replay(spark, tmp_path):
+    (tmp_path / "base.yaml").write_text("a: {x: 1, y: 2}\nb: 3\n")
+    (tmp_path / "prod.yaml").write_text("a: {y: 5}\n")
+    assert feeds.load_settings(str(tmp_path), "prod") == {"a": {"x": 1, "y": 5}, "b": 3}
+    for bad in ({"a": 1, "c": 2}, {}, {"a": "x"}, {"a": True}):
+        with pytest.raises(ValueError):
+            feeds.validated(bad, {"a": int})
+    table_ = feeds.metric_table(spark, {"metrics": {"m": {"canonical_unit": "vph", "aliases": ["volume"], "min_value": 0}}}).first()
+    assert (table_.metric, table_.minimum, table_.maximum) == ("m", 0.0, None)
+    (tmp_path / "zones.csv").write_text("location_id,latitude,longitude\nA,12.5,77\nB,99,77\nC,x,1\n")
+    z = {r.location_id: (r.latitude, r.longitude) for r in feeds.read_zones(spark, str(tmp_path / "zones.csv")).collect()}
+    assert z == {"A": (12.5, 77.0), "B": (None, None), "C": (None, None)}
+    (tmp_path / "feed.csv").write_text("record_id,source_id,interval_end_local,location_id,metric,value,unit\n1,s,t,A,m,1,u\n,s,t,A,m,1,u\n2,s,t,A,m,2,u\n3,s,t,A,m,3,u\n")
+    got = [(r.record_id, r.offset_seconds) for r in feeds.stream_limited(spark, str(tmp_path / "feed.csv"), 2, 30.0).orderBy("offset_seconds").collect()]
+    assert got == [("1", 0.0), ("2", 30.0)]
+
+
+def test_sources_fail_on_frozen_runs_and_warn_on_gaps(spark):
+    rows = [(f"{s}{h}", s, "A", "m", "u", 60, "hourly", T0 + hours(h), T0, T0, float(h)) for s, gap in (("ok", 0), ("gap", 9), ("hole", 30), ("dead", 0), ("stuck", 0)) for h in [*range(10), *range(10 + gap, 60)] if not (s == "dead" and h > 20)]
+    frozen = spark.createDataFrame([("stuck", 7)], "source_id string, length long")
+    got = {r.source_id: (r.status, r.reasons) for r in integrity.assessed_sources(spark.createDataFrame(rows, KEYED), frozen, F.lit(T0 + hours(60)).cast("timestamp_ntz"), 1.0).collect()}
+    assert got == {"ok": ("ok", []), "gap": ("warning", ["gap"]), "hole": ("warning", ["long_gap"]), "dead": ("failed", ["silent"]), "stuck": ("failed", ["frozen"])}
+
+
+def test_invariants_on_whole_rows(spark):
+    rows = [("a", T0, T0 + hours(1), "valid", None, None), ("b", T0, T0 - hours(1), "valid", None, None), ("c", T0, T0 - hours(1), "quarantined", None, None), ("d", T0 + hours(5), T0 + hours(6), "valid", "", ["d"])]
+    df = spark.createDataFrame(rows, "observation_id string, event_time timestamp_ntz, received_time timestamp_ntz, status string, quarantine_reason string, links array<string>")
+    got = {r.observation_id: r for r in integrity.row_invariants(df, F.lit(T0 + hours(1)).cast("timestamp_ntz")).collect()}
+    assert got["a"].received_after_event and not got["b"].received_after_event and got["c"].received_after_event
+    assert not got["d"].not_in_the_future and not got["d"].no_self_link and got["a"].no_self_link
+    assert integrity.views(df.withColumns({"source_type": F.lit("historical")}))["clean"].count() == 3

@@ -203,6 +203,23 @@ def detection_delay(evaluations: DataFrame, change: str, required: tuple[str, ..
     return evaluations.groupBy("stream").agg(first.alias("_f")).select("stream", ((C.seconds(F.col("_f")) - C.seconds(point)) / 3600).alias("delay_hours"))
 
 
+def calibrated_gates(windows: DataFrame, multiplier: float = 3.0, least_rows: int = 50, least_windows: int = 4, psi_floor: float = 0.0, ratio_floor: float = 1.0) -> DataFrame:
+    """One row of gates from reference windows (rows, psi, mae): mean plus multiplier deviations, floors held.
+
+    Windows with fewer than least_rows rows say nothing; with fewer than least_windows left a gate is null.  The
+    error gate is a ratio to the mean error of the windows.
+    """
+    known = windows.filter(F.col("rows") >= least_rows)
+    base = known.agg(F.avg("mae").alias("reference_error"))  # one row
+    ratio = F.try_divide("mae", "reference_error")
+    g = known.crossJoin(F.broadcast(base)).agg(
+        F.count(F.lit(1)).alias("windows"), F.max("reference_error").alias("reference_error"),
+        (F.avg("psi") + multiplier * F.stddev_samp("psi")).alias("_p"), (F.avg(ratio) + multiplier * F.stddev_samp(ratio)).alias("_r"),
+    )
+    enough = F.col("windows") >= least_windows
+    return g.select("windows", "reference_error", F.when(enough, F.greatest("_p", F.lit(psi_floor))).alias("prediction_psi"), F.when(enough, F.greatest("_r", F.lit(ratio_floor))).alias("performance_ratio"))
+
+
 def prediction_status(psi: Column, gate: Column) -> Column:
     """Against the gate that reference weeks gave, not the usual PSI bands."""
     return F.when(gate.isNull() | F.isnan(gate), "insufficient_reference").when(psi.isNull() | F.isnan(psi), "insufficient_data").when(psi >= gate, "drifted").when(psi >= gate * 0.5, "minor").otherwise("stable")

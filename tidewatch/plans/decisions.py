@@ -281,6 +281,21 @@ def _evaluations(spark, sf):
     return evaluations(spark, sf).select(micros("detected_at").alias("detected_s"), F.array_join("kinds", ",").alias("kinds"), "is_drift", r("magnitude", 4).alias("magnitude"))
 
 
+@query("calibrated_gates", f"""WITH {FORECAST_SQL}, f AS (SELECT *, CAST(floor((epoch(event_time) - epoch(TIMESTAMP '{_ORIGIN}')) / 259200) AS INTEGER) AS w FROM fc WHERE predicted IS NOT NULL),
+e AS (SELECT quantile_cont(predicted, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges, count(*) AS n0 FROM f WHERE w < 6), c AS (SELECT w, len(list_filter(edges, lambda x: x <= predicted)) AS bin FROM f, e WHERE w < 6), a AS (SELECT bin, count(*) / (SELECT n0 FROM e) AS p FROM c GROUP BY 1),
+m AS (SELECT w, count(*) AS n, avg(abs(predicted - actual)) AS mae FROM f WHERE w < 6 GROUP BY 1), q AS (SELECT w, bin, count(*) AS k FROM c GROUP BY ALL),
+x AS (SELECT m.w, greatest(coalesce(a.p, 0), 1e-6) AS p, greatest(coalesce(q.k, 0) / m.n, 1e-6) AS q FROM m CROSS JOIN (SELECT unnest(range(10)) AS bin) g LEFT JOIN a USING (bin) LEFT JOIN q ON q.w = m.w AND q.bin = g.bin),
+s AS (SELECT w, sum((q - p) * ln(q / p)) AS psi FROM x GROUP BY w), j AS (SELECT s.w, psi, mae / avg(mae) OVER () AS ratio, mae FROM s JOIN m USING (w) WHERE n >= 50)
+SELECT count(*) AS windows, round(avg(mae), 6) AS reference_error, round(avg(psi) + 3 * stddev_samp(psi), 6) AS prediction_psi, round(greatest(1.0, avg(ratio) + 3 * stddev_samp(ratio)), 6) AS performance_ratio FROM j""")
+def _gates(spark, sf):
+    fc = forecasts(spark, sf).filter("predicted is not null")
+    w = F.floor((C.seconds(F.col("event_time")) - C.seconds(F.lit(_ORIGIN).cast("timestamp"))) / (3 * 86400)).cast("int")
+    rows = fc.withColumn("w", w).filter("w < 6")
+    mae = rows.groupBy("w").agg(F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("mae"))
+    g = monitoring.calibrated_gates(statistics.psi_windows(rows, rows, "predicted", "w").join(mae, "w"))
+    return g.select("windows", *[r(c, 6).alias(c) for c in ("reference_error", "prediction_psi", "performance_ratio")])
+
+
 _FOLD_SQL = f"""WITH RECURSIVE {_DRIFT_SQL}, o AS (SELECT row_number() OVER (ORDER BY w) AS k, epoch(TIMESTAMP '{_ORIGIN}') + (w + 1) * 259200 AS s, kinds, coalesce(magnitude, 0) AS magnitude FROM ev),
 fold(k, onset, seen, raised, last, s, magnitude) AS (SELECT 0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), false, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE)
   UNION ALL SELECT o.k, CASE WHEN len(kinds) = 0 THEN NULL ELSE coalesce(onset, o.s) END, CASE WHEN len(kinds) = 0 THEN NULL ELSE o.s END, len(kinds) > 0 AND (onset IS NULL OR last IS NULL OR o.s - last >= 518400),
