@@ -370,8 +370,14 @@ def test_settings_and_limited_replay(spark, tmp_path):
     for bad in ({"a": 1, "c": 2}, {}, {"a": "x"}, {"a": True}):
         with pytest.raises(ValueError):
             feeds.validated(bad, {"a": int})
-    table_ = feeds.metric_table(spark, {"metrics": {"m": {"canonical_unit": "vph", "aliases": ["volume"], "min_value": 0}}}).first()
+    table_ = feeds.metric_table(spark, {"metrics": [{"name": "m", "canonical_unit": "vph", "aliases": ["volume"], "plausible_min": 0}]}).first()
     assert (table_.metric, table_.minimum, table_.maximum) == ("m", 0.0, None)
+    bands = lambda *x: {"congestion": {"severity_bands": [{"name": n, "min_ratio": m} for n, m in x]}}
+    assert feeds.severity_bands(bands(("low", 0), ("high", 1.3))) == [("low", 0.0), ("high", 1.3)]
+    with pytest.raises(ValueError):
+        feeds.severity_bands(bands(("low", 0), ("high", 1.3), ("odd", 1.3)))
+    rules, slices = feeds.promotion_settings({"promotion": {"min_slice_rows": 9, "protected_slices": ["ZONE-A"]}})
+    assert monitoring.PromotionRules(**rules).least_slice_rows == 9 and slices == ["ZONE-A"]
     (tmp_path / "zones.csv").write_text("location_id,latitude,longitude\nA,12.5,77\nB,99,77\nC,x,1\n")
     z = {r.location_id: (r.latitude, r.longitude) for r in feeds.read_zones(spark, str(tmp_path / "zones.csv")).collect()}
     assert z == {"A": (12.5, 77.0), "B": (None, None), "C": (None, None)}

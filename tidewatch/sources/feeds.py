@@ -143,16 +143,36 @@ def load_settings(folder: str, env: str | None = None, base: str = "base.yaml")
     return over(load_yaml(f"{folder}/{base}"), load_yaml(f"{folder}/{env}.yaml") if env else {})
 
 
+_METRIC = {"aliases": list, "accepted_units": list, "plausible_min": (int, float), "plausible_max": (int, float), "non_negative": bool, "default_aggregation": str, "description": str}
+
+
 def metric_table(spark: SparkSession, problem: dict) -> DataFrame:
-    """The metrics of a problem configuration, as ``normalise.resolve_metrics`` takes them."""
+    """The metrics of a problem configuration (a list, each with its name), as ``normalise.resolve_metrics`` takes them."""
     rows = []
-    for name, m in (problem.get("metrics") or {}).items():
-        validated(m, {"canonical_unit": str}, {"aliases": list, "accepted_units": list, "min_value": (int, float), "max_value": (int, float), "non_negative": bool, "description": str})
+    for m in problem.get("metrics") or []:
+        validated(m, {"name": str, "canonical_unit": str}, _METRIC)
         number = lambda k, m=m: float(m[k]) if m.get(k) is not None else None
-        rows.append((name, m.get("aliases") or [], m["canonical_unit"], m.get("accepted_units") or [], number("min_value"), number("max_value"), bool(m.get("non_negative", False))))
+        rows.append((m["name"], m.get("aliases") or [], m["canonical_unit"], m.get("accepted_units") or [], number("plausible_min"), number("plausible_max"), m.get("non_negative", False)))
     return spark.createDataFrame(rows, "metric string, aliases array<string>, canonical_unit string, accepted_units array<string>, minimum double, maximum double, non_negative boolean")
 
 
+def severity_bands(problem: dict) -> list[tuple[str, float]]:
+    """(name, least ratio) of each severity band; ratios rise from 0."""
+    bands = [(b["name"], float(b["min_ratio"])) for b in problem["congestion"]["severity_bands"]]
+    ratios = [x for _, x in bands]
+    if not bands or ratios[0] != 0 or any(x >= y for x, y in zip(ratios, ratios[1:], strict=False)):
+        raise ValueError(f"severity bands must rise from 0: {bands}")
+    return bands
+
+
+def promotion_settings(config: dict) -> tuple[dict, list[str]]:
+    """(arguments of ``monitoring.PromotionRules``, names of the protected slices) of an adaptation configuration."""
+    p = config["promotion"]
+    names = {"min_evaluation_rows": "least_rows", "min_relative_mae_improvement": "least_gain", "max_slice_regression": "worst_regression", "min_slice_rows": "least_slice_rows"}
+    validated(p, {}, {k: (int, float) for k in names} | {"protected_slices": list, "require_leakage_clean": bool, "require_longer_horizon": bool})
+    return {to: p[k] for k, to in names.items() if k in p}, list(p.get("protected_slices") or [])
+
+
 def factor_table(spark: SparkSession, features: list[str], groups: dict[str, list[str]]) -> DataFrame:
     """(feature, factor) of every feature; one without a factor, or with several, is an error."""
     return spark.createDataFrame([(f, factor_of(f, groups)) for f in features], "feature string, factor string")
