@@ -238,6 +238,8 @@ def test_promotion_abstains_on_absent_slices(spark):
     x = spark.createDataFrame([(10.0, 8.0, 9.9)] * 250, "actual double, champion double, challenger double")
     got = [(r.rule, r.passed) for r in monitoring.promotion(x, {"none": F.lit(False)}).collect()]
     assert got == [("rows", True), ("gain", True), ("leakage", True), ("slice:none", None)] and monitoring.decide(got) == "promoted"
+    got = [(r.rule, r.passed) for r in monitoring.promotion(x, {}, respects_horizon=False).collect()]
+    assert got[-1] == ("horizon", False) and monitoring.decide(got) == "rejected"
 
 
 def test_explanations_rank(spark):

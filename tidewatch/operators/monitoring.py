@@ -249,8 +249,11 @@ class PromotionRules:
     least_slice_rows: int = 8
 
 
-def promotion(scored: DataFrame, protected: dict[str, Column], rules: PromotionRules = PromotionRules(), leakage_clean: bool = True) -> DataFrame:
-    """One row for each rule (rule, passed, detail) from rows (actual, champion, challenger); absent slices abstain (null)."""
+def promotion(scored: DataFrame, protected: dict[str, Column], rules: PromotionRules = PromotionRules(), leakage_clean: bool = True, respects_horizon: bool | None = None) -> DataFrame:
+    """One row for each rule (rule, passed, detail) from rows (actual, champion, challenger); absent slices abstain (null).
+
+    respects_horizon: whether the challenger's training targets end before the decision; None leaves that rule out.
+    """
     error = lambda c: F.coalesce(F.abs(F.col(c) - F.col("actual")), F.abs("actual"))
     aggs = [F.count(F.lit(1)).alias("n"), F.avg(error("champion")).alias("a"), F.avg(error("challenger")).alias("b")]
     for i, p in enumerate(protected.values()):
@@ -258,6 +261,8 @@ def promotion(scored: DataFrame, protected: dict[str, Column], rules: PromotionR
     g = scored.agg(*aggs)
     gain = F.try_divide(F.col("a") - F.col("b"), F.col("a"))
     out = [("rows", F.col("n") >= rules.least_rows, F.col("n").cast("double")), ("gain", gain >= rules.least_gain, gain), ("leakage", F.lit(leakage_clean), F.lit(None).cast("double"))]
+    if respects_horizon is not None:
+        out.append(("horizon", F.lit(respects_horizon), F.lit(None).cast("double")))
     for i, name in enumerate(protected):
         worse = F.try_divide(F.col(f"b{i}") - F.col(f"a{i}"), F.col(f"a{i}"))
         out.append((f"slice:{name}", F.when(F.col(f"n{i}") >= rules.least_slice_rows, worse <= rules.worst_regression), worse))
