@@ -146,13 +146,20 @@ def lag_features(series: DataFrame, lags: tuple[int, ...]) -> DataFrame:
 
     One range window for each lag, over one shared sort; no self-join.
     """
-    return looking_back(series, {f"lag_{n}h": F.max("value").over(past(n, n)) for n in lags}, max(lags, default=0))
+    return looking_back(series, _lags(lags), max(lags, default=0))
+
+
+def _lags(lags: tuple[int, ...]) -> dict[str, Column]:
+    return {f"lag_{n}h": F.max("value").over(past(n, n)) for n in lags}
+
+
+def _means(spans: tuple[int, ...], least: int) -> dict[str, Column]:
+    return {f"mean_{n}h": F.when(F.count("value").over(past(n - 1, 0)) >= least, F.avg("value").over(past(n - 1, 0))) for n in spans}
 
 
 def rolling_features(series: DataFrame, spans: tuple[int, ...], least: int = 2) -> DataFrame:
     """Mean of the last n hours, the row's own included; null with fewer than least known values."""
-    made = {f"mean_{n}h": F.when(F.count("value").over(past(n - 1, 0)) >= least, F.avg("value").over(past(n - 1, 0))) for n in spans}
-    return looking_back(series, made, max(spans, default=1) - 1)
+    return looking_back(series, _means(spans, least), max(spans, default=1) - 1)
 
 
 def calendar_features(series: DataFrame, offset_hours: float) -> DataFrame:
@@ -174,7 +181,8 @@ def feature_table(series: DataFrame, lags: tuple[int, ...] = (1, 24, 168), spans
 
     Rows without a target value are the only ones left out.
     """
-    known = rolling_features(lag_features(spine(series, 1), lags=tuple(n - 1 for n in lags if n > 1)), spans)
+    before = tuple(n - 1 for n in lags if n > 1)
+    known = looking_back(spine(series, 1), _lags(before) | _means(spans, 2), max((*before, *(n - 1 for n in spans)), default=0))
     renamed = known.withColumnRenamed("value", "lag_1h")
     for n in lags:
         if n > 1:
