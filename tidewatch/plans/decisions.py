@@ -61,7 +61,7 @@ def _normalised(spark, sf):
 
 @query("pre_quarantine_population", f"""WITH {OBS_SQL}, v AS (SELECT observation_id, value FROM obs WHERE value <= 400), q AS (SELECT observation_id, value + 1 AS value FROM obs WHERE value > 380),
 u AS (SELECT * FROM v UNION ALL SELECT * FROM q WHERE observation_id NOT IN (SELECT observation_id FROM v))
-SELECT count(*) AS rows, count(DISTINCT observation_id) AS ids, round(sum(value), 2) AS total, (SELECT count(*) FROM v JOIN q USING (observation_id)) AS shared, false AS disjoint FROM u""")
+SELECT count(*) AS rows, count(DISTINCT observation_id) AS ids, round(sum(value), 2) AS total, (SELECT count(*) FROM v JOIN q USING (observation_id)) AS shared, (SELECT count(*) FROM v JOIN q USING (observation_id)) = 0 AS disjoint FROM u""")
 def _population(spark, sf):
     obs = observations(spark, sf).select("observation_id", "value")
     valid, bad = obs.filter("value <= 400"), obs.filter("value > 380").withColumn("value", F.col("value") + 1)
@@ -286,7 +286,7 @@ e AS (SELECT quantile_cont(predicted, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0
 m AS (SELECT w, count(*) AS n, avg(abs(predicted - actual)) AS mae FROM f WHERE w < 6 GROUP BY 1), q AS (SELECT w, bin, count(*) AS k FROM c GROUP BY ALL),
 x AS (SELECT m.w, greatest(coalesce(a.p, 0), 1e-6) AS p, greatest(coalesce(q.k, 0) / m.n, 1e-6) AS q FROM m CROSS JOIN (SELECT unnest(range(10)) AS bin) g LEFT JOIN a USING (bin) LEFT JOIN q ON q.w = m.w AND q.bin = g.bin),
 s AS (SELECT w, sum((q - p) * ln(q / p)) AS psi FROM x GROUP BY w), j AS (SELECT s.w, psi, mae / avg(mae) OVER () AS ratio, mae FROM s JOIN m USING (w) WHERE n >= 50)
-SELECT count(*) AS windows, round(avg(mae), 6) AS reference_error, round(avg(psi) + 3 * stddev_samp(psi), 6) AS prediction_psi, round(greatest(1.0, avg(ratio) + 3 * stddev_samp(ratio)), 6) AS performance_ratio FROM j""")
+SELECT count(*) AS windows, round(avg(mae), 6) AS reference_error, CASE WHEN count(*) >= 4 THEN round(avg(psi) + 3 * stddev_samp(psi), 6) END AS prediction_psi, CASE WHEN count(*) >= 4 THEN round(greatest(1.0, avg(ratio) + 3 * stddev_samp(ratio)), 6) END AS performance_ratio FROM j""")
 def _gates(spark, sf):
     fc = forecasts(spark, sf).filter("predicted is not null")
     w = F.floor((C.seconds(F.col("event_time")) - C.seconds(F.lit(_ORIGIN).cast("timestamp"))) / (3 * 86400)).cast("int")
