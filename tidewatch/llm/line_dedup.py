@@ -27,8 +27,9 @@ from .common import lower_words, materialize, mix, text_buffer, word_bounds, wor
 
 #: One edit leaves at least three quarters of a line of so many words; shorter lines count as repeats only if equal.
 MIN_WORDS = 4
-#: Up to so many line numbers and documents are broadcast to the texts; beyond, a shuffled join.
-BROADCAST_ROWS = 1_000_000
+#: Up to so many line numbers (4 bytes each, a document counting as four more) are broadcast to the texts, some 64 MB;
+#: beyond, a shuffled join.
+BROADCAST_ROWS = 4_000_000
 
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _INV = tuple(np.uint64(pow(int(m), -1, 1 << 64)) for m in _MULT)
@@ -207,38 +208,38 @@ class LineDedup:
         side = F.broadcast(side) if size <= BROADCAST_ROWS else side
         return docs.join(side, docs["doc_id"] == side["_line_doc"], how).drop("_line_doc")
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """docs, all rows and columns, with the dropped lines cut out of text."""
+    def _cut(self, docs: DataFrame, extra: list[str]) -> DataFrame:
+        """docs without the dropped lines, and the extra columns of ``dropped`` beside (null where nothing goes): one join of the texts."""
         columns = docs.columns
-        side = self.dropped.select("doc_id", F.col("lines").alias("_lines"))
-        rows = self._beside(docs, side, "left")
-        schema = docs.schema
+        side = self.dropped.withColumn("n_dropped", F.size("lines").cast("long")).select("doc_id", *extra, F.col("lines").alias("_lines"))
+        rows = self._beside(docs, side, "left").select(*columns, *extra, "_lines")
+        schema = rows.drop("_lines").schema
+        kept = [*columns, *extra]
         text_at, chars_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lines = batch.column(len(columns)).to_pylist()
+                lines = batch.column(len(kept)).to_pylist()
                 texts = batch.column(text_at).to_pylist()
                 for i, gone in enumerate(lines):
                     if gone and texts[i] is not None:
                         out = set(gone)
                         texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in out)
-                cols = list(batch.columns[: len(columns)])
+                cols = list(batch.columns[: len(kept)])
                 cols[text_at] = pa.array(texts, cols[text_at].type)
                 if chars_at is not None:
                     old = cols[chars_at].to_pylist()
                     cols[chars_at] = pa.array([len(t) if gone and t is not None else o for t, gone, o in zip(texts, lines, old, strict=True)], cols[chars_at].type)
-                yield pa.RecordBatch.from_arrays(cols, names=columns)
+                yield pa.RecordBatch.from_arrays(cols, names=kept)
+
+        return rows.mapInArrow(cut, schema)
 
-        return rows.select(*columns, "_lines").mapInArrow(cut, schema)
+    def apply(self, docs: DataFrame) -> DataFrame:
+        """docs, all rows and columns, with the dropped lines cut out of text."""
+        return self._cut(docs, [])
 
     def report(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n_lines, n_dropped, n_near, text_sha256) of each row: lines with a word, lines cut, and the text left."""
-        kept = self.apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-        counts = self._beside(kept, self.dropped, "left")
-        return counts.select(
-            "doc_id",
-            F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped"),
-            F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-            F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
-        )
+        """(doc_id, n_dropped, n_near, text_sha256) of each row: lines cut, those of them that only nearly repeat, and the text left."""
+        kept = self._cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ["n_dropped", "n_near"])
+        none = F.lit(0).cast("long")
+        return kept.select("doc_id", F.coalesce("n_dropped", none).alias("n_dropped"), F.coalesce("n_near", none).alias("n_near"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
