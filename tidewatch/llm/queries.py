@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, pii, rules, token_counts, unigram
+from . import chat, exact_dedup, periodic, pii, rules, token_counts, unigram
 from .line_dedup import LineDedup
 from .mixing import Mixture
 from .ngram_join import JaccardJoin
 from .quality_model import QualityModel
+from .toxicity import ToxicityModel
+from .whitening import Whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +171,24 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the cascade's verdict."""
     return rules.judge(documents(spark, sf_dir))
+
+
+@query()
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from confirmed toxic ones and unlabelled text."""
+    docs = documents(spark, sf_dir)
+    return ToxicityModel(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).score(docs)
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return Whitening(rows).apply(rows)
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of which have a planted periodic tail."""
+    found = periodic.PeriodicRuns(min_exp=4, min_length=6).find(periodic.with_planted(documents(spark, sf_dir)))
+    return periodic.digests(found)
