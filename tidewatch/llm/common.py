@@ -51,6 +51,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def positional(docs: DataFrame) -> DataFrame:
+    """docs with columns named c0, c1, ... by place, so that a caller's names cannot meet an operator's own."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches at BATCH_ROWS rows in this session, unless they are smaller already."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -4,10 +4,15 @@ A line is its sequence of words, A-Z in lower case; blank lines are never touche
 earliest occurrence (by doc_id, then line number) stays.  A line of at least ``MIN_WORDS`` words also
 goes if an earlier such line is within one word edit (insertion, deletion or substitution).
 
+A row is its doc_id and the hash of its text, so rows that share a doc_id are judged each for itself (in the
+order of those hashes).
+
 Deletion-neighbourhood join: a line's variants (itself, and itself without each word) are hashed;
 lines within one edit share a variant, at the same place for a substitution, with the other line whole
 for an insertion.  Within one (variant, place) all lines are one substitution apart, so each is paired
-with the earliest only, and no group is expanded into pairs.  Pairs are verified on their words.
+with the earliest only, and no group is expanded into pairs.  The earliest of a group is a grouped minimum,
+combined before the shuffle and joined back: a template with a third of all lines is never one task's.
+Pairs are verified on their words.
 
 Only lines that share a half with another line emit variants: one edit leaves the first or the last
 half of both lines equal, so no pair is lost.  ``n // 2`` words make a half, n being the shorter
@@ -20,20 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize, mix, text_buffer, word_bounds, word_hashes
+from .common import lower_words, materialize, mix, positional, text_buffer, word_bounds, word_hashes
 
 #: One edit leaves at least three quarters of a line of so many words; shorter lines count as repeats only if equal.
 MIN_WORDS = 4
-#: Up to so many line numbers (4 bytes each, a document counting as four more) are broadcast to the texts, some 64 MB;
-#: beyond, a shuffled join.
-BROADCAST_ROWS = 4_000_000
+#: Up to so many line numbers (4 bytes each, a row counting as six more) are broadcast to the texts, some 4 MB; beyond, a
+#: shuffled join, which is what any larger corpus takes.
+BROADCAST_ROWS = 200_000
 
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _INV = tuple(np.uint64(pow(int(m), -1, 1 << 64)) for m in _MULT)
-_LINES = "doc_id long, line int, n int, a long, b long, p0 long, s0 long, p1 long, s1 long"
+_LINES = "doc_id long, key long, line int, n int, a long, b long, p0 long, s0 long, p1 long, s1 long"
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -80,7 +85,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 300):
                 part = batch.slice(lo, 300)
-                words, first, end, row, number = _lines_of(part.column(1))
+                words, first, end, row, number = _lines_of(part.column(2))
                 if not len(first):
                     continue
                 n = end - first
@@ -93,21 +98,21 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for side, (x, y) in enumerate(((first, first + half), (end - half, end))):
                         tag = mix((length * 2 + side).astype(np.uint64))
                         keys.append(pa.array(mix(lanes[0].run(x, y) ^ tag).view(np.int64), mask=length < MIN_WORDS))
-                doc = part.column(0).take(pa.array(row))
-                cols = [doc, pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, ids), *keys]
+                doc, key = (part.column(k).take(pa.array(row)) for k in (0, 1))
+                cols = [doc, key, pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, ids), *keys]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in _LINES.split(", ")])
 
 
-_VARIANTS = "key long, place int, n int, doc_id long, line int"
+_VARIANTS = "variant long, place int, doc_id long, key long, line int"
 
 
 def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, line, words) -> a row for the whole line (place -1) and one for each word left out."""
+    """Rows (doc_id, key, line, words) -> a row for the whole line (place -1) and one for each word left out."""
     with np.errstate(over="ignore"):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                words, off = word_hashes(part.column(2), lower=True)
+                words, off = word_hashes(part.column(3), lower=True)
                 begin, end = off[:-1], off[1:]
                 n = end - begin
                 row = np.repeat(np.arange(len(n)), n)
@@ -119,9 +124,7 @@ def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 cols = [
                     pa.array(np.r_[whole, less].view(np.int64)),
                     pa.array(np.r_[np.full(len(n), -1), every - begin[row]].astype(np.int32)),
-                    pa.array(n[at].astype(np.int32)),
-                    part.column(0).take(pa.array(at)),
-                    part.column(1).take(pa.array(at)),
+                    *[part.column(k).take(pa.array(at)) for k in range(3)],
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in _VARIANTS.split(", ")])
 
@@ -139,83 +142,95 @@ def within_one_edit(x: list, y: list) -> bool:
 
 
 def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, key, line, words, words) -> (doc_id, key, line) of the pairs within one edit."""
     for batch in batches:
-        keep = [i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if within_one_edit(lower_words(x), lower_words(y))]
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["doc_id", "line"])
+        both = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+        keep = pa.array([i for i, (x, y) in enumerate(both) if within_one_edit(lower_words(x), lower_words(y))], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in range(3)], names=list(_AT))
 
 
 def _picked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, lines) -> (doc_id, line, words) of the listed lines."""
+    """Rows (doc_id, key, text, lines) -> (doc_id, key, line, words) of the listed lines."""
     for batch in batches:
-        out = []
-        for doc, text, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        row, line, words = [], [], []
+        for k, (text, lines) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             parts = (text or "").split("\n")
-            out += [(doc, k, parts[k]) for k in lines if k < len(parts)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "line", "words"])
+            row += [k] * len(lines)
+            line += lines
+            words += [parts[x] for x in lines]
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()), pa.array(words, pa.string())], names=[*_AT, "words"])
+
+
+_AT = ("doc_id", "key", "line")
+
+
+def text_key(text: Column) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(text.cast("string"))
 
 
 class LineDedup:
     """Decisions about the lines of documents (doc_id, text).
 
-    Null and empty texts have no lines.  Rows that repeat a doc_id and text are treated alike: a line
-    is judged by its doc_id and number.  Rows without doc_id are left as they are.  An empty table
-    gives empty results.  Other columns pass through ``apply`` (n_chars, if there, follows the text).
+    Null and empty texts have no lines.  Rows that share a doc_id are judged by their texts; rows equal in both are
+    treated alike.  Rows without doc_id are left as they are.  An empty table gives empty results.  Other columns,
+    whatever their names, pass through ``apply`` (n_chars, if there, follows the text).
     """
 
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
         lines = materialize(rows.mapInArrow(_line_rows, _LINES), "lines")
-        place = F.struct("doc_id", "line")
+        place = F.struct(*_AT)
         halves = [F.first(c).alias(c) for c in ("p0", "s0", "p1", "s1")]
         first = materialize(lines.groupBy("n", "a", "b").agg(F.min(place).alias("at"), F.max(place).alias("last"), *halves), "lines-first")
         self.near = materialize(self._near(rows, first), "lines-near")
-        near_at = self.near.select(F.struct("doc_id", "line").alias("at"), F.lit(True).alias("near"))
+        near_at = self.near.select(place.alias("at"), F.lit(True).alias("near"))
         judged = first.join(near_at, "at", "left").filter("near or at <> last").select("n", "a", "b", F.col("at"), F.coalesce("near", F.lit(False)).alias("near"))
-        dropped = lines.select("doc_id", "line", "n", "a", "b").join(judged, ["n", "a", "b"]).filter("near or doc_id <> at.doc_id or line <> at.line")
-        dropped = dropped.select("doc_id", "line", (F.col("near") & (F.col("doc_id") == F.col("at.doc_id")) & (F.col("line") == F.col("at.line"))).alias("near")).distinct()
-        self.dropped = materialize(dropped.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.count_if("near").alias("n_near")), "lines-dropped")
+        here = place == F.col("at")
+        dropped = lines.select(*_AT, "n", "a", "b").join(judged, ["n", "a", "b"]).filter(F.col("near") | ~here)
+        dropped = dropped.select(*_AT, (F.col("near") & here).alias("near")).distinct()
+        self.dropped = materialize(dropped.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.count_if("near").alias("n_near")), "lines-dropped")
 
     def _near(self, rows: DataFrame, first: DataFrame) -> DataFrame:
-        """(doc_id, line): first occurrences that are one edit from an earlier line."""
-        keys = first.select("a", "at", F.explode(F.array("p0", "s0", "p1", "s1")).alias("key")).filter("key is not null")
-        by_key = Window.partitionBy("key")
-        shared = keys.withColumns({"low": F.min("a").over(by_key), "top": F.max("a").over(by_key)}).filter("low <> top").select("at.doc_id", "at.line").distinct()
-        wanted = materialize(shared.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "lines-wanted")
-        picked = self._beside(rows, wanted).select("doc_id", "text", "lines").mapInArrow(_picked_rows, "doc_id long, line int, words string")
-        # Where rows share a doc_id, the line's text may differ: each is tried, verification decides.
-        texts = materialize(picked.distinct(), "lines-texts")
-        variants = texts.mapInArrow(_variant_rows, _VARIANTS)
-        at = F.struct("doc_id", "line")
-        # One shuffle by key serves both kinds of pairs; a substitution group is (key, place).
-        group, by_variant = Window.partitionBy("key", "place"), Window.partitionBy("key")
-        marked = variants.withColumn("at", at).withColumn("whole", F.min(F.when(F.col("place") == -1, F.col("at"))).over(by_variant))
-        marked = marked.withColumn("hub", F.min("at").over(group))
-        substituted = marked.filter("place >= 0 and at <> hub").select(F.col("at").alias("x"), F.col("hub").alias("y"))
-        inserted = marked.filter("place >= 0 and whole is not null and at <> whole").select(F.col("at").alias("x"), F.col("whole").alias("y"))
-        pairs = substituted.unionByName(inserted).select(F.greatest("x", "y").alias("later"), F.least("x", "y").alias("earlier")).distinct()
+        """(doc_id, key, line): first occurrences that are one edit from an earlier line."""
+        halves = first.select("a", "at", F.explode(F.array("p0", "s0", "p1", "s1")).alias("half")).filter("half is not null")
+        common = materialize(halves.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("top")).filter("low <> top").select("half"), "lines-halves")
+        shared = halves.join(common, "half", "left_semi").select("at.*").distinct()
+        wanted = materialize(shared.groupBy("doc_id", "key").agg(F.collect_list("line").alias("lines")), "lines-wanted")
+        picked = self._beside(rows, F.col("doc_id"), F.col("key"), wanted, "inner").select("doc_id", "key", "text", "lines").mapInArrow(_picked_rows, "doc_id long, key long, line int, words string")
+        texts = materialize(picked.dropDuplicates(list(_AT)), "lines-texts")
+        variants = materialize(texts.mapInArrow(_variant_rows, _VARIANTS).select("variant", "place", F.struct(*_AT).alias("at")), "lines-variants")
+        # The earliest line of a group; a substitution group is (variant, place), a whole line has place -1.
+        hubs = variants.groupBy("variant", "place").agg(F.min("at").alias("hub"), F.max("at").alias("last"))
+        hubs = materialize(hubs.filter("place = -1 or hub <> last"), "lines-hubs")
+        left_out = variants.filter("place >= 0")
+        substituted = left_out.join(hubs.filter("place >= 0"), ["variant", "place"]).select(F.col("at").alias("x"), F.col("hub").alias("y"))
+        inserted = left_out.join(hubs.filter("place = -1").drop("place"), "variant").select(F.col("at").alias("x"), F.col("hub").alias("y"))
+        pairs = substituted.unionByName(inserted).filter("x <> y").select(F.greatest("x", "y").alias("later"), F.least("x", "y").alias("earlier")).distinct()
         pairs = materialize(pairs, "lines-pairs")
-        side = texts.select(at.alias("at"), "words")
+        side = texts.select(F.struct(*_AT).alias("at"), "words")
         both = pairs.join(side.select(F.col("at").alias("later"), F.col("words").alias("x")), "later").join(side.select(F.col("at").alias("earlier"), F.col("words").alias("y")), "earlier")
-        return both.select("later.doc_id", "later.line", "x", "y").mapInArrow(_near_rows, "doc_id long, line int").distinct()
+        return both.select("later.*", "x", "y").mapInArrow(_near_rows, "doc_id long, key long, line int").distinct()
 
     @staticmethod
-    def _beside(docs: DataFrame, by_doc: DataFrame, how: str = "inner") -> DataFrame:
-        side = by_doc.withColumnRenamed("doc_id", "_line_doc")
-        numbers = next(F.size(c) for c in ("lines", "_lines") if c in by_doc.columns)
-        size = by_doc.agg(F.coalesce(F.sum(numbers + 4), F.lit(0)).alias("n")).first()["n"]
+    def _beside(docs: DataFrame, doc_id: Column, key: Column, by_doc: DataFrame, how: str) -> DataFrame:
+        side = by_doc.withColumnsRenamed({"doc_id": "_line_doc", "key": "_line_key"})
+        size = by_doc.agg(F.coalesce(F.sum(F.size("lines") + 6), F.lit(0)).alias("n")).first()["n"]
         side = F.broadcast(side) if size <= BROADCAST_ROWS else side
-        return docs.join(side, docs["doc_id"] == side["_line_doc"], how).drop("_line_doc")
-
-    def _cut(self, docs: DataFrame, extra: list[str]) -> DataFrame:
-        """docs without the dropped lines, and the extra columns of ``dropped`` beside (null where nothing goes): one join of the texts."""
-        columns = docs.columns
-        side = self.dropped.withColumn("n_dropped", F.size("lines").cast("long")).select("doc_id", *extra, F.col("lines").alias("_lines"))
-        rows = self._beside(docs, side, "left").select(*columns, *extra, "_lines")
-        schema = rows.drop("_lines").schema
-        kept = [*columns, *extra]
-        text_at, chars_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+        return docs.join(side, (doc_id == F.col("_line_doc")) & (key == F.col("_line_key")), how).drop("_line_doc", "_line_key")
+
+    def _cut(self, docs: DataFrame) -> DataFrame:
+        """docs, columns by position, without the dropped lines; n_dropped and n_near beside (null where nothing goes): one join of the texts."""
+        names = docs.columns
+        text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+        doc_id, text = F.col(f"c{names.index('doc_id')}").cast("long"), F.col(f"c{text_at}")
+        side = self.dropped.withColumn("n_dropped", F.size("lines").cast("long"))
+        rows = self._beside(positional(docs), doc_id, text_key(text), side, "left")
+        rows = rows.select(*[f"c{k}" for k in range(len(names))], "n_dropped", "n_near", "lines")
+        schema = rows.drop("lines").schema
+        kept = schema.names
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -236,10 +251,10 @@ class LineDedup:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs, all rows and columns, with the dropped lines cut out of text."""
-        return self._cut(docs, [])
+        return self._cut(docs).drop("n_dropped", "n_near").toDF(*docs.columns)
 
     def report(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_dropped, n_near, text_sha256) of each row: lines cut, those of them that only nearly repeat, and the text left."""
-        kept = self._cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ["n_dropped", "n_near"])
+        kept = self._cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
         none = F.lit(0).cast("long")
-        return kept.select("doc_id", F.coalesce("n_dropped", none).alias("n_dropped"), F.coalesce("n_near", none).alias("n_near"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+        return kept.select(F.col("c0").alias("doc_id"), F.coalesce("n_dropped", none).alias("n_dropped"), F.coalesce("n_near", none).alias("n_near"), F.sha2(F.coalesce("c1", F.lit("")).cast("binary"), 256).alias("text_sha256"))

@@ -20,7 +20,7 @@ from itertools import cycle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words
+from .common import materialize, n_words, positional
 
 #: A mixing recipe names its sources; more than this many is refused rather than sent to the driver.
 MAX_SOURCES = 100_000
@@ -70,13 +70,13 @@ class Mixture:
     Null text has size 0; null source is a source of its own; a null doc_id is hashed as such.  Rows
     with the same doc_id have one key if they have one quality, and are told apart by their texts; of
     equal rows as many are taken as the target allows.  Very long texts count with their whole size.  An
-    empty table gives an empty mix.  Other columns pass through ``take``; names that begin with an
-    underscore are this class's own.
+    empty table gives an empty mix.  Other columns pass through ``take``, whatever their names; ``counts`` leaves out
+    a caller's column that has the name of one of its results.
     """
 
     def __init__(self, docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, ceiling: float = 2.0, seed: int = 0):
         self.seed = seed
-        rows = materialize(self._placed(docs).select("source", "_size", *_KEY), "mixing-rows")
+        rows = materialize(self._placed(docs)[0].select(self._source(docs).alias("source"), "_size", *_KEY), "mixing-rows")
         totals = rows.groupBy("source").agg(F.sum("_size").alias("size")).limit(MAX_SOURCES + 1).collect()
         if len(totals) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -84,14 +84,21 @@ class Mixture:
         self.targets = allot(self.sizes, weights, share, ceiling)
         self.plan = self._cut(rows)
 
-    def _placed(self, docs: DataFrame) -> DataFrame:
-        text = F.col("text").cast("string")
-        placed = docs.withColumn("_size", n_words(text))
+    @staticmethod
+    def _source(docs: DataFrame) -> Column:
+        return F.col(f"c{docs.columns.index('source')}").cast("string")
+
+    def _placed(self, docs: DataFrame) -> tuple[DataFrame, list[str]]:
+        """docs by position (names c0, c1, ...) with _size and the key, and the positional names."""
+        rows = positional(docs)
+        text, doc_id = (F.col(f"c{docs.columns.index(c)}") for c in ("text", "doc_id"))
+        text = text.cast("string")
+        placed = rows.withColumn("_size", n_words(text))
         return placed.withColumns({
-            "_at": position(F.col("doc_id"), quality(text, F.col("_size").cast("double")), self.seed),
-            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
+            "_at": position(doc_id, quality(text, F.col("_size").cast("double")), self.seed),
+            "_id": F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))),
             "_text": F.xxhash64(text),
-        })
+        }), rows.columns
 
     @staticmethod
     def _cut_bucket(inside: DataFrame, bucket: Column, name: str) -> DataFrame:
@@ -138,23 +145,30 @@ class Mixture:
 
     def counts(self, docs: DataFrame) -> DataFrame:
         """docs with size, source_size, target and copies (times that the mix takes the row)."""
+        found = self._counted(docs)
+        own = ["size", "source_size", "target", "copies"]
+        return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in own], *own)
+
+    def _counted(self, docs: DataFrame) -> DataFrame:
+        """Columns of docs by position, with size, source_size, target and copies."""
         plan = F.broadcast(self.plan.withColumnRenamed("source", "plan_source"))
-        placed = self._placed(docs).join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left")
+        placed, columns = self._placed(docs)
+        placed = placed.join(plan, self._source(docs).eqNullSafe(F.col("plan_source")), "left")
         key = F.struct(*_KEY)
         split = (F.col("fits") > 0) & (F.col("fits") < F.col("ties"))
         whole = F.coalesce(((key < F.col("cut")) | ((key == F.col("cut")) & (F.col("fits") == F.col("ties")))).cast("int"), F.lit(0))
-        out = [*docs.columns, F.col("_size").alias("size"), "source_size", "target"]
+        out = [*columns, F.col("_size").alias("size"), "source_size", "target"]
         if self.plan.filter(split).isEmpty():
             return placed.select(*out, (F.col("epochs") + whole).alias("copies"))
         # Of equal rows at a cut only some fit: they are counted, numbered by their other columns, and dealt out again.
         at_cut = F.coalesce(split & (key == F.col("cut")), F.lit(False))
-        tied = placed.filter(at_cut).groupBy(*docs.columns, "_size", "source_size", "target", "epochs", "fits").agg(F.count(F.lit(1)).alias("_n"))
-        upto = F.sum("_n").over(Window.partitionBy("source").orderBy(F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        tied = placed.filter(at_cut).groupBy(*columns, "_size", "source_size", "target", "epochs", "fits", "plan_source").agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy("plan_source").orderBy(F.xxhash64(*columns)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
         tied = tied.withColumn("_upto", upto).withColumn("_i", F.explode(F.sequence(F.col("_upto") - F.col("_n") + 1, F.col("_upto"))))
         tied = tied.select(*out, (F.col("epochs") + (F.col("_i") <= F.col("fits")).cast("int")).alias("copies"))
         return placed.filter(~at_cut).select(*out, (F.col("epochs") + whole).alias("copies")).unionByName(tied)
 
     def take(self, docs: DataFrame) -> DataFrame:
         """The mix: rows of docs, each as often as it is taken, with the columns of docs."""
-        found = self.counts(docs).filter("copies > 0")
-        return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+        found = self._counted(docs).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_words, materialize, mix, shingle_sets, small_batches, word_hashes
+from .common import lower_words, materialize, mix, positional, shingle_sets, small_batches, word_hashes
 from .components import connected_components
 
 GROWTH = 8.0
@@ -473,15 +473,16 @@ class JaccardJoin:
         marks = materialize(marks.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("check").alias("_check"), F.col("stays").alias("_stays")), "ngram-marks")
         ids = materialize(marks.select("_id").distinct(), "ngram-marked-ids")
         side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        same_id = docs["doc_id"].cast("long") == side["_id"]
-        schema = T.StructType([*docs.schema, T.StructField("_digest", T.LongType()), T.StructField("_check", T.LongType())])
+        rows = positional(docs)
+        doc_id = F.col(f"c{docs.columns.index('doc_id')}").cast("long")
+        schema = T.StructType([*rows.schema, T.StructField("_digest", T.LongType()), T.StructField("_check", T.LongType())])
         text_at = docs.columns.index("text")
         # Only rows whose id is marked are hashed again, to tell which of its texts they hold.
-        hashed = docs.join(side, same_id, "left_semi").mapInArrow(lambda it: _with_identity(it, text_at, size), schema)
+        hashed = rows.join(side, doc_id == F.col("_id"), "left_semi").mapInArrow(lambda it: _with_identity(it, text_at, size), schema)
         marked = F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks
-        both = (F.col("doc_id").cast("long") == F.col("_id")) & hashed["_digest"].eqNullSafe(marked["_digest"]) & hashed["_check"].eqNullSafe(marked["_check"])
+        both = (doc_id == F.col("_id")) & hashed["_digest"].eqNullSafe(marked["_digest"]) & hashed["_check"].eqNullSafe(marked["_check"])
         judged = hashed.join(marked, both, "left").drop(marked["_digest"], marked["_check"])
-        kept = judged.filter("_stays is null").select(*docs.columns)
+        kept = judged.filter("_stays is null").select(*rows.columns)
         # Equal rows of a text that stays: the least of them, so that a rerun keeps the same.
-        equal = judged.filter("_stays").groupBy(F.col("_id").alias("_kept_id"), "_digest", "_check").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-        return docs.join(side, same_id, "left_anti").unionByName(kept).unionByName(equal)
+        equal = judged.filter("_stays").groupBy("_id", "_digest", "_check").agg(F.min(F.struct(*rows.columns)).alias("_row")).select("_row.*")
+        return rows.join(side, doc_id == F.col("_id"), "left_anti").unionByName(kept).unionByName(equal).toDF(*docs.columns)

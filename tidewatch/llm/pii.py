@@ -39,7 +39,11 @@ _PATTERN = {
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 _OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?(?:\.|$)){4}$"
 _TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*?(?:[0-9@]|\(at\)|\[at\]))[^\x20\x09-\x0D]++"
-_BEFORE, _AFTER = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)"
+_BEFORE, _AFTER = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)"
+#: A part of a gap in which the word next to the match is whole.
+_BEFORE_WHOLE, _AFTER_WHOLE = r"[\x20\x09-\x0D][^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$", r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]"
+#: Words of more characters are named by their digest.
+LONG_WORD = 48
 _SPAN = "array<struct<b:int,e:int,v:string,left:string,right:string>>"
 #: Shape that a value found by context must have, by kind; values with a base match inside are out.
 _SHAPE = {
@@ -50,6 +54,18 @@ _SHAPE = {
 }
 
 
+def named(word: Column) -> Column:
+    """A word as patterns name it: in lower case; a long one by its digest, so that no pattern is long."""
+    low = F.lower(word)
+    return F.when(F.length(low) <= LONG_WORD, low).otherwise(F.concat(F.lit("#"), F.sha2(low.cast("binary"), 256)))
+
+
+def _beside(gap: Column, pattern: str, end, whole: str) -> Column:
+    """The word of gap next to a match.  A part of the gap is looked at first; if the word may go on beyond it, all."""
+    part = end(gap, F.lit(LONG_WORD))
+    return named(F.regexp_extract(F.when((F.length(gap) <= LONG_WORD) | part.rlike(whole), part).otherwise(gap), pattern, 1))
+
+
 def _found(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches, with code-point offsets and the text on either side.
 
@@ -61,7 +77,7 @@ def _found(text: Column, pattern: str) -> Column:
     def spans(x: Column) -> Column:
         def span(hit: Column, i: Column) -> Column:
             end = F.get(x["starts"], F.shiftright(i, 6)) + upto(x, F.shiftright(i, 6) * 64, i.bitwiseAND(63) + 1)
-            left, right = F.right(F.get(x["gaps"], i), F.lit(48)), F.left(F.get(x["gaps"], i + 1), F.lit(48))
+            left, right = _beside(F.get(x["gaps"], i), _BEFORE, F.right, _BEFORE_WHOLE), _beside(F.get(x["gaps"], i + 1), _AFTER, F.left, _AFTER_WHOLE)
             return F.struct((end - F.length(hit)).alias("b"), end.alias("e"), hit.alias("v"), left.alias("left"), right.alias("right"))
 
         return F.when(F.size(x["hits"]) > 0, F.transform(x["hits"], span)).otherwise(none)
@@ -135,8 +151,7 @@ def _edges(scanned: DataFrame) -> DataFrame:
     """One row for each occurrence and side: (doc_id, key, b, e, value, kind, pattern); kind is null for unknown tokens."""
     parts = F.flatten(F.array(*[_tagged(k) for k in (*KINDS, "token")]))
     rows = scanned.select("doc_id", "key", F.explode(parts).alias("x")).select("doc_id", "key", "x.kind", "x.s.*")
-    word = lambda side, pattern: F.lower(F.regexp_extract(side, pattern, 1))
-    sides = F.array(F.concat(F.lit("L:"), word("left", _BEFORE)), F.concat(F.lit("R:"), word("right", _AFTER)))
+    sides = F.array(F.concat(F.lit("L:"), F.col("left")), F.concat(F.lit("R:"), F.col("right")))
     return rows.select("doc_id", "key", "b", "e", F.col("v").alias("value"), "kind", F.explode(sides).alias("pattern")).filter(F.length("pattern") > 2)
 
 
@@ -147,10 +162,10 @@ def shaped(kind: Column, value: Column) -> Column:
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, total): how often each pattern's word occurs in the texts."""
-    word = F.substring("pattern", 3, 48)
+    word = F.expr("substring(pattern, 3)")
     wanted = patterns.select(word.alias("word")).distinct()
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_PATTERNS else wanted
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(f"({WORD})"))).alias("word"))
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(f"({WORD})"))).alias("word")).select(named(F.col("word")).alias("word"))
     totals = words.join(side, "word").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
     return patterns.withColumn("word", word).join(totals, "word", "left").select("pattern", F.coalesce("total", F.lit(0)).alias("total"))
 

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import mix, small_batches
 from .rules import Texts
 
-#: Documents that the scorer is fitted on, at most (chosen by hash of doc_id); 4 * DIM bytes each.
+#: Documents that the scorer is fitted on, about (chosen by hash of doc_id and text, repeated rows once; never more
+#: than twice as many); 4 * DIM bytes each.
 TRAIN = 6000
 #: Buckets of the hashed features.
 DIM = 512
@@ -189,7 +190,7 @@ class QualityModel:
     """Fitted on documents (doc_id, text); ``score`` judges any.
 
     Null and empty texts get abstentions only and are kept; repeated rows are judged alike; a null
-    doc_id is carried; very long texts are read whole; other columns are ignored, or kept by ``keep``; an
+    doc_id is carried, and its row may be drawn for the fit like any other; very long texts are read whole; other columns are ignored, or kept by ``keep``; an
     empty table fits a model that keeps everything.
     """
 
@@ -202,8 +203,9 @@ class QualityModel:
         self.labels = fit_labels(self.patterns, counts)
         total = int(counts.sum())
         share = min(1.0, train / max(total, 1))
-        part = F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1)) < int(share * (1 << 40))
-        sample = rows.filter(part).limit(2 * train).mapInArrow(_train_rows, "pattern long, x binary").collect()
+        drawn = rows.withColumn("key", F.xxhash64("doc_id", "text", F.lit(11))).filter(F.col("key").bitwiseAND(F.lit((1 << 40) - 1)) < int(share * (1 << 40)))
+        # Hashes of different rows are spread evenly, so twice the number expected is never reached; the order makes reruns agree.
+        sample = drawn.dropDuplicates(["key"]).orderBy("key").limit(2 * train).select("doc_id", "text").mapInArrow(_train_rows, "pattern long, x binary").collect()
         if len(sample) >= 2:
             x = np.stack([np.frombuffer(bytes(r["x"]), dtype=np.float32) for r in sample])
             p = self.labels.posterior(votes_of(np.array([r["pattern"] for r in sample], dtype=np.int64)))
