@@ -312,7 +312,8 @@ def test_planted_patterns_are_discovered(spark):
     found = patterns.discover(df, spark.createDataFrame(months, "location_id string, month string, value double")).collect()
     by = {r.pattern_id: r for r in found}
     assert by["ST-B-4-1820"].hours == [18, 19] and by["ST-B-4-1820"].effect == pytest.approx(2.0, rel=0.15)
-    assert "LVL-C" in by and "LVL-A" not in by and all(f"CND-{z}" in by for z in "ABC") and by["CND-A"].effect == pytest.approx(0.03, rel=0.2)
+    shifts = [r for r in found if r.kind == "level_shift"]
+    assert [r.location_id for r in shifts] == ["C"] and shifts[0].pattern_id.startswith("LVL-C-2024-") and all(f"CND-{z}" in by for z in "ABC") and by["CND-A"].effect == pytest.approx(0.03, rel=0.2)
     assert not any(r.descriptive for r in found[: sum(not r.descriptive for r in found)])
     st = patterns.cell_strengths(df.withColumn("month", F.date_format("event_time", "yyyy-MM")), spark.createDataFrame([("ST-B-4-1820", "B", 4, [18, 19])], "pattern_id string, location_id string, weekday int, hours array<int>"))
     t = patterns.tracked(st).first()

@@ -185,9 +185,85 @@ def test_congestion_window_breaks_at_a_hole(spark):
 
 
 def test_evolution_status(spark):
-    rows = [("up", f"{i}", 1.1 + i / 2) for i in range(4)] + [("flat", f"{i}", 1.5) for i in range(4)] + [("gone", f"{i}", 1.5 if i < 2 else 0.95) for i in range(4)] + [("short", "1", 2.0)]
-    got = {r.pattern_id: r.status for r in patterns.evolution(spark.createDataFrame(rows, "pattern_id string, window string, strength double")).collect()}
-    assert got == {"up": "strengthening", "flat": "stable", "gone": "disappeared", "short": "insufficient_history"}
+    series = {
+        "up": [1.1, 1.6, 2.1, 2.6, 3.1], "down": [3.1, 2.6, 2.1, 1.6, 1.1], "flat": [1.5] * 4, "gone": [1.5, 1.5, 1.5, 1.5, None, None], "short": [2.0, None, 2.0],
+        "torn": [1.3, 0.8, 1.3, 0.8, 1.3, 1.3], "once_below": [1.5, 0.9, 1.5, 1.5], "jump": [1.5, 1.5, 1.4, 3.0, 1.6], "unmeasured_gap": [1.1, None, 1.6, 2.1, None, 2.6, 3.1],
+    }
+    rows = [(k, f"{i}", v) for k, s in series.items() for i, v in enumerate(s)]
+    got = {r.pattern_id: r for r in patterns.evolution(spark.createDataFrame(rows, "pattern_id string, window string, strength double")).collect()}
+    assert {k: r.status for k, r in got.items()} == {
+        "up": "strengthening", "down": "weakening", "flat": "stable", "gone": "disappeared", "short": "insufficient_history", "torn": "conflicting", "once_below": "stable", "jump": "stable", "unmeasured_gap": "strengthening",
+    }
+    assert not got["jump"].within_band and got["flat"].within_band and got["gone"].historical == 1.5
+    fresh = spark.createDataFrame([("new", f"{i}", 1.4 if i > 1 else None) for i in range(5)], "pattern_id string, window string, strength double")
+    assert patterns.evolution(fresh, recent=3).first().status == "new"
+
+
+def test_degenerate_series_do_not_crash(spark):
+    flat = spark.createDataFrame([("k", float(i), 2.0, "ab"[i % 2]) for i in range(40)], "k string, x double, y double, g string")
+    assert statistics.spearman(flat, ["k"], "x", "y").first().rho is None
+    assert (statistics.trend(flat, ["k"], "x", "y").first().direction, statistics.trend(flat, ["k"], "x", "y").first().p_value) == ("flat", 1.0)
+    for y, want in ((F.lit(2.0), 1.0), (2 * F.col("x") + 1, 0.0)):
+        s = statistics.slope_test(statistics.slope(flat.withColumn("y", y), ["k"], "x", "y")).first()
+        assert s.p_value == pytest.approx(want, abs=1e-9) and s.lower == pytest.approx(s.upper)
+    h = statistics.kruskal_test(statistics.kruskal_wallis(flat, ["k"], "g", "y")).first()
+    assert h.h is None and h.p_value is None
+    nothing = flat.limit(0)
+    assert statistics.psi(nothing, flat, "x").first().psi is None and statistics.psi(flat, nothing, "x").first().psi is None
+    assert [r.psi for r in statistics.psi_windows(nothing, flat, "x", "g").collect()] == [None, None]
+    tied = spark.createDataFrame([(float(max(i, 20)),) for i in range(100)], "x double")  # two inner quantiles are equal
+    assert statistics.psi(tied, tied, "x").first().psi == pytest.approx(0, abs=1e-9)
+    assert patterns.level_shifts(spark.createDataFrame([("A", f"m{i % 6}", 1.0) for i in range(60)], "location_id string, month string, value double")).count() == 0
+
+
+def test_level_shifts_by_rank(spark, monkeypatch):
+    """Medians of all change points against plain ones, in one bucket and in many; a change point needs two zones."""
+    import statistics as plain
+
+    rng = random.Random(3)
+    rows = [(z, f"2024-{m:02d}", float(rng.randint(1, 40)) * (4.0 if z == "B" and m >= 5 else 1.0)) for z in "ABC" for m in range(1, 9) for _ in range(rng.randint(0 if z == "C" else 3, 12))] + [("D", "2024-08", 5.0)]
+    df = spark.createDataFrame(rows, "location_id string, month string, value double")
+    months = sorted({m for _, m, _ in rows})
+    want = {}
+    for z in "ABCD":
+        for c in months[2:-1]:
+            before, after = [v for y, m, v in rows if y == z and m < c], [v for y, m, v in rows if y == z and m >= c]
+            want[z, c] = (plain.median(before) if before else None, plain.median(after) if after else None, len(before), len(after))
+    for size in (20_000, 7):
+        monkeypatch.setattr(statistics, "BUCKET_ROWS", size)
+        got = {(r.location_id, r.change_point): (r.before_median, r.after_median, r.n_before, r.n_after) for r in patterns.shift_medians(df).collect()}
+        assert got == want
+    found = {r.location_id: r for r in patterns.level_shifts(df).collect()}
+    assert set(found) == {"A", "B", "C"} and found["B"].change_point == "2024-05" and found["B"].adjusted_ratio == pytest.approx(found["B"].raw_ratio / found["B"].peer_ratio)
+    assert patterns.level_shifts(df.filter("location_id = 'B'")).count() == 0
+    sure = {r.location_id: r for r in patterns.discovered_shifts(df).collect()}["B"]
+    assert 1 < sure.lower <= sure.adjusted_ratio <= sure.upper and sure.p_value < 0.05
+
+
+def test_counted_medians_in_buckets(spark, monkeypatch):
+    import statistics as plain
+
+    rng = random.Random(8)
+    rows = [(rng.choice("aab"), None if rng.random() < 0.05 else float(rng.randint(1, 300))) for _ in range(2000)]
+    x = spark.createDataFrame([(f"o{i}", k, v) for i, (k, v) in enumerate(rows)], "observation_id string, metric string, value double")
+    for size in (20_000, 11):
+        monkeypatch.setattr(statistics, "BUCKET_ROWS", size)
+        got = {r.metric: r for r in integrity.mad_cells(x, ("metric",)).collect()}
+        for k in "ab":
+            v = [b for a, b in rows if a == k and b is not None]
+            m = plain.median(v)
+            assert (got[k].group_median, got[k].group_size) == (m, len(v)) and got[k].group_mad == pytest.approx(1.4826 * plain.median([abs(b - m) for b in v]))
+
+
+def test_gates_use_every_reference_row(spark):
+    windows = spark.createDataFrame([(0, 1000, 0.1, 10.0), (1, 60, 0.2, 90.0), (2, 60, 0.1, 120.0), (3, 60, 0.3, 90.0), (4, 20, 9.0, 5.0)], "w int, rows long, psi double, mae double")
+    g = monitoring.calibrated_gates(windows).first()
+    assert g.windows == 4 and g.reference_error == pytest.approx((10 * 1000 + 300 * 60 + 100) / 1200)
+    assert monitoring.calibrated_gates(windows.limit(3)).first().prediction_psi is None
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 2),)], "sample_time timestamp")
+    assert monitoring.reference_after_training(rows, "2024-01-02 00:00:00").count() == 1
+    with pytest.raises(ValueError):
+        monitoring.reference_after_training(rows, "2024-01-02 00:00:01")
 
 
 DAY = pd.Timestamp("2024-01-01")

@@ -225,33 +225,52 @@ def probe_instants(series: DataFrame, warmup_hours: int, probes: int = 24) -> Da
     return series.join(F.broadcast(chosen), "event_time").select("location_id", "event_time").distinct()
 
 
-def leakage_probe(rows: DataFrame, features: callable, at: DataFrame, names: list[str]) -> DataFrame:
+def leakage_probe(rows: DataFrame, features: callable, at: DataFrame, names: list[str], reach_hours: int = 24, ahead_hours: int | None = None) -> DataFrame:
     """Features at probe instants (location_id, event_time) that move when what is unknown there is perturbed.
 
-    Unknown is every row after the instant; and, where rows have a received_time and receipts lie on both
-    sides of the instant, in a second pass every row received after it (kind: future_event, late_arrival).
-    features makes location_id, event_time and the named columns from rows.  An empty result means that
-    no feature looks ahead.  The plan runs for each distinct instant asked for, and none is left out.
+    Unknown is every row after the instant (kind future_event); and, where rows have a received_time and receipts lie
+    on both sides of the instant, every row received after it (kind late_arrival).  An empty result means that no
+    feature looks ahead.
+
+    One plan for all probes: every row is copied to the probes that may read it, from reach_hours before to
+    ahead_hours after it (as far, unless given), once as it is and once for each kind of perturbation, and features is
+    applied to all copies together, under location ids that name their probe.  So features must take location_id for
+    an opaque key, and make location_id, event_time and the named columns from rows.  A feature that reads nothing
+    within ahead_hours but only later rows is not found.
     """
-    instants = [row["event_time"] for row in at.select("event_time").distinct().orderBy("event_time").collect()]
-    keys = ["location_id", "event_time"]
-    known = features(rows).select(*keys, *names)
-    kinds = {"future_event": "event_time"}
-    straddled = set()
-    if "received_time" in rows.columns and instants:
-        kinds["late_arrival"] = "received_time"
-        span = rows.agg(F.min("received_time").alias("lo"), F.max("received_time").alias("hi")).first()
-        straddled = {t for t in instants if span["lo"] is not None and span["lo"] <= t < span["hi"]}
-    number = {n for n, kind in known.dtypes if kind in ("double", "float")}  # sums may differ in their last digits from run to run
-    near = lambda n: F.abs(F.col(f"x.{n}") - F.col(f"y.{n}")) <= 1e-9 * F.greatest(F.abs(f"x.{n}"), F.abs(f"y.{n}")) if n in number else F.lit(False)
-    found = at.select(*keys).withColumns({"feature": F.lit(None).cast("string"), "kind": F.lit(None).cast("string")}).limit(0)
-    for t in instants:
-        for kind, time in kinds.items():
-            if kind == "late_arrival" and t not in straddled:
-                continue
-            pivot = F.lit(t)
-            moved = rows.withColumn("value", F.when(F.col(time) > pivot, F.col("value") * 10 + 1000).otherwise(F.col("value")))
-            both = known.filter(F.col("event_time") == pivot).alias("x").join(features(moved).filter(F.col("event_time") == pivot).alias("y"), keys)
-            flags = [F.when(~F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}")) & ~F.coalesce(near(n), F.lit(False)), n) for n in names]
-            found = found.unionByName(both.select(*keys, F.explode(F.array_compact(F.array(*flags))).alias("feature"), F.lit(kind).alias("kind")))
-    return found
+    ahead = reach_hours if ahead_hours is None else ahead_hours
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    span = 3600 * max(reach_hours + ahead, 1)
+    instants = at.select(F.col("event_time").alias("_t")).distinct().withColumn("_at", seconds("_t"))
+    late = "received_time" in rows.columns
+    if late:
+        ends = rows.agg(F.min("received_time").alias("_lo"), F.max("received_time").alias("_hi"))  # one row
+        instants = instants.crossJoin(F.broadcast(ends)).withColumn("_straddled", F.coalesce((F.col("_lo") <= F.col("_t")) & (F.col("_t") < F.col("_hi")), F.lit(False))).drop("_lo", "_hi")
+    else:
+        instants = instants.withColumn("_straddled", F.lit(False))
+    # Probes and rows meet in stretches of time as long as a probe's own.
+    slots = F.sequence(F.floor((F.col("_at") - 3600 * reach_hours) / span), F.floor((F.col("_at") + 3600 * ahead) / span))
+    near = rows.withColumns({"_s": seconds("event_time")}).withColumn("_slot", F.floor(F.col("_s") / span)).join(instants.withColumn("_slot", F.explode(slots)), "_slot")
+    near = near.filter(F.col("_s").between(F.col("_at") - 3600 * reach_hours, F.col("_at") + 3600 * ahead))
+    kinds = {"as_is": F.lit(True), "future_event": F.lit(True)} | ({"late_arrival": F.col("_straddled")} if late else {})
+    copies = near.withColumn("_kind", F.explode(F.array_compact(F.array(*[F.when(on, F.lit(k)) for k, on in kinds.items()]))))
+    unknown = F.when(F.col("_kind") == "future_event", F.col("event_time") > F.col("_t"))
+    unknown = unknown.when(F.col("_kind") == "late_arrival", F.col("received_time") > F.col("_t")) if late else unknown
+    moved = copies.withColumns({
+        "value": F.when(F.coalesce(unknown, F.lit(False)), F.col("value") * 10 + 1000).otherwise(F.col("value")),
+        "location_id": F.concat(F.col("_kind"), F.lit("|"), F.col("_at").cast("string"), F.lit("|"), "location_id"),
+    })
+    made = features(moved.select(*rows.columns)).select(F.split("location_id", r"\|", 3).alias("_of"), "event_time", *names)
+    made = made.filter(seconds("event_time") == F.get("_of", F.lit(1)).cast("long"))
+    one = lambda k: F.max(F.when(F.get("_of", F.lit(0)) == k, F.struct(*names)))
+    by = made.groupBy(F.get("_of", F.lit(2)).alias("location_id"), "event_time").agg(*[one(k).alias(k) for k in kinds])
+    number = {n for n, kind in made.dtypes if kind in ("double", "float")}  # sums may differ in their last digits
+
+    def differs(n: str, kind: str) -> Column:
+        x, y = F.col(f"as_is.{n}"), F.col(f"{kind}.{n}")
+        same = F.coalesce(F.abs(x - y) <= 1e-9 * F.greatest(F.abs(x), F.abs(y)), F.lit(False)) if n in number else F.lit(False)
+        return F.col(kind).isNotNull() & ~x.eqNullSafe(y) & ~same
+
+    told = [F.when(differs(n, k), F.struct(F.lit(n).alias("feature"), F.lit(k).alias("kind"))) for k in kinds if k != "as_is" for n in names]
+    found = by.select("location_id", "event_time", F.explode(F.array_compact(F.array(*told))).alias("x")).select("location_id", "event_time", "x.*")
+    return found.join(at.select("location_id", "event_time").distinct(), ["location_id", "event_time"], "left_semi")

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .statistics import counted_median
 
 #: What two observations must share to be claims about one measurement; a null duration (an instant) is a value.
 KEY = ("location_id", "event_time", "metric", "unit", "duration_minutes", "aggregation_level")
-_ORDER = ("received_time", "source_time", "observation_id")
+#: Which of a group represents it: the first received, then by id (its event time is part of the key).
+_ORDER = ("received_time", "observation_id")
 
 
 def parse_feed(rows: DataFrame, minutes: int, offset_hours: float, accepted_units: list[str] | None = None) -> DataFrame:
@@ -102,15 +104,30 @@ def frozen_runs(obs: DataFrame, by: tuple[str, ...], value: Column, least: int =
 
 
 def mad_outliers(obs: DataFrame, cell: tuple[str, ...], threshold: float = 6.0, least: int = 12) -> DataFrame:
-    """Rows more than threshold scaled median deviations from their cell's median; small or constant cells flag none."""
-    known = obs.filter("value is not null")
-    middle = known.groupBy(*cell).agg(F.median("value").alias("group_median"), F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") >= least)
-    beside = known.join(middle, list(cell))
-    mad = beside.groupBy(*cell).agg((F.median(F.abs(F.col("value") - F.col("group_median"))) * 1.4826).alias("group_mad")).filter("group_mad > 0")
-    flagged = beside.join(mad, list(cell)).withColumn("deviation", F.abs(F.col("value") - F.col("group_median")) / F.col("group_mad"))
+    """Rows more than threshold scaled median deviations from their cell's median; small or constant cells flag none.
+
+    Both medians come from the values' counts, by rank (``counted_median``); the rows meet the cells once.
+    """
+    cells = mad_cells(obs, cell, least)
+    # Three numbers a cell; cells are few beside rows, but counted before they are broadcast.
+    side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+    flagged = obs.filter("value is not null").join(side, list(cell)).withColumn("deviation", F.try_divide(F.abs(F.col("value") - F.col("group_median")), F.col("group_mad")))
     return flagged.filter(F.col("deviation") > threshold)
 
 
+#: Cells that are broadcast, at most.
+BROADCAST_CELLS = 200_000
+
+
+def mad_cells(obs: DataFrame, cell: tuple[str, ...], least: int = 12) -> DataFrame:
+    """(cell, group_median, group_size, group_mad) of the cells with at least least values that are not constant."""
+    counts = obs.filter("value is not null").groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("_n"))
+    middle = counted_median(counts, list(cell), "value", "_n", "group_median").withColumnRenamed("rows", "group_size").filter(F.col("group_size") >= least)
+    apart = counts.join(middle, list(cell)).select(*cell, "group_median", "group_size", F.abs(F.col("value") - F.col("group_median")).alias("_apart"), "_n")
+    spread = counted_median(apart, [*cell, "group_median", "group_size"], "_apart", "_n", "_mad")
+    return spread.select(*cell, "group_median", "group_size", (F.col("_mad") * 1.4826).alias("group_mad")).filter("group_mad > 0")
+
+
 def source_health(obs: DataFrame, as_of: Column, warning_hours: float = 6, failed_hours: float = 24, warning_missing: float = 0.1) -> DataFrame:
     """Counts, longest gap between distinct times, trailing gap and status of each source."""
     times = obs.select("source_id", "event_time").distinct()

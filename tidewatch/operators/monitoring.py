@@ -206,18 +206,26 @@ def detection_delay(evaluations: DataFrame, change: str, required: tuple[str, ..
 def calibrated_gates(windows: DataFrame, multiplier: float = 3.0, least_rows: int = 50, least_windows: int = 4, psi_floor: float = 0.0, ratio_floor: float = 1.0) -> DataFrame:
     """One row of gates from reference windows (rows, psi, mae): mean plus multiplier deviations, floors held.
 
-    Windows with fewer than least_rows rows say nothing; with fewer than least_windows left a gate is null.  The
-    error gate is a ratio to the mean error of the windows.
+    The reference error is that of all reference rows, those of thin windows included.  Windows with fewer than
+    least_rows rows say nothing else; a gate with fewer than least_windows values is null.  The error gate is a
+    ratio to the reference error; ``windows`` counts those that give both values, the fewer of the two.
     """
-    known = windows.filter(F.col("rows") >= least_rows)
-    base = known.agg(F.avg("mae").alias("reference_error"))  # one row
-    ratio = F.try_divide("mae", "reference_error")
-    g = known.crossJoin(F.broadcast(base)).agg(
-        F.count(F.lit(1)).alias("windows"), F.max("reference_error").alias("reference_error"),
-        (F.avg("psi") + multiplier * F.stddev_samp("psi")).alias("_p"), (F.avg(ratio) + multiplier * F.stddev_samp(ratio)).alias("_r"),
-    )
-    enough = F.col("windows") >= least_windows
-    return g.select("windows", "reference_error", F.when(enough, F.greatest("_p", F.lit(psi_floor))).alias("prediction_psi"), F.when(enough, F.greatest("_r", F.lit(ratio_floor))).alias("performance_ratio"))
+    base = windows.agg(F.try_divide(F.sum(F.col("mae") * F.col("rows")), F.sum(F.when(F.col("mae").isNotNull(), F.col("rows")))).alias("reference_error"))  # one row
+    thick = F.col("rows") >= least_rows
+    ratio = F.when(thick & (F.col("reference_error") > 0), F.try_divide("mae", "reference_error"))
+    index = F.when(thick & ~F.isnan("psi"), F.col("psi"))
+    gate = lambda c: F.when(F.count(c) >= least_windows, F.avg(c) + multiplier * F.stddev_samp(c))
+    g = windows.crossJoin(F.broadcast(base)).agg(F.least(F.count(index), F.count(ratio)).alias("windows"), F.max("reference_error").alias("reference_error"), gate(index).alias("_p"), gate(ratio).alias("_r"))
+    held = lambda c, floor: F.when(F.col(c).isNotNull(), F.greatest(c, F.lit(floor)))
+    return g.select("windows", "reference_error", held("_p", psi_floor).alias("prediction_psi"), held("_r", ratio_floor).alias("performance_ratio"))
+
+
+def reference_after_training(reference: DataFrame, training_end: str, time: str = "sample_time") -> DataFrame:
+    """reference, refused if it starts before the end of training: the champion has seen such rows, and its error there is too small."""
+    first = reference.agg(F.min(time).alias("t"), (F.min(time) < F.lit(training_end).cast("timestamp")).alias("early")).first()
+    if first["early"]:
+        raise ValueError(f"the reference starts {first['t']}, before the training end {training_end}")
+    return reference
 
 
 def prediction_status(psi: Column, gate: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -55,25 +55,41 @@ def zone_risk(outcome: DataFrame, zones: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("predictions", "congested_hours")})
 
 
-def attributed(observations: DataFrame, samples: DataFrame, reach: list[tuple[str, str, int, int]]) -> DataFrame:
+def _reads(observations: DataFrame, samples: DataFrame, reach: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """(what is asked for, what is found): (location_id, sample_time, feature), and the observations that each of them may read.
+
+    A feature asks for its metric at its own location, or at the sample's; requests and observations meet on the place
+    that is read, the metric and the day, each request under the days that its own window touches.
+    """
+    day = lambda c: F.floor(c / 86400)
+    specs = F.array(*[F.struct(F.lit(r[0]).alias("feature"), F.lit(r[1]).alias("metric"), F.lit(3600 * r[2]).alias("first"), F.lit(3600 * r[3]).alias("last"), F.lit(r[4] if len(r) > 4 else None).cast("string").alias("place")) for r in reach])
+    asked = samples.select("location_id", "sample_time").distinct().withColumn("x", F.explode(specs)).select("location_id", "sample_time", C.seconds(F.col("sample_time")).alias("_at"), "x.feature", "x.metric", "x.first", "x.last", F.coalesce("x.place", "location_id").alias("place"))
+    wanted = asked.withColumn("_day", F.explode(F.sequence(day(F.col("_at") - F.col("first")), day(F.col("_at") - F.col("last")))))
+    known = observations.filter(F.col("value").isNotNull()).select("observation_id", "source_id", F.col("location_id").alias("place"), "metric", "event_time", C.seconds(F.col("event_time")).alias("_s")).withColumn("_day", day(F.col("_s")))
+    found = wanted.join(known, ["place", "metric", "_day"]).filter((F.col("_at") - F.col("_s")).between(F.col("last"), F.col("first")))
+    return asked.select("location_id", "sample_time", "feature"), found
+
+
+def attributed(observations: DataFrame, samples: DataFrame, reach: list[tuple]) -> DataFrame:
     """Shares of each source in what a prediction may read: (location_id, sample_time, source_id, observations, share, newest, oldest).
 
-    samples: (location_id, sample_time).  reach: (feature, metric, earliest, latest) in hours before the sample.
-    An observation counts once for a sample, however many features read it; unknown values count for nothing.
-    Windows are met by equality on day numbers first: a sample is keyed by the days that its widest window touches.
+    samples: (location_id, sample_time).  reach: (feature, metric, earliest, latest) in hours before the sample, and a
+    fifth, the location, for a covariate of another place.  An observation counts once for a sample, however many
+    features read it; unknown values count for nothing.
     """
-    day = lambda c: F.floor(C.seconds(F.col(c)) / 86400)
-    widest = max((first for _, _, first, _ in reach), default=0)
-    wanted = samples.select("location_id", "sample_time").distinct().withColumn("_day", F.explode(F.sequence(F.floor((C.seconds(F.col("sample_time")) - 3600 * widest) / 86400), day("sample_time"))))
-    known = observations.filter(F.col("value").isNotNull()).select("observation_id", "source_id", "location_id", "metric", "event_time").withColumn("_day", day("event_time"))
-    age = (C.seconds(F.col("sample_time")) - C.seconds(F.col("event_time"))) / 3600
-    reads = F.lit(False)
-    for _, metric, first, last in reach:
-        reads |= (F.col("metric") == metric) & age.between(last, first)
-    used = wanted.join(known, ["location_id", "_day"]).filter(reads).dropDuplicates(["location_id", "sample_time", "observation_id"])
+    _, found = _reads(observations, samples, reach)
+    used = found.select("location_id", "sample_time", "observation_id", "source_id", "event_time").dropDuplicates(["location_id", "sample_time", "observation_id"])
     g = used.groupBy("location_id", "sample_time", "source_id").agg(F.count(F.lit(1)).alias("observations"), F.max("event_time").alias("newest"), F.min("event_time").alias("oldest"))
-    total = g.groupBy("location_id", "sample_time").agg(F.sum("observations").alias("_total"))
-    return g.join(total, ["location_id", "sample_time"]).withColumn("share", F.col("observations") / F.col("_total")).drop("_total")
+    total = F.sum("observations").over(Window.partitionBy("location_id", "sample_time"))  # as many rows as sources
+    return g.withColumn("share", F.try_divide("observations", total))
+
+
+def missing_inputs(observations: DataFrame, samples: DataFrame, reach: list[tuple]) -> DataFrame:
+    """(location_id, sample_time, features): features of a sample that found nothing to read, by name; samples that lack none are left out."""
+    asked, found = _reads(observations, samples, reach)
+    keys = ["location_id", "sample_time", "feature"]
+    none = asked.join(found.select(*keys).distinct(), keys, "left_anti")
+    return none.groupBy("location_id", "sample_time").agg(F.sort_array(F.collect_set("feature")).alias("features"))
 
 
 def anomaly_views(anomalies: DataFrame, scanned: int | Column) -> DataFrame:

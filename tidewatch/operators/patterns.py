@@ -83,35 +83,70 @@ def profile_patterns(rows: DataFrame, bucket: str, least: int = 12, range_: floa
     return found.join(tested.select("location_id", "h", "degrees", "p_value"), "location_id").withColumn("confidence", C.confidence_from_p(F.col("p_value")))
 
 
+def shift_medians(rows: DataFrame, months: list[str] | None = None, side: int = 2) -> DataFrame:
+    """(location_id, change_point, before_median, after_median, n_before, n_after) of every change point.
+
+    Change points are the months of rows (or those given), less side at the start and side - 1 at the end.  Values
+    are counted by zone and month, and the counts summed into a histogram over buckets of the value: one array of
+    months for each zone and bucket.  Prefix sums over months give the counts before and after every change point at
+    once, sums over buckets the one bucket that a median's rank falls into, and only the rows of that bucket are put
+    in order.  Nothing is multiplied by the number of change points but buckets.
+    """
+    counts = rows.filter(F.col("value").isNotNull()).groupBy("location_id", "month", "value").agg(F.count(F.lit(1)).alias("_n"))
+    placed = counts.withColumn("_bucket", S._bucket(F.col("value"), S.bucket_edges(counts, "value")))
+    if months is None:
+        known = rows.agg(F.sort_array(F.collect_set("month")).alias("_m"))  # one row of all months
+    else:
+        known = rows.sparkSession.range(1).select(F.array(*map(F.lit, months)).alias("_m"))
+    hist = placed.groupBy("location_id", "_bucket", "month").agg(F.sum("_n").alias("_n")).groupBy("location_id", "_bucket").agg(F.map_from_entries(F.collect_list(F.struct("month", "_n"))).alias("_by"))
+    hist = hist.crossJoin(F.broadcast(known))
+    upto = F.transform("_m", lambda m: F.coalesce(F.element_at("_by", m), F.lit(0)))
+    sums = F.aggregate(upto, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+    points = F.sequence(F.lit(side + 1), F.size("_m") - side + 1)
+    cells = hist.filter(F.size("_m") >= 2 * side).withColumn("_sums", sums).withColumn("_k", F.explode(points))
+    cells = cells.select("location_id", "_bucket", F.element_at("_m", F.col("_k")).alias("change_point"), F.element_at("_sums", F.col("_k")).alias("_b"), (F.element_at("_sums", -1) - F.element_at("_sums", F.col("_k"))).alias("_a"))
+    both = F.explode(F.array(F.struct(F.lit(False).alias("late"), F.col("_b").alias("n")), F.struct(F.lit(True).alias("late"), F.col("_a").alias("n"))))
+    cells = cells.select("location_id", "change_point", "_bucket", both.alias("x")).select("location_id", "change_point", "_bucket", "x.*")
+    one = Window.partitionBy("location_id", "change_point", "late")  # a row for each bucket, at most MOST_BUCKETS
+    cells = cells.withColumns({"_total": F.sum("n").over(one), "_below": F.sum("n").over(one.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")})
+    ranks = F.explode(F.array_distinct(F.array(F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2))))
+    wanted = cells.filter("_total > 0").withColumn("_rank", ranks).filter((F.col("_rank") > F.col("_below")) & (F.col("_rank") <= F.col("_below") + F.col("n"))).withColumn("_rank", F.col("_rank") - F.col("_below"))
+    mine = F.col("late") == (F.col("month") >= F.col("change_point"))
+    met = placed.join(wanted.select("location_id", "_bucket", "change_point", "late", "_rank", "_total"), ["location_id", "_bucket"]).filter(mine)
+    inside = Window.partitionBy("location_id", "change_point", "late", "_bucket", "_rank").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # the rows of one bucket
+    met = met.withColumn("_upto", F.sum("_n").over(inside)).filter(F.col("_upto") >= F.col("_rank"))
+    found = met.groupBy("location_id", "change_point", "late", "_bucket", "_rank").agg(F.min("value").alias("v"), F.max("_total").alias("t"))
+    half = lambda late, c: F.when(F.col("late") == late, F.col(c))
+    return found.groupBy("location_id", "change_point").agg(
+        F.avg(half(False, "v")).alias("before_median"), F.avg(half(True, "v")).alias("after_median"), F.coalesce(F.max(half(False, "t")), F.lit(0)).alias("n_before"), F.coalesce(F.max(half(True, "t")), F.lit(0)).alias("n_after")
+    )
+
+
 def level_shifts(rows: DataFrame, months: list[str] | None = None, side: int = 2) -> DataFrame:
     """For each zone the month whose before/after ratio of medians, over the zones' lower quartile, is furthest from 1.
 
-    Change points are the months of rows (or those given), less side - 1 at the start and side - 1 at the end.
-    Values are counted by zone and month before they meet the change points; medians are weighted by the counts.
+    A change point counts if two zones at least have a ratio there.
     """
-    counts = rows.groupBy("location_id", "month", "value").agg(F.count(F.lit(1)).alias("_n"))
-    if months is None:
-        known = counts.agg(F.sort_array(F.collect_set("month")).alias("_m"))  # one row
-        candidates = known.select(F.explode(F.slice("_m", side + 1, F.greatest(F.size("_m") - 2 * side + 1, F.lit(0)))).alias("change_point"))
-        spread = counts.crossJoin(F.broadcast(candidates))
-    else:
-        spread = counts.withColumn("change_point", F.explode(F.array(*map(F.lit, months[side : len(months) - side + 1]))))
-    after = F.col("month") >= F.col("change_point")
-    median = lambda when: F.percentile(F.when(when, F.col("value")), F.lit(0.5), F.col("_n"))
-    rows_of = lambda when: F.sum(F.when(when, F.col("_n")).otherwise(0))
-    g = spread.groupBy("location_id", "change_point").agg(median(after).alias("after_median"), median(~after).alias("before_median"), rows_of(~after).alias("n_before"), rows_of(after).alias("n_after"))
-    g = g.withColumn("raw_ratio", F.try_divide("after_median", "before_median"))
-    peer = F.percentile("raw_ratio", F.lit(0.25)).over(Window.partitionBy("change_point"))
-    g = g.withColumn("adjusted_ratio", F.try_divide("raw_ratio", peer))
+    g = shift_medians(rows, months, side).withColumn("raw_ratio", F.try_divide("after_median", "before_median")).filter("raw_ratio is not null")
+    zones = Window.partitionBy("change_point")  # as many rows as zones
+    g = g.withColumns({"peer_ratio": F.percentile("raw_ratio", F.lit(0.25)).over(zones), "_zones": F.count(F.lit(1)).over(zones)}).filter("_zones >= 2 and peer_ratio <> 0")
+    g = g.withColumn("adjusted_ratio", F.col("raw_ratio") / F.col("peer_ratio"))
     best = Window.partitionBy("location_id").orderBy(F.desc(F.abs(F.col("adjusted_ratio") - 1)), "change_point")
-    return g.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k", "after_median", "before_median")
+    return g.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k", "_zones", "after_median", "before_median")
 
 
 def discovered_shifts(rows: DataFrame, least: float = 0.08, least_rows: int = 12) -> DataFrame:
-    """Level shifts of at least least beyond the zones' own, whose bootstrap interval of the raw ratio leaves out 1."""
+    """Level shifts of at least least beyond the zones' own, whose bootstrap interval of the raw ratio leaves out 1.
+
+    lower and upper are that interval over the peer ratio, beside the adjusted ratio that they belong to; p_value is
+    the rank test's of the two sides.
+    """
     large = level_shifts(rows).filter((F.abs(F.col("adjusted_ratio") - 1) >= least) & (F.least("n_before", "n_after") >= least_rows))
     sides = rows.join(large.select("location_id", "change_point"), "location_id").withColumn("treated", F.col("month") >= F.col("change_point"))
-    return large.join(S.bootstrap_median_ratio(sides, ["location_id"], "treated", draws=500), "location_id").filter("lower > 1 or upper < 1")
+    tested = S.mann_whitney(sides, ["location_id"], "treated", least=least_rows).select("location_id", S.two_sided(F.col("z")).alias("p_value"))
+    sure = large.join(S.bootstrap_median_ratio(sides, ["location_id"], "treated", draws=500), "location_id").filter("lower > 1 or upper < 1")
+    adjusted = {c: F.try_divide(c, "peer_ratio") for c in ("lower", "upper")}
+    return sure.withColumns(adjusted).join(tested, "location_id")
 
 
 def interaction(rows: DataFrame, by: list[str], first: Column, second: Column, least: int = 8) -> DataFrame:
@@ -198,8 +233,8 @@ def wet_strengths(rows: DataFrame, wet: str, pattern_id: str, least: int = 8) ->
 
 
 def tracked(strengths: DataFrame, recent: int = 2, band: float = 0.15) -> DataFrame:
-    """``evolution`` with the trend of the strengths over the windows."""
-    return evolution(strengths, recent, band).join(S.trend(strengths, ["pattern_id"], "window", "strength").select("pattern_id", "rho", "p_value", "direction"), "pattern_id", "left")
+    """``evolution``, whose trend of the strengths over the windows is one of its columns."""
+    return evolution(strengths, recent, band)
 
 
 #: Kinds that describe the data and are not counted as discoveries, and the order in which kinds are listed.
@@ -219,8 +254,9 @@ def discover(rows: DataFrame, months: DataFrame, fdr: float = 0.05, lift: float
     hour = lambda h: F.format_string("%02d", h.cast("int"))
     ident = F.concat(F.lit("ST-"), "location_id", F.lit("-"), F.col("weekday_tested").cast("string"), F.lit("-"), hour(F.element_at("hours", 1)), hour(F.element_at("hours", -1) + 1))
     parts = [runs.select(ident.alias("pattern_id"), F.lit("spatiotemporal").alias("kind"), "location_id", F.col("weekday_tested").cast("int").alias("weekday"), F.col("hours").cast("array<int>").alias("hours"), F.col("lift").alias("effect"), C.confidence_from_p(F.col("_p")).alias("confidence"))]
-    row = lambda t, prefix, kind, effect, confidence: t.select(F.concat(F.lit(prefix), "location_id").alias("pattern_id"), F.lit(kind).alias("kind"), "location_id", none("int").alias("weekday"), none("array<int>").alias("hours"), effect.alias("effect"), confidence.alias("confidence"))
-    parts.append(row(discovered_shifts(months), "LVL-", "level_shift", F.col("adjusted_ratio"), F.lit(0.95)))
+    row = lambda t, prefix, kind, effect, confidence, suffix=F.lit(""): t.select(F.concat(F.lit(prefix), "location_id", suffix).alias("pattern_id"), F.lit(kind).alias("kind"), "location_id", none("int").alias("weekday"), none("array<int>").alias("hours"), effect.alias("effect"), confidence.alias("confidence"))
+    shifts = discovered_shifts(months)
+    parts.append(row(shifts, "LVL-", "level_shift", F.col("adjusted_ratio"), C.confidence_from_p(F.col("p_value")), F.concat(F.lit("-"), "change_point")))
     parts.append(row(rain_effects(rows, "wet").filter("kept and range = 'all'"), "CND-", "conditional", F.col("slope"), C.confidence_from_p(F.col("p_value"))))
     parts.append(row(profile_patterns(rows, "hour"), "PRF-hour-", "hourly_profile", F.col("ratio"), F.col("confidence")))
     parts.append(row(profile_patterns(rows, "weekday"), "PRF-weekday-", "weekly_profile", F.col("ratio"), F.col("confidence")))
@@ -233,19 +269,27 @@ def discover(rows: DataFrame, months: DataFrame, fdr: float = 0.05, lift: float
 
 
 def evolution(strengths: DataFrame, recent: int = 2, band: float = 0.15, least: int = 3) -> DataFrame:
-    """Status of each pattern from its windows (pattern_id, window, strength above 1 means present)."""
-    latest = Window.partitionBy("pattern_id").orderBy(F.desc("window"))
-    rows = strengths.filter("strength is not null").withColumn("_k", F.row_number().over(latest))
-    past, now = F.avg(F.when(F.col("_k") > recent, F.col("strength"))), F.avg(F.when(F.col("_k") <= recent, F.col("strength")))
-    g = rows.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("windows"), past.alias("historical"), now.alias("recent"))
-    change = F.try_divide(F.col("recent") - F.col("historical"), F.abs("historical"))
+    """Status of each pattern from its windows (pattern_id, window, strength: null if it could not be measured).
+
+    The last recent windows, by place, are set against all earlier ones, by medians.  In order: fewer than least
+    measured windows are insufficient_history; earlier ones only, disappeared; recent ones only, new; two windows or
+    more on either side of 1, conflicting; a significant trend in the direction of the change, strengthening or
+    weakening; else stable, with ``within_band`` for a change of at most band.
+    """
+    last = Window.partitionBy("pattern_id").orderBy(F.desc("window"))  # the windows of one pattern
+    rows = strengths.withColumn("_late", F.row_number().over(last) <= recent)
+    middle = lambda late: F.median(F.when(F.col("_late") == late, F.col("strength")))
+    side = lambda c: F.count_if(c)
+    g = rows.groupBy("pattern_id").agg(F.count("strength").alias("windows"), middle(False).alias("historical"), middle(True).alias("recent"), side(F.col("strength") > 1).alias("_above"), side(F.col("strength") < 1).alias("_below"))
+    t = S.trend(strengths, ["pattern_id"], "window", "strength").select("pattern_id", "rho", "p_value", "direction")
+    g = g.join(t, "pattern_id", "left").withColumn("change", F.coalesce(F.try_divide(F.col("recent") - F.col("historical"), F.abs("historical")), F.lit(0.0)))
     status = (
         F.when(F.col("windows") < least, "insufficient_history")
-        .when(F.col("historical").isNull() | ((F.col("historical") <= 1) & (F.col("recent") > 1)), "new")
-        .when((F.col("historical") > 1) & (F.col("recent") < 1 - band), "conflicting")
-        .when((F.col("historical") > 1) & (F.col("recent") <= 1), "disappeared")
-        .when(change > band, "strengthening")
-        .when(change < -band, "weakening")
+        .when(F.col("recent").isNull(), "disappeared")
+        .when(F.col("historical").isNull(), "new")
+        .when(F.least("_above", "_below") >= 2, "conflicting")
+        .when((F.col("direction") == "up") & (F.col("change") > 0), "strengthening")
+        .when((F.col("direction") == "down") & (F.col("change") < 0), "weakening")
         .otherwise("stable")
     )
-    return g.withColumn("status", status)
+    return g.withColumns({"status": status, "within_band": F.abs("change") <= band}).drop("_above", "_below")

@@ -66,14 +66,15 @@ def slope(rows: DataFrame, by: list[str], x: str, y: str, least: int = 30) -> Da
     known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     g = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"))
     left = F.greatest(F.lit(0.0), F.col("_syy") - F.col("slope") * F.col("slope") * F.col("_sxx"))
-    return g.filter((F.col("n") >= least) & (F.col("_sxx") > 0)).withColumn("stderr", F.sqrt(left / (F.col("n") - 2) / F.col("_sxx"))).drop("_sxx", "_syy")
+    return g.filter((F.col("n") >= least) & (F.col("_sxx") > 0)).withColumn("stderr", F.sqrt(F.try_divide(F.try_divide(left, F.col("n") - 2), F.col("_sxx")))).drop("_sxx", "_syy")
 
 
 def slope_test(slopes: DataFrame, level: float = 0.95) -> DataFrame:
     """``slope`` results with a t interval and p value; one row for each group, a small table."""
     degrees = (F.col("n") - 2).cast("double")
     width = t_upper_quantile(F.lit((1 + level) / 2), degrees) * F.col("stderr")
-    p = F.when(F.col("stderr") > 0, t_sf_two_sided(F.col("slope") / F.col("stderr"), degrees)).otherwise(F.when(F.col("slope") != 0, 0.0).otherwise(1.0))
+    # An exact line has no error: the quotient, which Spark evaluates for every row, is null there.
+    p = F.when(F.col("stderr") > 0, t_sf_two_sided(F.coalesce(F.try_divide("slope", "stderr"), F.lit(0.0)), degrees)).otherwise(F.when(F.col("slope") != 0, 0.0).otherwise(1.0))
     return slopes.withColumns({"lower": F.col("slope") - width, "upper": F.col("slope") + width, "p_value": p})
 
 
@@ -86,8 +87,8 @@ def trend(rows: DataFrame, by: list[str], x: str, y: str, least: int = 4, level:
     g = spearman(known, by, x, y)
     flat = known.groupBy(*by).agg((F.count_distinct(y) <= 1).alias("_flat"))
     rho, degrees = F.col("rho"), (F.col("n") - 2).cast("double")
-    t = rho * F.sqrt(degrees / F.greatest(F.lit(1e-300), 1 - rho * rho))
-    p = F.when(F.abs(rho) >= 1 - 1e-12, 0.0).otherwise(t_sf_two_sided(t, degrees))
+    t = F.coalesce(rho * F.sqrt(F.greatest(degrees, F.lit(0.0)) / F.greatest(F.lit(1e-300), 1 - rho * rho)), F.lit(0.0))
+    p = F.when(F.abs(rho) >= 1 - 1e-12, 0.0).otherwise(t_sf_two_sided(t, F.greatest(degrees, F.lit(1.0))))
     tested = F.col("n") >= least
     out = g.alias("g").join(flat.alias("f"), _same(by, "g", "f")).select("g.*", "f._flat").withColumn("tested", tested)
     out = out.withColumns({"rho": F.when(tested, F.when(F.col("_flat"), 0.0).otherwise(rho)), "p_value": F.when(tested, F.when(F.col("_flat"), 1.0).otherwise(p))})
@@ -97,26 +98,33 @@ def trend(rows: DataFrame, by: list[str], x: str, y: str, least: int = 4, level:
 
 def kruskal_test(tests: DataFrame) -> DataFrame:
     """``kruskal_wallis`` results with their p value."""
-    return tests.withColumn("p_value", chi_square_sf(F.col("h"), F.col("degrees").cast("double")))
+    return tests.withColumn("p_value", F.when(F.col("h").isNotNull(), chi_square_sf(F.coalesce("h", F.lit(0.0)), F.greatest(F.col("degrees"), F.lit(1)).cast("double"))))
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Rank correlation of each group; null where x or y is constant."""
     rx, _ = average_rank(by, x)
     ry, _ = average_rank(by, y)
-    return rows.withColumns({"_x": rx, "_y": ry}).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
+    g = rows.withColumns({"_x": rx, "_y": ry}).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_x", "_y").alias("_c"), F.var_pop("_x").alias("_vx"), F.var_pop("_y").alias("_vy"))
+    return g.withColumn("rho", F.try_divide(F.col("_c"), F.sqrt(F.col("_vx")) * F.sqrt(F.col("_vy")))).drop("_c", "_vx", "_vy")
 
 
 def kruskal_wallis(rows: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
-    """H with tie correction and its degrees of freedom."""
+    """H with tie correction and its degrees of freedom; h is null where all values tie."""
     rank, tie = average_rank(by, value)
     ranked = rows.filter(F.col(value).isNotNull()).withColumns({"_r": rank, "_t": tie.cast("double")})
     g = ranked.groupBy(*by, group).agg(F.sum("_r").alias("_s"), F.count(F.lit(1)).alias("_n"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_c"))
     t = g.groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("_q"), F.sum("_n").cast("double").alias("n"), F.sum("_c").alias("_c"), (F.count(F.lit(1)) - 1).alias("degrees"))
     n = F.col("n")
-    h = (12 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)) / (1 - F.try_divide(F.col("_c"), n * n * n - n))
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1), 1 - F.try_divide(F.col("_c"), n * n * n - n))
     return t.withColumn("h", h).drop("_q", "_c")
 
 
+def degenerate(edges: Column, bins: int) -> Column:
+    """Inner quantiles of which more than one is repeated (or none are known): too few values to bin; one tie may be chance."""
+    return F.coalesce(F.size(F.array_distinct(edges)) < bins - 2, F.lit(True))
+
+
 def psi(reference: DataFrame, recent: DataFrame, value: str, bins: int = 10, least: int = 30, floor: float = 1e-6) -> DataFrame:
     """Population stability index over the reference's quantile bins: one row (psi: null if too thin or degenerate)."""
     shares = [k / bins for k in range(1, bins)]
@@ -128,9 +136,9 @@ def psi(reference: DataFrame, recent: DataFrame, value: str, bins: int = 10, lea
     grid = reference.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     full = grid.join(counts, "bin", "left").na.fill(0)
     total = full.withColumns({"n": F.sum("a").over(Window.partitionBy()), "m": F.sum("b").over(Window.partitionBy())})
-    p, q = F.greatest(F.col("a") / F.col("n"), F.lit(floor)), F.greatest(F.col("b") / F.col("m"), F.lit(floor))
+    p, q = F.greatest(F.try_divide("a", "n"), F.lit(floor)), F.greatest(F.try_divide("b", "m"), F.lit(floor))
     out = total.agg(F.sum((q - p) * F.log(q / p)).alias("psi"), F.max("n").alias("reference_rows"), F.max("m").alias("recent_rows"))
-    flat = edges.select((F.size(F.array_distinct("edges")) < bins - 1).alias("flat"))
+    flat = edges.select(degenerate(F.col("edges"), bins).alias("flat"))
     thin = (F.col("reference_rows") < least) | (F.col("recent_rows") < least) | F.col("flat")
     return out.crossJoin(F.broadcast(flat)).withColumn("psi", F.when(~thin, F.col("psi"))).drop("flat")
 
@@ -145,9 +153,9 @@ def psi_windows(reference: DataFrame, rows: DataFrame, value: str, window: str,
     grid = rows.select(window).distinct().crossJoin(F.broadcast(rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))))
     full = grid.join(F.broadcast(base), "bin", "left").join(count(rows, window), [window, "bin"], "left").na.fill(0, ["a", "c"])
     total = full.withColumns({"n": F.sum("a").over(Window.partitionBy(window)), "m": F.sum("c").over(Window.partitionBy(window))})
-    p, q = F.greatest(F.col("a") / F.col("n"), F.lit(floor)), F.greatest(F.try_divide("c", "m"), F.lit(floor))
+    p, q = F.greatest(F.try_divide("a", "n"), F.lit(floor)), F.greatest(F.try_divide("c", "m"), F.lit(floor))
     out = total.groupBy(window).agg(F.sum((q - p) * F.log(q / p)).alias("psi"), F.max("n").alias("_n"), F.max("m").alias("rows"))
-    flat = found.select((F.size(F.array_distinct("edges")) < bins - 1).alias("_flat"))
+    flat = found.select(degenerate(F.col("edges"), bins).alias("_flat"))
     thin = (F.col("_n") < least) | (F.col("rows") < least) | F.col("_flat")
     return out.crossJoin(F.broadcast(flat)).withColumn("psi", F.when(~thin, F.col("psi"))).drop("_n", "_flat")
 
@@ -156,7 +164,8 @@ def psi_status(psi_: Column, drifted: float = 0.25, minor: float = 0.1) -> Colum
     return F.when(psi_.isNull(), "insufficient_data").when(psi_ >= drifted, "drifted").when(psi_ >= minor, "minor").otherwise("stable")
 
 
-BUCKET_ROWS, MOST_BUCKETS = 2000, 1024
+#: Rows that a task may order in one bucket, and buckets at most (more rows make larger buckets).
+BUCKET_ROWS, MOST_BUCKETS = 20_000, 1024
 
 
 def running_totals(counts: DataFrame, by: list[str], value: str, parts: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -164,12 +173,9 @@ def running_totals(counts: DataFrame, by: list[str], value: str, parts: list[str
 
     Values are bucketed by range, windows run inside buckets, and the totals of lower buckets are added: no
     group passes through one task.  Returns counts with _bucket, upto_<part> and all_<part>, and the buckets:
-    by, _bucket, below_<part> and size_<part>.  Two small jobs run at once, for the edges of the buckets.
+    by, _bucket, below_<part> and size_<part>.  One job runs at once, for the edges of the buckets.
     """
-    n = min(MOST_BUCKETS, counts.count() // BUCKET_ROWS + 1)
-    shares = [k / n for k in range(1, n)]
-    edges = (counts.agg(F.percentile_approx(value, shares, 100 * n).alias("e")).first()["e"] or []) if shares else []
-    placed = counts.withColumn("_bucket", _bucket(F.col(value), sorted(set(edges))))
+    placed = counts.withColumn("_bucket", _bucket(F.col(value), bucket_edges(counts, value)))
     sizes = placed.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"size_{c}") for c in parts])
     lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most MOST_BUCKETS rows
     every = Window.partitionBy(*by)
@@ -181,9 +187,41 @@ def running_totals(counts: DataFrame, by: list[str], value: str, parts: list[str
     return out.drop(*[f"below_{c}" for c in parts]), buckets
 
 
+def bucket_edges(counts: DataFrame, value: str) -> list:
+    """Sorted edges that divide the rows of counts into buckets of about BUCKET_ROWS rows, at most MOST_BUCKETS of them."""
+    grid = [k / MOST_BUCKETS for k in range(1, MOST_BUCKETS)]
+    found = counts.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, grid, 10 * MOST_BUCKETS).alias("e")).first()
+    n = min(MOST_BUCKETS, found["n"] // BUCKET_ROWS + 1)
+    return sorted({found["e"][MOST_BUCKETS * k // n - 1] for k in range(1, n)}) if found["e"] else []
+
+
 def _bucket(value: Column, edges: list) -> Column:
-    """How many of the sorted edges are at or below value."""
-    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= value)).cast("long") if edges else F.lit(0).cast("long")
+    """How many of the sorted edges are at or below value: by parts of 32 edges first, then inside one."""
+    if not edges:
+        return F.lit(0).cast("long")
+    below = lambda part: F.size(F.filter(part, lambda e: e <= value))
+    if len(edges) <= 32:
+        return below(F.array(*map(F.lit, edges))).cast("long")
+    parts = [edges[k : k + 32] for k in range(0, len(edges), 32)]
+    part = F.greatest(below(F.array(*[F.lit(p[0]) for p in parts])) - 1, F.lit(0))
+    return (part * 32 + below(F.element_at(F.array(*[F.array(*map(F.lit, p)) for p in parts]), part + 1))).cast("long")
+
+
+def counted_median(counts: DataFrame, by: list[str], value: str, n: str, name: str = "median") -> DataFrame:
+    """(by, name, rows): exact median of each group of counts (by, value, n); a value may stand in several rows.
+
+    The middle ranks are looked up in running totals by bucket, so no group passes through one task.  Groups of few
+    distinct values need no buckets: there one weighted percentile holds a bucket's worth of rows.
+    """
+    most = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c")).first()["c"] or 0
+    if most <= BUCKET_ROWS:
+        return counts.groupBy(*by).agg(F.percentile(value, F.lit(0.5), F.col(n)).alias(name), F.sum(n).alias("rows"))
+    one = counts.groupBy(*by, value).agg(F.sum(n).alias("_n"))
+    ranked, _ = running_totals(one, by, value, ["_n"])
+    total = F.col("all__n")
+    pick = lambda rank: F.min(F.when(F.col("upto__n") >= rank, F.col(value)))
+    middle = (pick(F.floor((total + 1) / 2)) + pick(F.floor((total + 2) / 2))) / 2
+    return ranked.groupBy(*by).agg(middle.alias(name), F.max("all__n").alias("rows"))
 
 
 def _same(names: list[str], a: str, b: str) -> Column:

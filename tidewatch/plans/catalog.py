@@ -72,7 +72,7 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GROUPS_SQL = f"""{OBS_SQL},
 g AS (SELECT location_id, metric, event_time, count(*) AS members, count(DISTINCT source_id) AS sources, min(value) AS lo, max(value) AS hi,
-  arg_min(observation_id, (received_time, source_time, observation_id)) AS representative_id,
+  arg_min(observation_id, (received_time, observation_id)) AS representative_id,
   coalesce(max(value) - min(value) > greatest(0.5, 0.05 * max(abs(value))), false) AS dissent FROM obs GROUP BY ALL),
 k AS (SELECT *, CASE WHEN members = 1 THEN 'unified' WHEN dissent THEN 'conflicted' ELSE 'duplicate' END AS placement FROM g)"""
 _PLACED_SQL = f"""{_GROUPS_SQL},
@@ -283,11 +283,15 @@ def _split(spark, sf):
     return x.groupBy(F.coalesce("segment", F.lit("gap")).alias("segment")).agg(F.count(F.lit(1)).alias("rows"), F.min(micros("event_time")).alias("first_s"), F.max(micros("event_time")).alias("last_s"))
 
 
-@query("leakage_probe", "SELECT CAST(NULL AS VARCHAR) AS location_id, CAST(NULL AS VARCHAR) AS feature, CAST(0 AS BIGINT) AS event_s WHERE false")
+@query("leakage_probe", f"""WITH {HOURLY_SQL}, times AS (SELECT event_time, row_number() OVER (ORDER BY event_time) - 1 AS k, greatest(1, count(*) OVER () // 24) AS step FROM (SELECT DISTINCT event_time FROM hourly WHERE event_time >= (SELECT min(event_time) FROM hourly) + INTERVAL 24 HOUR)),
+probe AS (SELECT event_time AS t FROM times WHERE k % step = 0 AND k < step * 24), nx AS (SELECT *, lead(event_time) OVER (PARTITION BY location_id ORDER BY event_time) AS next_time FROM hourly)
+SELECT location_id, 'next_value' AS feature, 'future_event' AS kind, CAST(epoch(t) AS BIGINT) AS event_s FROM nx JOIN probe ON event_time = t WHERE next_time <= t + INTERVAL 24 HOUR""")
 def _leakage(spark, sf):
+    """Four honest features, which the probe leaves alone, and a planted one that reads the next value, which it finds."""
     series = hourly(spark, sf)
-    found = features.leakage_probe(series, _probed, features.probe_instants(series, 24), _PROBED)
-    return found.select("location_id", "feature", micros("event_time").alias("event_s"))
+    peeking = lambda x: _probed(x).withColumn("next_value", F.lead("value").over(Window.partitionBy("location_id").orderBy("event_time")))  # noqa: E731  the probe's stretch of one zone
+    found = features.leakage_probe(series, peeking, features.probe_instants(series, 24), [*_PROBED, "next_value"])
+    return found.select("location_id", "feature", "kind", micros("event_time").alias("event_s"))
 
 
 _PROBED = ["lag_1h", "lag_24h", "mean_3h", "mean_24h"]
@@ -609,7 +613,7 @@ def _performance(spark, sf):
 
 @query("evolution_strength", """WITH m AS (SELECT 'Z' || (l_suppkey % 4) AS pattern_id, strftime(l_shipdate, '%Y') AS year, median(CAST(l_extendedprice AS DOUBLE)) / 30000 AS strength FROM lineitem GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY year DESC) AS k FROM m)
-SELECT pattern_id, count(*) AS windows, round(avg(strength) FILTER (k > 2), 5) AS historical, round(avg(strength) FILTER (k <= 2), 5) AS recent FROM k GROUP BY 1""")
+SELECT pattern_id, count(*) AS windows, round(median(strength) FILTER (k > 2), 5) AS historical, round(median(strength) FILTER (k <= 2), 5) AS recent FROM k GROUP BY 1""")
 def _evolution(spark, sf):
     li = table(spark, sf, "lineitem")
     m = li.groupBy(F.concat(F.lit("Z"), (F.col("l_suppkey") % 4).cast("string")).alias("pattern_id"), F.date_format("l_shipdate", "yyyy").alias("window")).agg((F.median(F.col("l_extendedprice").cast("double")) / 30000).alias("strength"))

@@ -21,7 +21,7 @@ o6 AS (SELECT location_id, event_time, metric, CASE n % 3 WHEN 0 THEN 'vehicles/
 
 
 @query("six_part_keys", f"""WITH {_KEYED_SQL}, g AS (SELECT location_id, event_time, metric, unit, duration_minutes, aggregation_level, count(*) AS members,
-  arg_min(observation_id, (received_time, source_time, observation_id)) AS representative_id, coalesce(max(value) - min(value) > greatest(0.5, 0.05 * max(abs(value))), false) AS dissent FROM o6 GROUP BY ALL)
+  arg_min(observation_id, (received_time, observation_id)) AS representative_id, coalesce(max(value) - min(value) > greatest(0.5, 0.05 * max(abs(value))), false) AS dissent FROM o6 GROUP BY ALL)
 SELECT location_id, CAST(epoch(event_time) AS BIGINT) AS event_s, metric, unit, duration_minutes, aggregation_level, members, representative_id, CASE WHEN members = 1 THEN 'unified' WHEN dissent THEN 'conflicted' ELSE 'duplicate' END AS placement FROM g""")
 def _six_part(spark, sf):
     n = F.expr("cast(substr(observation_id, 5) as bigint)")
@@ -230,6 +230,31 @@ def _inputs(spark, sf):
     return found.select("location_id", micros("sample_time").alias("sample_s"), "source_id", "observations", r("share", 6).alias("share"), micros("newest").alias("newest_s"))
 
 
+_CITY_SQL = f"""{OBS_SQL}, s AS (SELECT DISTINCT location_id, event_time AS t FROM obs WHERE metric = 'view' AND hour(event_time) = 6),
+reach(feature, metric, first, last, place) AS (VALUES ('roll_mean_24h', 'view', 24, 0, NULL), ('city_click_6h', 'click', 6, 0, 'ZONE-D'), ('lag_700h', 'view', 700, 700, NULL)),
+asked AS (SELECT location_id, t, feature, metric, first, last, coalesce(place, location_id) AS place FROM s, reach),
+hit AS (SELECT a.*, o.observation_id, o.source_id, o.event_time FROM asked a JOIN obs o ON o.location_id = a.place AND o.metric = a.metric AND o.value IS NOT NULL AND (epoch(a.t) - epoch(o.event_time)) / 3600 BETWEEN a.last AND a.first)"""
+_CITY_REACH = [("roll_mean_24h", "view", 24, 0), ("city_click_6h", "click", 6, 0, "ZONE-D"), ("lag_700h", "view", 700, 700)]
+
+
+def _city(spark, sf, make) -> DataFrame:
+    obs = observations(spark, sf)
+    samples = obs.filter((F.col("metric") == "view") & (F.hour("event_time") == 6)).select("location_id", F.col("event_time").alias("sample_time"))
+    return make(obs, samples, _CITY_REACH)
+
+
+@query("covariate_sources", f"""WITH {_CITY_SQL}, g AS (SELECT location_id, t, source_id, count(DISTINCT observation_id) AS observations, max(event_time) AS newest, min(event_time) AS oldest FROM hit GROUP BY ALL)
+SELECT location_id, CAST(epoch(t) AS BIGINT) AS sample_s, source_id, observations, round(observations / sum(observations) OVER (PARTITION BY location_id, t), 6) AS share, CAST(epoch(newest) AS BIGINT) AS newest_s, CAST(epoch(oldest) AS BIGINT) AS oldest_s FROM g""")
+def _covariate_sources(spark, sf):
+    """Sources of predictions that also read the clicks of another place."""
+    return _city(spark, sf, output.attributed).select("location_id", micros("sample_time").alias("sample_s"), "source_id", "observations", r("share", 6).alias("share"), micros("newest").alias("newest_s"), micros("oldest").alias("oldest_s"))
+
+
+@query("missing_inputs", f"WITH {_CITY_SQL} SELECT location_id, CAST(epoch(t) AS BIGINT) AS sample_s, string_agg(feature, ',' ORDER BY feature) AS features FROM asked a WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.location_id = a.location_id AND h.t = a.t AND h.feature = a.feature) GROUP BY ALL")
+def _missing_inputs(spark, sf):
+    return _city(spark, sf, output.missing_inputs).select("location_id", micros("sample_time").alias("sample_s"), F.array_join("features", ",").alias("features"))
+
+
 @query("overview_counters", f"WITH {OBS_SQL} SELECT count(*) AS observations, (SELECT count(DISTINCT source_id) FROM obs) AS sources, CAST(NULL AS BIGINT) AS models, (SELECT count(*) FROM obs WHERE value > 480) AS high FROM obs")
 def _overview(spark, sf):
     obs = observations(spark, sf)
@@ -285,8 +310,8 @@ def _evaluations(spark, sf):
 e AS (SELECT quantile_cont(predicted, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges, count(*) AS n0 FROM f WHERE w < 6), c AS (SELECT w, len(list_filter(edges, lambda x: x <= predicted)) AS bin FROM f, e WHERE w < 6), a AS (SELECT bin, count(*) / (SELECT n0 FROM e) AS p FROM c GROUP BY 1),
 m AS (SELECT w, count(*) AS n, avg(abs(predicted - actual)) AS mae FROM f WHERE w < 6 GROUP BY 1), q AS (SELECT w, bin, count(*) AS k FROM c GROUP BY ALL),
 x AS (SELECT m.w, greatest(coalesce(a.p, 0), 1e-6) AS p, greatest(coalesce(q.k, 0) / m.n, 1e-6) AS q FROM m CROSS JOIN (SELECT unnest(range(10)) AS bin) g LEFT JOIN a USING (bin) LEFT JOIN q ON q.w = m.w AND q.bin = g.bin),
-s AS (SELECT w, sum((q - p) * ln(q / p)) AS psi FROM x GROUP BY w), j AS (SELECT s.w, psi, mae / avg(mae) OVER () AS ratio, mae FROM s JOIN m USING (w) WHERE n >= 50)
-SELECT count(*) AS windows, round(avg(mae), 6) AS reference_error, CASE WHEN count(*) >= 4 THEN round(avg(psi) + 3 * stddev_samp(psi), 6) END AS prediction_psi, CASE WHEN count(*) >= 4 THEN round(greatest(1.0, avg(ratio) + 3 * stddev_samp(ratio)), 6) END AS performance_ratio FROM j""")
+s AS (SELECT w, sum((q - p) * ln(q / p)) AS psi FROM x GROUP BY w), j AS (SELECT s.w, psi, mae / (SELECT avg(abs(predicted - actual)) FROM f WHERE w < 6) AS ratio FROM s JOIN m USING (w) WHERE n >= 50)
+SELECT count(*) AS windows, round((SELECT avg(abs(predicted - actual)) FROM f WHERE w < 6), 6) AS reference_error, CASE WHEN count(*) >= 4 THEN round(avg(psi) + 3 * stddev_samp(psi), 6) END AS prediction_psi, CASE WHEN count(*) >= 4 THEN round(greatest(1.0, avg(ratio) + 3 * stddev_samp(ratio)), 6) END AS performance_ratio FROM j""")
 def _gates(spark, sf):
     fc = forecasts(spark, sf).filter("predicted is not null")
     w = F.floor((C.seconds(F.col("event_time")) - C.seconds(F.lit(_ORIGIN).cast("timestamp"))) / (3 * 86400)).cast("int")
@@ -477,16 +502,58 @@ def _rain_effects(spark, sf):
 
 # read queries
 
+#: Two-sided 5 % points of Student's t for 1, 2, ... degrees of freedom (fixed values).
+_T95 = (
+    12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.131450, 2.119905,
+    2.109816, 2.100922, 2.093024, 2.085963, 2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407, 2.045230, 2.042272, 2.039513, 2.036933,
+)
+
+
+def evolution_sql(recent: int) -> str:
+    """CTEs from st (pattern_id, "window", strength) to ev (pattern_id, windows, h, r, status)."""
+    return f"""ev_w AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY "window" DESC) AS k FROM st),
+ev_m AS (SELECT pattern_id, rank() OVER (PARTITION BY pattern_id ORDER BY "window") AS x, rank() OVER (PARTITION BY pattern_id ORDER BY strength) + (count(*) OVER (PARTITION BY pattern_id, strength) - 1) / 2.0 AS y FROM st WHERE strength IS NOT NULL),
+ev_t AS (SELECT pattern_id, count(*) AS n, CASE WHEN count(DISTINCT y) > 1 THEN corr(x, y) ELSE 0 END AS rho FROM ev_m GROUP BY 1),
+ev_p AS (SELECT pattern_id, rho, n >= 4 AND (abs(rho) >= 1 - 1e-12 OR abs(rho) * sqrt((n - 2) / (1 - rho * rho)) >= CAST({list(_T95)} AS DOUBLE[])[CAST(n - 2 AS INTEGER)]) AS sure FROM ev_t),
+ev_g AS (SELECT pattern_id, count(strength) AS windows, median(strength) FILTER (k > {recent}) AS h, median(strength) FILTER (k <= {recent}) AS r, count(*) FILTER (strength > 1) AS above, count(*) FILTER (strength < 1) AS below FROM ev_w GROUP BY 1),
+ev AS (SELECT pattern_id, windows, h, r, CASE WHEN windows < 3 THEN 'insufficient_history' WHEN r IS NULL THEN 'disappeared' WHEN h IS NULL THEN 'new' WHEN least(above, below) >= 2 THEN 'conflicting'
+  WHEN sure AND rho > 0 AND r > h THEN 'strengthening' WHEN sure AND rho < 0 AND r < h THEN 'weakening' ELSE 'stable' END AS status FROM ev_g LEFT JOIN ev_p USING (pattern_id))"""
+
+
 @query("patterns_by_status", f"""WITH {_MONTH_SQL}, p(pattern_id, zone) AS (VALUES ('LVL-ZONE-A', 'ZONE-A'), ('LVL-ZONE-B', 'ZONE-B'), ('LVL-ZONE-C', 'ZONE-C'), ('LVL-ZONE-D', 'ZONE-D')),
 g AS (SELECT pattern_id, month, median(value) FILTER (location_id = zone) / median(value) FILTER (location_id <> zone) AS s, count(*) FILTER (location_id = zone) AS n1, count(*) FILTER (location_id <> zone) AS n2 FROM m, p GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY month DESC) AS k FROM g WHERE n1 >= 8 AND n2 >= 8 AND s IS NOT NULL), e AS (SELECT pattern_id, count(*) AS windows, avg(s) FILTER (k > 2) AS h, avg(s) FILTER (k <= 2) AS r FROM k GROUP BY 1)
-SELECT pattern_id, windows, round(h, 6) AS historical, round(r, 6) AS recent, CASE WHEN windows < 3 THEN 'insufficient_history' WHEN h IS NULL OR (h <= 1 AND r > 1) THEN 'new' WHEN h > 1 AND r < 0.85 THEN 'conflicting' WHEN h > 1 AND r <= 1 THEN 'disappeared' WHEN (r - h) / abs(h) > 0.15 THEN 'strengthening' WHEN (r - h) / abs(h) < -0.15 THEN 'weakening' ELSE 'stable' END AS status FROM e""")
+st AS (SELECT pattern_id, month AS "window", CASE WHEN n1 >= 8 AND n2 >= 8 THEN s END AS strength FROM g), {evolution_sql(2)}
+SELECT pattern_id, windows, round(h, 6) AS historical, round(r, 6) AS recent, status FROM ev""")
 def _by_status(spark, sf):
     zones = spark.createDataFrame([(f"LVL-ZONE-{z}", f"ZONE-{z}") for z in "ABCD"], "pattern_id string, location_id string")
     e = patterns.evolution(patterns.zone_strengths(_months(spark, sf), zones))
     return output.selected(e, status=None).select("pattern_id", "windows", r("historical", 6).alias("historical"), r("recent", 6).alias("recent"), "status")
 
 
+_SERIES_SQL = """y AS (SELECT l_suppkey % 4 AS zone, CAST(strftime(l_shipdate, '%Y') AS INTEGER) AS y, median(CAST(l_extendedprice AS DOUBLE)) / 30000 AS m FROM lineitem GROUP BY ALL),
+q AS (SELECT *, dense_rank() OVER (ORDER BY y) AS i, y - min(y) OVER () AS d, max(y) OVER () - y AS back FROM y),
+st AS (SELECT kind || '-Z' || zone AS pattern_id, y AS "window", CASE kind WHEN 'grows' THEN 1.1 + m / 100 + d * 0.3 WHEN 'shrinks' THEN 4.0 + m / 100 - d * 0.3 WHEN 'level' THEN 2.0 + m / 100 WHEN 'swings' THEN CASE WHEN d % 2 = 0 THEN 1.5 ELSE 0.6 END + m / 100
+  WHEN 'gone' THEN CASE WHEN back >= 3 THEN 1.5 + m END WHEN 'fresh' THEN CASE WHEN back < 3 THEN 1.5 + m END WHEN 'short' THEN CASE WHEN back % 4 = 0 AND back < 8 THEN m END END AS strength
+  FROM q, (SELECT unnest(['grows', 'shrinks', 'level', 'swings', 'gone', 'fresh', 'short']) AS kind))"""
+
+
+@query("pattern_evolution", f"WITH {_SERIES_SQL}, {evolution_sql(3)} SELECT pattern_id, windows, round(h, 6) AS historical, round(r, 6) AS recent, status FROM ev")
+def _pattern_evolution(spark, sf):
+    """Yearly strengths of each zone under seven courses, one for each status; the last three years are the recent ones."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    y = li.groupBy((F.col("l_suppkey") % 4).alias("zone"), F.year("l_shipdate").alias("y")).agg((F.median(F.col("l_extendedprice").cast("double")) / 30000).alias("m"))
+    ends = y.agg(F.min("y").alias("first"), F.max("y").alias("last"))  # one row
+    q = y.crossJoin(F.broadcast(ends)).withColumns({"d": F.col("y") - F.col("first"), "back": F.col("last") - F.col("y")})
+    m, d, back = F.col("m"), F.col("d"), F.col("back")
+    courses = {
+        "grows": 1.1 + m / 100 + d * 0.3, "shrinks": 4.0 + m / 100 - d * 0.3, "level": 2.0 + m / 100, "swings": F.when(d % 2 == 0, 1.5).otherwise(0.6) + m / 100,
+        "gone": F.when(back >= 3, 1.5 + m), "fresh": F.when(back < 3, 1.5 + m), "short": F.when((back % 4 == 0) & (back < 8), m),
+    }
+    rows = q.select("zone", F.col("y").alias("window"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("strength")) for k, v in courses.items()])).alias("x"))
+    rows = rows.select(F.concat("x.kind", F.lit("-Z"), F.col("zone").cast("string")).alias("pattern_id"), "window", "x.strength")
+    return patterns.evolution(rows, recent=3).select("pattern_id", "windows", r("historical", 6).alias("historical"), r("recent", 6).alias("recent"), "status")
+
+
 @query("anomalies_of_zone", f"WITH {ANOMALY_SQL} SELECT observation_id, metric, round(value, 6) AS value, round(m.med, 6) AS expected FROM a JOIN m USING (location_id, metric, hour) WHERE location_id = 'ZONE-B'")
 def _zone_anomalies(spark, sf):
     a = output.selected(integrity.mad_outliers(local_obs(spark, sf), ("location_id", "metric", "hour")), location_id="ZONE-B")
