@@ -8,6 +8,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .attribution import contributions, spark_trees
+
 
 def baseline(rows: DataFrame, column: str) -> DataFrame:
     """The forecast that a feature column is: lag_1h for the last value, at_168h for the same hour last week."""
@@ -37,6 +39,11 @@ class GradientForecaster:
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
+    def attribution(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, base_value, predicted, feature, contribution): exact additive contributions; a value's and its flag's are one."""
+        inputs = [f"_{k}_{n}" for k in "xm" for n in self.names]
+        return contributions(self._inputs(rows), spark_trees(self.model.stages[-1]), inputs, keys, {c: c[3:] for c in inputs})
+
     def occlusion(self, rows: DataFrame) -> DataFrame:
         """Change of each prediction when one feature is missing: (row columns, feature, contribution)."""
         base = self.predict(rows).withColumnRenamed("predicted", "_whole")

@@ -207,6 +207,22 @@ def _bucket(value: Column, edges: list) -> Column:
     return (part * 32 + below(F.element_at(F.array(*[F.array(*map(F.lit, p)) for p in parts]), part + 1))).cast("long")
 
 
+def counted_quantiles(counts: DataFrame, by: list[str], value: str, n: str, shares: list[float]) -> DataFrame:
+    """(by, quantiles, rows): exact interpolated quantiles of each group of counts (one row for each by and value), in the order of shares.
+
+    As for ``counted_median``: by rank in running totals, or at once where groups have few distinct values.
+    """
+    most = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c")).first()["c"] or 0
+    if most <= BUCKET_ROWS:
+        return counts.groupBy(*by).agg(F.percentile(value, F.array(*map(F.lit, shares)), F.col(n)).alias("quantiles"), F.sum(n).alias("rows"))
+    ranked, _ = running_totals(counts, by, value, [n])
+    at = lambda p: (F.col(f"all_{n}") - 1) * F.lit(p)
+    pick = lambda rank: F.min(F.when(F.col(f"upto_{n}") >= rank + 1, F.col(value)))
+    part = lambda p: F.max(at(p) - F.floor(at(p)))
+    each = [pick(F.floor(at(p))) * (1 - part(p)) + pick(F.ceil(at(p))) * part(p) for p in shares]
+    return ranked.groupBy(*by).agg(F.array(*each).alias("quantiles"), F.max(f"all_{n}").alias("rows"))
+
+
 def counted_median(counts: DataFrame, by: list[str], value: str, n: str, name: str = "median") -> DataFrame:
     """(by, name, rows): exact median of each group of counts (by, value, n); a value may stand in several rows.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import adaptation, evaluation, features, forecast, integrity, monitoring, normalise, output, patterns, statistics
+from ..operators import adaptation, attribution, evaluation, features, forecast, integrity, monitor, monitoring, normalise, output, patterns, statistics
 from ..sources import feeds
 from .catalog import ANOMALY_SQL, FORECAST_SQL, HOURLY_SQL, LOCAL_SQL, OFFSET, forecasts, hourly, local_obs, micros, query, r
 from .observations import OBS_SQL, observations
@@ -306,6 +306,42 @@ def _evaluations(spark, sf):
     return evaluations(spark, sf).select(micros("detected_at").alias("detected_s"), F.array_join("kinds", ",").alias("kinds"), "is_drift", r("magnitude", 4).alias("magnitude"))
 
 
+_SIGNALS_SQL = f"""{FORECAST_SQL}, f AS (SELECT *, CAST(floor((epoch(event_time) - epoch(TIMESTAMP '{_ORIGIN}')) / 259200) AS INTEGER) AS w FROM fc),
+u AS (SELECT w, unnest([{{'s': 'prediction', 'v': predicted}}, {{'s': 'level', 'v': actual}}, {{'s': 'swing', 'v': actual - predicted}}]) AS x FROM f), l AS (SELECT w, x.s AS s, x.v AS v FROM u WHERE x.v IS NOT NULL),
+e AS (SELECT s, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges, count(*) AS n0 FROM l WHERE w < 3 GROUP BY s), b AS (SELECT w, s, v, n0, len(list_filter(edges, lambda x: x <= v)) AS bin FROM l JOIN e USING (s)),
+a AS (SELECT s, bin, count(*) / any_value(n0) AS p FROM b WHERE w < 3 GROUP BY ALL), m AS (SELECT s, w, count(*) AS n, any_value(n0) AS n0 FROM b WHERE w >= 3 GROUP BY ALL), q AS (SELECT s, w, bin, count(*) AS k FROM b WHERE w >= 3 GROUP BY ALL),
+x AS (SELECT m.s, m.w, m.n, m.n0, greatest(coalesce(a.p, 0), 1e-6) AS p, greatest(coalesce(q.k, 0) / m.n, 1e-6) AS q FROM m CROSS JOIN (SELECT unnest(range(10)) AS bin) g LEFT JOIN a ON a.s = m.s AND a.bin = g.bin LEFT JOIN q ON q.s = m.s AND q.w = m.w AND q.bin = g.bin),
+psi AS (SELECT s, w, CASE WHEN any_value(n) >= 30 THEN sum((q - p) * ln(q / p)) END AS psi, any_value(n) AS n, any_value(n0) AS n0 FROM x GROUP BY ALL),
+pts AS (SELECT DISTINCT s, v FROM l), cmp AS (SELECT m.s, m.w, p.v, (SELECT count(*) FROM l WHERE l.s = m.s AND l.w < 3 AND l.v <= p.v) / m.n0 AS fr, (SELECT count(*) FROM l WHERE l.s = m.s AND l.w = m.w AND l.v <= p.v) / m.n AS fw FROM m JOIN pts p ON p.s = m.s AND m.s <> 'prediction'),
+ks AS (SELECT s, w, max(abs(fr - fw)) AS ks FROM cmp GROUP BY ALL), r AS (SELECT w, count(*) AS rows FROM f WHERE w >= 3 GROUP BY 1), mae AS (SELECT w, avg(abs(predicted - actual)) AS mae FROM f WHERE w >= 3 GROUP BY 1),
+base AS (SELECT avg(abs(predicted - actual)) AS e0, count(*) AS n0 FROM f WHERE w < 3),
+sig AS (SELECT w, CASE s WHEN 'prediction' THEN 'prediction' ELSE 'feature' END AS kind, s AS subject, CASE WHEN psi IS NULL THEN 'insufficient_data' WHEN psi >= CASE s WHEN 'prediction' THEN 0.05 ELSE 0.06 END THEN 'drifted' WHEN psi >= CASE s WHEN 'prediction' THEN 0.025 ELSE 0.03 END THEN 'minor' ELSE 'stable' END AS status,
+  psi AS statistic, CASE s WHEN 'prediction' THEN 0.05 ELSE 0.06 END AS threshold, ks.ks, CASE WHEN s <> 'prediction' THEN coalesce((ks.ks >= 0.1) = (psi >= 0.06), false) END AS ks_agrees, n0 AS reference_rows, n AS recent_rows FROM psi LEFT JOIN ks USING (s, w) WHERE w IN (SELECT w FROM r WHERE rows >= 50)
+UNION ALL SELECT w, 'performance', 'mae', CASE WHEN mae / e0 >= 1.02 THEN 'drifted' WHEN mae / e0 >= 1.01 THEN 'minor' ELSE 'stable' END, mae / e0, 1.02, NULL, NULL, n0, rows FROM r JOIN mae USING (w), base WHERE rows >= 50
+UNION ALL SELECT w, 'performance', 'window', 'insufficient_data', NULL, NULL, NULL, NULL, n0, rows FROM r, base WHERE rows < 50)"""
+
+
+def _signals(spark, sf) -> DataFrame:
+    rows = forecasts(spark, sf).withColumns({"level": F.col("actual"), "swing": F.col("actual") - F.col("predicted")})
+    w = F.floor((C.seconds(F.col("event_time")) - C.seconds(F.lit(_ORIGIN).cast("timestamp"))) / (3 * 86400)).cast("int")
+    gates = monitor.Gates(feature_psi=0.06, minor_psi=0.03, prediction_psi=0.05, performance_ratio=1.02)
+    return monitor.signals(rows, ["level", "swing"], w < 3, F.when(w >= 3, w), gates)
+
+
+@query("monitor_signals", f"WITH {_SIGNALS_SQL} SELECT w AS \"window\", kind, subject, status, round(statistic, 6) AS statistic, CAST(threshold AS DOUBLE) AS threshold, round(ks, 6) AS ks, ks_agrees, CAST(reference_rows AS BIGINT) AS reference_rows, CAST(recent_rows AS BIGINT) AS recent_rows FROM sig")
+def _monitor_signals(spark, sf):
+    """Every feature, the prediction and the error of all three-day windows against the first nine days, in one pass."""
+    return _signals(spark, sf).select("window", "kind", "subject", "status", r("statistic", 6).alias("statistic"), "threshold", r("ks", 6).alias("ks"), "ks_agrees", "reference_rows", "recent_rows")
+
+
+@query("monitor_evaluations", f"""WITH {_SIGNALS_SQL} SELECT w AS "window", array_to_string(list_sort(list_distinct(list(kind) FILTER (status = 'drifted'))), ',') AS kinds, count(*) AS signals, round(max(statistic / threshold) FILTER (status = 'drifted'), 5) AS magnitude FROM sig GROUP BY w HAVING count(*) FILTER (status = 'drifted') > 0""")
+def _monitor_evaluations(spark, sf):
+    """Evaluations that fired, with the kinds that drifted and the strongest signal."""
+    at = F.timestamp_seconds(F.col("window").cast("long"))  # the window's number stands for its instant
+    e = monitoring.fired(_signals(spark, sf).withColumns({"stream": F.lit("champion"), "detected_at": at})).filter("is_drift")
+    return e.select(F.unix_seconds("detected_at").cast("int").alias("window"), F.array_join("kinds", ",").alias("kinds"), "signals", r("magnitude", 5).alias("magnitude"))
+
+
 @query("calibrated_gates", f"""WITH {FORECAST_SQL}, f AS (SELECT *, CAST(floor((epoch(event_time) - epoch(TIMESTAMP '{_ORIGIN}')) / 259200) AS INTEGER) AS w FROM fc WHERE predicted IS NOT NULL),
 e AS (SELECT quantile_cont(predicted, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges, count(*) AS n0 FROM f WHERE w < 6), c AS (SELECT w, len(list_filter(edges, lambda x: x <= predicted)) AS bin FROM f, e WHERE w < 6), a AS (SELECT bin, count(*) / (SELECT n0 FROM e) AS p FROM c GROUP BY 1),
 m AS (SELECT w, count(*) AS n, avg(abs(predicted - actual)) AS mae FROM f WHERE w < 6 GROUP BY 1), q AS (SELECT w, bin, count(*) AS k FROM c GROUP BY ALL),
@@ -423,14 +459,37 @@ def _best(spark, sf):
     return monitoring.best_challengers(spark.createDataFrame(rows, "candidate_id string, version string, challenger_mae double, passed boolean"))
 
 
-@query("factor_shares", f"""WITH {FORECAST_SQL}, c AS (SELECT location_id, CAST(epoch(event_time) AS BIGINT) AS s, unnest([{{'f': 'lag', 'v': actual - 250}}, {{'f': 'hour', 'v': hour(event_time) - 12.0}}, {{'f': 'rain', 'v': 3.0}}]) AS x FROM fc),
-g AS (SELECT location_id, s, CASE x.f WHEN 'lag' THEN 'history' WHEN 'hour' THEN 'history' ELSE 'weather' END AS factor, sum(x.v) AS contribution FROM c GROUP BY ALL)
-SELECT location_id, s AS event_s, factor, round(contribution, 6) AS contribution, round(abs(contribution) / sum(abs(contribution)) OVER w, 6) AS share, CAST(row_number() OVER (PARTITION BY location_id, s ORDER BY abs(contribution) DESC, factor) AS INTEGER) AS rank FROM g WINDOW w AS (PARTITION BY location_id, s)""")
+_TREE_SQL = f"""{FORECAST_SQL}, x AS (SELECT location_id, CAST(epoch(event_time) AS BIGINT) AS s, predicted AS lag, hour(event_time) AS h, actual FROM fc WHERE predicted IS NOT NULL AND actual IS NOT NULL), md AS (SELECT median(lag) AS cut FROM x),
+y AS (SELECT x.*, CAST(lag > cut AS INTEGER) AS l, CAST(h > 11 AS INTEGER) AS k FROM x, md), lk AS (SELECT l, k, count(*) AS n, avg(actual) AS m FROM y GROUP BY ALL), ll AS (SELECT l, sum(n) AS n, sum(n * m) / sum(n) AS m FROM lk GROUP BY 1),
+kk AS (SELECT k, sum(ll.n * lk.m) / sum(ll.n) AS m FROM lk JOIN ll USING (l) GROUP BY k), al AS (SELECT avg(actual) AS m FROM y),
+f AS (SELECT location_id, s, lk.m AS predicted, ((ll.m - al.m) + (lk.m - kk.m)) / 2 AS lag, ((kk.m - al.m) + (lk.m - ll.m)) / 2 AS hour FROM y JOIN lk USING (l, k) JOIN ll USING (l) JOIN kk USING (k), al),
+c AS (SELECT location_id, s, predicted, unnest([{{'f': 'history', 'v': lag}}, {{'f': 'calendar', 'v': hour}}]) AS x FROM f)"""
+
+
+@query("factor_shares", f"""WITH {_TREE_SQL} SELECT location_id, s AS event_s, x.f AS factor, round(predicted, 6) AS predicted, round(x.v, 6) AS contribution, round(abs(x.v) / sum(abs(x.v)) OVER w, 6) AS share, CAST(row_number() OVER (w ORDER BY abs(x.v) DESC, x.f) AS INTEGER) AS rank FROM c WINDOW w AS (PARTITION BY location_id, s)""")
 def _factors(spark, sf):
-    parts = F.array(*[F.struct(F.lit(n).alias("feature"), v.cast("double").alias("contribution")) for n, v in (("lag", F.col("actual") - 250), ("hour", F.hour("event_time") - 12.0), ("rain", F.lit(3.0)))])
-    c = forecasts(spark, sf).select("location_id", micros("event_time").alias("event_s"), F.explode(parts).alias("x")).select("location_id", "event_s", "x.*")
-    factors = spark.createDataFrame([("lag", "history"), ("hour", "history"), ("rain", "weather")], "feature string, factor string")
-    return forecast.factor_shares(c, factors, ["location_id", "event_s"]).select("location_id", "event_s", "factor", r("contribution", 6).alias("contribution"), r("share", 6).alias("share"), "rank")
+    """Factors of a tree's forecasts: split by the last value at its median, then by the hour at noon; leaves are means."""
+    x = forecasts(spark, sf).filter("predicted is not null and actual is not null").select("location_id", micros("event_time").alias("event_s"), F.col("predicted").alias("lag"), F.hour("event_time").alias("hour"), "actual")
+    cut = x.agg(F.median("lag").alias("cut")).first()["cut"]
+    found = {(r_["l"], r_["k"]): (r_["m"], r_["n"]) for r_ in x.groupBy((F.col("lag") > cut).alias("l"), (F.col("hour") > 11).alias("k")).agg(F.avg("actual").alias("m"), F.count(F.lit(1)).alias("n")).collect()}  # four leaves
+    leaf = lambda l, k: attribution.Node(*map(float, found.get((l, k), (0.0, 0))))  # noqa: E731, E741
+    half = lambda l: attribution.Node(0.0, leaf(l, False).cover + leaf(l, True).cover, 1, 11.0, leaf(l, False), leaf(l, True))  # noqa: E731, E741
+    tree = attribution.Node(0.0, half(False).cover + half(True).cover, 0, cut, half(False), half(True))
+    c = attribution.contributions(x, [(1.0, tree)], ["lag", "hour"], ["location_id", "event_s"])
+    shares = forecast.factor_shares(c, spark.createDataFrame([("lag", "history"), ("hour", "calendar")], "feature string, factor string"), ["location_id", "event_s", "predicted"])
+    return shares.select("location_id", "event_s", "factor", r("predicted", 6).alias("predicted"), r("contribution", 6).alias("contribution"), r("share", 6).alias("share"), "rank")
+
+
+@query("gbt_factor_shares")
+def _gbt_factors(spark, sf):
+    """Mean share of each factor in the forecasts of boosted trees: exact attribution of every row."""
+    x = forecasts(spark, sf).filter("actual is not null").select("location_id", micros("event_time").alias("event_s"), F.col("predicted").alias("lag"), F.hour("event_time").alias("hour"), F.dayofweek("event_time").alias("weekday"), F.col("actual").alias("target"))
+    model = forecast.GradientForecaster(["lag", "hour", "weekday"], rounds=8, depth=3).fit(x)
+    c = model.attribution(x, ["location_id", "event_s"])
+    shares = forecast.factor_shares(c, spark.createDataFrame([("lag", "history"), ("hour", "calendar"), ("weekday", "calendar")], "feature string, factor string"), ["location_id", "event_s", "predicted", "base_value"])
+    whole = shares.groupBy("location_id", "event_s", "predicted", "base_value").agg(F.sum("contribution").alias("_c"))
+    off = whole.agg(F.max(F.abs(F.col("predicted") - F.col("base_value") - F.col("_c"))).alias("largest_gap"))  # one row
+    return shares.groupBy("factor").agg(F.avg("share").alias("share"), F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(off))
 
 
 # patterns
