@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import attribution, forecast, monitor, output, statistics
+from tidewatch.operators import adaptive, attribution, forecast, monitor, monitoring, output, statistics
 from tidewatch.operators.attribution import Node
 from tidewatch.sources import feeds
 from tidewatch.streaming import replay
@@ -192,3 +192,48 @@ def test_replay_limit_counts_accepted_rows(spark, numbered, tmp_path, limit, row
 def test_replay_refuses_negative_pace(spark, numbered):
     with pytest.raises(Exception, match="negative"):
         drain(replay.replay(spark, numbered, interval=-1.0, start=0.0), numbered + "-out", numbered + "-cp")
+
+
+# ---- adaptive replay -----------------------------------------------------------------------------------------------
+
+
+def shifted_table(spark):
+    """Zone B doubles on 15 January; nine weeks of six-hourly targets."""
+    rng, t0, rows = random.Random(2), dt.datetime(2024, 1, 1), []
+    for k in range(63 * 4):
+        at = t0 + dt.timedelta(hours=6 * k)
+        for z in "AB":
+            rows.append((z, at, at + dt.timedelta(hours=1), 100 * (2.0 if z == "B" and at >= dt.datetime(2024, 1, 15) else 1.0) + rng.gauss(0, 3)))
+    return spark.createDataFrame(rows, "location_id string, sample_time timestamp, target_time timestamp, target double")
+
+
+def replayed(spark, path, table, **kw):
+    windows = (adaptive.TrainingWindow("expanding"), adaptive.TrainingWindow("last_7_days", 7), adaptive.TrainingWindow("last_day", 1))
+    policy = adaptive.Policy(windows=windows, rules=monitoring.PromotionRules(20, 0.03, 0.05, 8), protected=("A", "no slice at all"), drift_ratio=1.5, evaluation_hours=120, least_rows=30)
+    log, model = adaptive.StepLog(spark, path), adaptive.ZoneMeans()
+    champion = {"A": 100.0, "B": 100.0}
+    end = adaptive.run(log, table, dt.datetime(2024, 1, 8), dt.datetime(2024, 2, 12), champion, model, policy, scheduled_days=14, **kw)
+    return log, end
+
+
+def test_adaptive_replay_resumes_from_its_log(spark, tmp_path):
+    table = shifted_table(spark)
+    whole, end = replayed(spark, str(tmp_path / "whole"), table)
+    adaptive_arm, scheduled = end.arms["adaptive"], end.arms["scheduled"]
+    # The shift of the 15th shows in the step that follows; the short window knows the new level and wins.
+    assert adaptive_arm.version == "20240122-last_7_days" and adaptive_arm.retrains == 1 and scheduled.retrains == 2
+    judged = whole.candidates().collect()
+    assert {c.version for c in judged} == {"20240122-expanding", "20240122-last_7_days"} and all(c.passed for c in judged)
+    mae = {(r.arm, r.window): r.mae for r in whole.rows().groupBy("arm", "window").agg(F.avg(F.abs(F.col("predicted") - F.col("target"))).alias("mae")).collect()}
+    assert mae["static", 5] > 40 and mae["adaptive", 5] < 10 and mae["adaptive", 1] == mae["static", 1] > 40
+    # Broken off twice, once in the middle of a step whose rows are written but not its state.
+    path = str(tmp_path / "broken")
+    replayed(spark, path, table, stop_after=1)
+    log, _ = replayed(spark, path, table, stop_after=3)
+    log.save_rows(4, table.limit(1))
+    again, last = replayed(spark, path, table)
+    assert last == end
+    plain_rows = lambda log_: sorted(map(str, log_.rows().select("arm", "window", "version", "location_id", "sample_time", "predicted").collect()))
+    assert plain_rows(again) == plain_rows(whole)
+    done, same = replayed(spark, path, table)  # nothing is left to do
+    assert same == end and plain_rows(done) == plain_rows(whole)

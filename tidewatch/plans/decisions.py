@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import adaptation, attribution, evaluation, features, forecast, integrity, monitor, monitoring, normalise, output, patterns, statistics
+from ..operators import adaptation, adaptive, attribution, evaluation, features, forecast, integrity, monitor, monitoring, normalise, output, patterns, statistics
 from ..sources import feeds
 from .catalog import ANOMALY_SQL, FORECAST_SQL, HOURLY_SQL, LOCAL_SQL, OFFSET, forecasts, hourly, local_obs, micros, query, r
 from .observations import OBS_SQL, observations
@@ -453,10 +453,59 @@ def _arm_summary(spark, sf):
     return adaptation.summarise_arms(s).select("arm", r("mean_mae", 6).alias("mean_mae"), r("sd_mae", 6).alias("sd_mae"), r("mean_rmse", 6).alias("mean_rmse"), "seeds", "rank")
 
 
-@query("best_challengers", "WITH e(candidate_id, version, challenger_mae, passed) AS (VALUES ('c1', 'v2', 9.5, false), ('c1', 'v3', 9.9, true), ('c1', 'v4', 9.9, true), ('c2', 'v5', 8.0, false)) SELECT candidate_id, arg_min(version, (challenger_mae, version)) AS best, arg_min(version, (challenger_mae, version)) FILTER (passed) AS winner FROM e GROUP BY 1")
+#: The adaptive replay: weekly steps, two training windows, three days of evaluation, any gain and any error ratio of 0.97 or more.
+_STEPS, _WINDOWS, _RATIO = ("2024-01-08", "2024-01-15", "2024-01-22"), {"expanding": None, "last_7_days": 7}, 0.97
+
+
+def _adaptive_sql() -> str:
+    """Serving means by step: CTEs sv0, sv1, ... of which each follows from the one before."""
+    parts = [f"{_TABLE_SQL}, sv0 AS (SELECT location_id, avg(target) AS p, 'static' AS version FROM tb WHERE sample_time < TIMESTAMP '{_STEPS[0]}' AND target_time < TIMESTAMP '{_STEPS[0]}' GROUP BY 1)", "ref0 AS (SELECT CAST(NULL AS DOUBLE) AS e)"]
+    for k, day in enumerate(_STEPS):
+        t = f"TIMESTAMP '{day}'"
+        parts.append(f"w{k} AS (SELECT {k} AS \"window\", version, location_id, target, p FROM tb JOIN sv{k} USING (location_id) WHERE sample_time >= {t} AND sample_time < {t} + INTERVAL 7 DAY)")
+        parts.append(f"r{k} AS (SELECT avg(abs(p - target)) AS e FROM tb JOIN sv{k} USING (location_id) WHERE sample_time >= {t} - INTERVAL 7 DAY AND sample_time < {t})")
+        parts.append(f"d{k} AS (SELECT (SELECT e FROM ref{k}) IS NOT NULL AND r{k}.e >= {_RATIO} * (SELECT e FROM ref{k}) AS drifted FROM r{k})")
+        tag = day.replace("-", "")
+        for name, days in _WINDOWS.items():
+            since = "" if days is None else f" AND sample_time >= {t} - INTERVAL {days} DAY"
+            parts.append(f"m{k}_{name} AS (SELECT location_id, avg(target) AS p, '{tag}-{name}' AS version FROM tb WHERE sample_time < {t} AND target_time < {t}{since} GROUP BY 1)")
+        ahead = f"tb WHERE sample_time >= {t} AND sample_time < {t} + INTERVAL 72 HOUR"
+        parts.append(f"c{k} AS (" + " UNION ALL ".join(f"SELECT '{name}' AS \"window\", '{tag}-{name}' AS version, avg(abs(m.p - a.target)) AS mae, avg(abs(s.p - a.target)) AS serving FROM (SELECT * FROM {ahead}) a JOIN m{k}_{name} m USING (location_id) JOIN sv{k} s USING (location_id)" for name in _WINDOWS) + ")")
+        parts.append(f"win{k} AS (SELECT arg_min(version, (mae, version)) AS version FROM c{k} WHERE (SELECT drifted FROM d{k}) AND (serving - mae) / serving >= 0.0)")
+        every = " UNION ALL ".join(f"SELECT * FROM m{k}_{name}" for name in _WINDOWS)
+        parts.append(f"sv{k + 1} AS (SELECT location_id, p, version FROM ({every}) WHERE version = (SELECT version FROM win{k}) UNION ALL SELECT location_id, p, version FROM sv{k} WHERE (SELECT version FROM win{k}) IS NULL)")
+        parts.append(f"ref{k + 1} AS (SELECT CASE WHEN (SELECT version FROM win{k}) IS NOT NULL THEN NULL ELSE coalesce((SELECT e FROM ref{k}), (SELECT e FROM r{k})) END AS e)")
+    return ",\n".join(parts)
+
+
+def _adaptive_log(spark, sf) -> adaptive.StepLog:
+    """The replay, broken off behind its first step and resumed from its log by a second run."""
+    import uuid
+
+    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    t, model = _table(spark, sf), adaptive.ZoneMeans()
+    begin, end = datetime.fromisoformat(_STEPS[0]), datetime.fromisoformat(_STEPS[-1])
+    champion = model.fit(adaptation.training_window(t, begin))
+    policy = adaptive.Policy(windows=tuple(adaptive.TrainingWindow(n, d) for n, d in _WINDOWS.items()), rules=monitoring.PromotionRules(1, 0.0, 1.0, 8), drift_ratio=_RATIO, evaluation_hours=72, least_rows=1)
+    log = adaptive.StepLog(spark, f"{root}/replay-{uuid.uuid4().hex}")
+    for stop in (0, None):
+        adaptive.run(log, t, begin, end, champion, model, policy, stop_after=stop)
+    return log
+
+
+@query("adaptive_arm", f"WITH {_adaptive_sql()}\nSELECT \"window\", version, count(*) AS rows, round(avg(abs(p - target)), 6) AS mae FROM (" + " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(len(_STEPS))) + ") GROUP BY ALL")
+def _adaptive_arm(spark, sf):
+    """Error of the adaptive arm in each step, with the version that it served."""
+    rows = _adaptive_log(spark, sf).rows().filter("arm = 'adaptive'")
+    return rows.groupBy("window", "version").agg(F.count(F.lit(1)).alias("rows"), r(F.avg(F.abs(F.col("predicted") - F.col("target"))), 6).alias("mae"))
+
+
+@query("best_challengers", f"WITH {_adaptive_sql()},\nall_c AS (" + " UNION ALL ".join(f"SELECT 'CAND-{day.replace('-', '')}T000000' AS candidate_id, * FROM c{k} WHERE (SELECT drifted FROM d{k})" for k, day in enumerate(_STEPS)) + ") SELECT candidate_id, arg_min(version, (mae, version)) AS best, arg_min(version, (mae, version)) FILTER ((serving - mae) / serving >= 0.0) AS winner, count(*) AS challengers, round(min(mae), 6) AS least_mae FROM all_c GROUP BY 1")
 def _best(spark, sf):
-    rows = [("c1", "v2", 9.5, False), ("c1", "v3", 9.9, True), ("c1", "v4", 9.9, True), ("c2", "v5", 8.0, False)]
-    return monitoring.best_challengers(spark.createDataFrame(rows, "candidate_id string, version string, challenger_mae double, passed boolean"))
+    """The best challenger of each investigation of the replay, and the best of those that passed every rule."""
+    c = _adaptive_log(spark, sf).candidates()
+    found = monitoring.best_challengers(c).join(c.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("challengers"), r(F.min("challenger_mae"), 6).alias("least_mae")), "candidate_id")
+    return found.select("candidate_id", "best", "winner", "challengers", "least_mae")
 
 
 _TREE_SQL = f"""{FORECAST_SQL}, x AS (SELECT location_id, CAST(epoch(event_time) AS BIGINT) AS s, predicted AS lag, hour(event_time) AS h, actual FROM fc WHERE predicted IS NOT NULL AND actual IS NOT NULL), md AS (SELECT median(lag) AS cut FROM x),
