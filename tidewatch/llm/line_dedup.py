@@ -4,8 +4,8 @@ A line is its sequence of words, A-Z in lower case; blank lines are never touche
 earliest occurrence (by doc_id, then line number) stays.  A line of at least ``MIN_WORDS`` words also
 goes if an earlier such line is within one word edit (insertion, deletion or substitution).
 
-A row is its doc_id and the hash of its text, so rows that share a doc_id are judged each for itself (in the
-order of those hashes).
+A row is its doc_id and, where texts share one, the hash of its text, so rows that share a doc_id are judged each
+for itself (in the order of those hashes).
 
 Deletion-neighbourhood join: a line's variants (itself, and itself without each word) are hashed;
 lines within one edit share a variant, at the same place for a substitution, with the other line whole
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize, mix, positional, text_buffer, word_bounds, word_hashes
+from .common import lower_words, materialize, mix, positional, small_batches, text_buffer, word_bounds, word_hashes
 
 #: One edit leaves at least three quarters of a line of so many words; shorter lines count as repeats only if equal.
 MIN_WORDS = 4
@@ -154,7 +154,7 @@ def _picked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row, line, words = [], [], []
         for k, (text, lines) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            parts = (text or "").split("\n")
+            parts = (_unpacked(text) or "").split("\n")
             row += [k] * len(lines)
             line += lines
             words += [parts[x] for x in lines]
@@ -165,6 +165,34 @@ def _picked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _AT = ("doc_id", "key", "line")
 
 
+def _packed(text: str | None) -> bytes | None:
+    """A text as it is shuffled: its size and its bytes, compressed."""
+    if text is None:
+        return None
+    raw = text.encode()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(text: str | bytes | None) -> str | None:
+    if text is None or isinstance(text, str):
+        return text
+    return pa.decompress(text[8:], int.from_bytes(text[:8], "little"), codec="zstd", asbytes=True).decode()
+
+
+def _pack(docs: DataFrame, at: int) -> DataFrame:
+    """docs with column number at, a text, packed."""
+    name = docs.columns[at]
+    schema = docs.withColumn(name, F.col(name).cast("binary")).schema
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(batch.columns)
+            cols[at] = pa.array(map(_packed, cols[at].to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return docs.mapInArrow(pack, schema)
+
+
 def text_key(text: Column) -> Column:
     """What tells rows of one doc_id apart."""
     return F.xxhash64(text.cast("string"))
@@ -180,7 +208,12 @@ class LineDedup:
 
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+        small_batches(self.spark)
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+        hashed = rows.select("doc_id", text_key(F.col("text")).alias("key")).groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("top"))
+        self.shared = materialize(hashed.filter("low <> top").select(F.col("doc_id").alias("_shared_id")), "lines-shared-ids")
+        self.n_shared = self.shared.count()
+        rows = self._keyed(rows, F.col("doc_id"), F.col("text")).select("doc_id", F.col("_key").alias("key"), "text")
         lines = materialize(rows.mapInArrow(_line_rows, _LINES), "lines")
         place = F.struct(*_AT)
         halves = [F.first(c).alias(c) for c in ("p0", "s0", "p1", "s1")]
@@ -195,14 +228,18 @@ class LineDedup:
 
     def _near(self, rows: DataFrame, first: DataFrame) -> DataFrame:
         """(doc_id, key, line): first occurrences that are one edit from an earlier line."""
-        halves = first.select("a", "at", F.explode(F.array("p0", "s0", "p1", "s1")).alias("half")).filter("half is not null")
-        common = materialize(halves.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("top")).filter("low <> top").select("half"), "lines-halves")
+        halves = first.select("at", F.explode(F.array("p0", "s0", "p1", "s1")).alias("half")).filter("half is not null")
+        # A line has a half at most once, as length and side are part of it: two rows are two lines.
+        common = materialize(halves.groupBy("half").count().filter("count > 1").select("half"), "lines-halves")
         shared = halves.join(common, "half", "left_semi").select("at.*").distinct()
         wanted = materialize(shared.groupBy("doc_id", "key").agg(F.collect_list("line").alias("lines")), "lines-wanted")
-        picked = self._beside(rows, F.col("doc_id"), F.col("key"), wanted, "inner").select("doc_id", "key", "text", "lines").mapInArrow(_picked_rows, "doc_id long, key long, line int, words string")
+        picked = self._beside(rows, F.col("doc_id"), F.col("key"), 2, wanted, "inner").select("doc_id", "key", "text", "lines").mapInArrow(_picked_rows, "doc_id long, key long, line int, words string")
         texts = materialize(picked.dropDuplicates(list(_AT)), "lines-texts")
         variants = materialize(texts.mapInArrow(_variant_rows, _VARIANTS).select("variant", "place", F.struct(*_AT).alias("at")), "lines-variants")
         # The earliest line of a group; a substitution group is (variant, place), a whole line has place -1.
+        # Most variants are one line's alone; the rest of the join is about those that lines share.
+        common = materialize(variants.groupBy("variant").agg(F.min("at").alias("low"), F.max("at").alias("top")).filter("low <> top").select("variant"), "lines-common")
+        variants = materialize(variants.join(common, "variant", "left_semi"), "lines-shared")
         hubs = variants.groupBy("variant", "place").agg(F.min("at").alias("hub"), F.max("at").alias("last"))
         hubs = materialize(hubs.filter("place = -1 or hub <> last"), "lines-hubs")
         left_out = variants.filter("place >= 0")
@@ -214,11 +251,23 @@ class LineDedup:
         both = pairs.join(side.select(F.col("at").alias("later"), F.col("words").alias("x")), "later").join(side.select(F.col("at").alias("earlier"), F.col("words").alias("y")), "earlier")
         return both.select("later.*", "x", "y").mapInArrow(_near_rows, "doc_id long, key long, line int").distinct()
 
+    def _keyed(self, docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+        """docs with _key: the hash of the text where texts share the doc_id (or everywhere, if such ids are too many to broadcast), else 0."""
+        if not self.n_shared:
+            return docs.withColumn("_key", F.lit(0).cast("long"))
+        if self.n_shared > BROADCAST_ROWS:
+            return docs.withColumn("_key", text_key(text))
+        marked = docs.join(F.broadcast(self.shared), doc_id == F.col("_shared_id"), "left")
+        return marked.withColumn("_key", F.when(F.col("_shared_id").isNotNull(), text_key(text)).otherwise(F.lit(0).cast("long"))).drop("_shared_id")
+
     @staticmethod
-    def _beside(docs: DataFrame, doc_id: Column, key: Column, by_doc: DataFrame, how: str) -> DataFrame:
+    def _beside(docs: DataFrame, doc_id: Column, key: Column, text_at: int, by_doc: DataFrame, how: str) -> DataFrame:
         side = by_doc.withColumnsRenamed({"doc_id": "_line_doc", "key": "_line_key"})
         size = by_doc.agg(F.coalesce(F.sum(F.size("lines") + 6), F.lit(0)).alias("n")).first()["n"]
-        side = F.broadcast(side) if size <= BROADCAST_ROWS else side
+        if size <= BROADCAST_ROWS:
+            side = F.broadcast(side)
+        else:
+            docs = _pack(docs, text_at)
         return docs.join(side, (doc_id == F.col("_line_doc")) & (key == F.col("_line_key")), how).drop("_line_doc", "_line_key")
 
     def _cut(self, docs: DataFrame) -> DataFrame:
@@ -227,21 +276,21 @@ class LineDedup:
         text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
         doc_id, text = F.col(f"c{names.index('doc_id')}").cast("long"), F.col(f"c{text_at}")
         side = self.dropped.withColumn("n_dropped", F.size("lines").cast("long"))
-        rows = self._beside(positional(docs), doc_id, text_key(text), side, "left")
+        rows = self._beside(self._keyed(positional(docs), doc_id, text), doc_id, F.col("_key"), text_at, side, "left")
         rows = rows.select(*[f"c{k}" for k in range(len(names))], "n_dropped", "n_near", "lines")
-        schema = rows.drop("lines").schema
-        kept = schema.names
+        schema = positional(docs).withColumns({c: F.lit(None).cast("long") for c in ("n_dropped", "n_near")}).schema
+        kept, text_type = schema.names, pa.string()
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lines = batch.column(len(kept)).to_pylist()
-                texts = batch.column(text_at).to_pylist()
+                texts = [_unpacked(t) for t in batch.column(text_at).to_pylist()]
                 for i, gone in enumerate(lines):
                     if gone and texts[i] is not None:
                         out = set(gone)
                         texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in out)
                 cols = list(batch.columns[: len(kept)])
-                cols[text_at] = pa.array(texts, cols[text_at].type)
+                cols[text_at] = pa.array(texts, text_type)
                 if chars_at is not None:
                     old = cols[chars_at].to_pylist()
                     cols[chars_at] = pa.array([len(t) if gone and t is not None else o for t, gone, o in zip(texts, lines, old, strict=True)], cols[chars_at].type)
