@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import adaptive, attribution, forecast, monitor, monitoring, output, statistics
 from tidewatch.operators.attribution import Node
-from tidewatch.sources import feeds
+from tidewatch.sources import feeds, reports
 from tidewatch.streaming import replay
 
 # ---- monitoring ----------------------------------------------------------------------------------------------------
@@ -237,3 +237,55 @@ def test_adaptive_replay_resumes_from_its_log(spark, tmp_path):
     assert plain_rows(again) == plain_rows(whole)
     done, same = replayed(spark, path, table)  # nothing is left to do
     assert same == end and plain_rows(done) == plain_rows(whole)
+
+
+# ---- model log -----------------------------------------------------------------------------------------------------
+
+
+def test_two_writers_leave_one_champion(spark, tmp_path):
+    path = str(tmp_path / "models")
+    writers = [reports.StoredRegistry(spark, path) for _ in range(2)]
+    writers[0].register("base", rows=5)
+    writers[0].promote("base")
+    for k, w in enumerate(writers):  # the second has not seen what the first wrote
+        w.register(f"v{k}", rows=k)
+    with pytest.raises(ValueError):
+        writers[0].register("v1")
+    # Both promote over the champion that they know of; the file of the change is taken when the second comes.
+    taken = writers[1]._put
+    calls = []
+
+    def late(seq, rows):
+        if not calls:
+            writers[0].promote("v0", expected="base")
+        calls.append(seq)
+        return taken(seq, rows)
+
+    writers[1]._put = late
+    with pytest.raises(reports.Conflict):
+        writers[1].promote("v1", expected="base")
+    assert len(calls) == 1
+    writers[1]._put = taken
+    writers[1].promote("v1")
+    fresh = reports.StoredRegistry(spark, path)
+    assert fresh.champion() == "v1" and sum(r["status"] == "champion" for r in fresh.rows.values()) == 1
+    assert [(r.version, r.depth) for r in fresh.lineage_table("v1").collect()] == [("v1", 0), ("v0", 1), ("base", 2)]
+    assert fresh.rendered("v1").splitlines()[0] == "v1 (champion): rows 1" and "supersedes base (archived): rows 5" in fresh.rendered("v1")
+    assert {r.version: r.status for r in fresh.table().collect()} == {"base": "archived", "v0": "archived", "v1": "champion"}
+
+
+def test_racing_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "models")
+
+    def write(k):
+        r = reports.StoredRegistry(spark, path)
+        r.register(f"m{k}")
+        r.promote(f"m{k}")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(6)))
+    r = reports.StoredRegistry(spark, path)
+    assert len(r.rows) == 6 and r.seq == 12 and sum(x["status"] == "champion" for x in r.rows.values()) == 1
+    assert len(r.lineage(r.champion())) == 6
