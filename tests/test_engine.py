@@ -289,3 +289,60 @@ def test_racing_writers(spark, tmp_path):
     r = reports.StoredRegistry(spark, path)
     assert len(r.rows) == 6 and r.seq == 12 and sum(x["status"] == "champion" for x in r.rows.values()) == 1
     assert len(r.lineage(r.champion())) == 6
+
+
+# ---- event-time streams --------------------------------------------------------------------------------------------
+
+
+def run_files(spark, tmp_path, name, batches, schema, make, out_schema):
+    """Batches of rows as files of a stream, one for each trigger; the rows that come out, in order of their batch."""
+    source = tmp_path / name
+    source.mkdir()
+    out = []
+    stream = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source)))
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / f"{name}-cp")).foreachBatch(lambda df, k: out.extend((k, *r) for r in df.collect())).start()
+    try:
+        for k, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}-{k}"))
+            part = next((tmp_path / f"{name}-{k}").glob("part-*.parquet"))
+            part.rename(source / f"{k:04d}.parquet")
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    return out
+
+
+@pytest.fixture
+def state_store(spark):
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_stream_episodes_equal_the_batch_fold_in_any_order(spark, tmp_path, state_store):
+    from tidewatch.streaming import episodes
+
+    rng = random.Random(1)
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    rows = [(s, day(d), ["prediction"] if rng.random() < 0.6 else [], rng.uniform(1, 3)) for s in ("x", "y") for d in range(12)]
+    schema = "stream string, detected_at timestamp, kinds array<string>, magnitude double"
+    want = {(r.stream, r.episode_id): (r.onset, r.last_seen, r.closed_at, r.events, round(r.peak, 9), r.candidates) for r in monitoring.episodes(spark.createDataFrame(rows, schema), cooldown_days=2).collect()}
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    shuffled.sort(key=lambda r: r[1].day // 4)  # within four days any order
+    cuts = [shuffled[k : k + 5] for k in range(0, len(shuffled), 5)] + [[("z", day(90), [], 0.0)], [("z", day(91), [], 0.0)]]
+    found = run_files(spark, tmp_path, "evaluations", cuts, schema, lambda s: episodes.stream_episodes(s, cooldown_days=2, late="6 days"), None)
+    last = {}
+    for _, stream, ident, onset, seen, closed, n, peak, _, raised in sorted(found, key=lambda r: (r[0], r[4])):
+        last[stream, ident] = (onset, seen, closed, n, round(peak, 9), raised)
+    assert last == want and len(want) >= 4
+
+
+def test_stream_links_duplicates_to_the_first_received(spark, tmp_path, state_store):
+    from tidewatch.streaming import episodes
+
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    row = lambda i, zone, at, got: (i, zone, "m", t(at), t(got))
+    batches = [[row("b", "A", 1, 9), row("c", "B", 1, 2)], [row("a", "A", 1, 3), row("d", "A", 2, 9)], [row("e", "A", 1, 3)], [row("z", "Z", 900, 900)], [row("y", "Z", 901, 901)]]
+    schema = "observation_id string, location_id string, metric string, event_time timestamp, received_time timestamp"
+    found = run_files(spark, tmp_path, "observations", batches, schema, episodes.stream_links, None)
+    assert {r[1]: (r[2], r[4]) for r in found} == {"a": ("a", 3), "b": ("a", 3), "e": ("a", 3), "c": ("c", 1), "d": ("d", 1)}
