@@ -318,6 +318,14 @@ def test_planted_patterns_are_discovered(spark):
     st = patterns.cell_strengths(df.withColumn("month", F.date_format("event_time", "yyyy-MM")), spark.createDataFrame([("ST-B-4-1820", "B", 4, [18, 19])], "pattern_id string, location_id string, weekday int, hours array<int>"))
     t = patterns.tracked(st).first()
     assert t.status == "stable" and t.direction == "flat" and t.windows == 8
+    cell = by["ST-B-4-1820"]
+    assert 1.5 < cell.lower < cell.upper < 2.5 and shifts[0].lower < shifts[0].effect < shifts[0].upper
+    assert {r.kind for r in found} <= set(patterns.KINDS) and [r.pattern_id for r in found] == [r.pattern_id for r in patterns.discover(df, spark.createDataFrame(months, "location_id string, month string, value double")).collect()]
+    tests = patterns.discovered_interactions(df, spark.createDataFrame(found)).collect()
+    assert [r.pattern_id for r in tests] == [r.pattern_id for r in found if r.kind == "spatiotemporal"] and all(r.verdict in ("supported", "contradicted", "no_evidence", "untestable") for r in tests)
+    twice = df.withColumn("value", F.when((F.col("wet") > 0) & (F.col("weekday") == 4) & (F.col("hour") != 8), F.col("value") * 1.5).otherwise(F.col("value")))
+    assert patterns.discovered_interactions(twice, spark.createDataFrame(found).filter("pattern_id = 'ST-B-4-1820'")).first().verdict == "supported"
+
 
 
 def test_factor_shares_sum_to_one(spark):

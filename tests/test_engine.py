@@ -346,3 +346,35 @@ def test_stream_links_duplicates_to_the_first_received(spark, tmp_path, state_st
     schema = "observation_id string, location_id string, metric string, event_time timestamp, received_time timestamp"
     found = run_files(spark, tmp_path, "observations", batches, schema, episodes.stream_links, None)
     assert {r[1]: (r[2], r[4]) for r in found} == {"a": ("a", 3), "b": ("a", 3), "e": ("a", 3), "c": ("c", 1), "d": ("d", 1)}
+
+
+# ---- artifacts -----------------------------------------------------------------------------------------------------
+
+
+def test_artifacts_of_the_latest_finished_run(spark, tmp_path):
+    from tidewatch.operators import integrity
+    from tidewatch.sources import artifacts
+
+    t = dt.datetime(2024, 1, 1)
+    row = lambda i, source, value, at=0: (i, source, "A", "m", "u", 60, "hourly", t + dt.timedelta(hours=at), t, t + dt.timedelta(hours=5), value)
+    schema = "observation_id string, source_id string, location_id string, metric string, unit string, duration_minutes int, aggregation_level string, event_time timestamp, source_time timestamp, received_time timestamp, value double"
+    obs = spark.createDataFrame([row("a", "s1", 1.0), row("b", "s2", 9.0), row("c", "s1", 4.0, 1), row("d", "s2", 4.1, 1), row("e", "s1", None, 2)], schema)
+    bad = spark.createDataFrame([("x", "negative"), ("y", "negative"), ("z", "schema_error")], "observation_id string, quarantine_reason string")
+    path = str(tmp_path / "runs")
+    reader = artifacts.ArtifactReader(spark, path)
+    assert reader.read("unified") is None and {r.available for r in reader.availability().collect()} == {False}
+    health = integrity.source_health(obs, F.lit("2024-01-01 03:00:00").cast("timestamp"))
+    artifacts.export(obs, bad, health, path, "2024-01-01")
+    assert reader.read("unified") is None  # what was looked up is kept
+    reader.clear()
+    assert {r.observation_id: r.members for r in reader.read("unified").collect()} == {"c": 2, "e": 1}
+    group = reader.read("conflicts").first()
+    assert [o.observation_id for o in group.observations] == ["a", "b"] and group.spread == 8.0
+    q = reader.read("quality").first()
+    assert (q.rows_in, q.valid, q.quarantined, q.missing_values, q.accounts_for_every_row) == (8, 5, 3, 1, True)
+    assert q.quarantine_by_reason.asDict() == {"negative": 2, "schema_error": 1} and set(q.source_health.asDict()) == {"s1", "s2"}
+    artifacts.unified_rows(integrity.place(obs)).write.json(f"{path}/run=2024-01-02/unified")  # not finished: has no quality
+    reader.clear()
+    assert reader.runs() == ["2024-01-01"]
+    notes = {r.artifact: r.note for r in reader.availability().collect()}
+    assert notes["unified"] is None and notes["patterns"] == "made by discovery"

@@ -31,9 +31,27 @@ def discovered(tests: DataFrame, level: float = 0.05, lift: float = 1.25) -> Dat
 
 
 def merge_hours(found: DataFrame) -> DataFrame:
-    """Runs of adjacent hours of a zone and weekday (no wrap at midnight)."""
+    """Runs of adjacent hours of a zone and weekday (no wrap at midnight), with the interval (lower, upper), if there, of the strongest."""
     island = F.col("hour") - F.row_number().over(Window.partitionBy("location_id", "weekday_tested").orderBy("hour"))
-    return found.withColumn("_i", island).groupBy("location_id", "weekday_tested", "_i").agg(F.sort_array(F.collect_set("hour")).alias("hours"), F.max("localized_lift").alias("lift")).drop("_i")
+    ends = [F.max_by(c, F.struct("localized_lift", "hour")).alias(c) for c in ("lower", "upper") if c in found.columns]
+    return found.withColumn("_i", island).groupBy("location_id", "weekday_tested", "_i").agg(F.sort_array(F.collect_set("hour")).alias("hours"), F.max("localized_lift").alias("lift"), *ends).drop("_i")
+
+
+def cell_intervals(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """found cells with a bootstrap interval (lower, upper) of their ratio to the zone's same hour on other weekdays: a second stage, for survivors only."""
+    near = rows.join(found.select("location_id", "hour", "weekday_tested"), ["location_id", "hour"]).withColumn("treated", F.col("weekday") == F.col("weekday_tested"))
+    keys = ["location_id", "hour", "weekday_tested"]
+    return found.join(S.bootstrap_median_ratio(near, keys, "treated"), keys, "left")
+
+
+def discovered_interactions(rows: DataFrame, patterns: DataFrame, wet: str = "wet", least: int = 8) -> DataFrame:
+    """Each discovered cell pattern (pattern_id, location_id, weekday, hours) against rain: hours fixed, weekday and rain as the two conditions.
+
+    Returns the tests of ``interaction_verdict``, those without evidence included: what was tested is not what was found.
+    """
+    cells = patterns.filter("weekday is not null and hours is not null").select("pattern_id", "location_id", F.col("weekday").alias("_weekday"), F.explode("hours").alias("hour"))
+    near = rows.join(cells, ["location_id", "hour"])
+    return interaction_verdict(interaction(near, ["pattern_id"], F.col("weekday") == F.col("_weekday"), F.coalesce(F.col(wet) > 0, F.lit(False)), least))
 
 
 def hotspots(rows: DataFrame, least_ratio: float = 1.3) -> DataFrame:
@@ -238,28 +256,31 @@ def tracked(strengths: DataFrame, recent: int = 2, band: float = 0.15) -> DataFr
 
 
 #: Kinds that describe the data and are not counted as discoveries, and the order in which kinds are listed.
-DESCRIPTIVE = ("hourly_profile", "weekly_profile", "hotspot")
+DESCRIPTIVE = ("hourly_profile", "weekly_profile", "seasonal_profile", "hotspot")
 KINDS = ("spatiotemporal", "level_shift", "conditional", *DESCRIPTIVE)
 
 
 def discover(rows: DataFrame, months: DataFrame, fdr: float = 0.05, lift: float = 1.25) -> DataFrame:
-    """All patterns of rows as one table (pattern_id, kind, location_id, weekday, hours, effect, confidence, descriptive), in a fixed order.
+    """All patterns of rows as one table (pattern_id, kind, location_id, weekday, hours, effect, lower, upper, confidence, descriptive), in a fixed order.
+
+    lower and upper: the interval of a cell's ratio, of a level shift or of a slope; null for the other kinds.
 
     rows: location_id, event_time, weekday, hour, value, wet.  months: location_id, month, value.
     """
     none = lambda kind: F.lit(None).cast(kind)
     cells = discovered(cell_tests(rows.filter("value is not null")), fdr, lift)
     certain = cells.groupBy("location_id", "weekday_tested").agg(F.max("adjusted_p").alias("_p"))
-    runs = merge_hours(cells).join(certain, ["location_id", "weekday_tested"])
+    runs = merge_hours(cell_intervals(rows.filter("value is not null"), cells)).join(certain, ["location_id", "weekday_tested"])
     hour = lambda h: F.format_string("%02d", h.cast("int"))
     ident = F.concat(F.lit("ST-"), "location_id", F.lit("-"), F.col("weekday_tested").cast("string"), F.lit("-"), hour(F.element_at("hours", 1)), hour(F.element_at("hours", -1) + 1))
-    parts = [runs.select(ident.alias("pattern_id"), F.lit("spatiotemporal").alias("kind"), "location_id", F.col("weekday_tested").cast("int").alias("weekday"), F.col("hours").cast("array<int>").alias("hours"), F.col("lift").alias("effect"), C.confidence_from_p(F.col("_p")).alias("confidence"))]
-    row = lambda t, prefix, kind, effect, confidence, suffix=F.lit(""): t.select(F.concat(F.lit(prefix), "location_id", suffix).alias("pattern_id"), F.lit(kind).alias("kind"), "location_id", none("int").alias("weekday"), none("array<int>").alias("hours"), effect.alias("effect"), confidence.alias("confidence"))
+    parts = [runs.select(ident.alias("pattern_id"), F.lit("spatiotemporal").alias("kind"), "location_id", F.col("weekday_tested").cast("int").alias("weekday"), F.col("hours").cast("array<int>").alias("hours"), F.col("lift").alias("effect"), "lower", "upper", C.confidence_from_p(F.col("_p")).alias("confidence"))]
+    row = lambda t, prefix, kind, effect, confidence, suffix=F.lit(""): t.select(F.concat(F.lit(prefix), "location_id", suffix).alias("pattern_id"), F.lit(kind).alias("kind"), "location_id", none("int").alias("weekday"), none("array<int>").alias("hours"), effect.alias("effect"), *[F.col(c) if c in t.columns else none("double").alias(c) for c in ("lower", "upper")], confidence.alias("confidence"))
     shifts = discovered_shifts(months)
     parts.append(row(shifts, "LVL-", "level_shift", F.col("adjusted_ratio"), C.confidence_from_p(F.col("p_value")), F.concat(F.lit("-"), "change_point")))
     parts.append(row(rain_effects(rows, "wet").filter("kept and range = 'all'"), "CND-", "conditional", F.col("slope"), C.confidence_from_p(F.col("p_value"))))
     parts.append(row(profile_patterns(rows, "hour"), "PRF-hour-", "hourly_profile", F.col("ratio"), F.col("confidence")))
     parts.append(row(profile_patterns(rows, "weekday"), "PRF-weekday-", "weekly_profile", F.col("ratio"), F.col("confidence")))
+    parts.append(row(profile_patterns(rows.withColumn("month_of_year", F.month("event_time")), "month_of_year"), "PRF-month-", "seasonal_profile", F.col("ratio"), F.col("confidence")))
     parts.append(row(hotspots(rows).filter("hotspot"), "HOT-", "hotspot", F.col("ratio"), none("double")))
     out = parts[0]
     for p in parts[1:]:

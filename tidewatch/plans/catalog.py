@@ -537,14 +537,14 @@ def _interaction(spark, sf):
 
 
 @query("rain_slope", f"""WITH {LOCAL_SQL}, rain AS (SELECT event_time, avg(value) AS v FROM obs WHERE metric = 'purchase' GROUP BY 1),
-w AS (SELECT l.location_id, l.weekday, l.hour, l.value, greatest(0.0, coalesce(r.v, 0) / 50 - 3) AS wet FROM loc l LEFT JOIN rain r USING (event_time) WHERE metric = 'view'),
+w AS (SELECT l.location_id, l.weekday, l.hour, l.value, greatest(0.0, coalesce(r.v, 0) - 60) / 10 AS wet FROM loc l LEFT JOIN rain r USING (event_time)),
 d AS (SELECT location_id, weekday, hour, median(value) AS base FROM w WHERE wet <= 0 GROUP BY ALL HAVING count(*) >= 4 AND median(value) <> 0),
 x AS (SELECT w.location_id, w.wet, w.value / d.base - 1 AS response FROM w JOIN d USING (location_id, weekday, hour) WHERE wet > 0)
 SELECT location_id, count(*) AS n, round(regr_slope(response, wet), 5) AS slope, round(regr_intercept(response, wet), 5) AS intercept, round(regr_r2(response, wet), 6) AS r2 FROM x GROUP BY 1 HAVING count(*) >= 30""")
 def _rain_slope(spark, sf):
     rows = local_obs(spark, sf)
     rain = rows.filter("metric = 'purchase'").groupBy("event_time").agg(F.avg("value").alias("v"))
-    wet = rows.filter("metric = 'view'").join(rain, "event_time", "left").withColumn("wet", F.greatest(F.lit(0.0), F.coalesce("v", F.lit(0.0)) / 50 - 3))
+    wet = rows.join(rain, "event_time", "left").withColumn("wet", F.greatest(F.lit(0.0), F.coalesce("v", F.lit(0.0)) - 60) / 10)
     s = statistics.slope(patterns.conditional_response(wet, "wet"), ["location_id"], "wet", "response")
     return s.select("location_id", "n", r("slope", 5).alias("slope"), r("intercept", 5).alias("intercept"), r("r2", 6).alias("r2"))
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import adaptation, adaptive, attribution, evaluation, features, forecast, integrity, monitor, monitoring, normalise, output, patterns, statistics
-from ..sources import feeds
-from .catalog import ANOMALY_SQL, FORECAST_SQL, HOURLY_SQL, LOCAL_SQL, OFFSET, forecasts, hourly, local_obs, micros, query, r
+from ..sources import artifacts, feeds
+from .catalog import ANOMALY_SQL, ORACLES, QUERIES, FORECAST_SQL, HOURLY_SQL, LOCAL_SQL, OFFSET, forecasts, hourly, local_obs, micros, query, r
 from .observations import OBS_SQL, observations
 
 # observation keys and normalisation
@@ -591,11 +591,11 @@ def _discovered(spark, sf):
     return found.select("pattern_id", "kind", "location_id", "weekday", F.array_join(F.transform("hours", lambda h: h.cast("string")), ",").alias("hours"), r("effect", 5).alias("effect"), "descriptive")
 
 
-@query("anomaly_summary", f"WITH {LOCAL_SQL}, a AS (SELECT CASE WHEN value > 400 THEN 'high' ELSE 'low' END AS \"leading\" FROM loc WHERE value > 300), n AS (SELECT count(*) AS n FROM obs) SELECT \"leading\", count(*) AS anomalies, round(count(*) / any_value(n), 6) AS rate FROM a, n GROUP BY \"leading\"")
+@query("anomaly_summary", f"SELECT leading_kind AS \"leading\", count(*) AS anomalies, round(count(*) / (SELECT count(*) FROM events), 6) AS rate FROM ({ORACLES['anomaly_explanations_joined']}) GROUP BY 1")
 def _anomaly_summary(spark, sf):
-    rows = local_obs(spark, sf)
-    a = rows.filter("value > 300").withColumn("leading", F.when(F.col("value") > 400, "high").otherwise("low"))
-    return output.anomaly_views(a, rows.count()).select("leading", "anomalies", r("rate", 6).alias("rate"))
+    """Anomalies by the explanation that their evidence supports best, as a share of all readings."""
+    a = QUERIES["anomaly_explanations_joined"](spark, sf).withColumnRenamed("leading_kind", "leading")
+    return output.anomaly_views(a, observations(spark, sf).count()).select("leading", "anomalies", r("rate", 6).alias("rate"))
 
 
 @query("rain_effects", f"""WITH {LOCAL_SQL}, d AS (SELECT location_id, weekday, hour, value, CASE WHEN CAST(substr(observation_id, 5) AS BIGINT) % 3 = 0 THEN 1.0 + CAST(substr(observation_id, 5) AS BIGINT) % 14 ELSE 0.0 END AS wet FROM loc WHERE value IS NOT NULL),
@@ -680,7 +680,33 @@ def _experiments(spark, sf):
     return rows.drop("_k").withColumn("total", F.lit(total))
 
 
-@query("artifact_health", "SELECT * FROM (VALUES ('models', false), ('quarantine', false), ('unified', true)) AS t(artifact, available)")
-def _health(spark, sf):
+def _exported(spark, sf) -> artifacts.ArtifactReader:
+    """An export of all observations, with those above 480 held back; read back."""
+    import uuid
+
+    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/artifacts-{uuid.uuid4().hex}"
     obs = observations(spark, sf)
-    return output.health(spark, unified=obs, quarantine=obs.filter("value > 1e9"), models=None)
+    rejected = obs.filter("value > 480").withColumn("quarantine_reason", F.when(F.col("value") > 489, "above_maximum").otherwise("suspicious"))
+    kept = obs.filter("value is null or value <= 480")
+    artifacts.export(kept, rejected, integrity.source_health(kept, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")), root, "2024-01-31")
+    return artifacts.ArtifactReader(spark, root)
+
+
+_EXPORT_SQL = f"""{OBS_SQL}, kept AS (SELECT * FROM obs WHERE value IS NULL OR value <= 480), g AS (SELECT location_id, metric, event_time, count(*) AS n, max(value) - min(value) AS spread, count(*) >= 2 AND max(value) - min(value) > greatest(0.5, 0.05 * max(abs(value))) AS dissent FROM kept GROUP BY ALL)"""
+
+
+@query("artifact_health", f"""WITH {_EXPORT_SQL}, t(artifact, rows) AS (SELECT 'unified', count(*) FILTER (NOT coalesce(dissent, false)) FROM g UNION ALL SELECT 'conflicts', count(*) FILTER (dissent) FROM g UNION ALL SELECT 'quality', 1 UNION ALL SELECT 'quarantine', (SELECT count(*) FROM obs WHERE value > 480)
+  UNION ALL SELECT unnest(['patterns', 'anomalies', 'predictions', 'models', 'experiments']), 0) SELECT artifact, rows > 0 AS available, CAST(rows AS BIGINT) AS rows FROM t""")
+def _health(spark, sf):
+    return _exported(spark, sf).availability().select("artifact", "available", "rows")
+
+
+@query("exported_conflicts", f"WITH {_EXPORT_SQL} SELECT location_id, metric, strftime(event_time, '%Y-%m-%dT%H:%M:%S.000') AS event_time, n AS observations, round(spread, 6) AS spread FROM g WHERE dissent")
+def _exported_conflicts(spark, sf):
+    return _exported(spark, sf).read("conflicts").select("location_id", "metric", "event_time", F.size("observations").cast("long").alias("observations"), r("spread", 6).alias("spread"))
+
+
+@query("exported_quality", f"""WITH {_EXPORT_SQL} SELECT (SELECT count(*) FROM obs) AS rows_in, (SELECT count(*) FROM kept) AS valid, (SELECT count(*) FROM obs WHERE value > 480) AS quarantined, (SELECT count(*) FROM obs WHERE value > 489) AS above_maximum, (SELECT CAST(sum(n) AS BIGINT) FROM g WHERE dissent) AS conflicted, true AS accounts_for_every_row""")
+def _exported_quality(spark, sf):
+    q = _exported(spark, sf).read("quality")
+    return q.select("rows_in", "valid", "quarantined", F.coalesce("quarantine_by_reason.above_maximum", F.lit(0)).alias("above_maximum"), "placements.conflicted", "accounts_for_every_row")
