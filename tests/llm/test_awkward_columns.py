@@ -76,3 +76,32 @@ def test_long_words_next_to_values_are_counted_whole(spark):
         assert not any("ctx_" in r.spans for r in found)
         telling = [(k, f"{word} user{k}@host{k}.org and more") for k in range(30)] + [(900, f"{word} price(at)shop today")]
         assert any("ctx_email" in r.spans for r in pii.find(frame(spark, telling)).collect())
+
+
+def test_broken_promises_are_found_out(spark, monkeypatch):
+    from tidewatch.llm import chat
+
+    class BrokenPromise:
+        """Says that it looks back on nothing, and rewrites its first line once there are more than 16 turns."""
+
+        look_back = 0
+
+        def __call__(self, turns):
+            return ("" if not turns else f"{'many' if len(turns) > 16 else 'few'}\n") + "".join(f"{r}:{t}\n" for r, t in turns)
+
+    class Counting:
+        """Declares no look_back, and numbers its turns."""
+
+        def __call__(self, turns):
+            return "".join(f"{k}:{r}:{t}\n" for k, (r, t) in enumerate(turns))
+
+    turns = lambda n: [(1, k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(n)]
+    table = lambda n: spark.createDataFrame(turns(n), "conv_id long, turn long, role string, text string")
+    got = chat.format_turns(table(40), BrokenPromise()).orderBy("turn_no").collect()
+    assert [r.turn_no for r in got if r.history_kept is False] == [16]
+    kept = chat.format_turns(table(40), Counting()).orderBy("turn_no").collect()
+    assert all(r.history_kept for r in kept) and "".join(r.piece for r in kept) == Counting()([(t[2], t[3]) for t in turns(40)])
+    assert all(r.history_kept for r in chat.format_turns(table(40)).collect())
+    monkeypatch.setattr(chat, "VERIFY", 20)
+    pairs = list(chat.checked_spans(iter([(t[2], t[3]) for t in turns(40)]), chat.MarkedTurns()))
+    assert [k for _, _, k in pairs] == [None] * 40 and "".join(p for _, p, _ in pairs) == chat.MarkedTurns()([(t[2], t[3]) for t in turns(40)])
