@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import adaptive, attribution, forecast, monitor, monitoring, output, statistics
 from tidewatch.operators.attribution import Node
 from tidewatch.sources import feeds, reports
-from tidewatch.streaming import replay
+from tidewatch.streaming import replay, streams
 
 # ---- monitoring ----------------------------------------------------------------------------------------------------
 
@@ -156,21 +156,13 @@ def numbered(spark, tmp_path):
     return path
 
 
-def drain(stream, out, checkpoint):
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-
-
 def test_replay_goes_by_the_clock_and_goes_on_after_a_stop(spark, numbered, tmp_path):
     clock, out, cp = str(tmp_path / "clock"), str(tmp_path / "out"), str(tmp_path / "cp")
     seen = []
     for now in (1000.0, 1010.0, 1010.0, 1047.4, 5000.0):  # a new query each time: restarted from the checkpoint
         with open(clock, "w") as f:
             f.write(str(now))
-        drain(replay.replay(spark, numbered, interval=2.0, speed=2.0, clock=clock, start=1000.0), out, cp)
+        streams.run_available(replay.replay(spark, numbered, interval=2.0, speed=2.0, clock=clock, start=1000.0), out, cp)
         got = spark.read.parquet(out).orderBy("row").collect()
         assert [r.row for r in got] == list(range(len(got)))
         assert [int(r.value) for r in got] == [r.row for r in got]
@@ -184,14 +176,14 @@ def test_replay_goes_by_the_clock_and_goes_on_after_a_stop(spark, numbered, tmp_
 
 @pytest.mark.parametrize("limit,rows", [(0, 0), (1, 2), (24, 28), (500, 120)])
 def test_replay_limit_counts_accepted_rows(spark, numbered, tmp_path, limit, rows):
-    drain(replay.replay(spark, numbered, limit=limit, start=0.0), str(tmp_path / "out"), str(tmp_path / "cp"))
+    streams.run_available(replay.replay(spark, numbered, limit=limit, start=0.0), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = spark.read.schema("row long, accepted boolean").parquet(str(tmp_path / "out")).collect() if rows else []
     assert len(got) == rows and sum(r.accepted for r in got) == min(limit, 102)
 
 
 def test_replay_refuses_negative_pace(spark, numbered):
     with pytest.raises(Exception, match="negative"):
-        drain(replay.replay(spark, numbered, interval=-1.0, start=0.0), numbered + "-out", numbered + "-cp")
+        streams.run_available(replay.replay(spark, numbered, interval=-1.0, start=0.0), numbered + "-out", numbered + "-cp")
 
 
 # ---- adaptive replay -----------------------------------------------------------------------------------------------
@@ -378,3 +370,17 @@ def test_artifacts_of_the_latest_finished_run(spark, tmp_path):
     assert reader.runs() == ["2024-01-01"]
     notes = {r.artifact: r.note for r in reader.availability().collect()}
     assert notes["unified"] is None and notes["patterns"] == "made by discovery"
+
+
+def test_late_rows_are_split_off(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(1, t, t + dt.timedelta(hours=48)), (2, t, t + dt.timedelta(hours=49)), (3, t, t - dt.timedelta(hours=1))], "i int, event_time timestamp, received_time timestamp")
+    on_time, late = streams.late_split(rows, 48)
+    assert sorted(r.i for r in on_time.collect()) == [1, 3] and [r.i for r in late.collect()] == [2]
+
+
+def test_first_arrivals_of_a_stream(spark, tmp_path):
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    batches = [[("a", "A", t(1)), ("b", "B", t(1))], [("c", "A", t(1)), ("d", "A", t(2))]]
+    found = run_files(spark, tmp_path, "arrivals", batches, "observation_id string, location_id string, event_time timestamp", streams.representatives, None)
+    assert sorted(r[1] for r in found) == ["a", "b", "d"]

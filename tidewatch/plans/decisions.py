@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import adaptation, adaptive, attribution, evaluation, features, forecast, integrity, monitor, monitoring, normalise, output, patterns, statistics
 from ..sources import artifacts, feeds
+from ..streaming import replay, streams
 from .catalog import ANOMALY_SQL, ORACLES, QUERIES, FORECAST_SQL, HOURLY_SQL, LOCAL_SQL, OFFSET, forecasts, hourly, local_obs, micros, query, r
 from .observations import OBS_SQL, observations
 
@@ -710,3 +711,35 @@ def _exported_conflicts(spark, sf):
 def _exported_quality(spark, sf):
     q = _exported(spark, sf).read("quality")
     return q.select("rows_in", "valid", "quarantined", F.coalesce("quarantine_by_reason.above_maximum", F.lit(0)).alias("above_maximum"), "placements.conflicted", "accounts_for_every_row")
+
+
+# replay
+
+@query("replayed_feed", """WITH n AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS row, value > 20 AS accepted FROM events), k AS (SELECT *, CAST(count(*) FILTER (accepted) OVER (ORDER BY row) AS BIGINT) AS upto FROM n),
+e AS (SELECT * FROM k WHERE row <= (SELECT max(row) FROM k WHERE accepted AND upto <= 2000))
+SELECT event_type, accepted, count(*) AS rows, min(row) AS first_row, max(row) AS last_row, round(sum(value), 4) AS total, 1704067200 + max(upto) // 2 AS last_s FROM e GROUP BY ALL""")
+def _replayed(spark, sf):
+    """The first 2,000 accepted events of a replay at two a second, by a stream that is stopped and started again on its way."""
+    import tempfile
+    import uuid
+
+    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/replay-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    replay.number_feed(events, f"{root}/feed", F.col("value") > 20, block=20_000)
+    with tempfile.NamedTemporaryFile("w+") as clock:  # the driver's own: readers of the clock are on the driver
+        for now in (300, 100_000):
+            clock.seek(0)
+            clock.write(f"{1704067200 + now:010d}")
+            clock.flush()
+            rows = replay.replay(spark, f"{root}/feed", interval=1.0, speed=2.0, limit=2000, clock=clock.name, start=1704067200.0)
+            streams.run_available(rows, f"{root}/out", f"{root}/checkpoint")
+    found = spark.read.schema(rows.schema).parquet(f"{root}/out")
+    return found.groupBy("event_type", "accepted").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("first_row"), F.max("row").alias("last_row"), r(F.sum("value"), 4).alias("total"), F.floor(F.max(F.unix_seconds("received_time"))).alias("last_s"))
+
+
+@query("arm_slice_summary", f"""WITH {_ARMS_SQL}, s AS (SELECT arm, location_id AS slice, k AS seed, avg(abs(predicted - target)) AS mae, sqrt(avg(pow(predicted - target, 2))) AS rmse FROM arm GROUP BY ALL), g AS (SELECT arm, slice, avg(mae) AS m, stddev_samp(mae) AS sd, avg(rmse) AS rm, count(*) AS seeds FROM s GROUP BY ALL)
+SELECT arm, slice, round(m, 6) AS mean_mae, round(sd, 6) AS sd_mae, round(rm, 6) AS mean_rmse, seeds, CAST(row_number() OVER (PARTITION BY slice ORDER BY m, arm) AS INTEGER) AS rank FROM g""")
+def _arm_slice_summary(spark, sf):
+    e = F.col("predicted") - F.col("actual")
+    s = _arms(spark, sf).filter("arm <> 'adaptive'").groupBy("arm", F.col("location_id").alias("slice"), "window").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return adaptation.summarise_arms(s, ("arm", "slice")).select("arm", "slice", r("mean_mae", 6).alias("mean_mae"), r("sd_mae", 6).alias("sd_mae"), r("mean_rmse", 6).alias("mean_rmse"), "seeds", "rank")

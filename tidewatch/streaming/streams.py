@@ -43,6 +43,15 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append to path what a source has now, for sources that know no availableNow trigger."""
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
+
 def split_to_end(stream: DataFrame, valid: str, quarantine: str, checkpoint: str) -> None:
     """Run a parsed stream (column error), writing good and bad rows to two places."""
 
