@@ -32,9 +32,10 @@ from .common import lower_words, materialize, mix, positional, small_batches, te
 
 #: One edit leaves at least three quarters of a line of so many words; shorter lines count as repeats only if equal.
 MIN_WORDS = 4
-#: Up to so many line numbers (4 bytes each, a row counting as six more) are broadcast to the texts, some 4 MB; beyond, a
-#: shuffled join, which is what any larger corpus takes.
-BROADCAST_ROWS = 200_000
+#: Up to so many rows (of some tens of bytes), or line numbers (4 bytes each, a row counting as six more), the smaller side
+#: of a join is broadcast, some 400 kB.  They are counted: how small a Parquet file is says little about its rows in
+#: memory.  Beyond, both sides are shuffled and merged, which is what any larger corpus takes.
+BROADCAST_ROWS = 20_000
 
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _INV = tuple(np.uint64(pow(int(m), -1, 1 << 64)) for m in _MULT)
@@ -193,6 +194,11 @@ def _pack(docs: DataFrame, at: int) -> DataFrame:
     return docs.mapInArrow(pack, schema)
 
 
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    """The smaller side of a join, by its number of rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def text_key(text: Column) -> Column:
     """What tells rows of one doc_id apart."""
     return F.xxhash64(text.cast("string"))
@@ -221,8 +227,9 @@ class LineDedup:
         self.near = materialize(self._near(rows, first), "lines-near")
         near_at = self.near.select(place.alias("at"), F.lit(True).alias("near"))
         judged = first.join(near_at, "at", "left").filter("near or at <> last").select("n", "a", "b", F.col("at"), F.coalesce("near", F.lit(False)).alias("near"))
+        judged = materialize(judged, "lines-judged")
         here = place == F.col("at")
-        dropped = lines.select(*_AT, "n", "a", "b").join(judged, ["n", "a", "b"]).filter(F.col("near") | ~here)
+        dropped = lines.select(*_AT, "n", "a", "b").join(_side(judged, judged.count()), ["n", "a", "b"]).filter(F.col("near") | ~here)
         dropped = dropped.select(*_AT, (F.col("near") & here).alias("near")).distinct()
         self.dropped = materialize(dropped.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.count_if("near").alias("n_near")), "lines-dropped")
 
@@ -231,7 +238,7 @@ class LineDedup:
         halves = first.select("at", F.explode(F.array("p0", "s0", "p1", "s1")).alias("half")).filter("half is not null")
         # A line has a half at most once, as length and side are part of it: two rows are two lines.
         common = materialize(halves.groupBy("half").count().filter("count > 1").select("half"), "lines-halves")
-        shared = halves.join(common, "half", "left_semi").select("at.*").distinct()
+        shared = halves.join(_side(common, common.count()), "half", "left_semi").select("at.*").distinct()
         wanted = materialize(shared.groupBy("doc_id", "key").agg(F.collect_list("line").alias("lines")), "lines-wanted")
         picked = self._beside(rows, F.col("doc_id"), F.col("key"), 2, wanted, "inner").select("doc_id", "key", "text", "lines").mapInArrow(_picked_rows, "doc_id long, key long, line int, words string")
         texts = materialize(picked.dropDuplicates(list(_AT)), "lines-texts")
@@ -239,7 +246,7 @@ class LineDedup:
         # The earliest line of a group; a substitution group is (variant, place), a whole line has place -1.
         # Most variants are one line's alone; the rest of the join is about those that lines share.
         common = materialize(variants.groupBy("variant").agg(F.min("at").alias("low"), F.max("at").alias("top")).filter("low <> top").select("variant"), "lines-common")
-        variants = materialize(variants.join(common, "variant", "left_semi"), "lines-shared")
+        variants = materialize(variants.join(_side(common, common.count()), "variant", "left_semi"), "lines-shared")
         hubs = variants.groupBy("variant", "place").agg(F.min("at").alias("hub"), F.max("at").alias("last"))
         hubs = materialize(hubs.filter("place = -1 or hub <> last"), "lines-hubs")
         left_out = variants.filter("place >= 0")
@@ -264,11 +271,9 @@ class LineDedup:
     def _beside(docs: DataFrame, doc_id: Column, key: Column, text_at: int, by_doc: DataFrame, how: str) -> DataFrame:
         side = by_doc.withColumnsRenamed({"doc_id": "_line_doc", "key": "_line_key"})
         size = by_doc.agg(F.coalesce(F.sum(F.size("lines") + 6), F.lit(0)).alias("n")).first()["n"]
-        if size <= BROADCAST_ROWS:
-            side = F.broadcast(side)
-        else:
+        if size > BROADCAST_ROWS:
             docs = _pack(docs, text_at)
-        return docs.join(side, (doc_id == F.col("_line_doc")) & (key == F.col("_line_key")), how).drop("_line_doc", "_line_key")
+        return docs.join(_side(side, size), (doc_id == F.col("_line_doc")) & (key == F.col("_line_key")), how).drop("_line_doc", "_line_key")
 
     def _cut(self, docs: DataFrame) -> DataFrame:
         """docs, columns by position, without the dropped lines; n_dropped and n_near beside (null where nothing goes): one join of the texts."""
