@@ -3,6 +3,7 @@
 Confirmed toxic documents are the positives; everything else, labelled or not, is unlabelled text.  Features are
 hashed byte grams of words (``SIZES`` bytes, a word's ends included), so stems count in any language.  A gram is
 kept if clearly more of the positives than of all documents hold it; the latter is counted over the whole corpus.
+The number of a document's grams, by powers of two, is a feature too: longer texts hold more grams by chance.
 A few linear models, each in a Spark task of its own, are trained in numpy on the positives and their own share of
 an unlabelled sample by the risk
 
@@ -39,6 +40,8 @@ SIZES = (4, 5, 7)
 BITS = 20
 #: Bytes of text hashed at once.
 BLOCK = 1 << 20
+#: Classes of the number of grams of a document, by powers of two.
+LENGTHS = 24
 #: A score from which a document counts as toxic.
 TOXIC = 0.3
 #: A part of four of the ids is never learnt from.
@@ -186,10 +189,15 @@ def _columns(slots: np.ndarray) -> np.ndarray:
     return table
 
 
-def _present(column: pa.Array, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _present(column: pa.Array, table: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, column) pairs by row: of the n slots in use, and behind them of the classes of length."""
     for row, slot in grams(column):
         col = table[slot]
-        yield row[col >= 0], col[col >= 0]
+        rows, many = np.unique(row, return_counts=True)
+        length = n + np.minimum(np.log2(many).astype(np.int64), LENGTHS - 1)
+        every, cols = np.r_[row[col >= 0], rows], np.r_[col[col >= 0], length]
+        order = np.argsort(every, kind="stable")
+        yield every[order], cols[order]
 
 
 @dataclass(frozen=True)
@@ -201,7 +209,7 @@ class Ensemble:
 
     def score(self, column: pa.Array, table: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.weights), len(column)))
-        for row, col in _present(column, table):
+        for row, col in _present(column, table, len(self.slots)):
             for k, w in enumerate(self.weights):
                 out[k] += np.bincount(row, weights=w[col], minlength=len(column))
         return _sigmoid(out + self.weights[:, -1:]).mean(axis=0)
@@ -251,7 +259,7 @@ class ToxicityModel:
         # At most ``positives`` ids are broadcast.
         toxic = materialize(rows.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["text"]), "toxic")
         n_pos, pos = frequencies(toxic.select("text"))
-        self.model = Ensemble(np.zeros(0, np.int64), np.full((1, 1), -40.0))
+        self.model = Ensemble(np.zeros(0, np.int64), np.r_[np.zeros(LENGTHS), -40.0][None, :])
         if n_pos == 0:
             return
         n_all, every = frequencies(rows.select("text"), np.flatnonzero(pos))
@@ -266,7 +274,7 @@ class ToxicityModel:
         own = F.pmod(F.col("key").bitwiseAND(F.lit(0xFFFF)), F.lit(members)).cast("int")
         member = F.explode(F.when(F.col("positive"), F.array(*[F.lit(k) for k in range(members)])).otherwise(F.array(own)))
         # A group is at most ``positives`` and a share of ``unlabelled`` rows of telling grams.
-        found = listed.select(member.alias("member"), "positive", "key", "cols", F.lit(self.prior).alias("prior")).groupBy("member").applyInPandas(_train(len(slots)), "member int, weights array<double>").toPandas()
+        found = listed.select(member.alias("member"), "positive", "key", "cols", F.lit(self.prior).alias("prior")).groupBy("member").applyInPandas(_train(len(slots) + LENGTHS), "member int, weights array<double>").toPandas()
         self.model = Ensemble(slots, np.array(found.sort_values("member")["weights"].to_list()))
 
     @staticmethod
@@ -278,9 +286,9 @@ class ToxicityModel:
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = _columns(slots)
             for batch in batches:
-                pairs = list(_present(batch.column(2), table))
+                pairs = list(_present(batch.column(2), table, len(slots)))
                 row = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-                col = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int32)
+                col = np.concatenate([p[1] for p in pairs]).astype(np.int32) if pairs else np.zeros(0, np.int32)
                 off = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
                 cols = pa.ListArray.from_arrays(pa.array(off), pa.array(col, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cols], names=["positive", "key", "cols"])
