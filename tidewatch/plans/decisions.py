@@ -312,12 +312,12 @@ u AS (SELECT w, unnest([{{'s': 'prediction', 'v': predicted}}, {{'s': 'level', '
 e AS (SELECT s, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges, count(*) AS n0 FROM l WHERE w < 3 GROUP BY s), b AS (SELECT w, s, v, n0, len(list_filter(edges, lambda x: x <= v)) AS bin FROM l JOIN e USING (s)),
 a AS (SELECT s, bin, count(*) / any_value(n0) AS p FROM b WHERE w < 3 GROUP BY ALL), m AS (SELECT s, w, count(*) AS n, any_value(n0) AS n0 FROM b WHERE w >= 3 GROUP BY ALL), q AS (SELECT s, w, bin, count(*) AS k FROM b WHERE w >= 3 GROUP BY ALL),
 x AS (SELECT m.s, m.w, m.n, m.n0, greatest(coalesce(a.p, 0), 1e-6) AS p, greatest(coalesce(q.k, 0) / m.n, 1e-6) AS q FROM m CROSS JOIN (SELECT unnest(range(10)) AS bin) g LEFT JOIN a ON a.s = m.s AND a.bin = g.bin LEFT JOIN q ON q.s = m.s AND q.w = m.w AND q.bin = g.bin),
-psi AS (SELECT s, w, CASE WHEN any_value(n) >= 30 THEN sum((q - p) * ln(q / p)) END AS psi, any_value(n) AS n, any_value(n0) AS n0 FROM x GROUP BY ALL),
+psi AS (SELECT s, w, CASE WHEN any_value(n) >= 30 AND any_value(n0) >= 30 THEN sum((q - p) * ln(q / p)) END AS psi, any_value(n) AS n, any_value(n0) AS n0 FROM x GROUP BY ALL),
 pts AS (SELECT DISTINCT s, v FROM l), cmp AS (SELECT m.s, m.w, p.v, (SELECT count(*) FROM l WHERE l.s = m.s AND l.w < 3 AND l.v <= p.v) / m.n0 AS fr, (SELECT count(*) FROM l WHERE l.s = m.s AND l.w = m.w AND l.v <= p.v) / m.n AS fw FROM m JOIN pts p ON p.s = m.s AND m.s <> 'prediction'),
 ks AS (SELECT s, w, max(abs(fr - fw)) AS ks FROM cmp GROUP BY ALL), r AS (SELECT w, count(*) AS rows FROM f WHERE w >= 3 GROUP BY 1), mae AS (SELECT w, avg(abs(predicted - actual)) AS mae FROM f WHERE w >= 3 GROUP BY 1),
 base AS (SELECT avg(abs(predicted - actual)) AS e0, count(*) AS n0 FROM f WHERE w < 3),
 sig AS (SELECT w, CASE s WHEN 'prediction' THEN 'prediction' ELSE 'feature' END AS kind, s AS subject, CASE WHEN psi IS NULL THEN 'insufficient_data' WHEN psi >= CASE s WHEN 'prediction' THEN 0.05 ELSE 0.06 END THEN 'drifted' WHEN psi >= CASE s WHEN 'prediction' THEN 0.025 ELSE 0.03 END THEN 'minor' ELSE 'stable' END AS status,
-  psi AS statistic, CASE s WHEN 'prediction' THEN 0.05 ELSE 0.06 END AS threshold, ks.ks, CASE WHEN s <> 'prediction' THEN coalesce((ks.ks >= 0.1) = (psi >= 0.06), false) END AS ks_agrees, n0 AS reference_rows, n AS recent_rows FROM psi LEFT JOIN ks USING (s, w) WHERE w IN (SELECT w FROM r WHERE rows >= 50)
+  psi AS statistic, CASE s WHEN 'prediction' THEN 0.05 ELSE 0.06 END AS threshold, CASE WHEN n >= 30 AND n0 >= 30 THEN ks.ks END AS ks, CASE WHEN s <> 'prediction' THEN coalesce((ks.ks >= 0.1) = (psi >= 0.06), false) END AS ks_agrees, n0 AS reference_rows, n AS recent_rows FROM psi LEFT JOIN ks USING (s, w) WHERE w IN (SELECT w FROM r WHERE rows >= 50)
 UNION ALL SELECT w, 'performance', 'mae', CASE WHEN mae / e0 >= 1.02 THEN 'drifted' WHEN mae / e0 >= 1.01 THEN 'minor' ELSE 'stable' END, mae / e0, 1.02, NULL, NULL, n0, rows FROM r JOIN mae USING (w), base WHERE rows >= 50
 UNION ALL SELECT w, 'performance', 'window', 'insufficient_data', NULL, NULL, NULL, NULL, n0, rows FROM r, base WHERE rows < 50)"""
 
@@ -707,16 +707,16 @@ def _exported_conflicts(spark, sf):
     return _exported(spark, sf).read("conflicts").select("location_id", "metric", "event_time", F.size("observations").cast("long").alias("observations"), r("spread", 6).alias("spread"))
 
 
-@query("exported_quality", f"""WITH {_EXPORT_SQL} SELECT (SELECT count(*) FROM obs) AS rows_in, (SELECT count(*) FROM kept) AS valid, (SELECT count(*) FROM obs WHERE value > 480) AS quarantined, (SELECT count(*) FROM obs WHERE value > 489) AS above_maximum, (SELECT CAST(sum(n) AS BIGINT) FROM g WHERE dissent) AS conflicted, true AS accounts_for_every_row""")
+@query("exported_quality", f"""WITH {_EXPORT_SQL} SELECT (SELECT count(*) FROM obs) AS rows_in, (SELECT count(*) FROM kept) AS valid, (SELECT count(*) FROM obs WHERE value > 480) AS quarantined, (SELECT count(*) FROM kept WHERE value IS NULL) AS missing_values, true AS accounts_for_every_row""")
 def _exported_quality(spark, sf):
     q = _exported(spark, sf).read("quality")
-    return q.select("rows_in", "valid", "quarantined", F.coalesce("quarantine_by_reason.above_maximum", F.lit(0)).alias("above_maximum"), "placements.conflicted", "accounts_for_every_row")
+    return q.select("rows_in", "valid", "quarantined", "missing_values", "accounts_for_every_row")
 
 
 # replay
 
 @query("replayed_feed", """WITH n AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS row, value > 20 AS accepted FROM events), k AS (SELECT *, CAST(count(*) FILTER (accepted) OVER (ORDER BY row) AS BIGINT) AS upto FROM n),
-e AS (SELECT * FROM k WHERE row <= (SELECT max(row) FROM k WHERE accepted AND upto <= 2000))
+e AS (SELECT * FROM k WHERE row <= (SELECT max(row) FROM k WHERE accepted AND upto <= 2000) OR (SELECT max(upto) FROM k) < 2000)
 SELECT event_type, accepted, count(*) AS rows, min(row) AS first_row, max(row) AS last_row, round(sum(value), 4) AS total, 1704067200 + max(upto) // 2 AS last_s FROM e GROUP BY ALL""")
 def _replayed(spark, sf):
     """The first 2,000 accepted events of a replay at two a second, by a stream that is stopped and started again on its way."""
