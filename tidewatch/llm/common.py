@@ -7,6 +7,9 @@ per word.  A word is a maximal run of bytes other than space and 0x09-0x0D.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a row group in intermediate tables: a writer holds one in memory.
 ROW_GROUP = 16 << 20
 #: Rows of an Arrow batch at most, as texts may be long.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -56,6 +59,19 @@ def positional(docs: DataFrame) -> DataFrame:
     return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
 
 
+def frugal(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """f, a generator of batches in a worker, giving Arrow's spare memory back after each and at its end: workers live on idle."""
+
+    @wraps(f)
+    def run(*args: object, **kw: object) -> Iterator[pa.RecordBatch]:
+        for batch in f(*args, **kw):
+            yield batch
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches at BATCH_ROWS rows in this session, unless they are smaller already."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -108,6 +124,17 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def by_size(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20, most_rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with so many bytes of text at most, or one row: what is made of a text is many times its size."""
+    _, off = text_buffer(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(off, off[at] + most_bytes, side="right")) - 1
+        stop = min(max(stop, at + 1), at + most_rows, batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def word_bounds(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of each word; no word crosses a row start."""
     solid = ~_SEP[raw]

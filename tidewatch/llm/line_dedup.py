@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize, mix, positional, small_batches, text_buffer, word_bounds, word_hashes
+from .common import by_size, frugal, lower_words, materialize, mix, positional, small_batches, text_buffer, word_bounds, word_hashes
 
 #: One edit leaves at least three quarters of a line of so many words; shorter lines count as repeats only if equal.
 MIN_WORDS = 4
@@ -81,11 +81,11 @@ def _lines_of(column: pa.Array) -> tuple[np.ndarray, ...]:
     return words, first, end, row[first], number[first]
 
 
+@frugal
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 300):
-                part = batch.slice(lo, 300)
+            for part in by_size(batch, 2):
                 words, first, end, row, number = _lines_of(part.column(2))
                 if not len(first):
                     continue
@@ -107,27 +107,28 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _VARIANTS = "variant long, place int, doc_id long, key long, line int"
 
 
+#: Variants of lines that are made at once.
+_AT_ONCE = 1 << 17
+
+
+@frugal
 def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, key, line, words) -> a row for the whole line (place -1) and one for each word left out."""
+    names = [f.split()[0] for f in _VARIANTS.split(", ")]
     with np.errstate(over="ignore"):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                words, off = word_hashes(part.column(3), lower=True)
-                begin, end = off[:-1], off[1:]
-                n = end - begin
-                row = np.repeat(np.arange(len(n)), n)
-                rolled = _Rolled(words, 0)
-                every = np.arange(len(words))
-                whole = mix(rolled.run(begin, end) ^ mix(n.astype(np.uint64)))
+        for part in (p for b in batches for p in by_size(b, 3)):
+            words, off = word_hashes(part.column(3), lower=True)
+            begin, end = off[:-1], off[1:]
+            n = end - begin
+            rolled = _Rolled(words, 0)
+            line = lambda at: [part.column(k).take(pa.array(at)) for k in range(3)]  # noqa: B023, E731
+            whole = mix(rolled.run(begin, end) ^ mix(n.astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(np.full(len(n), -1, dtype=np.int32)), *line(np.arange(len(n)))], names=names)
+            for lo in range(0, len(words), _AT_ONCE):
+                every = np.arange(lo, min(lo + _AT_ONCE, len(words)))
+                row = np.searchsorted(end, every, side="right")
                 less = mix(rolled.without(begin[row], end[row], every) ^ mix((n[row] - 1).astype(np.uint64)))
-                at = np.r_[np.arange(len(n)), row]
-                cols = [
-                    pa.array(np.r_[whole, less].view(np.int64)),
-                    pa.array(np.r_[np.full(len(n), -1), every - begin[row]].astype(np.int32)),
-                    *[part.column(k).take(pa.array(at)) for k in range(3)],
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in _VARIANTS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(less.view(np.int64)), pa.array((every - begin[row]).astype(np.int32)), *line(row)], names=names)
 
 
 def within_one_edit(x: list, y: list) -> bool:
@@ -142,6 +143,7 @@ def within_one_edit(x: list, y: list) -> bool:
     return x[i + 1 :] == y[i + 1 :] if len(x) == len(y) else x[i:] == y[i + 1 :]
 
 
+@frugal
 def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, key, line, words, words) -> (doc_id, key, line) of the pairs within one edit."""
     for batch in batches:
@@ -150,6 +152,7 @@ def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in range(3)], names=list(_AT))
 
 
+@frugal
 def _picked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, key, text, lines) -> (doc_id, key, line, words) of the listed lines."""
     for batch in batches:
@@ -185,6 +188,7 @@ def _pack(docs: DataFrame, at: int) -> DataFrame:
     name = docs.columns[at]
     schema = docs.withColumn(name, F.col(name).cast("binary")).schema
 
+    @frugal
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = list(batch.columns)
@@ -286,6 +290,7 @@ class LineDedup:
         schema = positional(docs).withColumns({c: F.lit(None).cast("long") for c in ("n_dropped", "n_near")}).schema
         kept, text_type = schema.names, pa.string()
 
+        @frugal
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lines = batch.column(len(kept)).to_pylist()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches
+from .common import frugal, mix, small_batches
 from .rules import Texts
 
 #: Documents that the scorer is fitted on, about (chosen by hash of doc_id and text, repeated rows once; never more
@@ -172,11 +172,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, Texts(part.column(1))
 
 
+@frugal
 def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, t in _texts(batches):
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pattern_of(votes(t)))], names=["doc_id", "pattern"])
 
 
+@frugal
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, t in _texts(batches):
         x = features(t)
@@ -222,6 +224,7 @@ class QualityModel:
         """(doc_id, votes_low, votes_fine, posterior, score, kept): score is the linear scorer's probability of low quality."""
         labels, scorer = self.labels, self.scorer
 
+        @frugal
         def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, t in _texts(batches):
                 v = votes(t)
@@ -235,6 +238,7 @@ class QualityModel:
         """The rows of docs, all columns, that the scorer does not reject."""
         scorer = self.scorer
 
+        @frugal
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 200):
