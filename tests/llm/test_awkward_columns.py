@@ -105,3 +105,51 @@ def test_broken_promises_are_found_out(spark, monkeypatch):
     monkeypatch.setattr(chat, "VERIFY", 20)
     pairs = list(chat.checked_spans(iter([(t[2], t[3]) for t in turns(40)]), chat.MarkedTurns()))
     assert [k for _, _, k in pairs] == [None] * 40 and "".join(p for _, p, _ in pairs) == chat.MarkedTurns()([(t[2], t[3]) for t in turns(40)])
+
+
+def test_history_is_judged_alike_at_any_length(spark, monkeypatch):
+    """Neither a long conversation nor long texts change what is said of a template, or what it appends."""
+    from tidewatch.llm import chat
+
+    class BrokenPromise:
+        look_back = 0
+
+        def __call__(self, turns):
+            return ("" if not turns else f"{'many' if len(turns) > 16 else 'few'}\n") + "".join(f"{t}\n" for _, t in turns)
+
+    class Restores(chat.MarkedTurns):
+        """Rewrites history from the 20th turn on, and puts it back at the 30th."""
+
+        def __call__(self, turns):
+            return ("!" if 20 <= len(turns) < 30 else "") + super().__call__(turns)
+
+    rows = lambda n, text="t": [(1, k, "user" if k % 2 == 0 else "assistant", f"{text}{k}") for k in range(n)]
+    table = lambda *a: spark.createDataFrame(rows(*a), "conv_id long, turn long, role string, text string")
+    lost = lambda df: [r.turn_no for r in df.orderBy("turn_no").collect() if r.history_kept is not True]
+    for n in (40, 4200):
+        assert lost(chat.format_turns(table(n), BrokenPromise())) == [16]
+        digest = chat.read_back(chat.format_turns(table(n))).first()
+        assert (digest.n_turns, digest.history_kept) == (n, True)
+        assert digest.formatted_chars == len(chat.MarkedTurns()([t[2:] for t in rows(n)]))
+    assert lost(chat.format_turns(table(40), Restores())) == [19, 29]
+    assert lost(chat.format_turns(table(40, "long" * 60_000))) == []
+
+
+def test_templates_made_by_turn_stream_in_a_window():
+    from tidewatch.llm import chat
+
+    class Echoes(chat.ByTurn):
+        look_back, most = 3, 0
+
+        def piece(self, turn, before):
+            return f"{turn[1]}<{before[0][1] if len(before) == 3 else ''}>"
+
+        def __call__(self, turns):
+            self.most = max(self.most, len(turns))
+            return super().__call__(turns)
+
+    turns = [("user", f"t{i}") for i in range(60)]
+    watched = Echoes()
+    plain = type("Plain", (chat.ByTurn,), {"look_back": 3, "piece": Echoes.piece})()
+    assert chat.made_by_turn(plain) and chat.made_by_turn(chat.MarkedTurns()) and not chat.made_by_turn(watched)
+    assert "".join(p for _, p, _ in chat.spans(iter(turns), watched, window=2)) == plain(turns) and watched.most == 4

@@ -5,13 +5,12 @@ consecutive outputs; what the longer one appends is the turn's span.  If the lon
 begin with the shorter one, the template rewrites history and is reported.
 
 Conversations are spread by id, and turns stream in order through a task.  Prefixes are whole: a task
-holds the turns of one conversation, and rendering costs the square of its length.  A template with an
-integer ``look_back`` of k promises that what a turn appends depends on it and the k turns before it
-only, not on its place, and that it rewrites nothing.  Its prefixes stay within a window of ``window``
-turns (k + 1 at least), however long a conversation is: a full window starts anew with its last k turns.
-The promise is checked: a conversation of up to ``VERIFY`` turns is rendered once more as a whole, and if that is not
-the pieces one after the other, its prefixes are rendered whole instead.  Of longer ones, which stream on, it is
-unknown (null) whether history was kept.
+holds the turns of one conversation, and rendering costs the square of its length.  Only a template made
+turn by turn (``ByTurn``) has prefixes within a window of ``window`` turns (``look_back`` + 1 at least): a full
+window starts anew with its last ``look_back`` turns, so a conversation of any length streams through, and the
+result is that of whole prefixes, since the class itself puts the output together from what each turn appends.
+What a template of any other class says of its ``look_back`` is a promise that nothing short of whole prefixes
+can check, and ``format_turns`` does not rely on it.  No result depends on how long a conversation is.
 """
 
 from __future__ import annotations
@@ -27,15 +26,29 @@ from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
 WINDOW = 16
-#: Turns, and characters of text, of a conversation whose template's promise is checked: so much is held at once.
+#: Turns, and characters of text, that ``checked_spans`` holds at once.
 VERIFY, VERIFY_CHARS = 4096, 8_000_000
 
 
-class MarkedTurns:
+class ByTurn:
+    """A template that appends for each turn what ``piece`` makes of it and of the ``look_back`` turns before it, or fewer at the start.
+
+    ``piece`` must be a function of its arguments.  A subclass that renders in another way is a template like any other.
+    """
+
+    look_back = 0
+
+    def piece(self, turn: Turn, before: list[Turn]) -> str:
+        raise NotImplementedError
+
+    def __call__(self, turns: list[Turn]) -> str:
+        return "".join(self.piece(turn, turns[max(0, i - self.look_back) : i]) for i, turn in enumerate(turns))
+
+
+class MarkedTurns(ByTurn):
     """``### role: text</turn>`` and a newline for each turn, control strings in texts escaped by a backslash."""
 
     OPEN, CLOSE = "### ", "</turn>\n"
-    look_back = 0  # each turn is rendered by itself
     _PIECE = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.DOTALL)
 
     @staticmethod
@@ -46,8 +59,9 @@ class MarkedTurns:
     def unescape(text: str) -> str:
         return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
-    def __call__(self, turns: list[Turn]) -> str:
-        return "".join(f"{self.OPEN}{self.escape(r).replace(':', chr(92) + ':')}: {self.escape(t)}{self.CLOSE}" for r, t in turns)
+    def piece(self, turn: Turn, before: list[Turn]) -> str:
+        role, text = turn
+        return f"{self.OPEN}{self.escape(role).replace(':', chr(92) + ':')}: {self.escape(text)}{self.CLOSE}"
 
     def parse(self, output: str) -> list[tuple[str, str, int, int]]:
         """(role, text, start, end) of each turn of an output; start and end enclose the escaped text."""
@@ -89,7 +103,11 @@ def spans(turns: Iterator[Turn], render: Callable[[list[Turn]], str], window: in
 
 
 def checked_spans(turns: Iterator[Turn], render: Callable[[list[Turn]], str], window: int = WINDOW) -> Iterator[tuple[Turn, str, bool | None]]:
-    """``spans``, with a template's promise to look back a few turns only checked against the whole conversation."""
+    """``spans``, with a template's promise to look back a few turns only checked against the whole conversation.
+
+    For callers of their own that must not hold a long conversation: beyond VERIFY, kept is unknown (null), and pieces
+    are as right as the promise.  ``format_turns`` does without it.
+    """
     if getattr(render, "look_back", None) is None:
         yield from spans(turns, render, window)
         return
@@ -108,6 +126,11 @@ def checked_spans(turns: Iterator[Turn], render: Callable[[list[Turn]], str], wi
     yield from found if "".join(p for _, p, _ in found) == render(head) else spans(iter(head), render, whole=True)
 
 
+def made_by_turn(render: Callable[[list[Turn]], str]) -> bool:
+    """Whether a template's output is put together by ``ByTurn`` itself."""
+    return isinstance(render, ByTurn) and type(render).__call__ is ByTurn.__call__
+
+
 def _whose() -> Callable[[tuple], tuple[int | None, int]]:
     """Key of the conversation that a row belongs to; rows without conv_id are conversations of their own."""
     alone = count()
@@ -125,10 +148,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], render: Callable[[list[Turn]], st
     names = [f.split()[0] for f in _TURNS.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
     out: list[tuple] = []
-    held = 0
+    held, whole = 0, not made_by_turn(render)
     for (conv, _), group in groupby(rows(), key=_whose()):
         at = 0
-        for k, ((role, text), piece, kept) in enumerate(checked_spans(((r, t) for _, r, t in group), render, window)):
+        for k, ((role, text), piece, kept) in enumerate(spans(((r, t) for _, r, t in group), render, window, whole)):
             out.append((conv, k, role, text, piece, at, at + len(piece), kept))
             at += len(piece)
             held += len(piece)
