@@ -105,3 +105,32 @@ def test_word_hashes_ignore_block_borders(monkeypatch):
 def test_components(spark, edges, want):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
+
+
+def test_variants_below_the_threshold_make_few_pairs(spark, monkeypatch):
+    """Variants of one text, far from each other and from it, are not compared two by two; links among them are found."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 1200)]
+
+    def edited(words, many, tag):
+        words = list(words)
+        for k in rng.choice(len(words), many, replace=False).tolist():
+            words[k] = f"{tag}x{k}"
+        return words
+
+    variants = [edited(base, 48, f"v{i}") for i in range(40)]
+    rows = [(0, base), *enumerate(variants, 1), *((100 + i, edited(variants[i], 6, f"c{i}")) for i in range(5)), (200, base[:1180])]
+    rows = [(i, " ".join(words)) for i, words in rows]
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) == 41
+    pairs, verified = {}, ngram_join.JaccardJoin.verified
+
+    def watched(self, some, docs, reps, name):
+        pairs[name] = some.count()
+        return verified(self, some, docs, reps, name)
+
+    monkeypatch.setattr(ngram_join.JaccardJoin, "verified", watched)
+    for rounds in (ngram_join.HUB_ROUNDS, 0):
+        monkeypatch.setattr(ngram_join, "HUB_ROUNDS", rounds)
+        assert classes(frame(spark, rows)) == want
+        assert pairs.get("ngram-rest", 0) <= 60

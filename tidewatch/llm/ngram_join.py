@@ -20,7 +20,13 @@ first segment in which the two agree.  So:
   has are free, and of the others the ones with the fewest holders, D+1 with the free ones.
 * Before that, each node is compared with the hub it shares most keys with, in rounds, until no round
   merges components.  Inside a component no further pair is looked at.
-* A pair of the final join must also pass a bound from parity sketches: two sets differ in at least as
+* Of any pair left, the smaller node probes a unit that the larger one holds, so only nodes that probe, or hold what
+  a node of another component probes, go on (linear: each key knows its probes' least and greatest component).
+* Those that go on meet over single tokens of their whole sets, ordered by holders, fewest first; tokens that no other
+  component has come before all. At the first token that a pair shares, what either set has from there on bounds
+  what they share. A token joins only where that reaches the threshold, so variants of one text that each have
+  tokens of their own make no rows, however many they are: far less than one for each unit they share.
+* A pair of that join must also pass a bound from parity sketches: two sets differ in at least as
   many tokens as their sketches differ in bits.  It is tested inside the join, so a key that many
   dissimilar nodes hold makes no rows.
 * Candidates are verified on their words.
@@ -250,6 +256,12 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array((info & 3).astype(np.int32))], names=["key", "node", "info"])
 
 
+def _token_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Every token of rows (node, text, digest, check) as a key."""
+    for node, hashes, off, _ in _owned(batches, size):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes.view(np.int64), np.repeat(node, np.diff(off)), np.zeros(len(hashes), np.int32))], names=["key", "node", "info"])
+
+
 def _text_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for node, _, _, texts in _owned(batches, size):
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), texts], names=["node", "text"])
@@ -380,8 +392,8 @@ class JaccardJoin:
         near = pairs.join(left, "a").join(right, "b").filter(_within(self.num, self.den))
         return near.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
 
-    def candidates(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different components to verify.  rows: (key, node, info); nodes as for hub_pairs, with units."""
+    def near_nodes(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Nodes that may have a partner in another component.  rows: (key, node, info); nodes as for hub_pairs, with units."""
         num, den = self.num, self.den
         tagged = self.beside(rows, nodes.select("node", "component"))
         cost = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.count(F.lit(1)).alias("cost"))
@@ -395,11 +407,31 @@ class JaccardJoin:
         chosen = home.withColumn("rank", rank).join(needs, "node").filter("rank <= need").select("key", "node")
         # Sets that fall into too few segments probe all that they have, deletions too.
         chosen = chosen.unionByName(self.beside(others.filter("info > 0"), nodes.filter(short).select("node")).select("key", "node")).distinct()
-        probes = self.beside(chosen, nodes.select("node", "n", "component", *_SKETCHES))
-        index = self.beside(others.select("key", "node").distinct(), nodes.select("node", F.col("n").alias("n_b"), F.col("component").alias("component_b"), *[F.col(s).alias(f"t{i}") for i, s in enumerate(_SKETCHES)]))
-        near = (F.col("component") != F.col("component_b")) & (F.col("n") <= F.col("n_b")) & _within(num, den)
-        index = index.withColumnRenamed("key", "key_b").withColumnRenamed("node", "b")
-        pairs = probes.join(index, (F.col("key") == F.col("key_b")) & near)
+        chosen = materialize(chosen, "ngram-chosen")
+        probed = self.beside(chosen, nodes.select("node", "component")).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"))
+        held = self.beside(others.select("key", "node"), nodes.select("node", "component")).join(probed, "key").filter("component <> low or component <> top")
+        return materialize(chosen.select("node").unionByName(held.select("node")).distinct(), "ngram-near")
+
+    def candidates(self, near: DataFrame, docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of near nodes of different components to verify, by the first token that they share."""
+        num, den, size = self.num, self.den, self.size
+        tokens = self.texts_of(near, docs, reps, "ngram-near-texts").mapInArrow(lambda it: _token_rows(it, size), _KEYS)
+        lined = tokens.repartition("key").sortWithinPartitions("key", "node")
+        tokens = materialize(lined.mapInArrow(_shared_rows, _KEYS).select("key", "node"), "ngram-tokens")
+        tagged = self.beside(tokens, nodes.select("node", "component"))
+        cost = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.count(F.lit(1)).alias("cost"))
+        paid = tokens.join(cost.filter("low <> top").select("key", "cost"), "key")
+        # Tokens that no other component has come first; left: how many a set has from this one on.
+        turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("cost"), F.desc("key")))
+        left = self.beside(paid.withColumn("left", turn), nodes.select("node", "n")).filter(F.col("left") * den >= F.col("n") * num)
+        left = materialize(left.select("key", "node", "left"), "ngram-left")
+        known = nodes.select("node", "n", "component", *_SKETCHES)
+        smaller = self.beside(left, known).filter(F.col("left") * (num + den) >= 2 * F.col("n") * num)
+        larger = self.beside(left, known).select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("left").alias("left_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), *[F.col(s).alias(f"t{i}") for i, s in enumerate(_SKETCHES)])
+        reach = F.least("left", "left_b") * (num + den) >= (F.col("n") + F.col("n_b")) * num
+        order = (F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("node") < F.col("b")))
+        near_by = (F.col("component") != F.col("component_b")) & order & reach & _within(num, den)
+        pairs = smaller.join(larger, (F.col("key") == F.col("key_b")) & near_by)
         return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
     def _fitted(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -439,7 +471,7 @@ class JaccardJoin:
             joined = connected_components(links, f"ngram-hub{step}")
             known = known.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
             known = materialize(known, f"ngram-component{step}")
-        pairs = materialize(self.candidates(rows, known), "ngram-pairs")
+        pairs = materialize(self.candidates(self.near_nodes(rows, known), docs, reps, known), "ngram-pairs")
         if not pairs.isEmpty():
             more = self.verified(pairs, docs, reps, "ngram-rest")
             links = more if links is None else links.unionByName(more)
