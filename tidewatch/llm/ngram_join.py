@@ -412,8 +412,8 @@ class JaccardJoin:
         held = self.beside(others.select("key", "node"), nodes.select("node", "component")).join(probed, "key").filter("component <> low or component <> top")
         return materialize(chosen.select("node").unionByName(held.select("node")).distinct(), "ngram-near")
 
-    def candidates(self, near: DataFrame, docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs (a, b) of near nodes of different components to verify, by the first token that they share."""
+    def leading(self, near: DataFrame, docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(key, node, left): tokens of near nodes at which a pair may first meet; left: how many a set has from there on."""
         num, den, size = self.num, self.den, self.size
         tokens = self.texts_of(near, docs, reps, "ngram-near-texts").mapInArrow(lambda it: _token_rows(it, size), _KEYS)
         lined = tokens.repartition("key").sortWithinPartitions("key", "node")
@@ -421,10 +421,14 @@ class JaccardJoin:
         tagged = self.beside(tokens, nodes.select("node", "component"))
         cost = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.count(F.lit(1)).alias("cost"))
         paid = tokens.join(cost.filter("low <> top").select("key", "cost"), "key")
-        # Tokens that no other component has come first; left: how many a set has from this one on.
+        # Tokens that no other component has come first.  Components that merge later leave this order as good.
         turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("cost"), F.desc("key")))
         left = self.beside(paid.withColumn("left", turn), nodes.select("node", "n")).filter(F.col("left") * den >= F.col("n") * num)
-        left = materialize(left.select("key", "node", "left"), "ngram-left")
+        return materialize(left.select("key", "node", "left"), "ngram-left")
+
+    def meeting(self, left: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components to verify, by the first token that they share; pairs may repeat."""
+        num, den = self.num, self.den
         known = nodes.select("node", "n", "component", *_SKETCHES)
         smaller = self.beside(left, known).filter(F.col("left") * (num + den) >= 2 * F.col("n") * num)
         larger = self.beside(left, known).select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("left").alias("left_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), *[F.col(s).alias(f"t{i}") for i, s in enumerate(_SKETCHES)])
@@ -432,7 +436,7 @@ class JaccardJoin:
         order = (F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("node") < F.col("b")))
         near_by = (F.col("component") != F.col("component_b")) & order & reach & _within(num, den)
         pairs = smaller.join(larger, (F.col("key") == F.col("key_b")) & near_by)
-        return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
 
     def _fitted(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(nodes: a row for each document, with its identity (digest, check); (digest, check, component_id, head) of each set).
@@ -459,19 +463,31 @@ class JaccardJoin:
         # A quarter of the keys is enough to find hubs; what they miss is found below.
         some = rows.filter("info < 2").filter(F.col("key").bitwiseAND(3) == 0).select("key", "node")
         links = tried = None
-        for step in range(HUB_ROUNDS):
-            best = materialize(self.hub_pairs(some, known, tried), f"ngram-hub{step}")
+
+        def merged(keys: DataFrame, name: str) -> bool:
+            """Compare each node with a hub by the keys; whether that linked any."""
+            nonlocal links, tried, known
+            best = materialize(self.hub_pairs(keys, known, tried), name)
             if best.isEmpty():
-                break
-            found = self.verified(best, docs, reps, f"ngram-hub{step}")
+                return False
+            found = self.verified(best, docs, reps, name)
             tried = best if tried is None else tried.unionByName(best)
             if found.isEmpty():
-                break
+                return False
             links = found if links is None else links.unionByName(found)
-            joined = connected_components(links, f"ngram-hub{step}")
+            joined = connected_components(links, name)
             known = known.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            known = materialize(known, f"ngram-component{step}")
-        pairs = materialize(self.candidates(self.near_nodes(rows, known), docs, reps, known), "ngram-pairs")
+            known = materialize(known, f"{name}-component")
+            return True
+
+        # The last of the rounds is over leading tokens: it finds what is linked to no central node.
+        for step in range(HUB_ROUNDS - 1):
+            if not merged(some, f"ngram-hub{step}"):
+                break
+        left = self.leading(self.near_nodes(rows, known), docs, reps, known)
+        if HUB_ROUNDS:
+            merged(left.select("key", "node"), "ngram-hub-leading")
+        pairs = materialize(self.meeting(left, known).distinct(), "ngram-pairs")
         if not pairs.isEmpty():
             more = self.verified(pairs, docs, reps, "ngram-rest")
             links = more if links is None else links.unionByName(more)
