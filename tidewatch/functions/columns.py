@@ -101,9 +101,12 @@ def aggregation_level(minutes: Column) -> Column:
     return _lookup(minutes.cast("int"), LEVELS, F.lit("instant"))
 
 
-def recency(event: Column, received: Column, current_hours: int = 2, recent_hours: int = 48) -> Column:
-    lag = seconds(received) - seconds(event)
-    return F.when(lag.isNull(), None).when(lag <= 3600 * current_hours, "current").when(lag <= 3600 * recent_hours, "recent").otherwise("historical")
+def recency(event: Column, received: Column, current_hours: float = 2, recent_hours: float = 48, recent_by_second: bool = False) -> Column:
+    """Band of the arrival lag, both bounds inclusive to the microsecond; ``recent_by_second`` drops the fraction of received at the second bound."""
+    start, end = F.unix_micros(event.cast("timestamp")), F.unix_micros(received.cast("timestamp"))
+    late = 1_000_000 * seconds(received) if recent_by_second else end
+    current, recent = (end - start <= round(3_600_000_000 * current_hours)), (late - start <= round(3_600_000_000 * recent_hours))
+    return F.when(event.isNull() | received.isNull(), None).when(current, "current").when(recent, "recent").otherwise("historical")
 
 
 def local_time(ts: Column, offset_hours: float) -> Column:

@@ -12,7 +12,7 @@ from ..operators import adaptation, adaptive, attribution, evaluation, features,
 from ..sources import artifacts, feeds
 from ..streaming import replay, streams
 from .catalog import ANOMALY_SQL, ORACLES, QUERIES, FORECAST_SQL, HOURLY_SQL, LOCAL_SQL, OFFSET, forecasts, hourly, local_obs, micros, query, r
-from .observations import OBS_SQL, observations
+from .observations import OBS_SQL, observations, recency_band
 
 # observation keys and normalisation
 
@@ -72,7 +72,7 @@ def _population(spark, sf):
 
 @query("counts_by_recency", f"WITH {OBS_SQL}, b AS (SELECT CASE WHEN epoch(received_time) - epoch(event_time) <= 7200 THEN 'current' WHEN floor(epoch(received_time)) - epoch(event_time) <= 172800 THEN 'recent' ELSE 'historical' END AS band FROM obs), d(band) AS (VALUES ('current'), ('recent'), ('historical'), ('future')) SELECT d.band, count(b.band) AS rows FROM d LEFT JOIN b USING (band) GROUP BY 1")
 def _counts(spark, sf):
-    rows = observations(spark, sf).select(C.recency(F.col("event_time"), F.col("received_time")).alias("band"))
+    rows = observations(spark, sf).select(recency_band().alias("band"))
     return normalise.counts_by(rows, "band", ["current", "recent", "historical", "future"])
 
 
