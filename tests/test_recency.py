@@ -48,3 +48,7 @@ def same_as_sql(spark, path: str, name: str) -> None:
 
 def test_counts_by_recency_at_the_bounds(spark, events):
     same_as_sql(spark, events, "counts_by_recency")
+
+
+def test_recency_bands_at_the_bounds(spark, events):
+    same_as_sql(spark, events, "recency_bands")

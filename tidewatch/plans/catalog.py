@@ -14,7 +14,7 @@ from ..functions import columns as C
 from ..operators import evaluation, features, integrity, monitoring, patterns, statistics
 from ..sources import feeds
 from ..streaming import streams
-from .observations import OBS_SQL, observations
+from .observations import OBS_SQL, observations, recency_band
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,7 +161,7 @@ def _units(spark, sf):
 
 @query("recency_bands", f"WITH {OBS_SQL} SELECT source_id, CASE WHEN epoch(received_time) - epoch(event_time) <= 7200 THEN 'current' WHEN floor(epoch(received_time)) - epoch(event_time) <= 172800 THEN 'recent' ELSE 'historical' END AS band, count(*) AS rows FROM obs GROUP BY ALL")
 def _recency(spark, sf):
-    return observations(spark, sf).groupBy("source_id", C.recency(F.col("event_time"), F.col("received_time")).alias("band")).agg(F.count(F.lit(1)).alias("rows"))
+    return observations(spark, sf).groupBy("source_id", recency_band().alias("band")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("quarantine_by_reason", f"""WITH {OBS_SQL}, x AS (SELECT *, CASE WHEN value > 480 THEN 'invalid_value' WHEN metric = 'signup' AND value < 5 THEN 'suspicious_measurement' WHEN epoch(received_time) - epoch(event_time) > 200000 THEN 'future_event_time' END AS reason FROM obs)
